@@ -30,7 +30,7 @@ def _c(x: Column | str) -> Column:
 
 def article_length(text: Column | str) -> Column:
     """Length in code points (pandas ``str.len``)."""
-    return F.length(_c(text))
+    return F.length(_c(text)).cast("long")
 
 
 def strip_ws(text: Column | str) -> Column:
@@ -44,19 +44,19 @@ def word_count(text: Column | str) -> Column:
     higher-order lambda: ``regexp_replace`` and ``split`` are codegen'd.
     """
     s = strip_ws(text)
-    return F.when(s == "", F.lit(0)).otherwise(F.size(F.split(s, _SPLIT_RE)))
+    return F.when(s == "", F.lit(0)).otherwise(F.size(F.split(s, _SPLIT_RE))).cast("long")
 
 
 def sentence_count(text: Column | str) -> Column:
     """T4: sentences are the non-blank pieces between terminator runs
     (``[.!?]+`` followed by white space); newline tokens are not sentences."""
     s = strip_ws(text)
-    return F.when(s == "", F.lit(0)).otherwise(F.size(F.split(s, SENTENCE_SPLIT_RE)))
+    return F.when(s == "", F.lit(0)).otherwise(F.size(F.split(s, SENTENCE_SPLIT_RE))).cast("long")
 
 
 def token_count(text: Column | str) -> Column:
     """T5: word tokens plus punctuation tokens; newlines are not tokens."""
-    return F.size(F.regexp_extract_all(_c(text), F.lit(TOKEN_RE), 0))
+    return F.size(F.regexp_extract_all(_c(text), F.lit(TOKEN_RE), 0)).cast("long")
 
 
 def newlines_to_blanks(text: Column | str) -> Column:

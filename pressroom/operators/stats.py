@@ -131,7 +131,7 @@ def yearly_counts(df: DataFrame, date_col: str = "date_of_creation", id_col: str
     by = by or []
     y = F.year(F.col(date_col))
     return (df.where(F.col(date_col).isNotNull() & (y <= year_max))
-            .groupBy(y.alias("year"), *by)
+            .groupBy(y.cast("long").alias("year"), *by)
             .agg(F.count(id_col).alias("n")))
 
 
@@ -142,7 +142,7 @@ def yearly_counts_grouping_sets(df: DataFrame, group_col: str, date_col: str = "
     carry ``group = '__all__'``."""
     y = F.year(F.col(date_col))
     base = (df.where(F.col(date_col).isNotNull() & (y <= year_max))
-            .select(y.alias("year"), F.col(group_col).cast("string").alias(group_col), F.col(id_col)))
+            .select(y.cast("long").alias("year"), F.col(group_col).cast("string").alias(group_col), F.col(id_col)))
     g = base.groupingSets([["year"], ["year", group_col]], "year", group_col) \
         .agg(F.count(id_col).alias("n"), F.grouping(group_col).alias("_g"))
     return g.select("year",

@@ -26,3 +26,57 @@ def length_word_filtered(spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT
 def flagship(spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT) -> DataFrame:
     """Length statistics per site after the length and word filters (G1 over C1+C2)."""
     return G.describe(length_word_filtered(spark, sf_dir, cfg), "article_length", "domain")
+
+
+# Test binding: the driver's documents are en/fr/de/es; the reference keeps
+# hu/cs/sk.  Queries over ``documents`` keep two of the present languages so
+# the language filter has rows on both sides.
+DOCS_CFG = Config(allowed_languages=("fr", "de"))
+
+
+def text_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T2-T5 and T8 per article."""
+    from pressroom.functions import text as X
+    a = articles_from_documents(spark, sf_dir)
+    return a.select("uuid",
+                    X.article_length("article").alias("article_length"),
+                    X.word_count("article").alias("word_count"),
+                    X.sentence_count("article").alias("sentence_count"),
+                    X.token_count("article").alias("token_count"),
+                    F.length(X.newlines_to_blanks("article")).cast("long").alias("lid_length"),
+                    F.instr(X.newlines_to_blanks("article"), "\n").cast("long").alias("lid_newline_at"))
+
+
+def nfkc_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NFKC over every article; reports lengths before and after."""
+    from pressroom.functions.text import nfkc
+    a = articles_from_documents(spark, sf_dir)
+    n = nfkc(F.col("article"))
+    return a.select("uuid", F.length("article").cast("long").alias("n_before"),
+                    F.length(n).cast("long").alias("n_after"),
+                    (n != F.col("article")).alias("changed"))
+
+
+def stage_counts(spark: SparkSession, sf_dir: str, cfg: Config = DOCS_CFG) -> DataFrame:
+    """K9 with the given language column (``lang``) standing in for C3."""
+    a = articles_from_documents(spark, sf_dir, cfg)
+    return C.stage_audit(a, cfg, lang_col="lang")
+
+
+def sentence_filtered(spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT) -> DataFrame:
+    """C5 after C1+C2: uuids of articles with at least three sentences."""
+    return C.filter_sentences(length_word_filtered(spark, sf_dir, cfg), cfg).select("uuid", "site")
+
+
+def site_selection(spark: SparkSession, sf_dir: str, sites: str = "src1,src2",
+                   exact: bool = False) -> DataFrame:
+    """Substring (clean stage) or exact (scrape stage) site selection; counts per site."""
+    a = articles_from_documents(spark, sf_dir)
+    return C.select_sites(a, sites, exact=exact).groupBy("site").agg(F.count(F.lit(1)).alias("n"))
+
+
+def raw_vs_clean(spark: SparkSession, sf_dir: str, value: str, cfg: Config = DEFAULT) -> DataFrame:
+    """Describe of raw and length/word-cleaned articles, per domain."""
+    raw = articles_with_stats(spark, sf_dir, cfg)
+    clean = C.filter_words(C.filter_length(raw, cfg), cfg)
+    return G.stage_compare({"raw": raw, "clean": clean}, value, "domain")

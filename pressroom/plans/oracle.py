@@ -58,3 +58,83 @@ ORACLE: dict[str, str] = {}
 
 ORACLE["flagship_clean_length_describe"] = with_(ARTICLES, STATS, FILTERED) + describe_sql(
     "filtered", "article_length", "domain")
+
+STRIP = "regexp_replace({t}, '^[ \\t\\n\\r]+|[ \\t\\n\\r]+$', '', 'g')"
+
+
+def histogram_sql(src: str, value: str, key: str | None, bins: int = 100) -> str:
+    k = f"{key}, " if key else ""
+    using = f"JOIN rng USING ({key})" if key else "CROSS JOIN rng"
+    return f""",
+vc AS (SELECT {k}{value} AS v FROM {src} WHERE {value} IS NOT NULL),
+rng AS (SELECT {k}min(v) AS lo, max(v) AS hi FROM vc {'GROUP BY ' + key if key else ''}),
+b AS (SELECT {k}lo, hi, CAST(CASE WHEN hi = lo THEN 0
+                 ELSE least(floor((v - lo) * {bins} / (hi - lo)), {bins - 1}) END AS INTEGER) AS bin
+      FROM vc {using})
+SELECT {k}bin, round(lo + ((hi - lo) * bin) / {bins}.0, 4) AS bin_start,
+       round(lo + ((hi - lo) * (bin + 1)) / {bins}.0, 4) AS bin_end, count(*) AS n
+FROM b GROUP BY {k}bin, lo, hi"""
+
+
+def yearly_sql(src: str, date: str, ident: str, extra_cte: str = "") -> str:
+    return f"""{extra_cte}
+SELECT CAST(year({date}) AS BIGINT) AS year, count({ident}) AS n
+FROM {src} WHERE {date} IS NOT NULL AND year({date}) <= {CFG.year_max}
+GROUP BY 1"""
+
+
+ORACLE["g1_describe_length_raw"] = with_(ARTICLES, STATS) + describe_sql("stats", "article_length", "domain")
+ORACLE["g2_describe_words_raw"] = with_(ARTICLES, STATS) + describe_sql("stats", "word_count", "domain")
+ORACLE["g2_describe_words_clean"] = with_(ARTICLES, STATS, FILTERED) + describe_sql("filtered", "word_count", "domain")
+ORACLE["g3_histogram_length_per_site"] = with_(ARTICLES, STATS) + histogram_sql("stats", "article_length", "site")
+ORACLE["g3_histogram_words_per_site"] = with_(ARTICLES, STATS) + histogram_sql("stats", "word_count", "site")
+ORACLE["g4_histogram_length_all_raw"] = with_(ARTICLES, STATS) + histogram_sql("stats", "article_length", None)
+ORACLE["g4_histogram_words_all_clean"] = with_(ARTICLES, STATS, FILTERED) + histogram_sql("filtered", "word_count", None)
+ORACLE["g5_yearly_articles"] = yearly_sql("articles", "date_of_creation", "uuid", with_(ARTICLES))
+ORACLE["g5_yearly_orders"] = yearly_sql("orders", "o_orderdate", "o_orderkey")
+ORACLE["g5_yearly_events"] = yearly_sql("events", "ts", "event_id")
+ORACLE["g6_yearly_by_language_sets"] = with_(ARTICLES) + f"""
+SELECT CAST(year(date_of_creation) AS BIGINT) AS year,
+       CASE WHEN grouping(lang) = 1 THEN '__all__' ELSE lang END AS lang,
+       count(uuid) AS n
+FROM articles WHERE date_of_creation IS NOT NULL AND year(date_of_creation) <= {CFG.year_max}
+GROUP BY GROUPING SETS ((year(date_of_creation)), (year(date_of_creation), lang))"""
+ORACLE["g7_describe_length_rollup"] = with_(ARTICLES, STATS) + describe_sql(
+    "stats", "article_length", "site") + " UNION ALL " + describe_sql(
+    "(SELECT '__all__' AS site, * EXCLUDE (site) FROM stats)", "article_length", "site")
+ORACLE["g8_raw_vs_clean_length"] = with_(ARTICLES, STATS, FILTERED) + describe_sql(
+    "(SELECT 'raw' AS stage, * FROM stats UNION ALL SELECT 'clean' AS stage, * FROM filtered)",
+    "article_length", "stage, domain")
+
+ORACLE["t2_t5_text_scalars"] = with_(ARTICLES) + f"""
+SELECT uuid, length(article) AS article_length,
+       {WORDS.format(t='article')} AS word_count,
+       CASE WHEN {STRIP.format(t='article')} = '' THEN 0
+            ELSE len(regexp_split_to_array({STRIP.format(t='article')}, '[.!?]+\\s+')) END AS sentence_count,
+       len(regexp_extract_all(article, '[\\pL\\pN_]+|[^\\pL\\pN_\\s]')) AS token_count,
+       length(replace(article, chr(10), ' ')) AS lid_length,
+       CAST(instr(replace(article, chr(10), ' '), chr(10)) AS BIGINT) AS lid_newline_at
+FROM articles"""
+ORACLE["t1_nfkc"] = with_(ARTICLES) + """
+SELECT uuid, length(article) AS n_before, length(nfc_normalize(article)) AS n_after,
+       nfc_normalize(article) <> article AS changed
+FROM articles"""
+ORACLE["c1_c2_length_word_filter"] = with_(ARTICLES, STATS, FILTERED) + """
+SELECT uuid, site, article_length, word_count FROM filtered"""
+ORACLE["c5_sentence_filter"] = with_(ARTICLES, STATS, FILTERED) + f"""
+SELECT uuid, site FROM filtered
+WHERE CASE WHEN {STRIP.format(t='article')} = '' THEN 0
+           ELSE len(regexp_split_to_array({STRIP.format(t='article')}, '[.!?]+\\s+')) END >= {CFG.min_article_sentences}"""
+ORACLE["k9_stage_audit"] = with_(ARTICLES, STATS) + f"""
+SELECT site, count(*) AS n_input,
+       count_if(article_length BETWEEN {CFG.min_article_len} AND {CFG.max_article_len}) AS n_length_ok,
+       count_if(article_length BETWEEN {CFG.min_article_len} AND {CFG.max_article_len}
+                AND word_count >= {CFG.min_article_words}) AS n_words_ok,
+       count_if(article_length BETWEEN {CFG.min_article_len} AND {CFG.max_article_len}
+                AND word_count >= {CFG.min_article_words} AND lang IN ('fr', 'de')) AS n_language_ok
+FROM stats GROUP BY site"""
+ORACLE["s4_site_selection_substring"] = with_(ARTICLES) + """
+SELECT site, count(*) AS n FROM articles
+WHERE contains(site, 'src1') OR contains(site, 'src2') GROUP BY site"""
+ORACLE["s4_site_selection_exact"] = with_(ARTICLES) + """
+SELECT site, count(*) AS n FROM articles WHERE site IN ('src1', 'src2') GROUP BY site"""

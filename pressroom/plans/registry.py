@@ -30,3 +30,113 @@ def register(name: str):
 def _flagship(spark, sf):
     """C1 + C2 then G1: length statistics per site after cleaning."""
     return corpus.flagship(spark, sf)
+
+
+# ---- statistics (G*) -------------------------------------------------------
+from pressroom.operators import stats as G  # noqa: E402
+from pressroom.operators import clean as C  # noqa: E402
+from pressroom.sources.tables import articles_from_documents, read_table  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+
+@register("g1_describe_length_raw")
+def _g1(spark, sf):
+    return G.describe(corpus.articles_with_stats(spark, sf), "article_length", "domain")
+
+
+@register("g2_describe_words_raw")
+def _g2(spark, sf):
+    return G.describe(corpus.articles_with_stats(spark, sf), "word_count", "domain")
+
+
+@register("g2_describe_words_clean")
+def _g2c(spark, sf):
+    return G.describe(corpus.length_word_filtered(spark, sf), "word_count", "domain")
+
+
+@register("g3_histogram_length_per_site")
+def _g3(spark, sf):
+    return G.histogram(corpus.articles_with_stats(spark, sf), "article_length", "site")
+
+
+@register("g3_histogram_words_per_site")
+def _g3w(spark, sf):
+    return G.histogram(corpus.articles_with_stats(spark, sf), "word_count", "site")
+
+
+@register("g4_histogram_length_all_raw")
+def _g4(spark, sf):
+    return G.histogram(corpus.articles_with_stats(spark, sf), "article_length", None)
+
+
+@register("g4_histogram_words_all_clean")
+def _g4c(spark, sf):
+    return G.histogram(corpus.length_word_filtered(spark, sf), "word_count", None)
+
+
+@register("g5_yearly_articles")
+def _g5(spark, sf):
+    return G.yearly_counts(articles_from_documents(spark, sf), "date_of_creation", "uuid")
+
+
+@register("g5_yearly_orders")
+def _g5o(spark, sf):
+    return G.yearly_counts(read_table(spark, sf, "orders"), "o_orderdate", "o_orderkey")
+
+
+@register("g5_yearly_events")
+def _g5e(spark, sf):
+    return G.yearly_counts(read_table(spark, sf, "events"), "ts", "event_id")
+
+
+@register("g6_yearly_by_language_sets")
+def _g6(spark, sf):
+    return G.yearly_counts_grouping_sets(articles_from_documents(spark, sf), "lang",
+                                         "date_of_creation", "uuid")
+
+
+@register("g7_describe_length_rollup")
+def _g7(spark, sf):
+    return G.describe_rollup(corpus.articles_with_stats(spark, sf), "article_length", "site")
+
+
+@register("g8_raw_vs_clean_length")
+def _g8(spark, sf):
+    return corpus.raw_vs_clean(spark, sf, "article_length")
+
+
+# ---- text scalars, cleaning filters, audit (T*, C*, K9, S4) ----------------
+
+@register("t2_t5_text_scalars")
+def _t(spark, sf):
+    return corpus.text_scalars(spark, sf)
+
+
+@register("t1_nfkc")
+def _t1(spark, sf):
+    return corpus.nfkc_check(spark, sf)
+
+
+@register("c1_c2_length_word_filter")
+def _c12(spark, sf):
+    return corpus.length_word_filtered(spark, sf).select("uuid", "site", "article_length", "word_count")
+
+
+@register("c5_sentence_filter")
+def _c5(spark, sf):
+    return corpus.sentence_filtered(spark, sf)
+
+
+@register("k9_stage_audit")
+def _k9(spark, sf):
+    return corpus.stage_counts(spark, sf)
+
+
+@register("s4_site_selection_substring")
+def _s4(spark, sf):
+    return corpus.site_selection(spark, sf, "src1,src2", exact=False)
+
+
+@register("s4_site_selection_exact")
+def _s4e(spark, sf):
+    return corpus.site_selection(spark, sf, "src1,src2", exact=True)
