@@ -138,3 +138,77 @@ SELECT site, count(*) AS n FROM articles
 WHERE contains(site, 'src1') OR contains(site, 'src2') GROUP BY site"""
 ORACLE["s4_site_selection_exact"] = with_(ARTICLES) + """
 SELECT site, count(*) AS n FROM articles WHERE site IN ('src1', 'src2') GROUP BY site"""
+
+# --- near-duplicate removal ------------------------------------------------
+K = CFG.num_perm
+R = CFG.rows_per_band
+DEDUP_IN = """
+dedup_in AS (SELECT uuid, article, cc_date, site FROM filtered)"""
+SIGS = f"""
+hx AS (SELECT uuid, hex(encode(article)) AS hx FROM dedup_in),
+sh AS (SELECT uuid, unnest(list_transform(range(0, length(hx) // 2 - {CFG.char_ngram - 1}),
+                                           lambda i: substr(hx, 2 * i + 1, {2 * CFG.char_ngram}))) AS g
+       FROM hx WHERE length(hx) // 2 >= {CFG.char_ngram}),
+hs AS (SELECT uuid, CAST('0x' || substr(md5(unhex(g)), 1, 8) AS BIGINT) AS h FROM sh),
+mins AS (SELECT uuid, CAST(h % {K} AS INTEGER) AS slot, min(h) AS h FROM hs GROUP BY ALL),
+firsts AS (SELECT uuid, min(slot) AS k_first, arg_min(h, slot) AS h_first, count(*) AS n_slots
+           FROM mins GROUP BY uuid),
+grid AS (SELECT f.uuid, t.j, m.h, CASE WHEN m.h IS NOT NULL THEN t.j END AS ks
+         FROM firsts f CROSS JOIN range(0, {K}) t(j)
+         LEFT JOIN mins m ON m.uuid = f.uuid AND m.slot = t.j),
+nexts AS (SELECT uuid, j,
+                 first_value(ks IGNORE NULLS) OVER w AS k_next,
+                 first_value(h IGNORE NULLS) OVER w AS h_next
+          FROM grid
+          WINDOW w AS (PARTITION BY uuid ORDER BY j ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+filled AS (SELECT n.uuid, n.j,
+                  CASE WHEN k_next IS NOT NULL THEN h_next + (k_next - n.j) * 4294967296
+                       ELSE h_first + (k_first + {K} - n.j) * 4294967296 END AS v
+           FROM nexts n JOIN firsts f USING (uuid)),
+sigs AS (SELECT uuid, list(v ORDER BY j) AS sig FROM filled GROUP BY uuid),
+bands AS (SELECT uuid, b AS band, list_slice(sig, b * {R} + 1, b * {R} + {R}) AS bkey
+          FROM sigs CROSS JOIN range(0, {CFG.num_bands}) t(b))"""
+
+LOSERS = f"""
+pairs AS (SELECT DISTINCT x.uuid AS ux, y.uuid AS uy
+          FROM bands x JOIN bands y ON x.band = y.band AND x.bkey = y.bkey AND x.uuid <> y.uuid),
+losers AS (SELECT DISTINCT p.ux AS uuid
+           FROM pairs p
+           JOIN sigs sx ON sx.uuid = p.ux JOIN sigs sy ON sy.uuid = p.uy
+           JOIN dedup_in mx ON mx.uuid = p.ux JOIN dedup_in my ON my.uuid = p.uy
+           WHERE (my.cc_date > mx.cc_date OR (my.cc_date = mx.cc_date AND my.uuid > mx.uuid))
+             AND list_sum(list_transform(range(1, {K + 1}),
+                          lambda i: CASE WHEN sx.sig[i] = sy.sig[i] THEN 1 ELSE 0 END)) >= {CFG.min_agree})"""
+
+
+def split_sql(src: str) -> str:
+    tp = round(CFG.train_size * 1000)
+    vp = round((CFG.train_size + CFG.valid_size) * 1000)
+    return f"""
+ranked AS (SELECT uuid, site,
+                  row_number() OVER (PARTITION BY site ORDER BY md5('{CFG.split_seed}' || uuid), uuid) AS rank,
+                  count(*) OVER (PARTITION BY site) AS n
+           FROM {src})
+SELECT uuid, site, CASE WHEN rank <= (n * {tp}) // 1000 THEN 'train'
+                        WHEN rank <= (n * {vp}) // 1000 THEN 'valid' ELSE 'test' END AS split, rank
+FROM ranked"""
+
+
+ORACLE["d11_exact_duplicates"] = with_(ARTICLES, STATS, FILTERED, DEDUP_IN) + """,
+best AS (SELECT sha256(article) AS th, max({'d': cc_date, 'u': uuid}) AS b FROM dedup_in GROUP BY 1)
+SELECT d.uuid, best.b['u'] AS kept_uuid
+FROM dedup_in d JOIN best ON sha256(d.article) = best.th
+WHERE d.uuid <> best.b['u']"""
+ORACLE["d2_minhash_signatures"] = with_(ARTICLES, STATS, FILTERED, DEDUP_IN, SIGS) + """
+SELECT s.uuid, s.sig, f.n_slots FROM sigs s JOIN firsts f USING (uuid)
+WHERE s.uuid IN (SELECT uuid FROM dedup_in)"""
+ORACLE["d3_lsh_shared_buckets"] = with_(ARTICLES, STATS, FILTERED, DEDUP_IN, SIGS) + """,
+per AS (SELECT band, bkey, count(*) AS size FROM bands GROUP BY band, bkey HAVING count(*) > 1)
+SELECT CAST(band AS INTEGER) AS band, count(*) AS n_buckets, CAST(sum(size) AS BIGINT) AS n_members
+FROM per GROUP BY band"""
+ORACLE["d6_near_duplicate_losers"] = with_(ARTICLES, STATS, FILTERED, DEDUP_IN, SIGS, LOSERS) + """
+SELECT uuid FROM losers"""
+ORACLE["d9_split_assignment"] = with_(ARTICLES, STATS, FILTERED, DEDUP_IN) + "," + split_sql("dedup_in")
+ORACLE["d10_dedup_split"] = with_(ARTICLES, STATS, FILTERED, DEDUP_IN, SIGS, LOSERS) + "," + split_sql(
+    "(SELECT * FROM dedup_in WHERE uuid NOT IN (SELECT uuid FROM losers))").replace(
+    "'test' END AS split, rank", "'test' END AS split")

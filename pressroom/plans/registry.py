@@ -140,3 +140,50 @@ def _s4(spark, sf):
 @register("s4_site_selection_exact")
 def _s4e(spark, sf):
     return corpus.site_selection(spark, sf, "src1,src2", exact=True)
+
+
+# ---- near-duplicate removal and split (D*) ---------------------------------
+from pressroom.operators import dedup as D  # noqa: E402
+from pressroom.operators import minhash as M  # noqa: E402
+from pressroom.operators import split as S  # noqa: E402
+from pressroom.plans import dedup as DP  # noqa: E402
+
+
+def _dedup_input(spark, sf):
+    """The dedup stage reads cleaned articles (C1 + C2 here)."""
+    return corpus.length_word_filtered(spark, sf).select("uuid", "article", "cc_date", "site", "domain")
+
+
+@register("d11_exact_duplicates")
+def _d11(spark, sf):
+    ex = D.exact_duplicates(_dedup_input(spark, sf))
+    return ex.where(~F.col("is_kept")).select("uuid", "kept_uuid")
+
+
+@register("d2_minhash_signatures")
+def _d2(spark, sf):
+    return M.signatures(_dedup_input(spark, sf))
+
+
+@register("d3_lsh_shared_buckets")
+def _d3(spark, sf):
+    b = M.bands(M.signatures(_dedup_input(spark, sf)))
+    per = b.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
+    return per.groupBy("band").agg(F.count(F.lit(1)).alias("n_buckets"),
+                                   F.sum("size").cast("long").alias("n_members"))
+
+
+@register("d6_near_duplicate_losers")
+def _d6(spark, sf):
+    return D.near_duplicate_losers(_dedup_input(spark, sf)).select("uuid")
+
+
+@register("d9_split_assignment")
+def _d9(spark, sf):
+    a = _dedup_input(spark, sf)
+    return S.assign_split(a).select("uuid", "site", "split", "rank")
+
+
+@register("d10_dedup_split")
+def _d10(spark, sf):
+    return DP.deduplicate(_dedup_input(spark, sf)).select("uuid", "site", "split")
