@@ -33,13 +33,15 @@ def shingle_hash(shingle: Column) -> Column:
     return F.conv(F.substring(F.md5(shingle), 1, 8), 16, 10).cast("long")
 
 
-def shingle_hashes(text: Column, n: int = 9) -> Column:
-    """Array of hashes of all ``n``-byte windows of the UTF-8 text (D1 + hash).
-
-    Built inside one ``transform`` so that the exploded rows carry only a
-    bigint, not a copy of the text.  Texts shorter than ``n`` bytes give null.
+def shingle_hashes(b: Column, n: int = 9) -> Column:
+    """Array of hashes of all ``n``-byte windows of the binary column ``b``
+    (D1 + hash).
+
+    ``b`` must be a *column reference* (the UTF-8 bytes materialised by a
+    projection): an expression here would be re-evaluated inside the lambda
+    for every shingle.  Built inside one ``transform`` so the exploded rows
+    carry only a bigint, not a copy of the text.  Shorter inputs give null.
     """
-    b = F.encode(text, "UTF-8")
     nb = F.octet_length(b)
     seq = F.sequence(F.lit(1), nb - (n - 1))
     return F.when(nb >= n, F.transform(seq, lambda i: shingle_hash(F.substring(b, i, F.lit(n)))))
@@ -49,8 +51,8 @@ def slot_minima(df: DataFrame, id_col: str = "uuid", text_col: str = "article",
                 cfg: Config = DEFAULT) -> DataFrame:
     """(id, slot, h): minimum hash per non-empty slot."""
     k = cfg.num_perm
-    hs = df.select(F.col(id_col).alias("id"),
-                   F.explode(shingle_hashes(F.col(text_col), cfg.char_ngram)).alias("h"))
+    enc = df.select(F.col(id_col).alias("id"), F.encode(F.col(text_col), "UTF-8").alias("_b"))
+    hs = enc.select("id", F.explode(shingle_hashes(F.col("_b"), cfg.char_ngram)).alias("h"))
     return (hs.groupBy("id", F.pmod(F.col("h"), F.lit(k)).cast("int").alias("slot"))
             .agg(F.min("h").alias("h")))
 

@@ -212,3 +212,34 @@ ORACLE["d9_split_assignment"] = with_(ARTICLES, STATS, FILTERED, DEDUP_IN) + ","
 ORACLE["d10_dedup_split"] = with_(ARTICLES, STATS, FILTERED, DEDUP_IN, SIGS, LOSERS) + "," + split_sql(
     "(SELECT * FROM dedup_in WHERE uuid NOT IN (SELECT uuid FROM losers))").replace(
     "'test' END AS split, rank", "'test' END AS split")
+
+# --- URL and index operators -----------------------------------------------
+from pressroom.functions.urls import BAD_URL_RULES, PUBLIC_SUFFIXES, blocklist_pattern  # noqa: E402
+
+BINDING_URL_RULES = (r"m\..*", r"blog\..*\?.*", r".*\.example\.net/en/1.*")
+ORACLE["u1_url_blocklist_reference_rules"] = f"""
+SELECT page_id, url FROM pages WHERE NOT regexp_matches(url, '{blocklist_pattern(BAD_URL_RULES)}')"""
+ORACLE["u1_url_blocklist_binding_rules"] = f"""
+SELECT page_id, url FROM pages WHERE NOT regexp_matches(url, '{blocklist_pattern(BINDING_URL_RULES)}')"""
+_KNOWN = "[" + ", ".join(f"'{s}'" for s in PUBLIC_SUFFIXES) + "]"
+ORACLE["u2_u3_domain_and_site"] = f"""
+WITH h AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)) AS host FROM pages),
+l AS (SELECT page_id, host, string_split(host, '.') AS labels, len(string_split(host, '.')) AS n FROM h),
+k AS (SELECT *, coalesce(list_filter(range(n - 1, 0, -1),
+                  lambda k: list_contains({_KNOWN}, array_to_string(labels[n - k + 1:n], '.')))[1], 1) AS k FROM l),
+d AS (SELECT page_id, host, CASE WHEN n >= 2 THEN array_to_string(labels[n - k:n], '.') ELSE host END AS domain FROM k)
+SELECT page_id, host, domain, split_part(domain, '.', 1) AS site FROM d"""
+ORACLE["u6_crawl_timestamp_parse"] = """
+SELECT event_id, strptime(strftime(ts, '%Y-%m-%dT%H:%M:%SZ'), '%Y-%m-%dT%H:%M:%SZ') AS crawl_ts FROM events"""
+ORACLE["i1_mime_filter"] = """
+WITH m AS (SELECT page_id, CASE WHEN starts_with(lower(substr(ltrim(html), 1, 64)), '<!doctype html')
+                               OR starts_with(lower(substr(ltrim(html), 1, 64)), '<html')
+                          THEN 'text/html' ELSE 'text/plain' END AS mime FROM pages)
+SELECT page_id, mime FROM m WHERE mime IN ('text/html', 'application/xhtml+xml')"""
+ORACLE["i2_index_url_dedup"] = """
+WITH c AS (SELECT page_id, url, regexp_replace(url, '#.*$', '') AS nf FROM pages),
+s AS (SELECT *, regexp_replace(nf, '^[A-Za-z][A-Za-z0-9+.-]*://(www\\.)?', '') AS ns FROM c),
+k AS (SELECT page_id, url,
+             regexp_replace(lower(split_part(ns, '/', 1)) || regexp_replace(ns, '^[^/]*', ''), '/+$', '') AS canonical_url
+      FROM s)
+SELECT canonical_url, max(page_id) AS page_id, arg_max(url, page_id) AS url FROM k GROUP BY canonical_url"""

@@ -187,3 +187,47 @@ def _d9(spark, sf):
 @register("d10_dedup_split")
 def _d10(spark, sf):
     return DP.deduplicate(_dedup_input(spark, sf)).select("uuid", "site", "split")
+
+
+# ---- URL and crawl-index operators over pages (U*, I*) ---------------------
+from pressroom.functions import urls as U  # noqa: E402
+from pressroom.operators import index as I  # noqa: E402
+
+# Test binding for U1: the reference's rules name four news sites that the
+# driver's pages do not contain, so a second rule set of the same form
+# exercises the filter on the pages' own hosts.
+BINDING_URL_RULES = (r"m\..*", r"blog\..*\?.*", r".*\.example\.net/en/1.*")
+
+
+@register("u1_url_blocklist_reference_rules")
+def _u1(spark, sf):
+    return I.filter_blocked_urls(read_table(spark, sf, "pages")).select("page_id", "url")
+
+
+@register("u1_url_blocklist_binding_rules")
+def _u1b(spark, sf):
+    return I.filter_blocked_urls(read_table(spark, sf, "pages"), BINDING_URL_RULES).select("page_id", "url")
+
+
+@register("u2_u3_domain_and_site")
+def _u2(spark, sf):
+    p = I.with_domain_and_site(read_table(spark, sf, "pages"))
+    return p.select("page_id", U.host(F.col("url")).alias("host"), "domain", "site")
+
+
+@register("u6_crawl_timestamp_parse")
+def _u6(spark, sf):
+    e = read_table(spark, sf, "events")
+    return e.select("event_id", U.crawl_timestamp(F.date_format("ts", U.CRAWL_DATE_FORMAT)).alias("crawl_ts"))
+
+
+@register("i1_mime_filter")
+def _i1(spark, sf):
+    p = read_table(spark, sf, "pages").select("page_id", U.sniff_mime(F.col("html")).alias("mime"))
+    return I.filter_mime(p, I.allowed_mimes_table(spark))
+
+
+@register("i2_index_url_dedup")
+def _i2(spark, sf):
+    p = read_table(spark, sf, "pages").select("page_id", "url")
+    return I.dedup_index_urls(p).select("canonical_url", "page_id", "url")
