@@ -243,3 +243,110 @@ k AS (SELECT page_id, url,
              regexp_replace(lower(split_part(ns, '/', 1)) || regexp_replace(ns, '^[^/]*', ''), '/+$', '') AS canonical_url
       FROM s)
 SELECT canonical_url, max(page_id) AS page_id, arg_max(url, page_id) AS url FROM k GROUP BY canonical_url"""
+
+# --- HTML extraction -------------------------------------------------------
+from pressroom.operators.html import BLOCK, ENTITIES, VOID  # noqa: E402
+
+
+def _sql_list(xs) -> str:
+    return "(" + ", ".join(f"'{x}'" for x in xs) + ")"
+
+
+def _decode(col: str) -> str:
+    s = col
+    for ent, ch in ENTITIES:
+        q = ch.replace("'", "''")
+        s = f"replace({s}, '{ent}', '{q}')"
+    return s
+
+
+TOKENS = """
+masked AS (
+  SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html,
+           '(?s)<!--.*?-->', '', 'g'),
+           '(?is)<script\\b[^>]*>.*?</script\\s*>', '<script></script>', 'g'),
+           '(?is)<style\\b[^>]*>.*?</style\\s*>', '<style></style>', 'g') AS h
+  FROM {src}),
+toks AS (SELECT page_id, regexp_extract_all(h, '<[^>]*>|[^<]+') AS ts FROM masked),
+tk0 AS (SELECT page_id, unnest(ts) AS tok, unnest(range(len(ts))) AS pos FROM toks),
+tk AS (
+  SELECT page_id, pos, tok, name,
+         CASE WHEN starts_with(tok, '</') THEN 'close'
+              WHEN regexp_matches(tok, '^<[A-Za-z]') AND (name IN """ + _sql_list(VOID) + """
+                   OR regexp_matches(tok, '/\\s*>$')) THEN 'void'
+              WHEN regexp_matches(tok, '^<[A-Za-z]') THEN 'open'
+              WHEN starts_with(tok, '<') THEN 'other' ELSE 'text' END AS kind,
+         regexp_split_to_array(trim(regexp_extract(tok, '(?i)\\sclass\\s*=\\s*"([^"]*)"', 1)
+                                    || regexp_extract(tok, '(?i)\\sclass\\s*=\\s*''([^'']*)''', 1)), '\\s+') AS cls
+  FROM (SELECT *, lower(regexp_extract(tok, '^</?([A-Za-z][A-Za-z0-9-]*)', 1)) AS name FROM tk0))"""
+
+ORACLE["h1_token_counts"] = "WITH " + TOKENS.format(src="pages").strip() + """
+SELECT page_id, count(*) AS n_tokens, count_if(kind = 'open') AS n_open, count_if(kind = 'close') AS n_close,
+       count_if(kind = 'void') AS n_void, count_if(kind = 'text') AS n_text
+FROM tk GROUP BY page_id"""
+
+_PAGES = f"""
+pg AS (
+  SELECT page_id, url, html, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)) AS host,
+         TIMESTAMP '{CFG.crawl_epoch}' + to_days(CAST(page_id AS INTEGER)) AS cc_date
+  FROM pages WHERE NOT regexp_matches(url, '{{pattern}}')),
+lb AS (SELECT *, string_split(host, '.') AS labels, len(string_split(host, '.')) AS n FROM pg),
+kk AS (SELECT *, coalesce(list_filter(range(n - 1, 0, -1),
+          lambda k: list_contains({_KNOWN}, array_to_string(labels[n - k + 1:n], '.')))[1], 1) AS k FROM lb),
+pd AS (SELECT page_id, url, html, cc_date,
+              CASE WHEN n >= 2 THEN array_to_string(labels[n - k:n], '.') ELSE host END AS domain FROM kk),
+ps AS (SELECT *, split_part(domain, '.', 1) AS site FROM pd)"""
+
+_EXTRACT = TOKENS.format(src="(SELECT * FROM ps WHERE site = 'example')") + """,
+lv AS (
+  SELECT *, CASE WHEN kind = 'open' THEN depth WHEN kind = 'close' THEN depth + 1 END AS lvl
+  FROM (SELECT *, CASE WHEN kind IN ('open', 'close') THEN
+                     sum(CASE kind WHEN 'open' THEN 1 WHEN 'close' THEN -1 ELSE 0 END)
+                       OVER (PARTITION BY page_id, name ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+                  END AS depth
+        FROM tk)),
+rm AS (SELECT *, kind IN ('open', 'void') AND (name IN ('nav', 'footer')
+                 OR (name = 'div' AND list_contains(cls, 'ad'))) AS rm FROM lv),
+sp AS (
+  SELECT *,
+         CASE WHEN kind = 'open' AND lead(kind) OVER w = 'close' THEN lead(pos) OVER w END AS e,
+         kind = 'close' AND coalesce(lag(kind) OVER w = 'open' AND lag(rm) OVER w, false) AS rm_end
+  FROM rm WINDOW w AS (PARTITION BY page_id, name, lvl ORDER BY pos)),
+cv AS (
+  SELECT *, (sum(CASE WHEN rm AND kind = 'open' THEN 1 ELSE 0 END)
+               OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+             - coalesce(sum(CASE WHEN rm_end THEN 1 ELSE 0 END)
+               OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) > 0
+            AS removed
+  FROM sp),
+bd AS (
+  SELECT *, min({'p': pos, 'e': e}) FILTER (WHERE NOT removed AND kind = 'open' AND name = 'article')
+              OVER (PARTITION BY page_id) AS b
+  FROM cv),
+pc AS (
+  SELECT page_id, pos,
+         CASE WHEN kind = 'text' THEN regexp_replace(""" + _decode("tok") + """, '[ \\t\\r\\n\\f]+', ' ', 'g')
+              WHEN name = 'br' THEN chr(10)
+              WHEN kind IN ('open', 'close', 'void') AND name IN """ + _sql_list(BLOCK) + """ THEN chr(10) || chr(10)
+              ELSE '' END AS piece
+  FROM bd WHERE NOT removed AND b IS NOT NULL AND pos >= b.p AND (b.e IS NULL OR pos <= b.e)),
+bt AS (
+  SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+           string_agg(piece, '' ORDER BY pos),
+           '[ \\t]*\\n[ \\t]*', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' {2,}', ' ', 'g'),
+           '^[\\s\\x{a0}]+|[\\s\\x{a0}]+$', '', 'g') AS body
+  FROM pc GROUP BY page_id),
+ex AS (
+  SELECT ps.page_id, ps.url, ps.domain, ps.site, ps.cc_date, bt.body,
+         CASE WHEN ps.site NOT IN ('ac24', 'example', 'index', 'parlamentnilisty', 'telex') THEN 'unknown_site'
+              WHEN coalesce(trim(bt.body), '') = '' THEN 'missing_article' END AS reason
+  FROM ps LEFT JOIN bt USING (page_id))"""
+
+ORACLE["h12_extract_articles"] = "WITH " + _PAGES.format(pattern=blocklist_pattern(BAD_URL_RULES)).strip() \
+    + "," + _EXTRACT + """
+SELECT sha256(url || '|' || CAST(cc_date AS VARCHAR)) AS uuid, nfc_normalize(body) AS article, domain, url,
+       CAST(NULL AS TIMESTAMP) AS date_of_creation, cc_date, site
+FROM ex WHERE reason IS NULL"""
+ORACLE["k8_reject_reasons"] = "WITH " + _PAGES.format(pattern=blocklist_pattern(BINDING_URL_RULES)).strip() \
+    + "," + _EXTRACT + """
+SELECT coalesce(reason, 'ok') AS reason, count(*) AS n FROM ex GROUP BY 1"""

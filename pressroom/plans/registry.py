@@ -231,3 +231,33 @@ def _i1(spark, sf):
 def _i2(spark, sf):
     p = read_table(spark, sf, "pages").select("page_id", "url")
     return I.dedup_index_urls(p).select("canonical_url", "page_id", "url")
+
+
+# ---- HTML extraction (H*, K8) -----------------------------------------------
+from pressroom.operators import html as H  # noqa: E402
+from pressroom.plans import scrape  # noqa: E402
+
+
+@register("h1_token_counts")
+def _h1(spark, sf):
+    t = H.tokenize(read_table(spark, sf, "pages").select("page_id", "html"), keep=())
+    return t.groupBy("page_id").agg(
+        F.count(F.lit(1)).alias("n_tokens"),
+        F.count_if(F.col("kind") == "open").alias("n_open"),
+        F.count_if(F.col("kind") == "close").alias("n_close"),
+        F.count_if(F.col("kind") == "void").alias("n_void"),
+        F.count_if(F.col("kind") == "text").alias("n_text"))
+
+
+@register("h12_extract_articles")
+def _h12(spark, sf):
+    ex = scrape.extract(read_table(spark, sf, "pages"))
+    return scrape.articles(ex).select("uuid", "article", "domain", "url", "date_of_creation",
+                                      "cc_date", "site")
+
+
+@register("k8_reject_reasons")
+def _k8(spark, sf):
+    ex = scrape.extract(read_table(spark, sf, "pages"), url_rules=BINDING_URL_RULES)
+    return ex.groupBy(F.coalesce("reject_reason", F.lit("ok")).alias("reason")) \
+             .agg(F.count(F.lit(1)).alias("n"))
