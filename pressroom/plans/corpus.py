@@ -80,3 +80,26 @@ def raw_vs_clean(spark: SparkSession, sf_dir: str, value: str, cfg: Config = DEF
     raw = articles_with_stats(spark, sf_dir, cfg)
     clean = C.filter_words(C.filter_length(raw, cfg), cfg)
     return G.stage_compare({"raw": raw, "clean": clean}, value, "domain")
+
+
+def language_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train on the labelled documents, identify every article."""
+    from pressroom.operators import langid as L
+    a = articles_from_documents(spark, sf_dir)
+    profile, langs = L.train(a, "article", "lang")
+    return L.identify(a, profile, langs, "uuid", "article", "language")
+
+
+def clean(spark: SparkSession, sf_dir: str, cfg: Config = DOCS_CFG) -> DataFrame:
+    """C1 -> C2 -> C3 -> C4 -> drop helper columns.
+
+    Language identification runs only on rows that passed the cheap filters
+    (the reference's order), joined back on uuid.
+    """
+    from pressroom.operators import langid as L
+    a = articles_from_documents(spark, sf_dir, cfg)
+    profile, langs = L.train(a, "article", "lang")
+    kept = C.filter_words(C.filter_length(C.with_text_stats(a), cfg), cfg)
+    lid = L.identify(kept, profile, langs, "uuid", "article", "language")
+    out = L.filter_languages(kept.join(lid, "uuid"), cfg.allowed_languages)
+    return out.drop("language", "word_count", "article_length")

@@ -350,3 +350,38 @@ FROM ex WHERE reason IS NULL"""
 ORACLE["k8_reject_reasons"] = "WITH " + _PAGES.format(pattern=blocklist_pattern(BINDING_URL_RULES)).strip() \
     + "," + _EXTRACT + """
 SELECT coalesce(reason, 'ok') AS reason, count(*) AS n FROM ex GROUP BY 1"""
+
+# --- language identification -------------------------------------------------
+LANG_MODEL = """
+lw AS (SELECT lang, unnest(regexp_extract_all(lower(replace(article, chr(10), ' ')), '\\pL+')) AS word
+       FROM articles WHERE lang IS NOT NULL),
+lcounts AS (SELECT lang, word, count(*) AS c FROM lw GROUP BY ALL),
+lv AS (SELECT count(DISTINCT word) AS v FROM lcounts),
+ln_ AS (SELECT count(*) AS n FROM articles WHERE lang IS NOT NULL),
+ltotals AS (SELECT lang, sum(c) AS t FROM lcounts GROUP BY lang),
+ldocs AS (SELECT lang, count(*) AS nd FROM articles WHERE lang IS NOT NULL GROUP BY lang),
+langs AS (SELECT t.lang, t.t, CAST(round(ln(1.0 / (t.t + lv.v)) * 1000) AS BIGINT) AS unseen,
+                 CAST(round(ln(d.nd / ln_.n) * 1000) AS BIGINT) AS prior
+          FROM ltotals t JOIN ldocs d USING (lang) CROSS JOIN lv CROSS JOIN ln_),
+profile AS (SELECT c.word, c.lang,
+                   CAST(round(ln((c.c + 1.0) / (l.t + lv.v)) * 1000) AS BIGINT) - l.unseen AS gain
+            FROM lcounts c JOIN langs l USING (lang) CROSS JOIN lv)"""
+
+
+def lang_scores(src: str) -> str:
+    return f"""
+dw AS (SELECT uuid, unnest(regexp_extract_all(lower(replace(article, chr(10), ' ')), '\\pL+')) AS word FROM {src}),
+pw AS (SELECT uuid, word, count(*) AS k FROM dw GROUP BY ALL),
+nw AS (SELECT uuid, sum(k) AS n FROM pw GROUP BY uuid),
+gains AS (SELECT uuid, lang, sum(k * gain) AS g FROM pw JOIN profile USING (word) GROUP BY ALL),
+scores AS (SELECT nw.uuid, l.lang, nw.n * l.unseen + l.prior + coalesce(g.g, 0) AS score
+           FROM nw CROSS JOIN langs l LEFT JOIN gains g ON g.uuid = nw.uuid AND g.lang = l.lang),
+lid AS (SELECT uuid, lang AS language FROM (
+          SELECT *, row_number() OVER (PARTITION BY uuid ORDER BY score DESC, lang) AS rn FROM scores)
+        WHERE rn = 1)"""
+
+
+ORACLE["c3_language_id"] = with_(ARTICLES, LANG_MODEL, lang_scores("articles")) + """
+SELECT uuid, language FROM lid"""
+ORACLE["c6_clean_pipeline"] = with_(ARTICLES, STATS, FILTERED, LANG_MODEL, lang_scores("filtered")) + """
+SELECT f.uuid, f.site, f.lang FROM filtered f JOIN lid USING (uuid) WHERE lid.language IN ('fr', 'de')"""

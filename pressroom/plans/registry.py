@@ -261,3 +261,15 @@ def _k8(spark, sf):
     ex = scrape.extract(read_table(spark, sf, "pages"), url_rules=BINDING_URL_RULES)
     return ex.groupBy(F.coalesce("reject_reason", F.lit("ok")).alias("reason")) \
              .agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- language identification and the clean pipeline (C3, C4, C6) ----------
+
+@register("c3_language_id")
+def _c3(spark, sf):
+    return corpus.language_ids(spark, sf)
+
+
+@register("c6_clean_pipeline")
+def _c6(spark, sf):
+    return corpus.clean(spark, sf).select("uuid", "site", "lang")
