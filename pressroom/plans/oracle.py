@@ -385,3 +385,100 @@ ORACLE["c3_language_id"] = with_(ARTICLES, LANG_MODEL, lang_scores("articles"))
 SELECT uuid, language FROM lid"""
 ORACLE["c6_clean_pipeline"] = with_(ARTICLES, STATS, FILTERED, LANG_MODEL, lang_scores("filtered")) + """
 SELECT f.uuid, f.site, f.lang FROM filtered f JOIN lid USING (uuid) WHERE lid.language IN ('fr', 'de')"""
+
+# --- ROUGE -------------------------------------------------------------------
+PAIRS = """
+pairs AS (SELECT CAST(g.conv_id AS VARCHAR) || '_' || CAST(g.turn AS VARCHAR) AS uuid,
+                 g.text AS generated, r.text AS article
+          FROM conversations g JOIN conversations r ON r.conv_id = g.conv_id AND r.turn + 1 = g.turn)"""
+
+
+def rouge_n_sql(n: int, tok_re: str = "[\\pL\\pN]+") -> str:
+    def grams(col):
+        t = f"regexp_extract_all(lower({col}), '{tok_re}')"
+        if n == 1:
+            return t
+        return (f"CASE WHEN len({t}) >= {n} THEN list_transform(range(0, len({t}) - {n - 1}), "
+                f"lambda i: array_to_string({t}[i + 1:i + {n}], ' ')) ELSE [] END")
+    p = f"rouge{n}"
+    return f""",
+g AS (SELECT uuid, {grams('generated')} AS gp, {grams('article')} AS gr FROM pairs),
+side AS (SELECT uuid, unnest(gp) AS gram, 1 AS p, 0 AS r FROM g
+         UNION ALL SELECT uuid, unnest(gr) AS gram, 0 AS p, 1 AS r FROM g),
+pg AS (SELECT uuid, gram, sum(p) AS cp, sum(r) AS cr FROM side GROUP BY ALL),
+ov AS (SELECT uuid, sum(least(cp, cr)) AS overlap FROM pg GROUP BY uuid),
+j AS (SELECT g.uuid, CAST(coalesce(ov.overlap, 0) AS DOUBLE) AS overlap, len(gp) AS n_pred, len(gr) AS n_ref
+      FROM g LEFT JOIN ov USING (uuid)),
+prf AS (SELECT uuid, overlap / greatest(n_pred, 1) AS p, overlap / greatest(n_ref, 1) AS r FROM j)
+SELECT uuid, round(p, 6) AS {p}_precision, round(r, 6) AS {p}_recall,
+       round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) AS {p}_fmeasure
+FROM prf"""
+
+
+ORACLE["r1_prediction_pairs"] = with_(PAIRS) + " SELECT uuid, generated, article FROM pairs"
+ORACLE["r2_rouge1_per_pair"] = with_(PAIRS) + rouge_n_sql(1)
+ORACLE["r3_rouge2_per_pair"] = with_(PAIRS) + rouge_n_sql(2)
+ORACLE["r3_rouge2_per_pair_ascii"] = with_(PAIRS) + rouge_n_sql(2, "[a-z0-9]+")
+
+
+def _means(name: str, sql: str) -> str:
+    cols = [f"{name}_precision", f"{name}_recall", f"{name}_fmeasure"]
+    body = sql.replace("round(p, 6)", "p").replace("round(r, 6)", "r").replace(
+        "round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6)",
+        "CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END")
+    return body, cols
+
+
+_b1, _c1 = _means("rouge1", rouge_n_sql(1))
+_b2, _c2 = _means("rouge2", rouge_n_sql(2))
+ORACLE["r5_rouge_n_corpus"] = with_(PAIRS) + """,
+s1 AS (""" + with_(PAIRS).replace("WITH", "WITH", 1) + _b1 + """),
+s2 AS (""" + with_(PAIRS) + _b2 + """)
+SELECT """ + ", ".join(f"round(avg(s1.{c}), 4) AS {c}" for c in _c1) + ", " + \
+    ", ".join(f"round(avg(s2.{c}), 4) AS {c}" for c in _c2) + """
+FROM s1 JOIN s2 USING (uuid)"""
+
+# --- training examples -----------------------------------------------------------
+_V = CFG.vocab_size - 5
+_L = CFG.max_seq_len
+EXAMPLES = """
+examples AS (
+  SELECT CASE WHEN regexp_extract(article, '(?s)^\\s*(.*?[.!?])(\\s|$)', 1) <> ''
+              THEN regexp_extract(article, '(?s)^\\s*(.*?[.!?])(\\s|$)', 1) ELSE trim(article) END AS input,
+         article, uuid
+  FROM filtered
+  WHERE article IS NOT NULL AND uuid IS NOT NULL)"""
+WORD_SQL = "regexp_extract_all(lower({c}), '[\\pL\\pN]+|[^\\pL\\pN\\s]')"
+VOCAB = f"""
+vw AS (SELECT unnest({WORD_SQL.format(c='article')}) AS word FROM examples),
+vocab AS (SELECT word, CAST(row_number() OVER (ORDER BY n DESC, word) + 4 AS INTEGER) AS id
+          FROM (SELECT word, count(*) AS n FROM vw GROUP BY word ORDER BY n DESC, word LIMIT {_V}))"""
+
+
+def _enc(col: str, name: str) -> str:
+    w = WORD_SQL.format(c=col)
+    return f"""
+{name}_t AS (SELECT uuid, unnest({w}) AS word, unnest(range(len({w}))) AS pos FROM examples),
+{name}_s AS (SELECT t.uuid, list(CAST(coalesce(v.id, 1) AS INTEGER) ORDER BY t.pos) AS s
+             FROM {name}_t t LEFT JOIN vocab v USING (word) WHERE t.pos < {_L - 2} GROUP BY t.uuid),
+{name} AS (SELECT e.uuid, list_concat(list_concat([2], coalesce(s.s, []), [3]),
+                        list_transform(range({_L} - 2 - len(coalesce(s.s, []))), lambda i: 0))::INTEGER[] AS ids
+           FROM examples e LEFT JOIN {name}_s s USING (uuid))"""
+
+
+ENCODED = _enc("input", "enc_in") + "," + _enc("article", "enc_out") + """,
+encoded AS (
+  SELECT i.uuid, i.ids AS input_ids,
+         list_transform(i.ids, lambda x: CASE WHEN x <> 0 THEN 1 ELSE 0 END)::INTEGER[] AS attention_mask,
+         list_transform(o.ids, lambda x: CASE WHEN x <> 0 THEN 1 ELSE 0 END)::INTEGER[] AS decoder_attention_mask,
+         list_transform(o.ids, lambda x: CASE WHEN x = 0 THEN -100 ELSE x END)::INTEGER[] AS labels
+  FROM enc_in i JOIN enc_out o USING (uuid))"""
+
+ORACLE["e1_load_examples"] = with_(ARTICLES, STATS, FILTERED, EXAMPLES) + " SELECT input, article, uuid FROM examples"
+ORACLE["e2_e6_encode_examples"] = with_(ARTICLES, STATS, FILTERED, EXAMPLES, VOCAB, ENCODED) + """
+SELECT uuid, input_ids, attention_mask, decoder_attention_mask, labels FROM encoded"""
+ORACLE["e7_e8_decode_labels"] = with_(ARTICLES, STATS, FILTERED, EXAMPLES, VOCAB, ENCODED) + """,
+dl AS (SELECT uuid, unnest(labels) AS id, unnest(range(len(labels))) AS pos FROM encoded),
+dw AS (SELECT d.uuid, string_agg(v.word, ' ' ORDER BY d.pos) AS txt
+       FROM dl d LEFT JOIN vocab v USING (id) WHERE d.id >= 5 GROUP BY d.uuid)
+SELECT e.uuid, coalesce(trim(dw.txt), '') AS generated FROM encoded e LEFT JOIN dw USING (uuid)"""

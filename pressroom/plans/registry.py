@@ -273,3 +273,72 @@ def _c3(spark, sf):
 @register("c6_clean_pipeline")
 def _c6(spark, sf):
     return corpus.clean(spark, sf).select("uuid", "site", "lang")
+
+
+# ---- ROUGE (R*) and training examples (E*) ----------------------------------
+from pressroom.operators import encode as EN  # noqa: E402
+from pressroom.operators import rouge as R  # noqa: E402
+from pressroom.sources.tables import prediction_pairs  # noqa: E402
+
+
+def _round6(df, keep):
+    return df.select(*keep, *[F.round(c, 6).alias(c) for c in df.columns if c not in keep])
+
+
+@register("r1_prediction_pairs")
+def _r1(spark, sf):
+    return prediction_pairs(spark, sf)
+
+
+@register("r2_rouge1_per_pair")
+def _r2(spark, sf):
+    return _round6(R.rouge_n(prediction_pairs(spark, sf), 1), ["uuid"])
+
+
+@register("r3_rouge2_per_pair")
+def _r3(spark, sf):
+    return _round6(R.rouge_n(prediction_pairs(spark, sf), 2), ["uuid"])
+
+
+@register("r3_rouge2_per_pair_ascii")
+def _r3a(spark, sf):
+    return _round6(R.rouge_n(prediction_pairs(spark, sf), 2, ascii=True), ["uuid"])
+
+
+@register("r4_rougeL_per_pair")
+def _r4(spark, sf):
+    return _round6(R.rouge_l(prediction_pairs(spark, sf)), ["uuid"])
+
+
+@register("r5_rouge_n_corpus")
+def _r5(spark, sf):
+    return R.corpus_scores(R.rouge_scores(prediction_pairs(spark, sf), with_l=False))
+
+
+@register("r5_rouge_all_corpus")
+def _r5all(spark, sf):
+    return R.corpus_scores(R.rouge_scores(prediction_pairs(spark, sf), with_l=True))
+
+
+def _examples(spark, sf):
+    return EN.load_examples(corpus.length_word_filtered(spark, sf))
+
+
+@register("e1_load_examples")
+def _e1(spark, sf):
+    return _examples(spark, sf)
+
+
+@register("e2_e6_encode_examples")
+def _e2(spark, sf):
+    ex = _examples(spark, sf)
+    vocab = EN.build_vocab(ex, ["article"])
+    return EN.encode(ex, vocab)
+
+
+@register("e7_e8_decode_labels")
+def _e8(spark, sf):
+    ex = _examples(spark, sf)
+    vocab = EN.build_vocab(ex, ["article"])
+    enc = EN.encode(ex, vocab)
+    return EN.decode(enc, "labels", vocab)
