@@ -94,3 +94,39 @@ def to_timestamp_column(s: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(s, F.lit("yyyy-MM-dd'T'HH:mm:ss")),
                       F.try_to_timestamp(s, F.lit("yyyy-MM-dd HH:mm:ss")),
                       F.try_to_timestamp(s, F.lit("yyyy-MM-dd"))).cast("timestamp_ntz")
+
+
+# ---------------------------------------------------------------------------
+# Month names as they are written in dates (Hungarian
+# nominative, Czech and Slovak genitive), used to render test date strings.
+# ---------------------------------------------------------------------------
+DATE_MONTH_NAMES = {
+    "hu": ("január", "február", "március", "április", "május", "június",
+           "július", "augusztus", "szeptember", "október", "november", "december"),
+    "cs": ("ledna", "února", "března", "dubna", "května", "června",
+           "července", "srpna", "září", "října", "listopadu", "prosince"),
+    "sk": ("januára", "februára", "marca", "apríla", "mája", "júna",
+           "júla", "augusta", "septembra", "októbra", "novembra", "decembra"),
+}
+
+
+def render_date(ts: Column, layout: str) -> Column:
+    """Write a timestamp the way a news site of ``layout`` does (inverse of T6)."""
+    m = F.month(ts)
+    if layout in DATE_MONTH_NAMES:
+        name = F.element_at(F.array(*[F.lit(x) for x in DATE_MONTH_NAMES[layout]]), m)
+        if layout == "hu":
+            return F.concat(F.date_format(ts, "yyyy. "), name, F.date_format(ts, " d. HH:mm"))
+        if layout == "cs":
+            return F.concat(F.date_format(ts, "d. "), name, F.date_format(ts, " yyyy HH:mm"))
+        return F.concat(F.date_format(ts, "d. "), name, F.date_format(ts, " yyyy, HH:mm"))
+    if layout == "en":
+        return F.date_format(ts, "MMMM d, yyyy HH:mm")
+    if layout == "iso":
+        return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+    if layout == "numeric":
+        return F.date_format(ts, "dd.MM.yyyy HH:mm")
+    raise ValueError(layout)
+
+
+RENDER_LAYOUTS = ("hu", "cs", "sk", "en", "iso", "numeric")

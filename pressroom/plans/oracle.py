@@ -482,3 +482,14 @@ dl AS (SELECT uuid, unnest(labels) AS id, unnest(range(len(labels))) AS pos FROM
 dw AS (SELECT d.uuid, string_agg(v.word, ' ' ORDER BY d.pos) AS txt
        FROM dl d LEFT JOIN vocab v USING (id) WHERE d.id >= 5 GROUP BY d.uuid)
 SELECT e.uuid, coalesce(trim(dw.txt), '') AS generated FROM encoded e LEFT JOIN dw USING (uuid)"""
+
+# --- files, streaming, dates -------------------------------------------------------
+ORACLE["s2_k1_articles_jsonl_roundtrip"] = with_(ARTICLES) + """
+SELECT uuid, article, domain, url, date_of_creation, cc_date, site FROM articles"""
+ORACLE["st_streaming_extract"] = ORACLE["h12_extract_articles"]
+ORACLE["t6_human_date_parse"] = """
+SELECT event_id, layout, CASE WHEN layout = 'iso' THEN date_trunc('second', ts)
+                              ELSE date_trunc('minute', ts) END AS parsed
+FROM events CROSS JOIN (VALUES ('hu'), ('cs'), ('sk'), ('en'), ('iso'), ('numeric')) l(layout)"""
+ORACLE["t9_t12_iso_roundtrip"] = """
+SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso, date_trunc('second', ts) AS back FROM events"""

@@ -342,3 +342,56 @@ def _e8(spark, sf):
     vocab = EN.build_vocab(ex, ["article"])
     enc = EN.encode(ex, vocab)
     return EN.decode(enc, "labels", vocab)
+
+
+# ---- files, streaming, dates (S*, K1, T6, T9, T12) --------------------------
+import uuid as _uuid  # noqa: E402
+
+from pressroom.functions import dates as DT  # noqa: E402
+from pressroom.session import ensure_checkpoint_dir  # noqa: E402
+from pressroom.sinks import writers as W  # noqa: E402
+from pressroom.sources import files as FS  # noqa: E402
+
+
+def _scratch(spark, tag):
+    """A fresh folder under the shared checkpoint folder (never machine-local)."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{tag}-{_uuid.uuid4().hex}"
+
+
+@register("s2_k1_articles_jsonl_roundtrip")
+def _s2(spark, sf):
+    path = _scratch(spark, "articles")
+    a = articles_from_documents(spark, sf, with_lang=False)
+    W.append_articles(a, path)
+    W.append_articles(a, path)  # a rerun appends nothing
+    return FS.read_articles(spark, path).select("uuid", "article", "domain", "url", "date_of_creation",
+                                                "cc_date", "site")
+
+
+@register("st_streaming_extract")
+def _st(spark, sf):
+    from pressroom.streaming.extract import start_extract_stream
+    out, ck = _scratch(spark, "stream-out"), _scratch(spark, "stream-ck")
+    # a glob, because the file source watches a directory
+    q = start_extract_stream(spark, f"{sf.rstrip('/')}/pages.parque[t]", out, ck)
+    q.awaitTermination()
+    return FS.read_articles(spark, out).select("uuid", "article", "domain", "url", "date_of_creation",
+                                               "cc_date", "site")
+
+
+@register("t6_human_date_parse")
+def _t6(spark, sf):
+    e = read_table(spark, sf, "events").select("event_id", "ts")
+    parts = [e.select("event_id", F.lit(l).alias("layout"), DT.render_date(F.col("ts"), l).alias("text"))
+             for l in DT.RENDER_LAYOUTS]
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p)
+    return u.select("event_id", "layout", DT.parse_human_date(F.col("text")).alias("parsed"))
+
+
+@register("t9_t12_iso_roundtrip")
+def _t9(spark, sf):
+    e = read_table(spark, sf, "events").select("event_id", "ts")
+    iso = DT.iso_text(F.col("ts"))
+    return e.select("event_id", iso.alias("iso"), DT.to_timestamp_column(iso).alias("back"))
