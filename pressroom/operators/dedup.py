@@ -11,7 +11,8 @@ Plan, without emitting all pairs of a bucket:
 1. D11 exact copies: identical texts have identical signatures, so every
    copy but the newest loses to the newest.  ``max(struct(date, uuid))`` per
    text hash is a partially aggregated group-by, safe when one text is a
-   third of the corpus; only the survivors are hashed further.
+   third of the corpus.  The text hash rides along with the signature scan,
+   and copies are dropped before banding, so they never fill a bucket.
 2. D3 bands -> per bucket its newest member (the *leader*), again a
    partially aggregated ``max``.
 3. Round 1: each non-leader member is verified against its bucket leader
@@ -57,20 +58,41 @@ def _verify(pairs: DataFrame, sigs: DataFrame, id_col: str, cfg: Config) -> Data
     return j.where(M.agreement(F.col("sx"), F.col("sy")) >= cfg.min_agree).select("x", "y")
 
 
+def keyed_signatures(df: DataFrame, text_col: str = "article", id_col: str = "uuid",
+                     date_col: str = "cc_date", cfg: Config = DEFAULT, materialize: bool = True) -> DataFrame:
+    """(uuid, ord, best, sig): signatures with the D6 order key and, per exact
+    text, the order key of its newest copy (D11).
+
+    The text is read once: shingling, the text hash and the order key come
+    from the same scan, and only the narrow signature rows are shuffled.  The
+    result feeds four consumers (copies, bands, two verification rounds), so
+    it is checkpointed to the shared checkpoint folder: reliable storage that
+    survives executor loss and cuts the lineage back to the text.
+    """
+    base = df.select(id_col, text_col, F.sha2(F.col(text_col), 256).alias("_th"),
+                     order_key(date_col, id_col).alias("ord"))
+    sigs = M.signatures(base, id_col, text_col, cfg, carry=("_th", "ord"))
+    best = sigs.groupBy("_th").agg(F.max("ord").alias("best"))   # partial agg: a hot text folds map-side
+    out = sigs.join(best, "_th").select(id_col, "ord", "best", "sig")
+    if materialize:
+        from pressroom.session import cut_lineage
+        out = cut_lineage(out)
+    return out
+
+
 def near_duplicate_losers(df: DataFrame, text_col: str = "article", id_col: str = "uuid",
-                          date_col: str = "cc_date", cfg: Config = DEFAULT) -> DataFrame:
-    """(uuid, winner) for every document that loses a verified pair.
+                          date_col: str = "cc_date", cfg: Config = DEFAULT,
+                          materialize: bool = True) -> DataFrame:
+    """D4-D6 + D11: (uuid, winner) for every document that loses a verified pair.
 
-    ``winner`` is one newer document it loses to (the first found).
+    ``winner`` is one newer document it loses to.
     """
-    ex = exact_duplicates(df, text_col, id_col, date_col)
-    copy_losers = ex.where(~F.col("is_kept")).select(F.col(id_col), F.col("kept_uuid").alias("winner"))
-    reps = (df.join(ex.where(F.col("is_kept")).select(id_col), id_col, "left_semi")
-            .select(id_col, text_col, date_col))
-
-    sigs = M.signatures(reps, id_col, text_col, cfg)
-    meta = reps.select(id_col, order_key(date_col, id_col).alias("ord"))
-    members = M.bands(sigs.join(meta, id_col), id_col, ["ord"], cfg)
+    ks = keyed_signatures(df, text_col, id_col, date_col, cfg, materialize)
+    copy_losers = ks.where(F.col("ord") != F.col("best")) \
+                    .select(F.col(id_col), F.col("best.u").alias("winner"))
+    sigs = ks.where(F.col("ord") == F.col("best")).select(id_col, "ord", "sig")
+
+    members = M.bands(sigs, id_col, ["ord"], cfg)
     buckets = (members.groupBy("band", "bucket")
                .agg(F.max("ord").alias("lead"), F.count(F.lit(1)).alias("size"))
                .where(F.col("size") > 1))

@@ -70,7 +70,9 @@ def encode_column(df: DataFrame, col: str, vocab: DataFrame, id_col: str = "uuid
                   cfg: Config = DEFAULT) -> DataFrame:
     """(id, ids array<int>[max_len]) for one text column (E2 + E3)."""
     L = cfg.max_seq_len
-    toks = df.select(F.col(id_col).alias("_id"), F.posexplode(words(F.col(col))).alias("pos", "word")) \
+    from pressroom.session import spread
+    src = spread(df.select(F.col(id_col).alias("_id"), F.col(col).alias("_t")), "_id")
+    toks = src.select("_id", F.posexplode(words(F.col("_t"))).alias("pos", "word")) \
              .where(F.col("pos") < L - 2)
     ids = toks.join(F.broadcast(vocab), "word", "left") \
               .select("_id", "pos", F.coalesce("id", F.lit(UNK)).alias("id"))

@@ -41,7 +41,8 @@ def train(labelled: DataFrame, text_col: str = "article", lang_col: str = "lang"
     ``gain`` = scaled log P(word | lang) minus the language's unseen-word
     value, so only words present in a profile contribute a join row.
     """
-    lab = labelled.where(F.col(lang_col).isNotNull())
+    from pressroom.session import spread
+    lab = spread(labelled.where(F.col(lang_col).isNotNull()).select(text_col, lang_col))
     w = lab.select(F.col(lang_col).alias("lang"), F.explode(words(text_col)).alias("word"))
     counts = w.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("c"))
     # two scalars of the training set (actions returning one number each)
@@ -70,7 +71,9 @@ def identify(df: DataFrame, profile: DataFrame, langs: DataFrame, id_col: str =
         raise ValueError(f"{len(rows)} languages: the language dimension is meant to be small")
     cand = F.array(*[F.struct(F.lit(r["lang"]).alias("lang"), F.lit(r["unseen"]).alias("unseen"),
                               F.lit(r["prior"]).alias("prior")) for r in rows])
-    dw = df.select(F.col(id_col).alias("_id"), F.explode_outer(words(text_col)).alias("word"))
+    from pressroom.session import spread
+    src = spread(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")), "_id")
+    dw = src.select("_id", F.explode_outer(words("_t")).alias("word"))
     per_word = dw.groupBy("_id", "word").agg(F.count("word").alias("k"))
     n_words = per_word.groupBy("_id").agg(F.sum("k").alias("n"))
     gains = (per_word.join(profile, "word")

@@ -3,9 +3,10 @@
 Signature scheme: one-permutation hashing (Li, Owen, Zhang 2012) with
 rotation densification (Shrivastava, Li 2014).
 
-* D1  shingles are the ``char_ngram``-byte windows of the UTF-8 text
-  (binary slicing, O(1) per shingle).
-* D2  each shingle gets one 32-bit hash (first 8 hex digits of its md5);
+* D1  shingles are the ``char_ngram``-byte windows of the UTF-8 text, cut
+  in one regex pass over its hex form.
+* D2  each shingle gets one 32-bit hash (first 8 hex digits of the md5 of
+  its hex form);
   its slot is ``h mod num_perm`` and a slot keeps its minimum.  The
   explode is folded by a partial ``min`` aggregation in the same stage, so
   at most ``num_perm`` rows per document reach the shuffle, never one row
@@ -28,32 +29,41 @@ from pressroom.config import DEFAULT, Config
 SHIFT = 4294967296  # 2^32: densification offset per slot of distance
 
 
-def shingle_hash(shingle: Column) -> Column:
-    """First 8 hex digits of md5, as a non-negative bigint."""
-    return F.conv(F.substring(F.md5(shingle), 1, 8), 16, 10).cast("long")
+def shingle_windows(text: Column, n: int = 9) -> Column:
+    """All ``n``-byte windows of the UTF-8 text, as upper-case hex strings.
 
+    One native regular-expression pass over the hex text: each match
+    consumes one byte (two hex digits) and a lookahead captures the ``n``
+    bytes starting there, so there is no per-shingle lambda and the exploded
+    rows carry only their own window.
+    """
+    hx = F.hex(F.encode(text, "UTF-8"))
+    return F.regexp_extract_all(hx, F.lit(f"(?=([0-9A-F]{{{2 * n}}}))[0-9A-F]{{2}}"), 1)
 
-def shingle_hashes(b: Column, n: int = 9) -> Column:
-    """Array of hashes of all ``n``-byte windows of the binary column ``b``
-    (D1 + hash).
 
-    ``b`` must be a *column reference* (the UTF-8 bytes materialised by a
-    projection): an expression here would be re-evaluated inside the lambda
-    for every shingle.  Built inside one ``transform`` so the exploded rows
-    carry only a bigint, not a copy of the text.  Shorter inputs give null.
-    """
-    nb = F.octet_length(b)
-    seq = F.sequence(F.lit(1), nb - (n - 1))
-    return F.when(nb >= n, F.transform(seq, lambda i: shingle_hash(F.substring(b, i, F.lit(n)))))
+def shingle_hash(g: Column, how: str = "md5") -> Column:
+    """32-bit hash of a shingle as a non-negative bigint: the first 8 hex
+    digits of md5 (recomputable in DuckDB), or the low 32 bits of xxhash64."""
+    if how == "xxhash64":
+        return F.xxhash64(g).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("long")
 
 
 def slot_minima(df: DataFrame, id_col: str = "uuid", text_col: str = "article",
-                cfg: Config = DEFAULT) -> DataFrame:
-    """(id, slot, h): minimum hash per non-empty slot."""
+                cfg: Config = DEFAULT, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, carry..., slot, h): minimum hash per non-empty slot.
+
+    ``carry`` columns (functions of the id, e.g. a text hash or a date) ride
+    along as extra grouping keys, so they need no join later.  The explode is
+    folded by a partial ``min`` in the same stage: at most ``num_perm`` rows
+    per document reach the shuffle.
+    """
+    from pressroom.session import spread
     k = cfg.num_perm
-    enc = df.select(F.col(id_col).alias("id"), F.encode(F.col(text_col), "UTF-8").alias("_b"))
-    hs = enc.select("id", F.explode(shingle_hashes(F.col("_b"), cfg.char_ngram)).alias("h"))
-    return (hs.groupBy("id", F.pmod(F.col("h"), F.lit(k)).cast("int").alias("slot"))
+    src = spread(df.select(F.col(id_col).alias("id"), *carry, F.col(text_col).alias("_t")), "id")
+    g = src.select("id", *carry, F.explode(shingle_windows(F.col("_t"), cfg.char_ngram)).alias("g"))
+    hs = g.select("id", *carry, shingle_hash(F.col("g"), cfg.shingle_hash).alias("h"))
+    return (hs.groupBy("id", *carry, F.pmod(F.col("h"), F.lit(k)).cast("int").alias("slot"))
             .agg(F.min("h").alias("h")))
 
 
@@ -70,12 +80,13 @@ def _densify_expr(k: int) -> Column:
 
 
 def signatures(df: DataFrame, id_col: str = "uuid", text_col: str = "article",
-               cfg: Config = DEFAULT) -> DataFrame:
-    """(id, sig array<bigint>[num_perm]) for every text of at least one shingle."""
-    mins = slot_minima(df, id_col, text_col, cfg)
-    arr = (mins.groupBy("id")
+               cfg: Config = DEFAULT, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, carry..., sig array<bigint>[num_perm], n_slots) for every text of at
+    least one shingle."""
+    mins = slot_minima(df, id_col, text_col, cfg, carry)
+    arr = (mins.groupBy("id", *carry)
            .agg(F.array_sort(F.collect_list(F.struct("slot", "h"))).alias("arr")))
-    return arr.select(F.col("id").alias(id_col), _densify_expr(cfg.num_perm).alias("sig"),
+    return arr.select(F.col("id").alias(id_col), *carry, _densify_expr(cfg.num_perm).alias("sig"),
                       F.size("arr").cast("long").alias("n_slots"))
 
 

@@ -54,16 +54,22 @@ def rouge_n(pairs: DataFrame, n: int, id_col: str = "uuid", pred_col: str = "gen
             ref_col: str = "article", ascii: bool = False) -> DataFrame:
     """Per pair: rouge{n}_precision / _recall / _fmeasure (unrounded)."""
     prefix = f"rouge{n}"
-    g = pairs.select(F.col(id_col).alias("_id"),
-                     ngrams(tokens(F.col(pred_col), ascii), n).alias("gp"),
-                     ngrams(tokens(F.col(ref_col), ascii), n).alias("gr"))
-    sizes = g.select("_id", F.size("gp").alias("n_pred"), F.size("gr").alias("n_ref"))
-    side = (g.select("_id", F.explode("gp").alias("gram"), F.lit(1).alias("p"), F.lit(0).alias("r"))
-            .unionByName(g.select("_id", F.explode("gr").alias("gram"), F.lit(0).alias("p"), F.lit(1).alias("r"))))
+    # tokens first, as columns: referenced inside the n-gram lambda, an
+    # expression would be re-evaluated for every n-gram
+    from pressroom.session import spread
+    src = spread(pairs.select(F.col(id_col).alias("_id"), pred_col, ref_col), "_id")
+    t = src.select("_id", tokens(F.col(pred_col), ascii).alias("tp"), tokens(F.col(ref_col), ascii).alias("tr"))
+    g = t.select("_id", ngrams(F.col("tp"), n).alias("gp"), ngrams(F.col("tr"), n).alias("gr"))
+    # one explode of both sides, tagged; a pair with no n-gram at all keeps a
+    # null row (explode_outer), so every pair survives the aggregation
+    tagged = F.concat(F.transform("gp", lambda x: F.struct(x.alias("gram"), F.lit(1).alias("p"), F.lit(0).alias("r"))),
+                      F.transform("gr", lambda x: F.struct(x.alias("gram"), F.lit(0).alias("p"), F.lit(1).alias("r"))))
+    side = g.select("_id", F.explode_outer(tagged).alias("e")).select("_id", "e.gram", "e.p", "e.r")
     per_gram = side.groupBy("_id", "gram").agg(F.sum("p").alias("cp"), F.sum("r").alias("cr"))
-    overlap = per_gram.groupBy("_id").agg(F.sum(F.least("cp", "cr")).alias("overlap"))
-    j = sizes.join(overlap, "_id", "left").select(
-        "_id", F.coalesce("overlap", F.lit(0)).cast("double").alias("overlap"), "n_pred", "n_ref")
+    j = per_gram.groupBy("_id").agg(
+        F.coalesce(F.sum(F.least("cp", "cr")), F.lit(0)).cast("double").alias("overlap"),
+        F.coalesce(F.sum("cp"), F.lit(0)).alias("n_pred"),
+        F.coalesce(F.sum("cr"), F.lit(0)).alias("n_ref"))
     return j.select(F.col("_id").alias(id_col), *_prf(F.col("overlap"), F.col("n_pred"), F.col("n_ref"), prefix))
 
 

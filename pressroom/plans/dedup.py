@@ -11,7 +11,14 @@ from pressroom.operators import split as S
 
 def deduplicate(articles: DataFrame, cfg: Config = DEFAULT, text_col: str = "article",
                 id_col: str = "uuid", date_col: str = "cc_date", site_col: str = "site") -> DataFrame:
-    """Articles without near-duplicate losers, with a ``split`` column."""
+    """Articles without near-duplicate losers, with a ``split`` column.
+
+    Losers and split labels are computed on narrow rows (ids, dates, sites,
+    signatures); the article text meets them in one final join, so the text
+    is shuffled once, for the write.
+    """
     losers = D.near_duplicate_losers(articles, text_col, id_col, date_col, cfg)
-    kept = D.drop_losers(articles, losers, id_col)
-    return S.assign_split(kept, cfg, site_col, id_col)
+    ids = articles.select(id_col, site_col)          # a pruned scan: no text
+    labels = S.assign_split(D.drop_losers(ids, losers, id_col), cfg, site_col, id_col) \
+              .select(id_col, "split")
+    return articles.join(labels, id_col)

@@ -149,7 +149,7 @@ hx AS (SELECT uuid, hex(encode(article)) AS hx FROM dedup_in),
 sh AS (SELECT uuid, unnest(list_transform(range(0, length(hx) // 2 - {CFG.char_ngram - 1}),
                                            lambda i: substr(hx, 2 * i + 1, {2 * CFG.char_ngram}))) AS g
        FROM hx WHERE length(hx) // 2 >= {CFG.char_ngram}),
-hs AS (SELECT uuid, CAST('0x' || substr(md5(unhex(g)), 1, 8) AS BIGINT) AS h FROM sh),
+hs AS (SELECT uuid, CAST('0x' || substr(md5(g), 1, 8) AS BIGINT) AS h FROM sh),
 mins AS (SELECT uuid, CAST(h % {K} AS INTEGER) AS slot, min(h) AS h FROM hs GROUP BY ALL),
 firsts AS (SELECT uuid, min(slot) AS k_first, arg_min(h, slot) AS h_first, count(*) AS n_slots
            FROM mins GROUP BY uuid),

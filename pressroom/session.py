@@ -65,3 +65,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder; survives executor loss."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-repartition a CPU-heavy input that arrives in fewer partitions
+    than the cluster has cores (one small file is one task).  At scale the
+    input already has far more splits than cores and this is a no-op."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.rdd().getNumPartitions() < par:
+        return df.repartition(par, *keys) if keys else df.repartition(par)
+    return df
