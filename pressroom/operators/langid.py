@@ -35,21 +35,29 @@ def words(text_col: str = "article"):
     return F.regexp_extract_all(F.lower(newlines_to_blanks(text_col)), F.lit(WORD_RE), 0)
 
 
-def train(labelled: DataFrame, text_col: str = "article", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
+def train(labelled: DataFrame, text_col: str = "article", lang_col: str = "lang",
+          materialize: bool = True) -> tuple[DataFrame, DataFrame]:
     """Return (profile(word, lang, gain), langs(lang, unseen, prior)).
 
     ``gain`` = scaled log P(word | lang) minus the language's unseen-word
-    value, so only words present in a profile contribute a join row.
+    value, so only words present in a profile contribute a join row.  The
+    word counts are the model: they are written once to the shared
+    checkpoint folder, and every later step reads that table instead of
+    re-tokenising the training text.
     """
-    from pressroom.session import spread
-    lab = spread(labelled.where(F.col(lang_col).isNotNull()).select(text_col, lang_col))
+    from pressroom.session import cut_lineage, spread
+    labels = labelled.where(F.col(lang_col).isNotNull())
+    # document counts per language from a pruned scan (no text read)
+    docs = labels.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("nd"))
+    lab = spread(labels.select(text_col, lang_col))
     w = lab.select(F.col(lang_col).alias("lang"), F.explode(words(text_col)).alias("word"))
     counts = w.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("c"))
-    # two scalars of the training set (actions returning one number each)
+    if materialize:
+        counts = cut_lineage(counts)
+    # two scalars of the training set (one number each)
     v = counts.select("word").distinct().count()
-    n = lab.count()
+    n = labels.count()
     totals = counts.groupBy("lang").agg(F.sum("c").alias("t"))
-    docs = lab.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("nd"))
     langs = totals.join(docs, "lang").select(
         "lang", "t",
         F.round(F.log(F.lit(1.0) / (F.col("t") + F.lit(v))) * SCALE).cast("long").alias("unseen"),
