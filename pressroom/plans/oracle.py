@@ -493,3 +493,8 @@ SELECT event_id, layout, CASE WHEN layout = 'iso' THEN date_trunc('second', ts)
 FROM events CROSS JOIN (VALUES ('hu'), ('cs'), ('sk'), ('en'), ('iso'), ('numeric')) l(layout)"""
 ORACLE["t9_t12_iso_roundtrip"] = """
 SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso, date_trunc('second', ts) AS back FROM events"""
+ORACLE["k3_write_splits_roundtrip"] = with_(ARTICLES, STATS, FILTERED, DEDUP_IN, SIGS, LOSERS) + "," + split_sql(
+    "(SELECT * FROM dedup_in WHERE uuid NOT IN (SELECT uuid FROM losers))").replace(
+    "SELECT uuid, site, CASE", "SELECT split, site, count(*) AS n FROM (SELECT uuid, site, CASE").replace(
+    "'test' END AS split, rank\nFROM ranked", "'test' END AS split FROM ranked) GROUP BY split, site")
+ORACLE["k7_s8_encoded_roundtrip"] = ORACLE["e2_e6_encode_examples"]

@@ -395,3 +395,19 @@ def _t9(spark, sf):
     e = read_table(spark, sf, "events").select("event_id", "ts")
     iso = DT.iso_text(F.col("ts"))
     return e.select("event_id", iso.alias("iso"), DT.to_timestamp_column(iso).alias("back"))
+
+
+@register("k3_write_splits_roundtrip")
+def _k3(spark, sf):
+    path = _scratch(spark, "splits")
+    W.write_splits(DP.deduplicate(_dedup_input(spark, sf)), path)
+    back = spark.read.schema("uuid string").json(path)  # split and site come from the directories
+    return back.groupBy("split", "site").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("k7_s8_encoded_roundtrip")
+def _k7(spark, sf):
+    path = _scratch(spark, "encoded")
+    ex = _examples(spark, sf)
+    W.write_encoded(EN.encode(ex, EN.build_vocab(ex, ["article"])), path)
+    return FS.read_encoded(spark, path)

@@ -196,3 +196,20 @@ def test_human_dates(spark):
     df = spark.createDataFrame([(s,) for s, _ in DATES], "t string")
     got = [r.d for r in df.select(parse_human_date(F.col("t")).alias("d")).collect()]
     assert got == [d for _, d in DATES]
+
+
+def test_rule_file_and_site_list(spark, tmp_path):
+    from pressroom.functions.urls import BAD_URL_RULES, blocklist_pattern
+    from pressroom.sources.files import read_site_list, read_url_rules
+    rules = tmp_path / "bad_index.txt"
+    rules.write_text("\n".join(BAD_URL_RULES) + "\n\n")
+    got = read_url_rules(spark, str(rules))
+    assert tuple(got) == BAD_URL_RULES
+    pat = blocklist_pattern(got)
+    df = spark.createDataFrame([("https://www.telex.hu/rss/x",), ("https://telex.hu/belfold/x",),
+                                ("http://index.hu/24ora/?tol=2021&ig=2022",)], "url string")
+    blocked = [r.b for r in df.select(F.col("url").rlike(pat).alias("b")).collect()]
+    assert blocked == [True, False, True]
+    sites = tmp_path / "sites.txt"
+    sites.write_text("telex|telex.hu/*\nindex|index.hu/*\n")
+    assert [tuple(r) for r in read_site_list(spark, str(sites)).collect()] == [("telex", "telex.hu/*"), ("index", "index.hu/*")]
