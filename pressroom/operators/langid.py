@@ -73,27 +73,34 @@ def train(labelled: DataFrame, text_col: str = "article", lang_col: str = "lang"
 def identify(df: DataFrame, profile: DataFrame, langs: DataFrame, id_col: str = "uuid",
              text_col: str = "article", out_col: str = "language") -> DataFrame:
     """(id, language): best-scoring language per document; a text without
-    letters gets the language of the highest prior."""
+    letters gets the language of the highest prior.
+
+    The words of a document are extracted once; their number rides along
+    the explode.  Per (document, language) the profile gains are summed
+    (partial aggregation; the profile join is broadcast by AQE when small,
+    else split by its skew handling), then one aggregation per document
+    scores every candidate language: ``n * unseen + prior + gain``.
+    """
+    from pressroom.session import spread
     rows = langs.collect()
     if len(rows) > MAX_LANGUAGES:
         raise ValueError(f"{len(rows)} languages: the language dimension is meant to be small")
     cand = F.array(*[F.struct(F.lit(r["lang"]).alias("lang"), F.lit(r["unseen"]).alias("unseen"),
                               F.lit(r["prior"]).alias("prior")) for r in rows])
-    from pressroom.session import spread
     src = spread(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")), "_id")
-    dw = src.select("_id", F.explode_outer(words("_t")).alias("word"))
-    per_word = dw.groupBy("_id", "word").agg(F.count("word").alias("k"))
-    n_words = per_word.groupBy("_id").agg(F.sum("k").alias("n"))
-    gains = (per_word.join(profile, "word")
-             .groupBy("_id", "lang").agg(F.sum(F.col("k") * F.col("gain")).alias("g")))
-    base = n_words.select("_id", "n", F.explode(cand).alias("l")).select(
-        "_id", F.col("l.lang").alias("lang"), (F.col("n") * F.col("l.unseen") + F.col("l.prior")).alias("b"))
-    scores = base.join(gains, ["_id", "lang"], "left") \
-                 .select("_id", "lang", (F.col("b") + F.coalesce("g", F.lit(0))).alias("score"))
-    # highest score; on a tie the smaller code
-    return scores.groupBy("_id").agg(
-        F.min_by("lang", F.struct((-F.col("score")).alias("s"), F.col("lang").alias("l"))).alias(out_col)) \
-        .withColumnRenamed("_id", id_col)
+    ws = src.select("_id", words("_t").alias("ws"))
+    dw = ws.select("_id", F.size("ws").cast("long").alias("n"), F.explode_outer("ws").alias("word"))
+    per_word = dw.groupBy("_id", "word").agg(F.count("word").alias("k"), F.first("n").alias("n"))
+    gains = (per_word.join(profile, "word", "left")
+             .groupBy("_id", "lang").agg(F.sum(F.col("k") * F.col("gain")).alias("g"), F.first("n").alias("n")))
+    per_doc = gains.groupBy("_id").agg(
+        F.first("n").alias("n"),
+        F.map_from_entries(F.collect_list(F.when(F.col("lang").isNotNull(), F.struct("lang", "g")))).alias("gm"))
+    # score each candidate; the best is the smallest (-score, code)
+    scored = F.transform(cand, lambda c: F.struct(
+        (-(F.col("n") * c["unseen"] + c["prior"] + F.coalesce(F.try_element_at("gm", c["lang"]), F.lit(0)))).alias("s"),
+        c["lang"].alias("lang")))
+    return per_doc.select(F.col("_id").alias(id_col), F.array_min(scored)["lang"].alias(out_col))
 
 
 def filter_languages(df: DataFrame, allowed, lang_col: str = "language") -> DataFrame:
