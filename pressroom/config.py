@@ -29,6 +29,7 @@ class Config:
     year_max: int = 2023                # yearly counts keep year <= this
     # --- ours ---
     crawl_epoch: str = "2021-07-24"     # documents adapter: crawl date = epoch + doc_id days
+    exact_jaccard: bool = False         # D5 option: verify on shingle sets instead of signatures
     shingle_hash: str = "md5"           # "md5" (DuckDB can recompute it) or "xxhash64" (about 3x cheaper)
     vocab_size: int = 30000             # word vocabulary for encoding (E2)
     hist_bins: int = 100

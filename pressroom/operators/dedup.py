@@ -58,6 +58,25 @@ def _verify(pairs: DataFrame, sigs: DataFrame, id_col: str, cfg: Config) -> Data
     return j.where(M.agreement(F.col("sx"), F.col("sy")) >= cfg.min_agree).select("x", "y")
 
 
+def _verify_exact(pairs: DataFrame, shingles: DataFrame, cfg: Config) -> DataFrame:
+    """D5 option: keep pairs whose shingle *sets* have Jaccard >= min_jaccard.
+
+    ``shingles`` is (id, g) with distinct windows per document, restricted to
+    documents that share a bucket.  |A n B| comes from joining the pair with
+    x's shingles and then with y's on (y, g): work is the sum of |A| over the
+    (at most ``num_bands``-per-document) pairs, never a cross product.
+    """
+    sizes = shingles.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    ax = pairs.join(shingles.withColumnRenamed("id", "x"), "x")
+    inter = (ax.join(shingles.withColumnRenamed("id", "y"), ["y", "g"])
+             .groupBy("x", "y").agg(F.count(F.lit(1)).alias("i")))
+    j = (inter.join(sizes.select(F.col("id").alias("x"), F.col("n").alias("nx")), "x")
+         .join(sizes.select(F.col("id").alias("y"), F.col("n").alias("ny")), "y"))
+    # i / (nx + ny - i) >= t  <=>  i >= t * (nx + ny - i), compared in exact decimals
+    t = F.lit(str(cfg.min_jaccard)).cast("decimal(10,6)")
+    return j.where(F.col("i") >= t * (F.col("nx") + F.col("ny") - F.col("i"))).select("x", "y")
+
+
 def keyed_signatures(df: DataFrame, text_col: str = "article", id_col: str = "uuid",
                      date_col: str = "cc_date", cfg: Config = DEFAULT, materialize: bool = True) -> DataFrame:
     """(uuid, ord, best, sig): signatures with the D6 order key and, per exact
@@ -99,9 +118,20 @@ def near_duplicate_losers(df: DataFrame, text_col: str = "article", id_col: str
     m = members.join(buckets, ["band", "bucket"])  # only shared buckets
     behind = m.where(F.col("ord") < F.col("lead"))
 
+    if cfg.exact_jaccard:
+        docs = df.join(m.select(id_col).distinct(), id_col, "left_semi").select(id_col, text_col)
+        shingles = docs.select(F.col(id_col).alias("id"),
+                               F.explode(M.shingle_windows(F.col(text_col), cfg.char_ngram)).alias("g")).distinct()
+
+        def verify(p):
+            return _verify_exact(p, shingles, cfg)
+    else:
+        def verify(p):
+            return _verify(p, sigs, id_col, cfg)
+
     # round 1: against the bucket leader
     p1 = behind.select(F.col(id_col).alias("x"), F.col("lead.u").alias("y")).distinct()
-    l1 = _verify(p1, sigs, id_col, cfg)
+    l1 = verify(p1)
     l1x = l1.groupBy("x").agg(F.min("y").alias("y"))
 
     # round 2: remaining newer bucket-mates of members not yet proven losers
@@ -111,7 +141,7 @@ def near_duplicate_losers(df: DataFrame, text_col: str = "article", id_col: str
     p2 = (open_.join(mates, ["band", "bucket"])
           .where((F.col("yo") > F.col("xo")) & (F.col("yo") < F.col("lead")))
           .select("x", "y").distinct())
-    l2 = _verify(p2, sigs, id_col, cfg).groupBy("x").agg(F.min("y").alias("y"))
+    l2 = verify(p2).groupBy("x").agg(F.min("y").alias("y"))
 
     near = l1x.unionByName(l2).groupBy("x").agg(F.min("y").alias("winner")) \
               .select(F.col("x").alias(id_col), "winner")

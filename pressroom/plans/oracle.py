@@ -498,3 +498,18 @@ ORACLE["k3_write_splits_roundtrip"] = with_(ARTICLES, STATS, FILTERED, DEDUP_IN,
     "SELECT uuid, site, CASE", "SELECT split, site, count(*) AS n FROM (SELECT uuid, site, CASE").replace(
     "'test' END AS split, rank\nFROM ranked", "'test' END AS split FROM ranked) GROUP BY split, site")
 ORACLE["k7_s8_encoded_roundtrip"] = ORACLE["e2_e6_encode_examples"]
+
+# D5 option: candidate pairs (shared band) verified by exact Jaccard of the byte-shingle sets
+ORACLE["d5_losers_exact_jaccard"] = with_(ARTICLES, STATS, FILTERED, DEDUP_IN, SIGS) + f""",
+pairs AS (SELECT DISTINCT x.uuid AS ux, y.uuid AS uy
+          FROM bands x JOIN bands y ON x.band = y.band AND x.bkey = y.bkey AND x.uuid <> y.uuid),
+sset AS (SELECT DISTINCT uuid, g FROM sh),
+ssize AS (SELECT uuid, count(*) AS n FROM sset GROUP BY uuid),
+inter AS (SELECT p.ux, p.uy, count(*) AS i
+          FROM pairs p JOIN sset a ON a.uuid = p.ux JOIN sset b ON b.uuid = p.uy AND b.g = a.g
+          GROUP BY p.ux, p.uy),
+newer AS (SELECT p.ux, p.uy FROM pairs p JOIN dedup_in mx ON mx.uuid = p.ux JOIN dedup_in my ON my.uuid = p.uy
+          WHERE my.cc_date > mx.cc_date OR (my.cc_date = mx.cc_date AND my.uuid > mx.uuid))
+SELECT DISTINCT n.ux AS uuid
+FROM newer n JOIN inter USING (ux, uy) JOIN ssize sx ON sx.uuid = n.ux JOIN ssize sy ON sy.uuid = n.uy
+WHERE CAST(inter.i AS DECIMAL(18, 6)) >= CAST({CFG.min_jaccard} AS DECIMAL(10, 6)) * (sx.n + sy.n - inter.i)"""

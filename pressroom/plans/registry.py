@@ -411,3 +411,9 @@ def _k7(spark, sf):
     ex = _examples(spark, sf)
     W.write_encoded(EN.encode(ex, EN.build_vocab(ex, ["article"])), path)
     return FS.read_encoded(spark, path)
+
+
+@register("d5_losers_exact_jaccard")
+def _d5(spark, sf):
+    from pressroom.config import Config
+    return D.near_duplicate_losers(_dedup_input(spark, sf), cfg=Config(exact_jaccard=True)).select("uuid")
