@@ -87,16 +87,22 @@ def keyed_signatures(df: DataFrame, text_col: str = "article", id_col: str = "uu
     result feeds four consumers (copies, bands, two verification rounds), so
     it is checkpointed to the shared checkpoint folder: reliable storage that
     survives executor loss and cuts the lineage back to the text.
+
+    The newest copy per text is taken from the written table (a scan pruned
+    to ``_th`` and ``ord``): taken from the lazy signature plan, it would
+    explode and hash every shingle a second time.
     """
     base = df.select(id_col, text_col, F.sha2(F.col(text_col), 256).alias("_th"),
                      order_key(date_col, id_col).alias("ord"))
     sigs = M.signatures(base, id_col, text_col, cfg, carry=("_th", "ord"))
-    best = sigs.groupBy("_th").agg(F.max("ord").alias("best"))   # partial agg: a hot text folds map-side
-    out = sigs.join(best, "_th").select(id_col, "ord", "best", "sig")
     if materialize:
         from pressroom.session import cut_lineage
-        out = cut_lineage(out)
-    return out
+        sigs = cut_lineage(sigs.select(id_col, "_th", "ord", "sig"))
+        keys = sigs
+    else:
+        keys = base   # no second explode: a second text scan, hash only
+    best = keys.groupBy("_th").agg(F.max("ord").alias("best"))   # partial agg: a hot text folds map-side
+    return sigs.join(best, "_th").select(id_col, "ord", "best", "sig")
 
 
 def near_duplicate_losers(df: DataFrame, text_col: str = "article", id_col: str = "uuid",
