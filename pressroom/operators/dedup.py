@@ -11,8 +11,9 @@ Plan, without emitting all pairs of a bucket:
 1. D11 exact copies: identical texts have identical signatures, so every
    copy but the newest loses to the newest.  ``max(struct(date, uuid))`` per
    text hash is a partially aggregated group-by, safe when one text is a
-   third of the corpus.  The text hash rides along with the signature scan,
-   and copies are dropped before banding, so they never fill a bucket.
+   third of the corpus.  The text hash comes from a narrow pass (no
+   shingles) and meets the signatures on id; copies are dropped before
+   banding, so they never fill a bucket.
 2. D3 bands -> per bucket its newest member (the *leader*), again a
    partially aggregated ``max``.
 3. Round 1: each non-leader member is verified against its bucket leader
@@ -82,27 +83,31 @@ def keyed_signatures(df: DataFrame, text_col: str = "article", id_col: str = "uu
     """(uuid, ord, best, sig): signatures with the D6 order key and, per exact
     text, the order key of its newest copy (D11).
 
-    The text is read once: shingling, the text hash and the order key come
-    from the same scan, and only the narrow signature rows are shuffled.  The
-    result feeds four consumers (copies, bands, two verification rounds), so
-    it is checkpointed to the shared checkpoint folder: reliable storage that
-    survives executor loss and cuts the lineage back to the text.
-
-    The newest copy per text is taken from the written table (a scan pruned
-    to ``_th`` and ``ord``): taken from the lazy signature plan, it would
-    explode and hash every shingle a second time.
+    * Signatures are grouped by id alone, so their rows come out
+      hash-partitioned by id.
+    * The text hash and order key come from a second, narrow pass over the
+      text (sha2, no shingles): the newest copy per text is a partially
+      aggregated ``max`` (a hot text folds map-side), joined back on the
+      hash over narrow rows.
+    * The two meet on id: only the narrow side is shuffled, never the
+      signature rows.
+
+    The result feeds every later step (copies, bands, both verification
+    rounds), so it is written once to the shared checkpoint folder:
+    reliable storage that survives executor loss and cuts the lineage back
+    to the text.  Consumers then read a finished table instead of each
+    re-running the aggregate and the joins.
     """
-    base = df.select(id_col, text_col, F.sha2(F.col(text_col), 256).alias("_th"),
+    sigs = M.signatures(df, id_col, text_col, cfg)
+    keys = df.select(id_col, F.sha2(F.col(text_col), 256).alias("_th"),
                      order_key(date_col, id_col).alias("ord"))
-    sigs = M.signatures(base, id_col, text_col, cfg, carry=("_th", "ord"))
+    best = keys.groupBy("_th").agg(F.max("ord").alias("best"))
+    kb = keys.join(best, "_th").select(id_col, "ord", "best")
+    out = sigs.join(kb, id_col).select(id_col, "ord", "best", "sig")
     if materialize:
         from pressroom.session import cut_lineage
-        sigs = cut_lineage(sigs.select(id_col, "_th", "ord", "sig"))
-        keys = sigs
-    else:
-        keys = base   # no second explode: a second text scan, hash only
-    best = keys.groupBy("_th").agg(F.max("ord").alias("best"))   # partial agg: a hot text folds map-side
-    return sigs.join(best, "_th").select(id_col, "ord", "best", "sig")
+        out = cut_lineage(out)
+    return out
 
 
 def near_duplicate_losers(df: DataFrame, text_col: str = "article", id_col: str = "uuid",
