@@ -36,7 +36,7 @@ def test_length_and_word_bounds(spark):
     assert ok_words == {"f"}
 
 
-WS_SAMPLES = ["a b", "  lead and trail  ", "a b", "a\x1cb\x1dc", "tab\tnew\nline", "", "   ",
+WS_SAMPLES = ["a b", "  lead and trail  ", "x", "\n\n", "one\u2029two  three\x1f", "a b", "a\x1cb\x1dc", "tab\tnew\nline", "", "   ",
               "em space", "ideo　graphic", "line sep"]
 
 
@@ -97,6 +97,17 @@ def test_losers_match_brute_force(spark):
     assert newest not in got and set(copies) - {newest} <= got
 
 
+def test_signature_plan_shingles_each_text_once(spark):
+    """The keyed signature table explodes shingles in one place only; the
+    copy keys come from a narrow pass and meet the signatures on id."""
+    rows = [(f"u{i}", t, dt.datetime(2021, 7, 1)) for i, t in enumerate(_variants())]
+    df = spark.createDataFrame(rows, "uuid string, article string, cc_date timestamp_ntz")
+    ks = D.keyed_signatures(df, materialize=False)
+    plan = ks._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate") == 1
+    assert ks.count() == len(rows)
+
+
 def test_losers_are_older_and_independent_of_partitions(spark):
     texts = _variants()
     rows = [(f"u{i}", t, dt.datetime(2021, 7, 1)) for i, t in enumerate(texts)]  # equal dates: uuid decides
