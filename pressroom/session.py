@@ -76,7 +76,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-repartition a CPU-heavy input that arrives in fewer partitions
     than the cluster has cores (one small file is one task).  At scale the
-    input already has far more splits than cores and this is a no-op."""
+    input already has far more splits than cores and this is a no-op.
+
+    Only scan-side plans are inspected: a plan with a shuffle already has the
+    shuffle width, and asking an adaptive plan for its partitions would run
+    its upstream stages eagerly."""
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.nodeName() == "AdaptiveSparkPlan" or "Exchange" in plan.toString():
+        return df
     par = df.sparkSession.sparkContext.defaultParallelism
     if df._jdf.rdd().getNumPartitions() < par:
         return df.repartition(par, *keys) if keys else df.repartition(par)
