@@ -106,7 +106,7 @@ def keyed_signatures(df: DataFrame, text_col: str = "article", id_col: str = "uu
     out = sigs.join(kb, id_col).select(id_col, "ord", "best", "sig")
     if materialize:
         from pressroom.session import cut_lineage
-        out = cut_lineage(out)
+        out = cut_lineage(out, bucket_by=id_col)   # verification joins on id shuffle only the pairs
     return out
 
 

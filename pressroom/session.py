@@ -27,7 +27,11 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
          .config("spark.driver.memory", "16g")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-         .config("spark.sql.files.maxPartitionBytes", str(64 * 1024 * 1024)))
+         .config("spark.sql.files.maxPartitionBytes", str(64 * 1024 * 1024))
+         # local sessions only: catalog metadata of bucketed cut tables goes to
+         # scratch, not the working directory (a cluster names its own)
+         .config("spark.sql.warehouse.dir",
+                 tempfile.mkdtemp(prefix="pressroom-wh-", dir=os.environ.get("TMPDIR", "/tmp"))))
     for k, v in {**_RUNTIME_CONF, **(extra or {})}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
@@ -61,16 +65,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, bucket_by: str | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table under the shared checkpoint folder and
     read it back: reliable storage that survives executor loss, lineage cut,
     computed in a single pass (a Dataset checkpoint computes an unpersisted
-    plan twice)."""
+    plan twice).
+
+    ``bucket_by`` writes the table bucketed on that column (one bucket per
+    shuffle partition) and registers it in the session catalog, so later
+    joins on the column shuffle only their other side.
+    """
     import uuid
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    tag = uuid.uuid4().hex
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{tag}"
+    if bucket_by is None:
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"pressroom_cut_{tag}"
+    df.write.mode("overwrite").option("path", path).bucketBy(n, bucket_by).saveAsTable(name)
+    return spark.table(name)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
