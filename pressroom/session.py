@@ -93,13 +93,43 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     than the cluster has cores (one small file is one task).  At scale the
     input already has far more splits than cores and this is a no-op.
 
-    Only scan-side plans are inspected: a plan with a shuffle already has the
-    shuffle width, and asking an adaptive plan for its partitions would run
-    its upstream stages eagerly."""
-    plan = df._jdf.queryExecution().executedPlan()
+    Nothing is executed to decide.  A scan reports its splits directly.  For
+    a plan with a shuffle (asking an adaptive plan for its partitions would
+    run its upstream stages eagerly), the bytes of its input scans are
+    compared with ``parallelism x advisory partition size`` (the optimizer's
+    own estimate is no use: without column statistics a join multiplies its
+    inputs).  Below it, adaptive coalescing would leave fewer tasks than
+    cores, so the input is spread (a shuffle bounded by that product); above
+    it, the input passes through.
+    """
+    spark = df.sparkSession
+    par = spark.sparkContext.defaultParallelism
+    qe = df._jdf.queryExecution()
+    plan = qe.executedPlan()
     if plan.nodeName() == "AdaptiveSparkPlan" or "Exchange" in plan.toString():
-        return df
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df._jdf.rdd().getNumPartitions() < par:
+        advisory = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m")
+        limit = par * _bytes(advisory)
+        small = _input_bytes(qe.optimizedPlan()) < limit
+    else:
+        small = df._jdf.rdd().getNumPartitions() < par
+    if small:
         return df.repartition(par, *keys) if keys else df.repartition(par)
     return df
+
+
+def _input_bytes(plan) -> int:
+    """Sum of the size estimates of a logical plan's leaves (file sizes for
+    scans): an upper bound on what the plan reads, computed without a job."""
+    leaves = plan.collectLeaves()
+    total = 0
+    for i in range(leaves.size()):
+        v = leaves.apply(i).stats().sizeInBytes()
+        total += int(v if isinstance(v, int) else v.toString())
+    return total
+
+
+def _bytes(size: str) -> int:
+    """'64m', '64MB', '1g' or plain bytes -> bytes."""
+    s = size.strip().lower().rstrip("b")
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+    return int(float(s[:-1]) * units[s[-1]]) if s and s[-1] in units else int(s)
