@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from .op4_warc import OP4_SQL, op4_warc_segments
+from .op5_substring import op5_substring_dedup
 from .op7_simhash import op7_simhash_near_dedup
+from .op8_tokens import op8_token_files
 from .op9_exact_dedup import OP9_SQL, op9_exact_dedup
 from .op10_mixing import op10_mixing
 
 QUERIES = {f.__name__: f for f in (
+    op4_warc_segments,
+    op5_substring_dedup,
     op7_simhash_near_dedup,
+    op8_token_files,
     op9_exact_dedup,
     op10_mixing,
 )}
 
-ORACLE = {"op9_exact_dedup": OP9_SQL}
+ORACLE = {"op4_warc_segments": OP4_SQL, "op9_exact_dedup": OP9_SQL}
