@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import IS_SPACE, Texts, blocks_of, cut_lineage, map_arrow, table
 
 #: Chunks are REACH + 1 bytes long at least, about twice that as a rule.
-REACH = 24
+REACH = 20
 #: Where equal hashes in a row leave no place (one character over and over).
 LONGEST = 1024
 #: A passage of n words loses its ends, about 16 words, to chunks it doesn't fill.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .op3_html import op3_html_main_text
 from .op4_warc import OP4_SQL, op4_warc_segments
 from .op5_substring import op5_substring_dedup
 from .op7_simhash import op7_simhash_near_dedup
@@ -10,6 +11,7 @@ from .op9_exact_dedup import OP9_SQL, op9_exact_dedup
 from .op10_mixing import op10_mixing
 
 QUERIES = {f.__name__: f for f in (
+    op3_html_main_text,
     op4_warc_segments,
     op5_substring_dedup,
     op7_simhash_near_dedup,
