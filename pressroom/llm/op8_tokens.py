@@ -1,12 +1,13 @@
 """Token ids in Arrow stream files of equal-length sequences.
 
-A shard is one Arrow stream file.  Its batches hold two fixed-size-list columns,
-``ids`` (uint32) and ``mask`` (uint8), of ``length`` values a row: the ids of the
-shard's documents in ascending doc_id order, one after the other, the last row
-padded with id 0 and mask 0.  Both columns are single flat buffers, so a reader
-that maps the file reaches sequence k of a batch at byte 4 * length * k without
-copying or decoding.  Beside it lies a second stream file with a row per
-document: doc_id, its offset within the shard and its number of ids.
+A shard is one Arrow stream file.  Its batches hold two fixed-size-list columns of
+``length`` values a row, ``ids`` (uint16 where all ids of the tokenizer fit, else
+uint32) and ``mask`` (one bit each): the ids of the shard's documents in ascending
+doc_id order, one after the other, the last row padded with id 0 and mask 0.  Both
+columns are single flat buffers, so a reader that maps the file reaches sequence k
+of a batch at a multiple of its width without copying or decoding.  Beside it lies
+a second stream file with a row per document: doc_id, its offset within the shard
+and its number of ids.
 
 Tasks write shards under names of their own and report them as rows; the
 manifest lists the reported ones, so a file of a failed or repeated attempt is
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +35,11 @@ END_ID = 2
 LENGTH = 2048
 BATCH_ROWS = 64
 
+_WORD_BYTE = np.zeros(256, bool)
+_WORD_BYTE[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_SIGN = np.zeros(256, bool)
+_SIGN[[b for b in range(33, 127) if not _WORD_BYTE[b] and chr(b) not in "'<|>"]] = True
+
 MANIFEST = "path string, first_id long, n_docs long, n_tokens long, n_rows long"
 _DOCS = pa.schema([("doc_id", pa.int64()), ("offset", pa.int64()), ("n_tokens", pa.int64())])
 
@@ -43,15 +50,19 @@ class Encoder:
     The byte-level pre-tokenizer always starts a new pre-token at a space or line
     break that stands alone between two characters other than white space, so a
     text may be cut there and its pieces encoded apart: the ids, joined, are those
-    of the whole text.  Each distinct piece is encoded once and remembered, up to
-    ``memory`` pieces at a time.
+    of the whole text.  The same holds before a sign that ends a word, but for the
+    apostrophe and the characters of special tokens.  Each distinct piece is encoded
+    once and remembered, up to ``memory`` pieces at a time.
     """
 
-    def __init__(self, path: str, memory: int = 200_000):
+    def __init__(self, path: str, end_id: int, memory: int = 400_000):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.memory = memory
-        self.known: dict[str, np.ndarray] = {}
+        self.end_id, self.memory = end_id, memory
+        # the smallest type that holds every id
+        self.code = "H" if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "I"
+        self.kind = np.dtype("<u2" if self.code == "H" else "<u4")
+        self.known: dict[str, bytes] = {}
 
     def cuts(self, t: Texts) -> np.ndarray:
         """Positions at which the bytes fall into pieces, rows' ends included."""
@@ -76,6 +87,10 @@ class Encoder:
             at = np.flatnonzero(ok)
             edges[at] = True
             edges[at[d[at] == 0x0A] + 1] = True
+            letter = _WORD_BYTE[d]
+            # two-byte Latin letters; the signs of multiplication and division are none
+            letter[1:] |= (d[:-1] == 0xC3) & (d[1:] >= 0x80) & (d[1:] != 0x97) & (d[1:] != 0xB7)
+            edges[1:-1] |= _SIGN[d[1:]] & letter[:-1]
         return np.flatnonzero(edges)
 
     def ids(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -90,14 +105,14 @@ class Encoder:
             for a in range(0, len(new), 4096):
                 part = new[a:a + 4096]
                 for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                    known[w] = np.array(e.ids, dtype="<u4")
+                    known[w] = array(self.code, e.ids).tobytes()
         found = [known[w] for w in words]
         bounds = np.zeros(len(found) + 1, np.int64)
-        np.cumsum([len(x) for x in found], out=bounds[1:])
-        return (np.concatenate(found) if found else np.zeros(0, "<u4")), bounds
+        np.cumsum(list(map(len, found)), out=bounds[1:])
+        return np.frombuffer(b"".join(found), dtype=self.kind), bounds // self.kind.itemsize
 
-    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of a column of texts, ``end_id`` after each, and the number of ids of each row."""
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of a column of texts, the end id after each, and the number of ids of each row."""
         t = Texts(texts)
         cuts = self.cuts(t)
         if len(t.data):
@@ -110,10 +125,10 @@ class Encoder:
             starts = bounds[:-1][which]
             row_of_piece = np.searchsorted(t.offsets, cuts[:-1], side="right") - 1
         else:
-            flat = np.zeros(0, "<u4")
+            flat = np.zeros(0, self.kind)
             sizes = starts = row_of_piece = np.zeros(0, np.int64)
         # every row ends in one more piece, the end id, kept behind the flat ids
-        flat = np.append(flat, np.uint32(end_id)).astype("<u4")
+        flat = np.append(flat, np.array([self.end_id], self.kind))
         counts = np.bincount(row_of_piece, weights=sizes, minlength=len(t)).astype(np.int64) + 1
         ends = np.searchsorted(row_of_piece, np.arange(len(t)), side="right")
         sizes = np.insert(sizes, ends, 1)
@@ -124,6 +139,16 @@ class Encoder:
         return flat[take], counts
 
 
+_encoders: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder_of(path: str, end_id: int) -> Encoder:
+    """This process's encoder, whose memory serves its later tasks as well."""
+    if (path, end_id) not in _encoders:
+        _encoders[path, end_id] = Encoder(path, end_id)
+    return _encoders[path, end_id]
+
+
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     """The store a path names: local, or any that Arrow reaches by its scheme."""
     if path.startswith("file:"):
@@ -134,17 +159,18 @@ def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
 class ShardWriter:
     """Writes one shard as its documents come, holding no more than a batch of rows."""
 
-    def __init__(self, folder: str, length: int):
+    def __init__(self, folder: str, length: int, kind: np.dtype):
         fs, base = filesystem(folder)
         fs.create_dir(base, recursive=True)
         name = f"shard-{uuid.uuid4().hex}"
         self.path, self.length = f"{folder}/{name}", length
-        self.schema = pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), length)),
+                                 ("mask", pa.list_(pa.bool_(), length))])
         self.file = fs.open_output_stream(f"{base}/{name}.arrows")
         self.writer = pa.ipc.new_stream(self.file, self.schema)
         self.doc_file = fs.open_output_stream(f"{base}/{name}.docs.arrows")
         self.docs = pa.ipc.new_stream(self.doc_file, _DOCS)
-        self.rest = np.zeros(0, "<u4")
+        self.rest = np.zeros(0, kind)
         self.n_tokens = self.n_docs = self.n_rows = 0
         self.first_id: int | None = None
 
@@ -164,13 +190,13 @@ class ShardWriter:
         self.n_tokens += len(ids)
         held = np.concatenate([self.rest, ids])
         full = len(held) // (BATCH_ROWS * self.length) * (BATCH_ROWS * self.length)
-        self._rows(held[:full], np.ones(full, np.uint8))
+        self._rows(held[:full], np.ones(full, bool))
         self.rest = held[full:]
 
     def close(self) -> None:
         padded = -(-len(self.rest) // self.length) * self.length
-        ids, mask = np.zeros(padded, "<u4"), np.zeros(padded, np.uint8)
-        ids[:len(self.rest)], mask[:len(self.rest)] = self.rest, 1
+        ids, mask = np.zeros(padded, self.rest.dtype), np.zeros(padded, bool)
+        ids[:len(self.rest)], mask[:len(self.rest)] = self.rest, True
         self._rows(ids, mask)
         for x in (self.writer, self.file, self.docs, self.doc_file):
             x.close()
@@ -190,10 +216,11 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shard = None
         for batch in batches:
-            for part in blocks_of(batch, "text"):
+            for part in blocks_of(batch, "text", 4 << 20):
                 if shard is None:
-                    encoder, shard = Encoder(tokenizer), ShardWriter(folder, length)
-                shard.add(part.column("doc_id"), *encoder.encode(part.column("text"), end_id))
+                    encoder = encoder_of(tokenizer, end_id)
+                    shard = ShardWriter(folder, length, encoder.kind)
+                shard.add(part.column("doc_id"), *encoder.encode(part.column("text")))
         if shard is not None:
             shard.close()
             yield pa.RecordBatch.from_arrays(
@@ -214,9 +241,9 @@ def shard_ids(path: str) -> Iterator[np.ndarray]:
     """The ids of a shard, batch by batch, without its padding; views of the file's buffers."""
     with open_mapped(f"{path}.arrows") as f, pa.ipc.open_stream(f) as reader:
         for batch in reader:
-            ids, mask = (batch.column(k).flatten().to_numpy() for k in ("ids", "mask"))
-            real = int(np.count_nonzero(mask))
-            if not mask[:real].all():
+            ids, mask = batch.column("ids").flatten().to_numpy(), batch.column("mask").flatten()
+            real = mask.true_count
+            if mask.slice(0, real).true_count != real:
                 raise ValueError(f"{path}: padding stands before ids")
             yield ids[:real]
 
@@ -231,7 +258,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, base, expected in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                stream, held, at = shard_ids(path), np.zeros(0, "<u4"), 0
+                stream, held, at = shard_ids(path), np.zeros(0, "<u2"), 0
                 with open_mapped(f"{path}.docs.arrows") as f, pa.ipc.open_stream(f) as reader:
                     for rows in reader:
                         sums = []
@@ -244,7 +271,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                                 held, need = block[need:], need - len(parts[-1])
                             crc = 0
                             for x in parts:
-                                crc = zlib.crc32(np.ascontiguousarray(x, dtype="<u4"), crc)
+                                crc = zlib.crc32(x.astype("<u4"), crc)
                             sums.append(crc)
                             at += n
                         start = pa.array(rows.column("offset").to_numpy() + base)
