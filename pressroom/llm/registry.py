@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .op1_toxicity import op1_toxicity
+from .op2_decontaminate import op2_decontamination
 from .op3_html import op3_html_main_text
 from .op4_warc import OP4_SQL, op4_warc_segments
 from .op5_substring import op5_substring_dedup
@@ -14,6 +15,7 @@ from .op10_mixing import op10_mixing
 
 QUERIES = {f.__name__: f for f in (
     op1_toxicity,
+    op2_decontamination,
     op3_html_main_text,
     op4_warc_segments,
     op5_substring_dedup,
