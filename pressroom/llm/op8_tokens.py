@@ -52,10 +52,11 @@ class Encoder:
     text may be cut there and its pieces encoded apart: the ids, joined, are those
     of the whole text.  The same holds before a sign that ends a word, but for the
     apostrophe and the characters of special tokens.  Each distinct piece is encoded
-    once and remembered, up to ``memory`` pieces at a time.
+    once and remembered; when ``memory`` pieces are, those not met since the last such
+    time are forgotten.
     """
 
-    def __init__(self, path: str, end_id: int, memory: int = 400_000):
+    def __init__(self, path: str, end_id: int, memory: int = 450_000):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.end_id, self.memory = end_id, memory
@@ -63,6 +64,7 @@ class Encoder:
         self.code = "H" if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "I"
         self.kind = np.dtype("<u2" if self.code == "H" else "<u4")
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def cuts(self, t: Texts) -> np.ndarray:
         """Positions at which the bytes fall into pieces, rows' ends included."""
@@ -100,8 +102,11 @@ class Encoder:
         new = [w for w in words if w not in known]
         if new:
             if len(known) + len(new) > self.memory:
-                known.clear()
-                new = words
+                self.before, self.known = known, {}
+                known, new = self.known, words
+            before = self.before
+            known.update((w, before[w]) for w in new if w in before)
+            new = [w for w in new if w not in known]
             for a in range(0, len(new), 4096):
                 part = new[a:a + 4096]
                 for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
