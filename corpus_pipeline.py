@@ -1,43 +1,92 @@
 """The corpus pipeline: documents through filters to training files.
 
 STAGES are applied in order; each works on all that its predecessor kept, and
-all but the last return the columns of ``documents``.
+all but the last return the columns of ``documents``.  Null texts count as empty
+throughout, empty tables give empty results, extra columns are dropped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pressroom.llm import op1_toxicity as toxicity
 from pressroom.llm.common import cut_lineage, table
+from pressroom.llm.op2_decontaminate import contaminated_pairs
 from pressroom.llm.op7_simhash import near_duplicates
+from pressroom.llm.op8_tokens import token_files
 from pressroom.llm.op10_mixing import mix_sources
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is not among ``ids``; null counts as a value."""
+    gone = ids.select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti").select(*COLUMNS)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity machine predicts as toxic go.  It is trained on
+    labelled rows outside the held-out third.  Rows without doc_id have no key to
+    be matched by and are judged with all others of theirs: they go if one is toxic."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return _without(docs, toxicity.score_toxicity(docs, model).where("predicted = 1"))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays, that with the smallest doc_id."""
+    """One document of each SimHash component stays, that with the smallest doc_id;
+    of rows that repeat a doc_id, one.  Rows without doc_id stay where their
+    component has no other."""
     kept = near_duplicates(docs, width=3, max_bits=2) \
-        .where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*COLUMNS)
+        .where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
+    # only rows of repeated ids are moved to find one of each
+    again = cut_lineage(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+                        .select(F.col("doc_id").alias("again_id")))
+    same = F.col("doc_id").eqNullSafe(F.col("again_id"))
+    return rows.join(again, same, "left_anti").select(*COLUMNS) \
+        .unionByName(rows.join(again, same, "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"]))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return _without(docs, contaminated_pairs(docs, table(spark, sf_dir, "benchmark")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it, in rows of its own."""
-    taken = mix_sources(docs).where("copies > 0").select(F.col("doc_id").alias("id"), "copies")
-    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("id"))) \
+    """Every document as often as the mix takes it, in rows of its own.  Of rows
+    that repeat a doc_id, the k-th takes the copies of the k-th decision on that id."""
+    taken = cut_lineage(mix_sources(docs).select(F.col("doc_id").alias("id"), "copies"))
+    repeated = cut_lineage(taken.groupBy("id").count().where("count > 1").select(F.col("id").alias("again_id")))
+    again, is_again = F.col("doc_id").eqNullSafe(F.col("again_id")), F.col("id").eqNullSafe(F.col("again_id"))
+    # ids that occur once meet by themselves; only the others are numbered
+    once = docs.join(repeated, again, "left_anti") \
+        .join(taken.join(repeated, is_again, "left_anti"), F.col("doc_id").eqNullSafe(F.col("id"))).select(*COLUMNS, "copies")
+    nth = lambda c: F.row_number().over(Window.partitionBy(c).orderBy(c))
+    more = docs.join(repeated, again, "left_semi").withColumn("n", nth("doc_id")).alias("d").join(
+        taken.join(repeated, is_again, "left_semi").withColumn("m", nth("id")).where("copies > 0").alias("t"),
+        F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("n") == F.col("m"))).select(*COLUMNS, "copies")
+    return once.where("copies > 0").unionByName(more) \
         .withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
 
 
+def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of all documents in Arrow stream files; a row per document, read back from them."""
+    return token_files(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
     ("simhash_near_dedup", drop_near_duplicates),
+    ("benchmark_decontamination", decontaminate),
     ("mixing", mix),
+    ("token_files", write_token_files),
 ]
 
-#: Draws, trained models and token ids have no SQL form; tests compare with brute force.
+#: Trained models, draws and token ids have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 
