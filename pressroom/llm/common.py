@@ -36,8 +36,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """``mapInArrow`` with this package at hand in the Python workers."""
-    ship_package(df.sparkSession)
+    """``mapInArrow`` with this package at hand in the Python workers.  Batches are
+    a tenth of Spark's default of 10,000 rows, as rows hold whole texts; a session's
+    own setting stays."""
+    spark = df.sparkSession
+    ship_package(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return df.mapInArrow(function, schema)
 
 

@@ -40,7 +40,7 @@ SYMBOLS = 32
 #: Units above this length are scored in windows of it, half overlapping.
 LONGEST = 12
 #: Bound on the labelled rows that are trained on, half of each class.
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 4000
 WITNESSES = 64
 LANDMARKS = 192
 THRESHOLD = 0.7
