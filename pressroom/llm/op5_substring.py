@@ -144,7 +144,7 @@ def chunks(docs: DataFrame, reach: int = REACH) -> DataFrame:
 def repeated_spans(docs: DataFrame, reach: int = REACH, min_words: int = MIN_WORDS) -> DataFrame:
     """A row per span of a document that other documents have too: doc_id,
     span_start and span_stop (bytes), n_words, first_doc_id (the smallest doc_id
-    that has the span's first chunk) and is_first (this document is that one).
+    that has any of the span's chunks) and is_first (this document is that one).
 
     A span is a run of consecutive chunks each of which occurs in documents with
     different doc_ids, of ``min_words`` words at least.  Rows that repeat a doc_id
@@ -152,6 +152,11 @@ def repeated_spans(docs: DataFrame, reach: int = REACH, min_words: int = MIN_WOR
     them apart.  Null, empty and short texts have no spans, and an empty table
     gives an empty result.  Columns other than doc_id and text are not read.
     """
+    return _spans(docs, reach, min_words).drop("cuts")
+
+
+def _spans(docs: DataFrame, reach: int, min_words: int) -> DataFrame:
+    """The repeated spans, and of each the chunks that another document has first."""
     own = cut_lineage(chunks(docs.where("doc_id IS NOT NULL"), reach))
     shared = cut_lineage(own.groupBy("d1", "d2").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"))
                          .where("first_doc_id < last").drop("last"))
@@ -161,24 +166,25 @@ def repeated_spans(docs: DataFrame, reach: int = REACH, min_words: int = MIN_WOR
     runs = found.withColumn("run", F.col("seq") - rank).groupBy("doc_id", "run").agg(
         F.min("start").alias("span_start"), F.max("stop").alias("span_stop"),
         (F.max("word_stop") - F.min("word_start")).alias("n_words"),
-        F.min_by("first_doc_id", "seq").alias("first_doc_id"))
+        F.min("first_doc_id").alias("first_doc_id"),
+        F.collect_set(F.when(F.col("first_doc_id") < F.col("doc_id"), F.struct("start", "stop"))).alias("cuts"))
     return runs.where(F.col("n_words") >= min_words).select(
         "doc_id", "span_start", "span_stop", "n_words", "first_doc_id",
-        (F.col("doc_id") == F.col("first_doc_id")).alias("is_first"))
+        (F.col("doc_id") == F.col("first_doc_id")).alias("is_first"), "cuts")
 
 
 def without_repeats(docs: DataFrame, reach: int = REACH, min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents with every repeated span cut out but in the document that
-    has it first.  All rows and columns stay; texts without such spans as they were."""
-    spans = repeated_spans(docs, reach, min_words).where("not is_first").groupBy("doc_id") \
-        .agg(F.sort_array(F.collect_set(F.struct("span_start", "span_stop"))).alias("spans")) \
+    """The documents with every chunk of a repeated span cut out but in the document
+    that has the chunk first.  All rows and columns stay; other texts are as they were."""
+    spans = _spans(docs, reach, min_words).groupBy("doc_id") \
+        .agg(F.sort_array(F.flatten(F.collect_list("cuts"))).alias("spans")) \
         .withColumnRenamed("doc_id", "span_doc")
     raw = F.encode("text", "UTF-8")
     kept = F.aggregate(
         "spans", F.struct(F.lit(b"").cast("binary").alias("out"), F.lit(0).cast("long").alias("at")),
         lambda acc, s: F.struct(
-            F.concat(acc["out"], F.substring(raw, (acc["at"] + 1).cast("int"), (s["span_start"] - acc["at"]).cast("int"))).alias("out"),
-            s["span_stop"].alias("at")),
+            F.concat(acc["out"], F.substring(raw, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))).alias("out"),
+            s["stop"].alias("at")),
         lambda acc: F.decode(F.concat(acc["out"], F.substring(raw, (acc["at"] + 1).cast("int"), F.octet_length(raw))), "UTF-8"))
     return docs.join(spans, docs["doc_id"] == spans["span_doc"], "left") \
         .withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
