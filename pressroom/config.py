@@ -31,7 +31,7 @@ class Config:
     crawl_epoch: str = "2021-07-24"     # documents adapter: crawl date = epoch + doc_id days
     exact_jaccard: bool = False         # D5 option: verify on shingle sets instead of signatures
     shingle_hash: str = "md5"           # "md5" (DuckDB can recompute it) or "xxhash64" (about 3x cheaper)
-    vocab_size: int = 30000             # word vocabulary for encoding (E2)
+    vocab_size: int | None = None       # word vocabulary for encoding (E2); None: every word
     hist_bins: int = 100
     sites: tuple[str, ...] = field(default_factory=tuple)  # empty = all
 

@@ -49,14 +49,10 @@ BAD_URL_RULES = (
     r"parlamentnilisty.cz/tv/.*",
 )
 
-# Public suffixes known to the registered-domain split (U2).  A bounded,
-# fixed list: the sites of the reference and the generic top-level domains
-# of the test pages, plus common second-level public suffixes.
-PUBLIC_SUFFIXES = (
-    "com", "net", "org", "edu", "gov", "info", "io", "eu",
-    "hu", "cz", "sk", "de", "fr", "es", "at", "pl", "uk",
-    "co.uk", "org.uk", "ac.uk", "gov.uk", "co.hu", "org.hu", "com.pl",
-)
+# Second-level names under which country domains register (U2): fixed values.
+# ``x.<name>.<two letters>`` is a registered domain for each of them; everywhere
+# else it is the last two labels.  ``extra`` names suffixes beyond the rule.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "go", "gob", "gov", "ltd", "mil", "ne", "net", "nom", "or", "org", "plc", "sch")
 
 CRAWL_DATE_FORMAT = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
@@ -82,20 +78,26 @@ def is_blocked(url: Column, rules=BAD_URL_RULES) -> Column:
 
 
 def host(url: Column) -> Column:
-    return F.lower(F.parse_url(url, F.lit("HOST")))
+    return F.lower(F.try_parse_url(url, F.lit("HOST")))
 
 
-def registered_domain(url: Column, suffixes=PUBLIC_SUFFIXES) -> Column:
-    """``domain.suffix`` with the longest known public suffix; a host with
-    no known suffix keeps its last two labels."""
-    labels = F.split(host(url), r"\.")
+def registered_domain(url: Column, extra: tuple[str, ...] = ()) -> Column:
+    """``domain.suffix``.  The suffix is the longest of ``extra`` that the host
+    ends in, else ``<second level>.<country>`` by the rule above, else the last
+    label.  A host that is a suffix itself, an IP address or a single label stays
+    whole; a URL without a readable host gives null."""
+    h = host(url)
+    labels = F.split(h, r"\.")
     n = F.size(labels)
-    known = F.array(*[F.lit(s) for s in suffixes])
-    # candidate suffix lengths k = 1..n-1, longest first; first known one wins
-    ks = F.filter(F.sequence(n - 1, F.lit(1), F.lit(-1)),
-                  lambda k: F.array_contains(known, F.array_join(F.slice(labels, n - k + 1, k), ".")))
-    k = F.coalesce(F.element_at(ks, 1), F.lit(1))
-    return F.when(n >= 2, F.array_join(F.slice(labels, n - k, k + 1), ".")).otherwise(host(url))
+    last = lambda k: F.array_join(F.slice(labels, F.greatest(n - k + 1, F.lit(1)), k), ".")
+    by_rule = F.when(F.try_element_at(labels, F.lit(-2)).isin(*SECOND_LEVEL) & (F.length(F.try_element_at(labels, F.lit(-1))) == 2),
+                     F.lit(2)).otherwise(F.lit(1))
+    k = by_rule
+    for size in sorted({s.count(".") + 1 for s in extra}):
+        own = [s for s in extra if s.count(".") + 1 == size]
+        k = F.when((n >= size) & last(size).isin(*own), F.greatest(k, F.lit(size))).otherwise(k)
+    address = h.rlike(r"^(\d{1,3}\.){3}\d{1,3}$") | h.startswith("[")
+    return F.when(address | (n <= k), h).otherwise(F.array_join(F.slice(labels, n - k, k + 1), "."))
 
 
 def site_key(domain: Column) -> Column:
@@ -125,7 +127,7 @@ def canonical_url(url: Column) -> Column:
 
 def sniff_mime(html: Column) -> Column:
     """I1 stand-in for the index's MIME field: HTML when the payload starts
-    like an HTML document, else plain text."""
-    head = F.lower(F.substring(F.ltrim(html), 1, 64))
-    return F.when(head.startswith("<!doctype html") | head.startswith("<html"), F.lit("text/html")) \
-            .otherwise(F.lit("text/plain"))
+    like an HTML document, after any byte-order mark, XML declaration and
+    comments, else plain text."""
+    start = r"(?is)^\x{FEFF}?\s*(?:(?:<\?xml.*?\?>|<!--.*?-->)\s*)*<(?:!doctype\s+html|html)\b"
+    return F.when(html.rlike(start), F.lit("text/html")).otherwise(F.lit("text/plain"))

@@ -103,7 +103,8 @@ def keyed_signatures(df: DataFrame, text_col: str = "article", id_col: str = "uu
                      order_key(date_col, id_col).alias("ord"))
     best = keys.groupBy("_th").agg(F.max("ord").alias("best"))
     kb = keys.join(best, "_th").select(id_col, "ord", "best")
-    out = sigs.join(kb, id_col).select(id_col, "ord", "best", "sig")
+    # texts below one shingle have no signature, but copies among them count
+    out = kb.join(sigs, id_col, "left").select(id_col, "ord", "best", "sig")
     if materialize:
         from pressroom.session import cut_lineage
         out = cut_lineage(out, bucket_by=id_col)   # verification joins on id shuffle only the pairs
@@ -120,7 +121,7 @@ def near_duplicate_losers(df: DataFrame, text_col: str = "article", id_col: str
     ks = keyed_signatures(df, text_col, id_col, date_col, cfg, materialize)
     copy_losers = ks.where(F.col("ord") != F.col("best")) \
                     .select(F.col(id_col), F.col("best.u").alias("winner"))
-    sigs = ks.where(F.col("ord") == F.col("best")).select(id_col, "ord", "sig")
+    sigs = ks.where((F.col("ord") == F.col("best")) & F.col("sig").isNotNull()).select(id_col, "ord", "sig")
 
     members = M.bands(sigs, id_col, ["ord"], cfg)
     buckets = (members.groupBy("band", "bucket")

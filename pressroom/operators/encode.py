@@ -5,11 +5,11 @@ shipped.  Here the vocabulary is a corpus job (word counts ranked by
 frequency), and encoding / decoding are joins against it:
 
 * vocabulary: ``explode`` words -> count (partially aggregated) -> rank by
-  (count desc, word) -> the top ``vocab_size - len(SPECIALS)`` words get ids
-  after the special tokens.  The vocabulary has at most ``vocab_size`` rows
-  by construction, so it is broadcast.
-* encode (E2-E6): words with their position, truncated to ``max_len - 2``
-  (the truncation *is* the operator), joined to the vocabulary (unknown ->
+  (count desc, word) in blocks -> ids after the special tokens.  Every word has
+  an id unless ``vocab_size`` asks for the most frequent ones only; the joins
+  carry no broadcast hint, as the vocabulary grows with the corpus.
+* encode (E2-E6): the first ``max_len - 2`` words (the truncation *is* the
+  operator) with their position, joined to the vocabulary (unknown ->
   ``[UNK]``), collected in order per row, wrapped in ``[CLS] .. [SEP]``,
   padded to ``max_len``; masks and labels by ``transform``.
 * decode (E7, E8): labels back to ids (-100 -> pad), specials skipped,
@@ -18,10 +18,11 @@ frequency), and encoding / decoding are joins against it:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressroom.config import DEFAULT, Config
+from pressroom.operators.split import rank_by_blocks
 
 # Special tokens and their ids (BERT order of roles).
 SPECIALS = ("[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]")
@@ -34,18 +35,10 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD_RE), 0)
 
 
-def first_sentence(text: Column) -> Column:
-    """Default ``input`` column (the reference never produces one): the text up
-    to the first sentence terminator followed by white space, else all."""
-    s = F.regexp_extract(text, r"(?s)^\s*(.*?[.!?])(\s|$)", 1)
-    return F.when(s != "", s).otherwise(F.trim(text))
-
-
-def load_examples(df: DataFrame, input_col: str | None = None, text_col: str = "article",
+def load_examples(df: DataFrame, input_col: str = "input", text_col: str = "article",
                   id_col: str = "uuid") -> DataFrame:
     """(input, article, uuid) as strings, rows with a null dropped."""
-    inp = F.col(input_col) if input_col else first_sentence(F.col(text_col))
-    return (df.select(inp.cast("string").alias("input"), F.col(text_col).cast("string").alias("article"),
+    return (df.select(F.col(input_col).cast("string").alias("input"), F.col(text_col).cast("string").alias("article"),
                       F.col(id_col).cast("string").alias("uuid"))
             .dropna(how="any"))
 
@@ -57,13 +50,11 @@ def build_vocab(texts: DataFrame, cols: list[str], cfg: Config = DEFAULT) -> Dat
         x = texts.select(F.explode(words(F.col(c))).alias("word"))
         w = x if w is None else w.unionByName(x)
     counts = w.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    k = cfg.vocab_size - len(SPECIALS)
-    # a global top-k: each partition keeps its top k, then one small merge
-    top = counts.orderBy(F.desc("n"), F.asc("word")).limit(k)
-    # at most vocab_size rows: a single ordered window is bounded by construction
-    ranked = top.withColumn("id", F.row_number().over(Window.orderBy(F.desc("n"), F.asc("word")))
-                            + (len(SPECIALS) - 1))
-    return ranked.select("word", F.col("id").cast("int").alias("id"))
+    # blocks in the order of the ranking: a count, then the words' beginnings
+    ranked = rank_by_blocks(counts.withColumn("_less", -F.col("n")), [], [F.col("_less"), F.substring("word", 1, 3)], [F.col("word")])
+    if cfg.vocab_size is not None:
+        ranked = ranked.where(F.col("rank") <= cfg.vocab_size - len(SPECIALS))
+    return ranked.select("word", (F.col("rank") + (len(SPECIALS) - 1)).cast("int").alias("id"))
 
 
 def encode_column(df: DataFrame, col: str, vocab: DataFrame, id_col: str = "uuid",
@@ -72,9 +63,8 @@ def encode_column(df: DataFrame, col: str, vocab: DataFrame, id_col: str = "uuid
     L = cfg.max_seq_len
     from pressroom.session import spread
     src = spread(df.select(F.col(id_col).alias("_id"), F.col(col).alias("_t")), "_id")
-    toks = src.select("_id", F.posexplode(words(F.col("_t"))).alias("pos", "word")) \
-             .where(F.col("pos") < L - 2)
-    ids = toks.join(F.broadcast(vocab), "word", "left") \
+    toks = src.select("_id", F.posexplode(F.slice(words(F.col("_t")), 1, L - 2)).alias("pos", "word"))
+    ids = toks.join(vocab, "word", "left") \
               .select("_id", "pos", F.coalesce("id", F.lit(UNK)).alias("id"))
     seqs = ids.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("s"))
     body = F.transform(F.col("s"), lambda x: x["id"])
@@ -117,7 +107,7 @@ def decode(df: DataFrame, ids_col: str, vocab: DataFrame, id_col: str = "uuid")
     """Ids -> text, special tokens skipped, words joined by blanks, trimmed."""
     e = df.select(F.col(id_col).alias("_id"), F.posexplode(unmask(F.col(ids_col))).alias("pos", "id")) \
           .where(F.col("id") >= len(SPECIALS))
-    w = e.join(F.broadcast(vocab), "id", "left")
+    w = e.join(vocab, "id", "left")
     g = w.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("s"))
     txt = F.trim(F.array_join(F.transform(F.col("s"), lambda x: x["word"]), " "))
     base = df.select(F.col(id_col).alias("_id"))

@@ -28,7 +28,6 @@ from pressroom.functions.text import newlines_to_blanks
 
 WORD_RE = r"\pL+"
 SCALE = 1000
-MAX_LANGUAGES = 1000
 
 
 def words(text_col: str = "article"):
@@ -82,11 +81,8 @@ def identify(df: DataFrame, profile: DataFrame, langs: DataFrame, id_col: str =
     scores every candidate language: ``n * unseen + prior + gain``.
     """
     from pressroom.session import spread
-    rows = langs.collect()
-    if len(rows) > MAX_LANGUAGES:
-        raise ValueError(f"{len(rows)} languages: the language dimension is meant to be small")
-    cand = F.array(*[F.struct(F.lit(r["lang"]).alias("lang"), F.lit(r["unseen"]).alias("unseen"),
-                              F.lit(r["prior"]).alias("prior")) for r in rows])
+    # the languages as one array value, computed within the plan
+    cand = langs.agg(F.sort_array(F.collect_list(F.struct("lang", "unseen", "prior")))).scalar()
     src = spread(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")), "_id")
     ws = src.select("_id", words("_t").alias("ws"))
     dw = ws.select("_id", F.size("ws").cast("long").alias("n"), F.explode_outer("ws").alias("word"))
@@ -97,10 +93,10 @@ def identify(df: DataFrame, profile: DataFrame, langs: DataFrame, id_col: str =
         F.first("n").alias("n"),
         F.map_from_entries(F.collect_list(F.when(F.col("lang").isNotNull(), F.struct("lang", "g")))).alias("gm"))
     # score each candidate; the best is the smallest (-score, code)
-    scored = F.transform(cand, lambda c: F.struct(
+    scored = F.transform(F.col("cand"), lambda c: F.struct(
         (-(F.col("n") * c["unseen"] + c["prior"] + F.coalesce(F.try_element_at("gm", c["lang"]), F.lit(0)))).alias("s"),
         c["lang"].alias("lang")))
-    return per_doc.select(F.col("_id").alias(id_col), F.array_min(scored)["lang"].alias(out_col))
+    return per_doc.withColumn("cand", cand).select(F.col("_id").alias(id_col), F.array_min(scored)["lang"].alias(out_col))
 
 
 def filter_languages(df: DataFrame, allowed, lang_col: str = "language") -> DataFrame:

@@ -143,7 +143,7 @@ SELECT site, count(*) AS n FROM articles WHERE site IN ('src1', 'src2') GROUP BY
 K = CFG.num_perm
 R = CFG.rows_per_band
 DEDUP_IN = """
-dedup_in AS (SELECT uuid, article, cc_date, site FROM filtered)"""
+dedup_in AS (SELECT uuid, article, cc_date, site FROM articles)"""
 SIGS = f"""
 hx AS (SELECT uuid, hex(encode(article)) AS hx FROM dedup_in),
 sh AS (SELECT uuid, unnest(list_transform(range(0, length(hx) // 2 - {CFG.char_ngram - 1}),
@@ -214,27 +214,34 @@ ORACLE["d10_dedup_split"] = with_(ARTICLES, STATS, FILTERED, DEDUP_IN, SIGS, LOS
     "'test' END AS split, rank", "'test' END AS split")
 
 # --- URL and index operators -----------------------------------------------
-from pressroom.functions.urls import BAD_URL_RULES, PUBLIC_SUFFIXES, blocklist_pattern  # noqa: E402
+from pressroom.functions.urls import BAD_URL_RULES, blocklist_pattern  # noqa: E402
 
 BINDING_URL_RULES = (r"m\..*", r"blog\..*\?.*", r".*\.example\.net/en/1.*")
 ORACLE["u1_url_blocklist_reference_rules"] = f"""
 SELECT page_id, url FROM pages WHERE NOT regexp_matches(url, '{blocklist_pattern(BAD_URL_RULES)}')"""
 ORACLE["u1_url_blocklist_binding_rules"] = f"""
 SELECT page_id, url FROM pages WHERE NOT regexp_matches(url, '{blocklist_pattern(BINDING_URL_RULES)}')"""
-_KNOWN = "[" + ", ".join(f"'{s}'" for s in PUBLIC_SUFFIXES) + "]"
-ORACLE["u2_u3_domain_and_site"] = f"""
-WITH h AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)) AS host FROM pages),
-l AS (SELECT page_id, host, string_split(host, '.') AS labels, len(string_split(host, '.')) AS n FROM h),
-k AS (SELECT *, coalesce(list_filter(range(n - 1, 0, -1),
-                  lambda k: list_contains({_KNOWN}, array_to_string(labels[n - k + 1:n], '.')))[1], 1) AS k FROM l),
-d AS (SELECT page_id, host, CASE WHEN n >= 2 THEN array_to_string(labels[n - k:n], '.') ELSE host END AS domain FROM k)
-SELECT page_id, host, domain, split_part(domain, '.', 1) AS site FROM d"""
+ORACLE["u2_u3_domain_and_site"] = """
+WITH v AS (SELECT page_id, 0 AS variant, url FROM pages
+           UNION ALL SELECT page_id, 1, regexp_replace(url, '://[^/?#:]+', '://www.news.com.au') FROM pages
+           UNION ALL SELECT page_id, 2, regexp_replace(url, '://[^/?#:]+', '://shop.co.jp') FROM pages
+           UNION ALL SELECT page_id, 3, regexp_replace(url, '://[^/?#:]+', '://10.20.30.40') FROM pages
+           UNION ALL SELECT page_id, 4, regexp_replace(url, '://[^/?#:]+', '://co.uk') FROM pages
+           UNION ALL SELECT page_id, 5, 'http://bad host/%zz' FROM pages
+           UNION ALL SELECT page_id, 6, NULL FROM pages),
+h AS (SELECT page_id, variant, CASE WHEN variant < 5 THEN lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)) END AS host FROM v),
+d AS (SELECT page_id, variant, host,
+             CASE WHEN regexp_full_match(host, '[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+') THEN host
+                  WHEN regexp_matches(host, '(^|[.])(ac|co|com|edu|go|gob|gov|ltd|mil|ne|net|nom|or|org|plc|sch)[.][a-z][a-z]$')
+                  THEN coalesce(nullif(regexp_extract(host, '[^.]+[.][^.]+[.][^.]+$', 0), ''), host)
+                  ELSE coalesce(nullif(regexp_extract(host, '[^.]+[.][^.]+$', 0), ''), host) END AS domain FROM h)
+SELECT page_id, variant, host, domain, split_part(domain, '.', 1) AS site FROM d"""
 ORACLE["u6_crawl_timestamp_parse"] = """
 SELECT event_id, strptime(strftime(ts, '%Y-%m-%dT%H:%M:%SZ'), '%Y-%m-%dT%H:%M:%SZ') AS crawl_ts FROM events"""
-ORACLE["i1_mime_filter"] = """
-WITH m AS (SELECT page_id, CASE WHEN starts_with(lower(substr(ltrim(html), 1, 64)), '<!doctype html')
-                               OR starts_with(lower(substr(ltrim(html), 1, 64)), '<html')
-                          THEN 'text/html' ELSE 'text/plain' END AS mime FROM pages)
+ORACLE["i1_mime_filter"] = r"""
+WITH v AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN html WHEN 1 THEN '<!-- a long comment before it all, of over sixty-four characters -->' || html
+                                WHEN 2 THEN '<?xml version="1.0"?>' || chr(10) || html WHEN 3 THEN 'plain ' || html ELSE '<htmlx>' END AS html FROM pages),
+m AS (SELECT page_id, CASE WHEN page_id % 5 < 3 AND regexp_matches(lower(html), '<(!doctype html|html)') THEN 'text/html' ELSE 'text/plain' END AS mime FROM v)
 SELECT page_id, mime FROM m WHERE mime IN ('text/html', 'application/xhtml+xml')"""
 ORACLE["i2_index_url_dedup"] = """
 WITH c AS (SELECT page_id, url, regexp_replace(url, '#.*$', '') AS nf FROM pages),
@@ -291,8 +298,8 @@ pg AS (
          TIMESTAMP '{CFG.crawl_epoch}' + to_days(CAST(page_id AS INTEGER)) AS cc_date
   FROM pages WHERE NOT regexp_matches(url, '{{pattern}}')),
 lb AS (SELECT *, string_split(host, '.') AS labels, len(string_split(host, '.')) AS n FROM pg),
-kk AS (SELECT *, coalesce(list_filter(range(n - 1, 0, -1),
-          lambda k: list_contains({_KNOWN}, array_to_string(labels[n - k + 1:n], '.')))[1], 1) AS k FROM lb),
+kk AS (SELECT *, CASE WHEN n > 2 AND regexp_matches(host, '[.](ac|co|com|edu|go|gob|gov|ltd|mil|ne|net|nom|or|org|plc|sch)[.][a-z][a-z]$')
+                      THEN 2 ELSE 1 END AS k FROM lb),
 pd AS (SELECT page_id, url, html, cc_date,
               CASE WHEN n >= 2 THEN array_to_string(labels[n - k:n], '.') ELSE host END AS domain FROM kk),
 ps AS (SELECT *, split_part(domain, '.', 1) AS site FROM pd)"""
@@ -439,20 +446,17 @@ SELECT """ + ", ".join(f"round(avg(s1.{c}), 4) AS {c}" for c in _c1) + ", " + \
 FROM s1 JOIN s2 USING (uuid)"""
 
 # --- training examples -----------------------------------------------------------
-_V = CFG.vocab_size - 5
 _L = CFG.max_seq_len
 EXAMPLES = """
 examples AS (
-  SELECT CASE WHEN regexp_extract(article, '(?s)^\\s*(.*?[.!?])(\\s|$)', 1) <> ''
-              THEN regexp_extract(article, '(?s)^\\s*(.*?[.!?])(\\s|$)', 1) ELSE trim(article) END AS input,
-         article, uuid
-  FROM filtered
+  SELECT site || ' ' || article AS input, article, uuid
+  FROM articles
   WHERE article IS NOT NULL AND uuid IS NOT NULL)"""
 WORD_SQL = "regexp_extract_all(lower({c}), '[\\pL\\pN]+|[^\\pL\\pN\\s]')"
 VOCAB = f"""
 vw AS (SELECT unnest({WORD_SQL.format(c='article')}) AS word FROM examples),
 vocab AS (SELECT word, CAST(row_number() OVER (ORDER BY n DESC, word) + 4 AS INTEGER) AS id
-          FROM (SELECT word, count(*) AS n FROM vw GROUP BY word ORDER BY n DESC, word LIMIT {_V}))"""
+          FROM (SELECT word, count(*) AS n FROM vw GROUP BY word))"""
 
 
 def _enc(col: str, name: str) -> str:

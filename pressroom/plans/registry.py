@@ -150,8 +150,8 @@ from pressroom.plans import dedup as DP  # noqa: E402
 
 
 def _dedup_input(spark, sf):
-    """The dedup stage reads cleaned articles (C1 + C2 here)."""
-    return corpus.length_word_filtered(spark, sf).select("uuid", "article", "cc_date", "site", "domain")
+    """All articles, of any length."""
+    return articles_from_documents(spark, sf).select("uuid", "article", "cc_date", "site", "domain")
 
 
 @register("d11_exact_duplicates")
@@ -211,8 +211,13 @@ def _u1b(spark, sf):
 
 @register("u2_u3_domain_and_site")
 def _u2(spark, sf):
-    p = I.with_domain_and_site(read_table(spark, sf, "pages"))
-    return p.select("page_id", U.host(F.col("url")).alias("host"), "domain", "site")
+    # the pages' own hosts and, over the same pages, hosts that they lack
+    p = read_table(spark, sf, "pages").select("page_id", "url")
+    other = ("www.news.com.au", "shop.co.jp", "10.20.30.40", "co.uk")
+    urls = [F.col("url"), *[F.regexp_replace("url", "://[^/?#:]+", f"://{h}") for h in other],
+            F.lit("http://bad host/%zz"), F.lit(None).cast("string")]
+    p = p.select("page_id", F.posexplode(F.array(*urls)).alias("variant", "url"))
+    return I.with_domain_and_site(p).select("page_id", "variant", U.host(F.col("url")).alias("host"), "domain", "site")
 
 
 @register("u6_crawl_timestamp_parse")
@@ -223,7 +228,14 @@ def _u6(spark, sf):
 
 @register("i1_mime_filter")
 def _i1(spark, sf):
-    p = read_table(spark, sf, "pages").select("page_id", U.sniff_mime(F.col("html")).alias("mime"))
+    # a fifth of the pages each: as they are, behind a comment, behind an XML declaration, and two that are no HTML
+    html, k = F.col("html"), F.col("page_id") % 5
+    p = read_table(spark, sf, "pages").withColumn(
+        "html", F.when(k == 0, html)
+        .when(k == 1, F.concat(F.lit("<!-- a long comment before it all, of over sixty-four characters -->"), html))
+        .when(k == 2, F.concat(F.lit('<?xml version="1.0"?>\n'), html))
+        .when(k == 3, F.concat(F.lit("plain "), html)).otherwise(F.lit("<htmlx>")))
+    p = p.select("page_id", U.sniff_mime(F.col("html")).alias("mime"))
     return I.filter_mime(p, I.allowed_mimes_table(spark))
 
 
@@ -321,7 +333,9 @@ def _r5all(spark, sf):
 
 
 def _examples(spark, sf):
-    return EN.load_examples(corpus.length_word_filtered(spark, sf))
+    """All articles; ``input`` is the site and the whole text."""
+    a = articles_from_documents(spark, sf)
+    return EN.load_examples(a.withColumn("input", F.concat_ws(" ", "site", "article")))
 
 
 @register("e1_load_examples")

@@ -49,14 +49,12 @@ def extract(pages: DataFrame, rules=ALL_RULES, url_rules=U.BAD_URL_RULES,
     todo = p.where(F.col("site").isin(known)).select("page_id", "site", "html").repartition(n, "page_id")
 
     t = H.tokenize(todo, keep=("site",))
-    # Child selectors need ancestors (two extra windows and a join); only pay
-    # for them when a page of such a site is present (an early-stopping probe).
+    # Child selectors need ancestors (two extra windows and a join) on the pages
+    # of their sites; the rules alone decide whether the plan has them.
     anc_sites = sorted({r.site for r in rules if len(r.selector) > 1})
-    anc = bool(anc_sites) and bool(p.where(F.col("site").isin(anc_sites)).select("page_id").take(1))
+    anc = bool(anc_sites)
     if anc:
         t = H.with_ancestors(t, anc_sites)
-    else:
-        rules = [r for r in rules if len(r.selector) == 1]
     t = t.withColumn("_m", H.matched_rules(rules, anc))
     t = t.withColumns({
         "reject_m": H.has_role(F.col("_m"), "reject"),

@@ -9,7 +9,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings every plan in this package assumes.  The cluster may override the
-# sizes; the semantics-bearing ones (time zone, ANSI off for try_ casts) are
+# sizes; the semantics-bearing ones (time zone, adaptive execution) are
 # set on the session at runtime by ``ensure_conf``.
 _RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -19,6 +19,9 @@ _RUNTIME_CONF = {
 }
 
 
+SPREAD = "spark.pressroom.spread"
+
+
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
                   app: str = "pressroom", extra: dict | None = None) -> SparkSession:
     b = (SparkSession.builder.master(master).appName(app)
@@ -27,6 +30,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
          .config("spark.driver.memory", "16g")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+         .config(SPREAD, str(shuffle_partitions))
          .config("spark.sql.files.maxPartitionBytes", str(64 * 1024 * 1024))
          # local sessions only: catalog metadata of bucketed cut tables goes to
          # scratch, not the working directory (a cluster names its own)
@@ -50,8 +54,8 @@ def ensure_conf(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    Only when the session has none (local tests) do we set a fresh scratch
-    folder of our own.
+    Only a local session that has none (tests) gets a fresh scratch folder of
+    its own; on a cluster that is an error, as executors would not share it.
     """
     sc = spark.sparkContext
     cur = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
@@ -59,6 +63,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(cur)
         return sc.getCheckpointDir() or cur
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="pressroom-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
     spark.conf.set("spark.checkpoint.dir", path)
@@ -89,50 +95,12 @@ def cut_lineage(df: DataFrame, bucket_by: str | None = None) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-repartition a CPU-heavy input that arrives in fewer partitions
-    than the cluster has cores (one small file is one task).  At scale the
-    input already has far more splits than cores and this is a no-op.
-
-    Nothing is executed to decide.  A scan reports its splits directly.  For
-    a plan with a shuffle (asking an adaptive plan for its partitions would
-    run its upstream stages eagerly), the bytes of its input scans are
-    compared with ``parallelism x advisory partition size`` (the optimizer's
-    own estimate is no use: without column statistics a join multiplies its
-    inputs).  Below it, adaptive coalescing would leave fewer tasks than
-    cores, so the input is spread (a shuffle bounded by that product); above
-    it, the input passes through.
-    """
-    spark = df.sparkSession
-    par = spark.sparkContext.defaultParallelism
-    qe = df._jdf.queryExecution()
-    plan = qe.executedPlan()
-    if plan.nodeName() == "AdaptiveSparkPlan" or "Exchange" in plan.toString():
-        advisory = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m")
-        limit = par * _bytes(advisory)
-        small = _input_bytes(qe.optimizedPlan()) < limit
-    else:
-        small = df._jdf.rdd().getNumPartitions() < par
-    if small:
-        return df.repartition(par, *keys) if keys else df.repartition(par)
-    return df
-
-
-def _input_bytes(plan) -> int:
-    """Sum of the size estimates of a logical plan's leaves (file sizes for
-    scans): an upper bound on what the plan reads, computed without a job."""
-    leaves = plan.collectLeaves()
-    total = 0
-    for i in range(leaves.size()):
-        v = leaves.apply(i).stats().sizeInBytes()
-        total += int(v if isinstance(v, int) else v.toString())
-    return total
-
-
-def _bytes(size: str) -> int:
-    """'64m', '64MB', '1g' or plain bytes -> bytes."""
-    s = size.strip().lower().rstrip("b")
-    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
-    return int(float(s[:-1]) * units[s[-1]]) if s and s[-1] in units else int(s)
+    """Hash-repartition a CPU-heavy input if the session says into how many parts
+    (``spark.pressroom.spread``).  That is for inputs in fewer files than there are cores,
+    such as one small Parquet file; unset, as it should be where inputs have many
+    splits, the input passes through.  The plan depends on the setting alone."""
+    parts = df.sparkSession.conf.get(SPREAD, None)
+    return df.repartition(int(parts), *keys) if parts else df
 
 
 _shipped: set[str] = set()
