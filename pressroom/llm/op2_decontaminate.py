@@ -60,6 +60,8 @@ def tiles(item: np.ndarray, doc: np.ndarray, min_match: int) -> list[tuple[int,
     free_i, free_d = np.ones(len(item), bool), np.ones(len(doc), bool)
     found: list[tuple[int, int, int]] = []
     top = len(item)
+    if top < min_match:
+        return found
     while True:
         # no match is longer than the longest of the round before
         width, matches = top, _matches(item, doc, free_i, free_d, top)

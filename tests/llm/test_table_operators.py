@@ -178,7 +178,7 @@ def test_links_connect_as_all_pairs_do(spark):
     prints = {int(x) for x in base} | {0, -1}
     for x in base:
         for _ in range(40):
-            y = int(x)
+            y = int(x) & (1 << 64) - 1
             for _ in range(int(rng.integers(1, 5))):
                 y ^= 1 << int(rng.integers(0, 64))
             prints.add(y - (1 << 64) if y >= 1 << 63 else y)
