@@ -38,24 +38,13 @@ def prepare_pages(pages: DataFrame, url_rules=U.BAD_URL_RULES) -> DataFrame:
     return p
 
 
-def extract(pages: DataFrame, rules=ALL_RULES, url_rules=U.BAD_URL_RULES,
-            num_partitions: int | None = None) -> DataFrame:
-    """All pages with (uuid, article, domain, url, date_of_creation, cc_date, site,
-    page_id, reject_reason)."""
-    p = prepare_pages(pages, url_rules)
-    known = sites(rules)
-    n = num_partitions or int(p.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # the one shuffle of raw HTML: by page, so every later per-page step is local
-    todo = p.where(F.col("site").isin(known)).select("page_id", "site", "html").repartition(n, "page_id")
-
+def _texts(todo: DataFrame, rules, anc_sites: list[str]) -> DataFrame:
+    """Per page: validity, date mode, and the body, date and fallback texts.
+    ``anc_sites``: the sites whose rules need ancestors."""
     t = H.tokenize(todo, keep=("site",))
-    # Child selectors need ancestors (two extra windows and a join) on the pages
-    # of their sites; the rules alone decide whether the plan has them.
-    anc_sites = sorted({r.site for r in rules if len(r.selector) > 1})
-    anc = bool(anc_sites)
-    if anc:
+    if anc_sites:
         t = H.with_ancestors(t, anc_sites)
-    t = t.withColumn("_m", H.matched_rules(rules, anc))
+    t = t.withColumn("_m", H.matched_rules(rules, bool(anc_sites)))
     t = t.withColumns({
         "reject_m": H.has_role(F.col("_m"), "reject"),
         "remove_m": H.has_role(F.col("_m"), "remove"),
@@ -97,12 +86,32 @@ def extract(pages: DataFrame, rules=ALL_RULES, url_rules=U.BAD_URL_RULES,
         F.collect_list(F.when(live & ~F.col("in_lead") & inside("b"), piece)).alias("bp"),
         F.collect_list(F.when(live & inside("d"), piece)).alias("dp"),
         F.collect_list(F.when(live & inside("f"), piece)).alias("fp"))
-    texts = texts.select(
+    return texts.select(
         "page_id", "invalid", "date_mode",
         H.join_pieces(F.col("bp")).alias("body_text"),
         H.join_pieces(F.col("dp")).alias("date_text"),
         H.join_pieces(F.col("fp")).alias("fb_text"))
 
+
+def extract(pages: DataFrame, rules=ALL_RULES, url_rules=U.BAD_URL_RULES,
+            num_partitions: int | None = None) -> DataFrame:
+    """All pages with (uuid, article, domain, url, date_of_creation, cc_date, site,
+    page_id, reject_reason)."""
+    p = prepare_pages(pages, url_rules)
+    known = sites(rules)
+    n = num_partitions or int(p.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Child selectors need ancestors (two extra windows and a join).  Sites that
+    # have such rules and sites that don't go through plans of their own, so the
+    # rules alone decide, and a corpus without the former pays for an empty scan.
+    anc_sites = {r.site for r in rules if len(r.selector) > 1}
+    texts = None
+    for anc in (False, True):
+        own = sorted(s for s in known if (s in anc_sites) == anc)
+        if own:
+            # the one shuffle of raw HTML: by page, so every later per-page step is local
+            todo = p.where(F.col("site").isin(own)).select("page_id", "site", "html").repartition(n, "page_id")
+            part = _texts(todo, [r for r in rules if r.site in (*own, "*")], own if anc else [])
+            texts = part if texts is None else texts.unionByName(part)
     # T6 with the per-site date modes: choose the text(s) first, parse once or twice
     dt, fb, mode = F.col("date_text"), F.col("fb_text"), F.col("date_mode")
     cut = F.trim(F.split(dt, MODIFIED).getItem(0))

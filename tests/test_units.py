@@ -135,6 +135,46 @@ def test_split_sizes(spark, n):
     assert {k: v for k, v in want.items() if v} == got
 
 
+def test_split_keeps_every_row_with_wide_columns(spark):
+    """Ranks are a function of the rows: evaluated twice, with texts and without
+    exchange reuse, every row comes back once and each site's ranks are 1..n."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    df = docs.select(F.col("doc_id").cast("string").alias("uuid"), F.col("source").alias("site"), "text") \
+        .unionByName(spark.createDataFrame([("n1", None, "x"), ("n2", None, "y")], "uuid string, site string, text string"))
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        rows = S.assign_split(df.repartition(5)).select("uuid", "site", "rank", "group_n", "text").collect()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert len(rows) == len({r["uuid"] for r in rows}) == 1002
+    for site in {r["site"] for r in rows}:
+        own = sorted(r["rank"] for r in rows if r["site"] == site)
+        assert own == list(range(1, len(own) + 1))
+        assert {r["group_n"] for r in rows if r["site"] == site} == {len(own)}
+
+
+@pytest.mark.parametrize("url,want", [
+    ("http://abc.net.au/x", "abc.net.au"), ("http://www.news.co.jp", "news.co.jp"), ("http://1.2.3.4/", "1.2.3.4"),
+    ("http://co.uk/", "co.uk"), ("https://m.telex.hu/a?b", "telex.hu"), ("http://localhost/", "localhost"),
+    ("http://a.b.blogs.example.com", "example.com"), ("http://bad host/%zz", None), (None, None)])
+def test_registered_domain_never_fails(spark, url, want):
+    from pressroom.functions import urls as U
+    df = spark.createDataFrame([(url,)], "url string")
+    assert df.select(U.registered_domain(F.col("url")).alias("d")).first()["d"] == want
+
+
+def test_registered_domain_with_more_suffixes(spark):
+    from pressroom.functions import urls as U
+    df = spark.createDataFrame([("http://x.me.blogs.example.com/",)], "url string")
+    assert df.select(U.registered_domain(F.col("url"), ("blogs.example.com",)).alias("d")).first()["d"] == "me.blogs.example.com"
+
+
+def test_copies_below_one_shingle_lose_too(spark):
+    rows = [(f"u{i}", t, dt.datetime(2021, 7, 1 + i)) for i, t in enumerate(["short", "short", "other", ""])]
+    df = spark.createDataFrame(rows, "uuid string, article string, cc_date timestamp_ntz")
+    assert [(r["uuid"], r["winner"]) for r in D.near_duplicate_losers(df).collect()] == [("u0", "u1")]
+
+
 def test_split_is_reproducible(spark):
     df = spark.createDataFrame([(f"id{i}", "s") for i in range(50)], "uuid string, site string")
     a = {r.uuid: r.split for r in S.assign_split(df).collect()}
