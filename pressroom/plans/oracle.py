@@ -178,7 +178,10 @@ losers AS (SELECT DISTINCT p.ux AS uuid
            JOIN dedup_in mx ON mx.uuid = p.ux JOIN dedup_in my ON my.uuid = p.uy
            WHERE (my.cc_date > mx.cc_date OR (my.cc_date = mx.cc_date AND my.uuid > mx.uuid))
              AND list_sum(list_transform(range(1, {K + 1}),
-                          lambda i: CASE WHEN sx.sig[i] = sy.sig[i] THEN 1 ELSE 0 END)) >= {CFG.min_agree})"""
+                          lambda i: CASE WHEN sx.sig[i] = sy.sig[i] THEN 1 ELSE 0 END)) >= {CFG.min_agree}
+           UNION  -- an older copy of the same text loses, however short
+           SELECT x.uuid FROM dedup_in x JOIN dedup_in y ON x.article = y.article
+           WHERE y.cc_date > x.cc_date OR (y.cc_date = x.cc_date AND y.uuid > x.uuid))"""
 
 
 def split_sql(src: str) -> str:
@@ -516,4 +519,7 @@ newer AS (SELECT p.ux, p.uy FROM pairs p JOIN dedup_in mx ON mx.uuid = p.ux JOIN
           WHERE my.cc_date > mx.cc_date OR (my.cc_date = mx.cc_date AND my.uuid > mx.uuid))
 SELECT DISTINCT n.ux AS uuid
 FROM newer n JOIN inter USING (ux, uy) JOIN ssize sx ON sx.uuid = n.ux JOIN ssize sy ON sy.uuid = n.uy
-WHERE CAST(inter.i AS DECIMAL(18, 6)) >= CAST({CFG.min_jaccard} AS DECIMAL(10, 6)) * (sx.n + sy.n - inter.i)"""
+WHERE CAST(inter.i AS DECIMAL(18, 6)) >= CAST({CFG.min_jaccard} AS DECIMAL(10, 6)) * (sx.n + sy.n - inter.i)
+UNION
+SELECT x.uuid FROM dedup_in x JOIN dedup_in y ON x.article = y.article
+WHERE y.cc_date > x.cc_date OR (y.cc_date = x.cc_date AND y.uuid > x.uuid)"""
