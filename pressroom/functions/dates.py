@@ -41,20 +41,24 @@ MONTHS = {
 # keeps one entry per spelling, all with the same month number.
 
 _NAME = r"(\p{L}+)\.?"
-_TIME = r"(?:[,\s]+(?:o\s+|um\s+|at\s+)?(\d{1,2}):(\d{2})(?::(\d{2}))?)?"
+# the time of day may follow a weekday, a preposition, a bar or a dash
+_TIME = r"(?:[,\s|–—-]+(?:\p{L}+\.?[,\s|–—-]+)?(\d{1,2}):(\d{2})(?::(\d{2}))?)?"
+_ORD = r"(?:st|nd|rd|th)?"
 
 # (pattern, group of year, month, day, hour, minute, second, month-is-name)
 LAYOUTS = (
-    # 2021-07-24, 2021-07-24T10:32:00, 2021.07.24. 10:32
-    (r"(\d{4})[-./]\s*(\d{1,2})[-./]\s*(\d{1,2})\.?(?:[T\s]+(\d{1,2}):(\d{2})(?::(\d{2}))?)?", (1, 2, 3, 4, 5, 6), False),
+    # 2021-07-24T10:32:00, 2021.07.24. 10:32
+    (r"(\d{4})[-./]\s*(\d{1,2})[-./]\s*(\d{1,2})\.?[T\s]+(\d{1,2}):(\d{2})(?::(\d{2}))?", (1, 2, 3, 4, 5, 6), False),
+    # 2021.07.24., szombat 10:32
+    (r"(\d{4})[-./]\s*(\d{1,2})[-./]\s*(\d{1,2})\.?" + _TIME, (1, 2, 3, 4, 5, 6), False),
     # 2021. július 24. 10:32 (Hungarian)
     (r"(\d{4})\.?\s+" + _NAME + r"\s*(\d{1,2})\.?" + _TIME, (1, 2, 3, 4, 5, 6), True),
     # 24. července 2021 10:32 / 24 July 2021 (Czech, Slovak, English)
-    (r"(\d{1,2})\.?\s+" + _NAME + r"\s+(\d{4})" + _TIME, (3, 2, 1, 4, 5, 6), True),
+    (r"(\d{1,2})" + _ORD + r"\.?\s+(?:of\s+)?" + _NAME + r",?\s+(\d{4})\.?" + _TIME, (3, 2, 1, 4, 5, 6), True),
     # July 24, 2021 10:32 (English)
-    (_NAME + r"\s+(\d{1,2}),?\s+(\d{4})" + _TIME, (3, 1, 2, 4, 5, 6), True),
-    # 24. 7. 2021 10:32 / 24.07.2021 (day first, numeric)
-    (r"(\d{1,2})\.\s*(\d{1,2})\.\s*(\d{4})" + _TIME, (3, 2, 1, 4, 5, 6), False),
+    (_NAME + r"\s+(\d{1,2})" + _ORD + r",?\s+(\d{4})" + _TIME, (3, 1, 2, 4, 5, 6), True),
+    # 24. 7. 2021 10:32 / 24.07.2021 / 24/07/2021 (day first, numeric)
+    (r"(\d{1,2})[./]\s*(\d{1,2})[./]\s*(\d{4})\.?" + _TIME, (3, 2, 1, 4, 5, 6), False),
 )
 
 

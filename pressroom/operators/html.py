@@ -1,30 +1,31 @@
 """HTML extraction without a DOM library.
 
-A page becomes rows of a token table ``(page_id, pos, kind, name, attrs)``;
-every structural question is a window over that table:
+A page is split into an array of tokens; one small Arrow-batched helper runs the
+open-element stack over their names and says, per token, where its element ends
+and which element is its parent.  A close tag ends the latest open element of its
+name and all elements left open inside it; one without an open element is ignored.
+So an unclosed element ends with its parent.  The exploded token table carries
+that structure, and the rest are columns of it:
 
-* nesting level per tag name: running sum of +1 (open) / -1 (close) over
-  ``(page, name)``; an element's close is the next token of the same
-  ``(page, name, level)``, which survives unclosed ``<p>``/``<b>``;
-* removal: a running sum of span starts and ends over the page;
-* ancestors for child selectors: running total depth, and the latest open
-  at depth ``d-1`` / ``d-2`` before a token is its parent / grandparent.
+* child selectors compare the parent's and grandparent's name, class, id, href;
+* removal: a token is dropped when a flagged element opened before it ends at or
+  after it, a running maximum over the page.
 
 Pages are hash-partitioned by ``page_id`` once, before tokenising; all later
 windows and aggregations are keyed by ``page_id`` first, so Spark reuses that
-partitioning.  A page is bounded in size, so a per-page window never holds
-more than one document.  Site rules are compiled into boolean columns
-(codegen'd ``OR`` of ``AND``s), not joined per token.
+partitioning.  A page is bounded in size, so a per-page array or window never
+holds more than one document.  Site rules are compiled into a literal map probed
+per token, not joined.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from html.entities import html5
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from pressroom.sources.site_rules import ALL_RULES, Rule
+from pyspark.sql import types as T
 
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta",
         "param", "source", "track", "wbr")
@@ -32,24 +33,17 @@ BLOCK = ("address", "article", "aside", "blockquote", "dd", "div", "dl", "dt", "
          "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li",
          "main", "nav", "ol", "p", "pre", "section", "table", "td", "th", "tr", "ul")
 
-# Named character references decoded in text (``&amp;`` last).
-ENTITIES = (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
-            ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"),
-            ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"),
-            ("&laquo;", "«"), ("&raquo;", "»"), ("&bdquo;", "„"),
-            ("&ldquo;", "“"), ("&rdquo;", "”"), ("&lsquo;", "‘"),
-            ("&rsquo;", "’"), ("&amp;", "&"))
-
-TOKEN_RE = r"<[^>]*>|[^<]+"
+# A tag starts with a letter; a quoted attribute value may hold ">".  Other "<" are text.
+TOKEN_RE = (r"""</?[A-Za-z](?:=\s*+"[^"]*+"|=\s*+'[^']*+'|[^>=]++|=)*+>|<[!?/][^>]*>|[^<]+|<""")
 COMMENT_RE = r"(?s)<!--.*?-->"
 SCRIPT_RE = r"(?is)<script\b[^>]*>.*?</script\s*>"
 STYLE_RE = r"(?is)<style\b[^>]*>.*?</style\s*>"
 
 
 def _attr(tok: Column, name: str) -> Column:
-    dq = F.regexp_extract(tok, rf'(?i)\s{name}\s*=\s*"([^"]*)"', 1)
-    sq = F.regexp_extract(tok, rf"(?i)\s{name}\s*=\s*'([^']*)'", 1)
-    return F.concat(dq, sq)
+    """Value of an attribute, quoted or not; empty when there is none."""
+    pat = rf"""(?i)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    return F.concat(*[F.regexp_extract(tok, pat, g) for g in (1, 2, 3)])
 
 
 def mask(html: Column) -> Column:
@@ -59,84 +53,81 @@ def mask(html: Column) -> Column:
     return F.regexp_replace(h, STYLE_RE, "<style></style>")
 
 
+_TREE = T.StructType([T.StructField("end", T.ArrayType(T.IntegerType())), T.StructField("parent", T.ArrayType(T.IntegerType()))])
+
+
+@F.pandas_udf(_TREE)
+def _element_tree(marks: pd.Series) -> pd.DataFrame:
+    """Per token of a page: the position where its element ends (itself but for
+    open tags) and the position of its parent's open tag, -1 at the top."""
+    ends, parents = [], []
+    for page in marks:
+        n = 0 if page is None else len(page)
+        end, parent, stack, is_open = list(range(n)), [-1] * n, [], {}
+        for i in range(n):
+            mark = page[i]
+            if mark.startswith("/"):
+                name = mark[1:]
+                while is_open.get(name):  # without an open element of the name: ignored
+                    j, inner = stack.pop()
+                    is_open[inner] -= 1
+                    end[j] = i if inner == name else i - 1
+                    if inner == name:
+                        break
+            parent[i] = stack[-1][0] if stack else -1
+            if mark and not mark.startswith("/"):
+                stack.append((i, mark))
+                is_open[mark] = is_open.get(mark, 0) + 1
+        for j, _ in stack:
+            end[j] = n - 1
+        ends.append(end)
+        parents.append(parent)
+    return pd.DataFrame({"end": ends, "parent": parents})
+
+
+def _token(tok: Column) -> Column:
+    name = F.lower(F.regexp_extract(tok, r"^</?([A-Za-z][A-Za-z0-9-]*)", 1))
+    is_open_tag = tok.rlike(r"^<[A-Za-z].*(?s)>$")
+    kind = (F.when(tok.rlike(r"^</[A-Za-z]"), F.lit("close"))
+            .when(is_open_tag & (name.isin(list(VOID)) | tok.rlike(r"/\s*>$")), F.lit("void"))
+            .when(is_open_tag, F.lit("open"))
+            .when(tok.rlike(r"^<[!?/]"), F.lit("other"))
+            .otherwise(F.lit("text")))
+    return F.struct(tok.alias("tok"), kind.alias("kind"), name.alias("name"))
+
+
 def tokenize(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
              keep: tuple[str, ...] = ("site",)) -> DataFrame:
-    """H1: (page_id, keep..., pos, tok, kind, name, cls, elem_id, href, delta)."""
+    """H1: (page_id, keep..., pos, tok, kind, name, cls, elem_id, href, end, anc1, anc2).
+
+    ``end`` is the last position of the element a token opens (its own position for
+    other tokens); ``anc1`` and ``anc2`` are (name, cls, elem_id, href) of parent and
+    grandparent, null where there is none.  A null page has no tokens."""
     t = pages.select(F.col(id_col).alias("page_id"), *keep,
-                     F.posexplode(F.regexp_extract_all(mask(F.col(html_col)), F.lit(TOKEN_RE), 0))
-                     .alias("pos", "tok"))
+                     F.transform(F.regexp_extract_all(mask(F.col(html_col)), F.lit(TOKEN_RE), 0), _token).alias("toks"))
+    marks = F.transform("toks", lambda x: F.when(x["kind"] == "open", x["name"])
+                        .when(x["kind"] == "close", F.concat(F.lit("/"), x["name"])).otherwise(F.lit("")))
+    t = t.withColumn("tree", _element_tree(marks))
+    # attributes only of the few open tags that are somebody's parent, at most once each
+    info = F.transform("toks", lambda x: F.when(x["kind"] == "open", F.struct(
+        x["name"].alias("name"), F.split(F.trim(_attr(x["tok"], "class")), r"\s+").alias("cls"),
+        _attr(x["tok"], "id").alias("elem_id"), _attr(x["tok"], "href").alias("href"))))
+    t = t.select("page_id", *keep, "toks", "tree", info.alias("info"))
+    at = lambda i: F.when(i >= 0, F.get("info", i))
+    up = lambda i: F.when(i >= 0, F.get("tree.parent", i))
+    t = t.select("page_id", *keep, F.posexplode(F.zip_with(
+        "toks", F.arrays_zip(F.col("tree.end").alias("end"), F.col("tree.parent").alias("parent")),
+        lambda x, e: F.struct(x["tok"], x["kind"], x["name"], e["end"],
+                              at(e["parent"]).alias("anc1"), at(up(e["parent"])).alias("anc2")))).alias("pos", "t"))
+    t = t.select("page_id", *keep, "pos", "t.*")
     tok = F.col("tok")
-    name = F.lower(F.regexp_extract(tok, r"^</?([A-Za-z][A-Za-z0-9-]*)", 1))
-    is_open_tag = tok.rlike(r"^<[A-Za-z]")
-    void = name.isin(list(VOID)) | tok.rlike(r"/\s*>$")
-    kind = (F.when(tok.startswith("</"), F.lit("close"))
-            .when(is_open_tag & void, F.lit("void"))
-            .when(is_open_tag, F.lit("open"))
-            .when(tok.startswith("<"), F.lit("other"))
-            .otherwise(F.lit("text")))
-    t = t.withColumns({"name": name, "kind": kind})
     return t.withColumns({
         "cls": F.split(F.trim(_attr(tok, "class")), r"\s+"),
         "elem_id": _attr(tok, "id"),
         "href": _attr(tok, "href"),
-        "delta": F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0),
     })
 
 
-def with_spans(tokens: DataFrame, flags: tuple[str, ...] = ()) -> DataFrame:
-    """Add ``end`` (position of the matching close of an open token, null when
-    unclosed) and, on close tokens, ``<flag>_end``: the flag of the open they
-    close.  Both come from neighbours in the ``(page, name, level)`` window."""
-    w_name = Window.partitionBy("page_id", "name").orderBy("pos")
-    depth = F.sum("delta").over(w_name.rowsBetween(Window.unboundedPreceding, 0))
-    t = tokens.withColumn("_depth", F.when(F.col("delta") != 0, depth))
-    t = t.withColumn("_level", F.when(F.col("kind") == "open", F.col("_depth"))
-                     .when(F.col("kind") == "close", F.col("_depth") + 1))
-    w_lvl = Window.partitionBy("page_id", "name", "_level").orderBy("pos")
-    nxt = F.lead(F.struct("kind", "pos")).over(w_lvl)
-    prv = F.lag(F.struct("kind", *flags)).over(w_lvl) if flags else None
-    t = t.withColumn("end", F.when((F.col("kind") == "open") & (nxt["kind"] == "close"), nxt["pos"]))
-    for f in flags:
-        t = t.withColumn(f"{f}_end", F.coalesce(
-            (F.col("kind") == "close") & (prv["kind"] == "open") & prv[f], F.lit(False)))
-    return t.drop("_depth", "_level")
-
-
-def with_ancestors(tokens: DataFrame, sites: list[str], levels: int = 2) -> DataFrame:
-    """Add ``anc1``..``ancK``: (name, cls, elem_id, href) of the parent,
-    grandparent, ... of each open/void token, by running total depth.
-
-    The ancestor at distance k of a token at depth d is the latest open token
-    at depth d - k before it: nodes keyed by their depth and probes keyed by
-    d - k meet in one ``(page, key)`` window.  Only pages of ``sites`` (those
-    with child-selector rules) pay for it; other pages get nulls.
-    """
-    info = F.struct("name", "cls", "elem_id", "href")
-    itype = tokens.select(info.alias("i")).schema["i"].dataType
-    need = tokens.where(F.col("site").isin(sites))
-    rest = tokens.where(~F.col("site").isin(sites) | F.col("site").isNull())
-    for k in range(1, levels + 1):
-        rest = rest.withColumn(f"anc{k}", F.lit(None).cast(itype))
-    w_page = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    d = need.withColumn("_d", F.sum("delta").over(w_page))
-    d = d.withColumn("_lvl", F.when(F.col("kind") == "open", F.col("_d"))
-                     .when(F.col("kind") == "void", F.col("_d") + 1))
-    out = d
-    for k in range(1, levels + 1):
-        nodes = d.where(F.col("kind") == "open").select(
-            "page_id", F.col("_lvl").alias("_key"), "pos", F.lit(0).alias("_probe"), info.alias("_info"))
-        probes = d.where(F.col("kind").isin("open", "void")).select(
-            "page_id", (F.col("_lvl") - k).alias("_key"), "pos", F.lit(1).alias("_probe"),
-            F.lit(None).cast(itype).alias("_info"))
-        w = Window.partitionBy("page_id", "_key").orderBy("pos", "_probe") \
-                  .rowsBetween(Window.unboundedPreceding, 0)
-        found = (nodes.unionByName(probes)
-                 .withColumn(f"anc{k}", F.last("_info", ignorenulls=True).over(w))
-                 .where(F.col("_probe") == 1).select("page_id", "pos", f"anc{k}"))
-        out = out.join(found, ["page_id", "pos"], "left")
-    return out.drop("_d", "_lvl").unionByName(rest)
-
-
 # --------------------------------------------------------------------------- rules
 #
 # Rules are looked up, not expanded: a literal map from
@@ -179,7 +170,7 @@ def _anc_ok(anc: Column, tag: Column, attr: Column, value: Column) -> Column:
     return tag.isNull() | (anc.isNotNull() & F.coalesce(hit, F.lit(False)))
 
 
-def matched_rules(rules, with_ancestors: bool) -> Column:
+def matched_rules(rules) -> Column:
     """array<entry> of the rules whose selector ends at this token (open/void)."""
     idx = rule_index(rules)
     site, name = F.col("site"), F.col("name")
@@ -192,11 +183,8 @@ def matched_rules(rules, with_ancestors: bool) -> Column:
         keys.append(F.array(F.concat(pre, F.lit("|href|"), F.col("href"))))
     hits = F.flatten(F.transform(F.concat(*keys),
                                  lambda k: F.coalesce(F.try_element_at(idx, k), F.array().cast(f"array<{_ENTRY}>"))))
-    if with_ancestors:
-        hits = F.filter(hits, lambda e: _anc_ok(F.col("anc1"), e["p_tag"], e["p_attr"], e["p_value"])
-                        & _anc_ok(F.col("anc2"), e["g_tag"], e["g_attr"], e["g_value"]))
-    else:
-        hits = F.filter(hits, lambda e: e["p_tag"].isNull())
+    hits = F.filter(hits, lambda e: _anc_ok(F.col("anc1"), e["p_tag"], e["p_attr"], e["p_value"])
+                    & _anc_ok(F.col("anc2"), e["g_tag"], e["g_attr"], e["g_value"]))
     return F.when(F.col("kind").isin("open", "void"), hits).otherwise(F.array().cast(f"array<{_ENTRY}>"))
 
 
@@ -210,16 +198,36 @@ def best_of_role(m: Column, role: str) -> Column:
                                    lambda e: F.struct(e["priority"].alias("priority"), e["mode"].alias("mode"))))
 
 
-def needs_ancestors(rules) -> bool:
-    return any(len(r.selector) > 1 for r in rules)
+# --------------------------------------------------------------------------- text
 
+def _code_point(n: Column) -> Column:
+    """A numeric reference's character; those in 128-159 mean Windows-1252, and
+    numbers of no character give U+FFFD."""
+    ok = n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
+    high = n - 0x10000
+    unit = lambda u: F.lpad(F.hex(u), 4, "0")
+    utf16 = F.when(n < 0x10000, unit(n)).otherwise(
+        F.concat(unit(F.lit(0xD800) + F.shiftright(high, 10)), unit(F.lit(0xDC00) + high.bitwiseAND(F.lit(0x3FF)))))
+    old = F.create_map(*[F.lit(x) for k in range(128, 160) for x in (k, bytes([k]).decode("cp1252", "replace"))])
+    return F.when(n.between(128, 159), F.try_element_at(old, n.cast("int"))) \
+        .when(ok, F.decode(F.unhex(utf16), "UTF-16BE")).otherwise(F.lit("\ufffd"))
+
+
+def _reference(r: Column, names: Column) -> Column:
+    dec = F.regexp_extract(r, r"^&#(\d{1,9});?$", 1)
+    hexa = F.regexp_extract(r, r"^&#[xX]([0-9A-Fa-f]{1,7});?$", 1)
+    return (F.when(dec != "", _code_point(dec.try_cast("long")))
+            .when(hexa != "", _code_point(F.conv(hexa, 16, 10).try_cast("long")))
+            .otherwise(F.coalesce(F.try_element_at(names, F.substr(r, F.lit(2))), r)))
 
-# --------------------------------------------------------------------------- text
 
 def decode_entities(s: Column) -> Column:
-    for ent, ch in ENTITIES:
-        s = F.replace(s, F.lit(ent), F.lit(ch))
-    return s
+    """Named (the HTML5 table of Python's standard library) and numeric character
+    references; unknown ones stay as they are.  Text without "&" is passed by."""
+    names = F.create_map(*[F.lit(x) for k, v in html5.items() if k.endswith(";") for x in (k, v)])
+    parts = F.regexp_extract_all(s, F.lit(r"&(?:#\d{1,9};?|#[xX][0-9A-Fa-f]{1,7};?|[A-Za-z][A-Za-z0-9]*;)|[^&]+|&"), 0)
+    return F.when(s.contains("&"), F.array_join(F.transform(
+        parts, lambda r: F.when(r.rlike("^&."), _reference(r, names)).otherwise(r)), "")).otherwise(s)
 
 
 def piece(tokens_kind: Column = None) -> Column:
@@ -242,12 +250,6 @@ def join_pieces(pieces: Column) -> Column:
 
 
 def coverage(tokens: DataFrame, flag: str, out: str) -> DataFrame:
-    """Mark tokens inside any span of an open token where ``flag`` holds, from
-    that open to its matching close (to the end of the page when unclosed):
-    starts so far minus ends strictly before the token."""
-    w = Window.partitionBy("page_id").orderBy("pos")
-    starts = F.sum(F.when(F.col(flag) & (F.col("kind") == "open"), 1).otherwise(0)) \
-              .over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ends = F.sum(F.when(F.col(f"{flag}_end"), 1).otherwise(0)) \
-            .over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return tokens.withColumn(out, (starts - F.coalesce(ends, F.lit(0))) > 0)
+    """Mark tokens inside any element opened by a token where ``flag`` holds."""
+    w = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return tokens.withColumn(out, F.coalesce(F.max(F.when(F.col(flag), F.col("end"))).over(w) >= F.col("pos"), F.lit(False)))

@@ -255,7 +255,11 @@ k AS (SELECT page_id, url,
 SELECT canonical_url, max(page_id) AS page_id, arg_max(url, page_id) AS url FROM k GROUP BY canonical_url"""
 
 # --- HTML extraction -------------------------------------------------------
-from pressroom.operators.html import BLOCK, ENTITIES, VOID  # noqa: E402
+from pressroom.operators.html import BLOCK, VOID  # noqa: E402
+
+# the character references that occur in the tables
+ENTITIES = (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
+            ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 
 
 def _sql_list(xs) -> str:

@@ -38,19 +38,14 @@ def prepare_pages(pages: DataFrame, url_rules=U.BAD_URL_RULES) -> DataFrame:
     return p
 
 
-def _texts(todo: DataFrame, rules, anc_sites: list[str]) -> DataFrame:
-    """Per page: validity, date mode, and the body, date and fallback texts.
-    ``anc_sites``: the sites whose rules need ancestors."""
-    t = H.tokenize(todo, keep=("site",))
-    if anc_sites:
-        t = H.with_ancestors(t, anc_sites)
-    t = t.withColumn("_m", H.matched_rules(rules, bool(anc_sites)))
+def _texts(todo: DataFrame, rules) -> DataFrame:
+    """Per page: validity, date mode, and the body, date and fallback texts."""
+    t = H.tokenize(todo, keep=("site",)).withColumn("_m", H.matched_rules(rules))
     t = t.withColumns({
         "reject_m": H.has_role(F.col("_m"), "reject"),
         "remove_m": H.has_role(F.col("_m"), "remove"),
         "lead_m": H.has_role(F.col("_m"), "lead"),
     })
-    t = H.with_spans(t, flags=("remove_m", "lead_m"))
     t = H.coverage(t, "remove_m", "removed")
     t = H.coverage(t, "lead_m", "in_lead")
     live_open = ~F.col("removed") & (F.col("kind") == "open")
@@ -76,7 +71,7 @@ def _texts(todo: DataFrame, rules, anc_sites: list[str]) -> DataFrame:
     })
 
     def inside(s):
-        return (F.col("pos") >= F.col(f"{s}.pos")) & (F.col(f"{s}.end").isNull() | (F.col("pos") <= F.col(f"{s}.end")))
+        return (F.col("pos") >= F.col(f"{s}.pos")) & (F.col("pos") <= F.col(f"{s}.end"))
 
     live = ~F.col("removed")
     piece = F.struct("pos", "piece")
@@ -100,18 +95,8 @@ def extract(pages: DataFrame, rules=ALL_RULES, url_rules=U.BAD_URL_RULES,
     p = prepare_pages(pages, url_rules)
     known = sites(rules)
     n = num_partitions or int(p.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Child selectors need ancestors (two extra windows and a join).  Sites that
-    # have such rules and sites that don't go through plans of their own, so the
-    # rules alone decide, and a corpus without the former pays for an empty scan.
-    anc_sites = {r.site for r in rules if len(r.selector) > 1}
-    texts = None
-    for anc in (False, True):
-        own = sorted(s for s in known if (s in anc_sites) == anc)
-        if own:
-            # the one shuffle of raw HTML: by page, so every later per-page step is local
-            todo = p.where(F.col("site").isin(own)).select("page_id", "site", "html").repartition(n, "page_id")
-            part = _texts(todo, [r for r in rules if r.site in (*own, "*")], own if anc else [])
-            texts = part if texts is None else texts.unionByName(part)
+    # the one shuffle of raw HTML: by page, so every later per-page step is local
+    texts = _texts(p.where(F.col("site").isin(known)).select("page_id", "site", "html").repartition(n, "page_id"), rules)
     # T6 with the per-site date modes: choose the text(s) first, parse once or twice
     dt, fb, mode = F.col("date_text"), F.col("fb_text"), F.col("date_mode")
     cut = F.trim(F.split(dt, MODIFIED).getItem(0))

@@ -107,3 +107,42 @@ def test_ids_are_deterministic(spark, extracted):
     pages = spark.createDataFrame([(1, PAGES[1][0], PAGES[1][1])], "page_id long, url string, html string")
     again = scrape.extract(pages).collect()[0]
     assert again.uuid == extracted[1].uuid
+
+
+ODD = {
+    1: "<article>1 < 2 and more</article>",
+    2: """<article><a title="a>b" href='x'>link</a> it's</article>""",
+    3: "<article>seen<div class=ad>advert</div></article>",
+    4: "<div><nav>menu</div><article>kept text</article>",
+    5: "<article>Caf&eacute; &#337; &#x151; &#128; &#x1F600; &unknown; &amp;lt; a & b</article>",
+    6: "<article><p title=it's>first<p>second</b></article></article> after",
+    7: "<article>open <b>to the end",
+}
+ODD_TEXT = {1: "1 < 2 and more", 2: "link it's", 3: "seen", 4: "kept text", 5: "Café ő ő € 😀 &unknown; &lt; a & b",
+            6: "first\n\nsecond", 7: "open to the end"}
+
+
+def test_odd_markup(spark):
+    pages = spark.createDataFrame([(k, "https://example.com/a", h) for k, h in ODD.items()], "page_id long, url string, html string")
+    assert {r.page_id: r.article for r in scrape.extract(pages).collect()} == ODD_TEXT
+
+
+def test_child_selector_knows_unclosed_parents(spark):
+    body = '<div class="article-html-content">{}</div>'
+    html = {1: body.format('<p>a<br><i>b<div><a href="/legfrissebb"><strong>stays</strong></a></div>'),
+            2: body.format('<div><i>x</div><p><a href=/legfrissebb><strong>goes</strong></a>rest</p>')}
+    pages = spark.createDataFrame([(k, "https://telex.hu/x/y", h) for k, h in html.items()], "page_id long, url string, html string")
+    out = {r.page_id: r.article for r in scrape.extract(pages).collect()}
+    assert "stays" in out[1] and "goes" not in out[2] and "rest" in out[2]
+
+
+DATES = ["2021. július 24., szombat 10:32", "2021. július 24. v 10:32", "2021. július 24. | 10:32", "2021. július 24. – 10:32",
+         "24/07/2021 10:32", "24. července 2021 v 10:32", "24th July 2021, 10:32", "July 24th, 2021 at 10:32",
+         "2021.07.24. szombat 10:32", "2021-07-24T10:32:00"]
+
+
+def test_dates_with_time(spark):
+    from pressroom.functions.dates import parse_human_date
+    from pyspark.sql import functions as F
+    rows = spark.createDataFrame([(d,) for d in DATES], "d string").select("d", parse_human_date(F.col("d")).alias("t")).collect()
+    assert {r.d: r.t for r in rows} == {d: dt.datetime(2021, 7, 24, 10, 32) for d in DATES}
