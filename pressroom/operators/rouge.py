@@ -12,12 +12,14 @@
   sequential dependency that Spark's higher-order functions can only express
   quadratically, so the length is computed by a small Arrow-batched helper
   (bit-parallel LCS, O(m * n / 64)) on token arrays produced by Spark.
-* R5: the corpus score is the mean over pairs (the centre of the reference's
-  bootstrap interval), rounded to 4 digits (T13).
+* R5: the corpus score is the mean over pairs, or low, middle and high of a seeded
+  Poisson bootstrap, rounded to 4 digits (T13).
 """
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +27,9 @@ from pyspark.sql import types as T
 
 from pressroom.functions.text import round4
 
+#: P(X <= k) of a Poisson(1) variable, k = 0..9
+_POISSON_CDF = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(10)]
+
 UNICODE_TOKEN_RE = r"[\pL\pN]+"
 ASCII_TOKEN_RE = r"[a-z0-9]+"
 
@@ -50,27 +55,37 @@ def _prf(overlap: Column, n_pred: Column, n_ref: Column, prefix: str) -> list[Co
     return [p.alias(f"{prefix}_precision"), r.alias(f"{prefix}_recall"), f.alias(f"{prefix}_fmeasure")]
 
 
-def rouge_n(pairs: DataFrame, n: int, id_col: str = "uuid", pred_col: str = "generated",
-            ref_col: str = "article", ascii: bool = False) -> DataFrame:
-    """Per pair: rouge{n}_precision / _recall / _fmeasure (unrounded)."""
-    prefix = f"rouge{n}"
+def _overlaps(tok: DataFrame, orders: tuple[int, ...], carry: tuple[str, ...] = ()) -> DataFrame:
+    """(_id, overlap{n}, n_pred{n}, n_ref{n} per order) from token arrays ``tp``, ``tr``:
+    one explode of the n-grams of all orders and both sides.  ``carry``: columns of
+    the pair that are kept."""
+    side = lambda c, n, p, r: F.transform(ngrams(F.col(c), n), lambda x: F.struct(
+        F.lit(n).alias("n"), x.alias("gram"), F.lit(p).alias("p"), F.lit(r).alias("r")))
+    grams = F.concat(*[side(c, n, p, 1 - p) for n in orders for c, p in (("tp", 1), ("tr", 0))])
+    # a pair with no n-gram at all keeps a null row (explode_outer), so every pair survives
+    per_gram = tok.select("_id", *carry, F.explode_outer(grams).alias("e")) \
+        .select("_id", *carry, "e.*").groupBy("_id", "n", "gram") \
+        .agg(F.sum("p").alias("cp"), F.sum("r").alias("cr"), *[F.first(c).alias(c) for c in carry])
+    of = lambda n, c: F.coalesce(F.sum(F.when(F.col("n") == n, c)), F.lit(0))
+    return per_gram.groupBy("_id").agg(*[F.first(c).alias(c) for c in carry], *[x for n in orders for x in (
+        of(n, F.least("cp", "cr")).cast("double").alias(f"overlap{n}"),
+        of(n, F.col("cp")).alias(f"n_pred{n}"), of(n, F.col("cr")).alias(f"n_ref{n}"))])
+
+
+def _token_arrays(pairs: DataFrame, id_col: str, pred_col: str, ref_col: str, ascii: bool) -> DataFrame:
     # tokens first, as columns: referenced inside the n-gram lambda, an
     # expression would be re-evaluated for every n-gram
     from pressroom.session import spread
     src = spread(pairs.select(F.col(id_col).alias("_id"), pred_col, ref_col), "_id")
-    t = src.select("_id", tokens(F.col(pred_col), ascii).alias("tp"), tokens(F.col(ref_col), ascii).alias("tr"))
-    g = t.select("_id", ngrams(F.col("tp"), n).alias("gp"), ngrams(F.col("tr"), n).alias("gr"))
-    # one explode of both sides, tagged; a pair with no n-gram at all keeps a
-    # null row (explode_outer), so every pair survives the aggregation
-    tagged = F.concat(F.transform("gp", lambda x: F.struct(x.alias("gram"), F.lit(1).alias("p"), F.lit(0).alias("r"))),
-                      F.transform("gr", lambda x: F.struct(x.alias("gram"), F.lit(0).alias("p"), F.lit(1).alias("r"))))
-    side = g.select("_id", F.explode_outer(tagged).alias("e")).select("_id", "e.gram", "e.p", "e.r")
-    per_gram = side.groupBy("_id", "gram").agg(F.sum("p").alias("cp"), F.sum("r").alias("cr"))
-    j = per_gram.groupBy("_id").agg(
-        F.coalesce(F.sum(F.least("cp", "cr")), F.lit(0)).cast("double").alias("overlap"),
-        F.coalesce(F.sum("cp"), F.lit(0)).alias("n_pred"),
-        F.coalesce(F.sum("cr"), F.lit(0)).alias("n_ref"))
-    return j.select(F.col("_id").alias(id_col), *_prf(F.col("overlap"), F.col("n_pred"), F.col("n_ref"), prefix))
+    return src.select("_id", tokens(F.col(pred_col), ascii).alias("tp"), tokens(F.col(ref_col), ascii).alias("tr"))
+
+
+def rouge_n(pairs: DataFrame, n: int, id_col: str = "uuid", pred_col: str = "generated",
+            ref_col: str = "article", ascii: bool = False) -> DataFrame:
+    """Per pair: rouge{n}_precision / _recall / _fmeasure (unrounded)."""
+    j = _overlaps(_token_arrays(pairs, id_col, pred_col, ref_col, ascii), (n,))
+    return j.select(F.col("_id").alias(id_col), *_prf(
+        F.col(f"overlap{n}"), F.col(f"n_pred{n}"), F.col(f"n_ref{n}"), f"rouge{n}"))
 
 
 def lcs_length(a: list, b: list) -> int:
@@ -106,15 +121,41 @@ def rouge_l(pairs: DataFrame, id_col: str = "uuid", pred_col: str = "generated",
 
 def rouge_scores(pairs: DataFrame, id_col: str = "uuid", pred_col: str = "generated",
                  ref_col: str = "article", ascii: bool = False, with_l: bool = True) -> DataFrame:
-    """Per pair: the nine (or six without L) ROUGE numbers."""
-    out = rouge_n(pairs, 1, id_col, pred_col, ref_col, ascii) \
-        .join(rouge_n(pairs, 2, id_col, pred_col, ref_col, ascii), id_col)
-    if with_l:
-        out = out.join(rouge_l(pairs, id_col, pred_col, ref_col, ascii), id_col)
-    return out
+    """Per pair: the nine (or six without L) ROUGE numbers.  Each text is tokenised
+    once; the length of the common subsequence rides along with the token counts."""
+    t = _token_arrays(pairs, id_col, pred_col, ref_col, ascii)
+    if not with_l:
+        j, numbers = _overlaps(t, (1, 2)), ()
+    else:
+        t = t.withColumn("lcs", _lcs_udf("tp", "tr").cast("double"))
+        j, numbers = _overlaps(t, (1, 2), carry=("lcs",)), _prf(F.col("lcs"), F.col("n_pred1"), F.col("n_ref1"), "rougeL")
+    return j.select(F.col("_id").alias(id_col), *[c for n in (1, 2) for c in _prf(
+        F.col(f"overlap{n}"), F.col(f"n_pred{n}"), F.col(f"n_ref{n}"), f"rouge{n}")], *numbers)
 
 
 def corpus_scores(per_pair: DataFrame, id_col: str = "uuid") -> DataFrame:
     """R5 + T13: one row, the mean of each score over pairs, rounded to 4 digits."""
     cols = [c for c in per_pair.columns if c != id_col]
     return per_pair.agg(*[round4(F.avg(c)).alias(c) for c in cols])
+
+
+def bootstrap_scores(per_pair: DataFrame, id_col: str = "uuid", rounds: int = 1000, seed: int = 42) -> DataFrame:
+    """(score, low, mid, high): 2.5 %, 50 % and 97.5 % points of the corpus mean
+    over ``rounds`` resamples, rounded to 4 digits.
+
+    A pair's weight in a round is a Poisson(1) draw, which resamples without a global
+    shuffle of rows.  The draw is a function of (id, round, seed), so reruns and any
+    partitioning agree.  One pass: pairs x rounds rows fold map-side into
+    rounds x scores sums, whose size does not depend on the corpus."""
+    cols = [c for c in per_pair.columns if c != id_col]
+    # 28 bits of the md5 as a uniform number, compared with the cumulative Poisson(1) weights
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.col("round").cast("string"),
+                                             F.lit(str(seed)))), 1, 7), 16, 10).cast("double") / float(1 << 28)
+    w = sum((F.when(u >= c, 1).otherwise(0) for c in _POISSON_CDF), F.lit(0))
+    drawn = per_pair.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("w", w)
+    sums = drawn.groupBy("round").agg(F.sum("w").alias("w"), *[F.sum(F.col(c) * F.col("w")).alias(c) for c in cols]) \
+        .where("w > 0")
+    long = sums.select("round", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("score"), (F.col(c) / F.col("w")).alias("mean")) for c in cols])).alias("s"))
+    return long.groupBy("s.score").agg(*[round4(F.percentile("s.mean", F.lit(q))).alias(name)
+                                         for name, q in (("low", 0.025), ("mid", 0.5), ("high", 0.975))])

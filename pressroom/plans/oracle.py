@@ -452,6 +452,45 @@ SELECT """ + ", ".join(f"round(avg(s1.{c}), 4) AS {c}" for c in _c1) + ", " + \
     ", ".join(f"round(avg(s2.{c}), 4) AS {c}" for c in _c2) + """
 FROM s1 JOIN s2 USING (uuid)"""
 
+# ROUGE-L: the dynamic programme row by row, one step per word of the generated text.  Row cell j is the
+# longest common subsequence of the words so far and the first j words of the reference; it is the
+# running maximum of the old row and, where the words match, the old row's cell to the left plus one.
+ROUGE_L = """,
+tok AS (SELECT uuid, regexp_extract_all(lower(generated), '[\\pL\\pN]+') AS gp,
+               regexp_extract_all(lower(article), '[\\pL\\pN]+') AS gr FROM pairs),
+dp AS (SELECT uuid, 0 AS i, list_transform(range(len(gr) + 1), lambda x: CAST(0 AS BIGINT)) AS row FROM tok
+       UNION ALL
+       SELECT c.uuid, c.i + 1, list(c.best ORDER BY c.j)
+       FROM (SELECT x.uuid, x.i, x.j, max(x.cell) OVER (PARTITION BY x.uuid ORDER BY x.j) AS best
+             FROM (SELECT d.uuid, d.i, unnest(range(len(t.gr) + 1)) AS j,
+                          unnest(list_transform(range(len(t.gr) + 1), lambda k:
+                            greatest(d.row[k + 1], CASE WHEN k > 0 AND t.gr[k] = t.gp[d.i + 1] THEN d.row[k] + 1 ELSE 0 END))) AS cell
+                   FROM dp d JOIN tok t USING (uuid) WHERE d.i < len(t.gp)) x) c
+       GROUP BY c.uuid, c.i),
+l AS (SELECT d.uuid, d.row[len(d.row)] / greatest(len(t.gp), 1) AS p, d.row[len(d.row)] / greatest(len(t.gr), 1) AS r
+      FROM dp d JOIN tok t USING (uuid) WHERE d.i = len(t.gp)),
+lf AS (SELECT uuid, p AS rougeL_precision, r AS rougeL_recall,
+              CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS rougeL_fmeasure FROM l)"""
+_CL = ["rougeL_precision", "rougeL_recall", "rougeL_fmeasure"]
+ORACLE["r4_rougeL_per_pair"] = with_(PAIRS).replace("WITH", "WITH RECURSIVE", 1) + ROUGE_L + """
+SELECT uuid, """ + ", ".join(f"round({c}, 6) AS {c}" for c in _CL) + " FROM lf"
+ORACLE["r5_rouge_all_corpus"] = "WITH RECURSIVE" + with_(PAIRS).replace("WITH", "", 1) + ROUGE_L + """,
+s1 AS (""" + with_(PAIRS) + _b1 + """),
+s2 AS (""" + with_(PAIRS) + _b2 + """)
+SELECT """ + ", ".join(f"round(avg({c}), 4) AS {c}" for c in _c1 + _c2 + _CL) + """
+FROM s1 JOIN s2 USING (uuid) JOIN lf USING (uuid)"""
+# the same draws as numbers: the Poisson weight by its cumulative distribution
+ORACLE["r5_bootstrap"] = with_(PAIRS) + """,
+s1 AS (""" + with_(PAIRS) + _b1 + """),
+s2 AS (""" + with_(PAIRS) + _b2 + """),
+u AS (SELECT *, CAST(('0x' || substr(md5(uuid || '|' || b || '|42'), 1, 7)) AS BIGINT) / 268435456.0 AS u
+      FROM s1 JOIN s2 USING (uuid) CROSS JOIN range(1, 201) r(b)),
+cdf AS (SELECT k, sum(exp(-1) / factorial(CAST(k AS INTEGER))) OVER (ORDER BY k) AS c FROM range(0, 10) t(k)),
+w AS (SELECT u.*, (SELECT count(*) FROM cdf WHERE cdf.c <= u.u) AS w FROM u),
+m AS (""" + " UNION ALL ".join(f"SELECT '{c}' AS score, b, sum({c} * w) / sum(w) AS mean FROM w GROUP BY b" for c in _c1 + _c2) + """)
+SELECT score, round(quantile_cont(mean, 0.025), 4) AS low, round(quantile_cont(mean, 0.5), 4) AS mid,
+       round(quantile_cont(mean, 0.975), 4) AS high FROM m GROUP BY score"""
+
 # --- training examples -----------------------------------------------------------
 _L = CFG.max_seq_len
 EXAMPLES = """

@@ -332,6 +332,11 @@ def _r5all(spark, sf):
     return R.corpus_scores(R.rouge_scores(prediction_pairs(spark, sf), with_l=True))
 
 
+@register("r5_bootstrap")
+def _r5b(spark, sf):
+    return R.bootstrap_scores(R.rouge_scores(prediction_pairs(spark, sf), with_l=False), rounds=200)
+
+
 def _examples(spark, sf):
     """All articles; ``input`` is the site and the whole text."""
     a = articles_from_documents(spark, sf)
