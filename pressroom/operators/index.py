@@ -47,3 +47,19 @@ def dedup_index_urls(index: DataFrame, url_col: str = "url", order_col: str = "p
             .groupBy("canonical_url")
             .agg(F.max_by(F.struct(*cols), F.col(order_col)).alias("r"))
             .select("canonical_url", "r.*"))
+
+
+def with_listed_site(pages: DataFrame, site_list: DataFrame) -> DataFrame:
+    """Add ``listed_site``, the site of the longest listed prefix of the URL (scheme and
+    ``www.`` aside) that ends at a segment; null where none does.
+
+    A URL's own prefixes are exploded and met by equality, so the list may be of any size."""
+    bare = lambda c: F.regexp_replace(F.regexp_replace(F.lower(c), r"^(?:[a-z][a-z0-9+.-]*://)?(?:www\.)?", ""), r"/+$", "")
+    path = F.regexp_replace(bare(F.col("url")), r"[?#].*$", "")
+    steps = F.split(path, "/")
+    own = pages.where(F.col("url").isNotNull()).select("url").distinct().select(
+        "url", F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)),
+                                     lambda i: F.array_join(F.slice(steps, F.lit(1), i), "/"))).alias("prefix"))
+    listed = site_list.groupBy(bare(F.col("url_prefix")).alias("prefix")).agg(F.min("site").alias("listed_site"))
+    best = own.join(listed, "prefix").groupBy("url").agg(F.max_by("listed_site", F.length("prefix")).alias("listed_site"))
+    return pages.join(best, "url", "left")

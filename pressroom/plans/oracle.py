@@ -566,3 +566,57 @@ WHERE CAST(inter.i AS DECIMAL(18, 6)) >= CAST({CFG.min_jaccard} AS DECIMAL(10, 6
 UNION
 SELECT x.uuid FROM dedup_in x JOIN dedup_in y ON x.article = y.article
 WHERE y.cc_date > x.cc_date OR (y.cc_date = x.cc_date AND y.uuid > x.uuid)"""
+
+
+# --- page layouts: what each tenth of the pages must give, written out ------------
+_PARA = "trim(regexp_replace(regexp_extract(html, '<p>([^<&]*)', 1), '\\s+', ' ', 'g'))"
+_LAYOUTS = f"""
+WITH p AS (SELECT page_id, page_id % 10 AS k, {_PARA} AS para FROM pages),
+x AS (SELECT page_id, CASE WHEN k < 2 THEN 'telex' WHEN k IN (2, 3, 9) THEN 'index' WHEN k IN (4, 5, 7) THEN 'ac24'
+                           WHEN k = 6 THEN 'parlamentnilisty' ELSE 'nowhere' END AS site,
+             CASE WHEN k < 2 THEN 'telex.hu' WHEN k IN (2, 3, 9) THEN 'index.hu' WHEN k IN (4, 5, 7) THEN 'ac24.cz'
+                  WHEN k = 6 THEN 'parlamentnilisty.cz' ELSE 'nowhere.org' END AS domain,
+             trim(CASE k WHEN 0 THEN para || chr(10) || chr(10) || 'and more' WHEN 2 THEN para WHEN 3 THEN para || chr(10) || 'line'
+                    WHEN 4 THEN para || chr(10) || chr(10) || 'end' WHEN 5 THEN '1 < 2' || chr(10) || chr(10) || para
+                    WHEN 6 THEN 'a b' || chr(10) || chr(10) || para END, ' ' || chr(10)) AS article,
+             CASE k WHEN 0 THEN TIMESTAMP '2021-07-24 10:32:00' WHEN 2 THEN TIMESTAMP '2021-07-25 08:15:00'
+                    WHEN 3 THEN TIMESTAMP '2021-07-26 12:00:00' WHEN 4 THEN TIMESTAMP '2021-07-24 14:05:00'
+                    WHEN 5 THEN TIMESTAMP '2021-07-25 09:30:00' WHEN 6 THEN TIMESTAMP '2021-07-25 09:30:00' END AS date_of_creation,
+             CASE k WHEN 1 THEN 'invalid_page' WHEN 9 THEN 'invalid_page' WHEN 7 THEN 'missing_article' WHEN 8 THEN 'unknown_site' END AS reject_reason
+      FROM p)"""
+_LAYOUTS += """,
+y AS (SELECT page_id, site, domain, nullif(article, '') AS article, coalesce(reject_reason,
+             CASE WHEN article = '' THEN 'missing_article' END) AS reason,
+             date_of_creation FROM x)"""
+ORACLE["h2_h12_site_layouts"] = _LAYOUTS + """
+SELECT page_id, site, domain, nfc_normalize(article) AS article, CASE WHEN reason IS NULL THEN date_of_creation END AS date_of_creation,
+       reason AS reject_reason FROM y"""
+ORACLE["k8_reject_log_layouts"] = _LAYOUTS + """
+SELECT page_id, 'https://' || CASE page_id % 10 WHEN 0 THEN 'telex.hu/belfold/2021/07/24/' WHEN 1 THEN 'telex.hu/kulfold/'
+         WHEN 2 THEN 'index.hu/gazdasag/' WHEN 3 THEN 'index.hu/sport/' WHEN 4 THEN 'www.ac24.cz/zpravy/' WHEN 5 THEN 'www.ac24.cz/clanek/'
+         WHEN 6 THEN 'www.parlamentnilisty.cz/arena/' WHEN 7 THEN 'www.ac24.cz/prazdny/' WHEN 8 THEN 'www.nowhere.org/'
+         ELSE 'index.hu/belfold/' END || page_id AS url, site, reason AS reject_reason
+FROM y WHERE reason IS NOT NULL"""
+
+# --- round trips: what went in -------------------------------------------------------
+ORACLE["s1_u4_u5_warc_roundtrip"] = r"""
+WITH p AS (SELECT url, CASE WHEN page_id % 3 = 0 THEN regexp_replace(html || 'é', '[^\x{00}-\x{ff}]', '?', 'g') ELSE html || 'é' END AS h FROM pages)
+SELECT url, count(*) AS n, TIMESTAMP '2021-07-24 10:32:00' AS cc_date, min(sha256(h)) AS first_sha, max(sha256(h)) AS last_sha
+FROM p GROUP BY url"""
+ORACLE["k1_append_repeated_ids"] = with_(ARTICLES) + " SELECT uuid, article, site FROM articles"
+ORACLE["k2_overwrite_by_site"] = with_(ARTICLES) + """,
+anew AS (SELECT uuid, 'again' AS url, site FROM articles WHERE CAST(uuid AS BIGINT) % 2 = 0 AND site < 'n')
+SELECT uuid, url, site FROM anew
+UNION ALL SELECT uuid, url, site FROM articles WHERE site NOT IN (SELECT site FROM anew)"""
+ORACLE["k4_stats_csv_roundtrip"] = ORACLE["g1_describe_length_raw"]
+ORACLE["k5_metrics_json_roundtrip"] = ORACLE["r5_rouge_n_corpus"]
+ORACLE["k6_s5_predictions_roundtrip"] = ORACLE["r1_prediction_pairs"]
+ORACLE["s7_site_by_url_prefix"] = """
+WITH l AS (SELECT DISTINCT lower(regexp_extract(url, '^[a-z]+://(www[.])?([^/?#]+)', 2)) AS site,
+                           rtrim(lower(regexp_extract(url, '^[a-z]+://(www[.])?([^/?#]+/[^/?#]*)', 2)), '/') AS prefix
+           FROM pages WHERE page_id % 3 = 0),
+b AS (SELECT p.page_id, arg_max(l.site, len(l.prefix)) AS listed_site
+      FROM pages p JOIN l ON l.prefix <> '' AND starts_with(
+        regexp_replace(regexp_replace(lower(p.url), '^[a-z]+://(www[.])?', ''), '[?#].*$', '') || '/', l.prefix || '/')
+      GROUP BY p.page_id)
+SELECT p.page_id, b.listed_site FROM pages p LEFT JOIN b USING (page_id)"""

@@ -436,3 +436,126 @@ def _k7(spark, sf):
 def _d5(spark, sf):
     from pressroom.config import Config
     return D.near_duplicate_losers(_dedup_input(spark, sf), cfg=Config(exact_jaccard=True)).select("uuid")
+
+
+# ---- page layouts of the four sites (H3, H5-H11, K8) -------------------------
+
+def layout_pages(spark, sf):
+    """The pages again in the layouts of the known sites: a tenth of them each, around
+    the page's own first paragraph, with what the site's rules remove, reject or fall back on."""
+    k, n = F.col("page_id") % 10, F.col("page_id").cast("string")
+    para = F.trim(F.regexp_replace(F.regexp_extract("html", r"<p>([^<&]*)", 1), r"\s+", " "))
+    url = F.concat(F.element_at(F.array(*[F.lit(u) for u in LAYOUT_URLS]), (k + 1).cast("int")), n)
+    html = F.element_at(F.array(*[F.lit(h) for h in LAYOUT_HTML]), (k + 1).cast("int"))
+    return read_table(spark, sf, "pages").select("page_id", url.alias("url"), F.replace(html, F.lit("@P@"), para).alias("html"))
+
+
+LAYOUT_URLS = ("https://telex.hu/belfold/2021/07/24/", "https://telex.hu/kulfold/", "https://index.hu/gazdasag/",
+               "https://index.hu/sport/", "https://www.ac24.cz/zpravy/", "https://www.ac24.cz/clanek/",
+               "https://www.parlamentnilisty.cz/arena/", "https://www.ac24.cz/prazdny/", "https://www.nowhere.org/",
+               "https://index.hu/belfold/")
+LAYOUT_HTML = (
+    '<body><p class="history--original">2021. j&uacute;lius 24., szombat 10:32</p><div class=article-html-content>'
+    '<p>@P@</p><figure class="image"><figcaption>caption</figcaption></figure><p><a href="/legfrissebb"><strong>newest'
+    '</strong></a> and more</p><table><tr><td>cell</table></div></body>',
+    '<body><div class="liveblog"></div><div class="article-html-content"><p>@P@</p></div></body>',
+    '<body><div class="datum">2021. július 25. 08:15 Módosítva: 2021. július 25. 09:00</div><div class="cikk-torzs">'
+    '<p><strong>lead</strong></p><p>@P@</p><div class="cikk-bottom-box">advert</div></div></body>',
+    '<body><span class="ido"> </span><time class="t-asd_share-date_date">2021-07-26 12:00</time>'
+    '<div class="szoveg"><p>@P@<br>line</p></div></body>',
+    '<body><time class="published">24. července 2021 v 14:05</time><div class="component-inner"><p>@P@</p>'
+    '<script>var a = "</p>";</script><figure><img src="a.jpg"><figcaption>caption</figcaption></figure><p>end</p></div></body>',
+    '<body><time class="updated">25. 7. 2021 9:30</time><div id="ac24-article-content">1 < 2 <div class="socbuttons">share'
+    '<b>it</div><p>@P@</div></body>',
+    '<body><div class="time">25/07/2021 9:30</div><section class="article-content"><p>a <img src="x>y.png"> b</p>'
+    '<section class="poll">poll</section><p>@P@</p></section></body>',
+    '<body><div class="other">@P@</div></body>',
+    '<body><article>@P@</article></body>',
+    '<body><div class="pp-article-site"><div class="text">@P@</div></div></body>',
+)
+
+
+@register("h2_h12_site_layouts")
+def _layouts(spark, sf):
+    ex = scrape.extract(layout_pages(spark, sf))
+    return ex.select("page_id", "site", "domain", "article", "date_of_creation", "reject_reason")
+
+
+@register("k8_reject_log_layouts")
+def _k8l(spark, sf):
+    return scrape.rejects(scrape.extract(layout_pages(spark, sf)))
+
+
+# ---- round trips through files (S1, S5, S7, K1, K2, K4-K6, U4, U5) ---------------
+
+@register("s1_u4_u5_warc_roundtrip")
+def _s1(spark, sf):
+    """The pages as WARC records, every third body in Latin-1, and back."""
+    from pressroom.sources.warc import read_warc_pages
+    path, crlf = _scratch(spark, "warc"), "\r\n"
+    p = read_table(spark, sf, "pages").select("page_id", "url", F.concat("html", F.lit("é")).alias("html"))
+    latin = F.regexp_replace("html", r"[^\x00-\xff]", "?")
+    body = F.when(F.col("page_id") % 3 == 0, F.encode(latin, "ISO-8859-1")).otherwise(F.encode("html", "UTF-8"))
+    block = F.concat(F.encode(F.lit(f"HTTP/1.1 200 OK{crlf}Content-Type: text/html{crlf}{crlf}"), "UTF-8"), body)
+    head = F.concat(F.lit(f"WARC/1.0{crlf}WARC-Type: response{crlf}WARC-Target-URI: "), "url",
+                    F.lit(f"{crlf}WARC-Date: 2021-07-24T10:32:00Z{crlf}Content-Length: "),
+                    F.octet_length(block).cast("string"), F.lit(crlf + crlf))
+    p.select(F.concat(F.encode(head, "UTF-8"), block).cast("string").alias("value")) \
+        .write.option("lineSep", crlf + crlf).option("compression", "gzip").text(path)
+    back = read_warc_pages(spark, path)
+    return back.groupBy("url").agg(F.count(F.lit(1)).alias("n"), F.min("cc_date").alias("cc_date"),
+                                   F.min(F.sha2("html", 256)).alias("first_sha"), F.max(F.sha2("html", 256)).alias("last_sha"))
+
+
+@register("k1_append_repeated_ids")
+def _k1(spark, sf):
+    """A batch that holds every article twice is stored once."""
+    path = _scratch(spark, "repeated")
+    a = articles_from_documents(spark, sf, with_lang=False)
+    W.append_articles(a.unionByName(a), path)
+    return FS.read_articles(spark, path).select("uuid", "article", "site")
+
+
+@register("k2_overwrite_by_site")
+def _k2(spark, sf):
+    """All articles, then those of every second id again with a mark: the sites written anew hold only these."""
+    path = _scratch(spark, "overwrite")
+    a = articles_from_documents(spark, sf, with_lang=False).select("uuid", "url", "site")
+    W.overwrite_by_site(a, path)
+    again = a.where((F.col("uuid").cast("long") % 2 == 0) & (F.col("site") < "n"))
+    W.overwrite_by_site(again.withColumn("url", F.lit("again")), path)
+    return spark.read.schema("uuid string, url string, site string").json(path).select("uuid", "url", "site")
+
+
+@register("k4_stats_csv_roundtrip")
+def _k4(spark, sf):
+    path = _scratch(spark, "stats")
+    d = G.describe(corpus.articles_with_stats(spark, sf), "article_length", "domain")
+    W.write_stats_csv(d, path)
+    return spark.read.schema(d.schema).option("header", True).csv(path)
+
+
+@register("k5_metrics_json_roundtrip")
+def _k5(spark, sf):
+    path = _scratch(spark, "metrics")
+    m = R.corpus_scores(R.rouge_scores(prediction_pairs(spark, sf), with_l=False))
+    W.write_metrics_json(m, path)
+    return spark.read.schema(m.schema).json(path)
+
+
+@register("k6_s5_predictions_roundtrip")
+def _k6(spark, sf):
+    path = _scratch(spark, "predictions")
+    W.write_predictions(prediction_pairs(spark, sf), path)
+    return FS.read_predictions(spark, path).select("uuid", "generated", "article")
+
+
+@register("s7_site_by_url_prefix")
+def _s7(spark, sf):
+    """A written SITE|URL list, joined to the pages by URL prefix."""
+    path = _scratch(spark, "sites")
+    pages = read_table(spark, sf, "pages").select("page_id", "url")
+    prefix = F.regexp_extract("url", r"^[a-z]+://(?:www\.)?([^/?#]+/[^/?#]*)", 1)
+    pages.where("page_id % 3 = 0").select(F.concat_ws("|", F.regexp_extract("url", r"^[a-z]+://(?:www\.)?([^/?#]+)", 1), prefix)
+                                          .alias("value")).distinct().write.text(path)
+    return I.with_listed_site(pages, FS.read_site_list(spark, path)).select("page_id", "listed_site")

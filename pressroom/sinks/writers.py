@@ -22,12 +22,13 @@ def append_articles(df: DataFrame, path: str, id_col: str = "uuid") -> DataFrame
 
     The reference appends blindly, so a rerun duplicates rows; ids here are
     deterministic (T7), and rows whose id is already stored are skipped by an
-    anti-join, so the append is idempotent.  Returns the rows written.
+    anti-join, so the append is idempotent; of rows with one id in a batch, one
+    is written.  Returns the rows written.
     """
-    new = df
+    new = df.dropDuplicates([id_col])  # a batch may repeat an id
     if _exists(df, path):
         have = df.sparkSession.read.schema(f"{id_col} string").json(path).select(id_col)
-        new = df.join(have, id_col, "left_anti")
+        new = new.join(have, id_col, "left_anti")
     (new.write.mode("append").partitionBy("site")
      .option("compression", "gzip").option("timestampNTZFormat", ISO).json(path))
     return new
