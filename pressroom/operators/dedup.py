@@ -27,7 +27,7 @@ Plan, without emitting all pairs of a bucket:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressroom.config import DEFAULT, Config
@@ -39,23 +39,47 @@ def order_key(date_col: str = "cc_date", id_col: str = "uuid"):
     return F.struct(F.col(date_col).alias("d"), F.col(id_col).alias("u"))
 
 
+#: parts that the rows of one hot key (a text, a bucket, a leader) are split into
+SALTS = 64
+
+
+def _salt(id_col: str):
+    return F.pmod(F.xxhash64(id_col), F.lit(SALTS)).alias("_salt")
+
+
+def _with_newest(df: DataFrame, keys: list[str], id_col: str, ord_col: str, out: str, shared: bool = False) -> DataFrame:
+    """Rows of ``df`` with ``out``, the largest ``ord_col`` of their group; with
+    ``shared``, only rows of groups of two or more.
+
+    Rows are grouped by (keys, salt) first, and the group's maximum goes back to the
+    salts that occur in it.  So a key that holds a third of all rows is met in SALTS
+    tasks, and a key of one row costs one row."""
+    rows = df.withColumn("_salt", _salt(id_col))
+    parts = rows.groupBy(*keys, "_salt").agg(F.max(ord_col).alias("_o"), F.count(F.lit(1)).alias("_n"))
+    group = Window.partitionBy(*keys)  # at most SALTS rows
+    top = parts.select(*keys, "_salt", F.max("_o").over(group).alias(out), F.sum("_n").over(group).alias("_n"))
+    if shared:
+        top = top.where("_n > 1")
+    return rows.join(top.drop("_n"), [*keys, "_salt"]).drop("_salt")
+
+
 def exact_duplicates(df: DataFrame, text_col: str = "article", id_col: str = "uuid",
                      date_col: str = "cc_date") -> DataFrame:
     """(uuid, kept_uuid, is_kept) for every row; the newest copy of each
     text is kept."""
     keyed = df.select(id_col, F.sha2(F.col(text_col), 256).alias("_th"),
                       order_key(date_col, id_col).alias("_ord"))
-    best = keyed.groupBy("_th").agg(F.max("_ord").alias("_best"))
-    return (keyed.join(best, "_th")
-            .select(id_col, F.col("_best.u").alias("kept_uuid"),
-                    (F.col("_ord") == F.col("_best")).alias("is_kept")))
+    return _with_newest(keyed, ["_th"], id_col, "_ord", "_best") \
+        .select(id_col, F.col("_best.u").alias("kept_uuid"), (F.col("_ord") == F.col("_best")).alias("is_kept"))
 
 
 def _verify(pairs: DataFrame, sigs: DataFrame, id_col: str, cfg: Config) -> DataFrame:
-    """Keep pairs (x, y) whose signatures agree on >= min_agree slots."""
+    """Keep pairs (x, y) whose signatures agree on >= min_agree slots.  A ``y`` that
+    leads a large bucket is in many pairs, so its signature goes to the salts of their x."""
     sx = sigs.select(F.col(id_col).alias("x"), F.col("sig").alias("sx"))
     sy = sigs.select(F.col(id_col).alias("y"), F.col("sig").alias("sy"))
-    j = pairs.join(sx, "x").join(sy, "y")
+    ys = pairs.select("y", _salt("x")).distinct().join(sy, "y")
+    j = pairs.join(sx, "x").withColumn("_salt", _salt("x")).join(ys, ["y", "_salt"])
     return j.where(M.agreement(F.col("sx"), F.col("sy")) >= cfg.min_agree).select("x", "y")
 
 
@@ -87,8 +111,8 @@ def keyed_signatures(df: DataFrame, text_col: str = "article", id_col: str = "uu
       hash-partitioned by id.
     * The text hash and order key come from a second, narrow pass over the
       text (sha2, no shingles): the newest copy per text is a partially
-      aggregated ``max`` (a hot text folds map-side), joined back on the
-      hash over narrow rows.
+      aggregated ``max``, joined back on the hash over narrow rows, in
+      salted parts (a hot text neither folds nor joins in one task).
     * The two meet on id: only the narrow side is shuffled, never the
       signature rows.
 
@@ -101,8 +125,7 @@ def keyed_signatures(df: DataFrame, text_col: str = "article", id_col: str = "uu
     sigs = M.signatures(df, id_col, text_col, cfg)
     keys = df.select(id_col, F.sha2(F.col(text_col), 256).alias("_th"),
                      order_key(date_col, id_col).alias("ord"))
-    best = keys.groupBy("_th").agg(F.max("ord").alias("best"))
-    kb = keys.join(best, "_th").select(id_col, "ord", "best")
+    kb = _with_newest(keys, ["_th"], id_col, "ord", "best").select(id_col, "ord", "best")
     # texts below one shingle have no signature, but copies among them count
     out = kb.join(sigs, id_col, "left").select(id_col, "ord", "best", "sig")
     if materialize:
@@ -124,10 +147,7 @@ def near_duplicate_losers(df: DataFrame, text_col: str = "article", id_col: str
     sigs = ks.where((F.col("ord") == F.col("best")) & F.col("sig").isNotNull()).select(id_col, "ord", "sig")
 
     members = M.bands(sigs, id_col, ["ord"], cfg)
-    buckets = (members.groupBy("band", "bucket")
-               .agg(F.max("ord").alias("lead"), F.count(F.lit(1)).alias("size"))
-               .where(F.col("size") > 1))
-    m = members.join(buckets, ["band", "bucket"])  # only shared buckets
+    m = _with_newest(members, ["band", "bucket"], id_col, "ord", "lead", shared=True)
     behind = m.where(F.col("ord") < F.col("lead"))
 
     if cfg.exact_jaccard:

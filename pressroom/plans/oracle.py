@@ -600,9 +600,8 @@ FROM y WHERE reason IS NOT NULL"""
 
 # --- round trips: what went in -------------------------------------------------------
 ORACLE["s1_u4_u5_warc_roundtrip"] = r"""
-WITH p AS (SELECT url, CASE WHEN page_id % 3 = 0 THEN regexp_replace(html || 'é', '[^\x{00}-\x{ff}]', '?', 'g') ELSE html || 'é' END AS h FROM pages)
-SELECT url, count(*) AS n, TIMESTAMP '2021-07-24 10:32:00' AS cc_date, min(sha256(h)) AS first_sha, max(sha256(h)) AS last_sha
-FROM p GROUP BY url"""
+WITH p AS (SELECT page_id, url, CASE WHEN page_id % 3 = 0 THEN regexp_replace(html || 'é', '[^\x{00}-\x{ff}]', '?', 'g') ELSE html || 'é' END AS h FROM pages)
+SELECT DISTINCT ON (url) url, TIMESTAMP '2021-07-24 10:32:00' AS cc_date, sha256(h) AS html_sha FROM p ORDER BY url, page_id"""
 ORACLE["k1_append_repeated_ids"] = with_(ARTICLES) + " SELECT uuid, article, site FROM articles"
 ORACLE["k2_overwrite_by_site"] = with_(ARTICLES) + """,
 anew AS (SELECT uuid, 'again' AS url, site FROM articles WHERE CAST(uuid AS BIGINT) % 2 = 0 AND site < 'n')

@@ -30,8 +30,8 @@ def read_warc_records(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.option("lineSep", RECORD_SEP).text(path)
     rec = raw.where(F.col("value").contains("WARC-Type:"))
     head_end = F.instr(F.col("value"), BLANK)  # WARC headers are ASCII: char pos = byte pos
-    length = F.when(_header("Content-Length") != "", _header("Content-Length").cast("long"))
-    block = F.substring(F.col("value").cast("binary"), head_end + 4, length.cast("int"))
+    length = _header("Content-Length").try_cast("int")  # none or a malformed one: a null block
+    block = F.substring(F.col("value").cast("binary"), head_end + 4, length)
     return rec.select(
         _header("WARC-Type").alias("warc_type"),
         _header("WARC-Target-URI").alias("url"),
@@ -42,11 +42,13 @@ def read_warc_records(spark: SparkSession, path: str) -> DataFrame:
 def read_warc_pages(spark: SparkSession, path: str) -> DataFrame:
     """Pages (page_id, url, cc_date, html) from WARC response records.
 
-    ``page_id`` is a 64-bit hash of (url, date): deterministic across retries.
+    ``page_id`` is the T7 hash of (url, date): deterministic across retries, and wide
+    enough that no two pages share it.  A repeated record is one page.
     """
     r = read_warc_records(spark, path).where((F.col("warc_type") == "response") & (F.col("url") != ""))
     http_end = F.instr(F.col("block").cast("string"), BLANK)  # HTTP headers are ASCII too
     body = F.when(http_end > 0, F.expr("substring(block, instr(cast(block as string), '\r\n\r\n') + 4)"))
     p = r.select("url", crawl_timestamp(F.col("warc_date")).alias("cc_date"),
                  decode_payload(body).alias("html"))
-    return p.select(F.xxhash64("url", "cc_date").alias("page_id"), "url", "cc_date", "html")
+    return p.select(F.sha2(F.concat_ws("|", "url", F.col("cc_date").cast("string")), 256).alias("page_id"),
+                    "url", "cc_date", "html").dropDuplicates(["page_id"])

@@ -36,11 +36,14 @@ def start_extract_stream(spark: SparkSession, pages_path: str, out_path: str, ch
            .parquet(pages_path))
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        ex = scrape.extract(batch, rules, ur)
-        append_articles(scrape.articles(ex), out_path)
-        append_articles(scrape.rejects(ex).withColumnRenamed("page_id", "uuid")
-                        .selectExpr("cast(uuid as string) as uuid", "url", "site", "reject_reason"),
-                        out_path.rstrip("/") + "_rejects")
+        ex = scrape.extract(batch, rules, ur).persist()  # articles and rejects from one extraction
+        try:
+            append_articles(scrape.articles(ex), out_path)
+            append_articles(scrape.rejects(ex).withColumnRenamed("page_id", "uuid")
+                            .selectExpr("cast(uuid as string) as uuid", "url", "site", "reject_reason"),
+                            out_path.rstrip("/") + "_rejects")
+        finally:
+            ex.unpersist()
 
     w = src.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")

@@ -264,3 +264,23 @@ def test_rule_file_and_site_list(spark, tmp_path):
     sites = tmp_path / "sites.txt"
     sites.write_text("telex|telex.hu/*\nindex|index.hu/*\n")
     assert [tuple(r) for r in read_site_list(spark, str(sites)).collect()] == [("telex", "telex.hu/*"), ("index", "index.hu/*")]
+
+
+def test_hot_text_is_split_and_whole(spark):
+    """One text in a third of the rows, a bucket of near copies, short texts: each row once, the newest copy kept."""
+    from pressroom.operators import dedup as D
+    n = 3000
+    a = spark.range(n).select(
+        F.col("id").cast("string").alias("uuid"),
+        F.when(F.col("id") % 3 == 0, "the hot text").when(F.col("id") % 3 == 1, "tiny").otherwise(
+            F.concat(F.lit("own "), F.col("id").cast("string"))).alias("article"),
+        F.expr("timestamp_ntz'2021-01-01 00:00:00' + make_dt_interval(0, id)").alias("cc_date"))
+    rows = D.exact_duplicates(a).collect()
+    assert len(rows) == n and len({r.uuid for r in rows}) == n
+    newest = {0: "2997", 1: "2998"}
+    assert all(r.kept_uuid == newest.get(int(r.uuid) % 3, r.uuid) and r.is_kept == (r.uuid == r.kept_uuid) for r in rows)
+    # the join that brings the newest copy back is keyed by text and salt
+    plan = D.exact_duplicates(a)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" in plan and "Join Inner" in plan
+    in_salt = a.groupBy("article", F.pmod(F.xxhash64("uuid"), F.lit(D.SALTS)).alias("s")).count()
+    assert in_salt.agg(F.max("count")).first()[0] < n / 3 / 20
