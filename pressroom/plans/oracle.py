@@ -598,6 +598,39 @@ SELECT page_id, 'https://' || CASE page_id % 10 WHEN 0 THEN 'telex.hu/belfold/20
          ELSE 'index.hu/belfold/' END || page_id AS url, site, reason AS reject_reason
 FROM y WHERE reason IS NOT NULL"""
 
+# --- every page's whole article in every layout: the layouts' own text around it ------
+_BREAK = "chr(10) || chr(10)"
+_WHOLE = r"""
+WITH ar AS (SELECT page_id, CASE WHEN regexp_matches(html, '(?i)</article>') THEN regexp_extract(html, '(?is)<article\b[^>]*>(.*)</article>', 1)
+                                 ELSE regexp_extract(html, '(?is)<article\b[^>]*>(.*?)(?:<footer|\z)', 1) END AS h FROM pages),
+tx AS (SELECT page_id, """ + _decode(r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(h, ''),
+         '(?s)<!--.*?-->', '', 'g'), '[ \t\r\n\f]+', ' ', 'g'), '(?i)<br\b[^>]*>', chr(10), 'g'),
+         '(?i)</?(""" + "|".join(sorted(BLOCK)) + r""")\b[^>]*>', """ + _BREAK + r""", 'g'), '</?[A-Za-z][^>]*>', '', 'g')""") + f""" AS para FROM ar),
+x AS (SELECT page_id * 10 + k AS page_id, k,
+             CASE WHEN k < 2 THEN 'telex' WHEN k IN (2, 3, 9) THEN 'index' WHEN k IN (4, 5, 7) THEN 'ac24'
+                  WHEN k = 6 THEN 'parlamentnilisty' ELSE 'nowhere' END AS site,
+             CASE k WHEN 0 THEN para || {_BREAK} || 'and more' WHEN 2 THEN para WHEN 3 THEN para || {_BREAK} || 'line'
+                    WHEN 4 THEN para || {_BREAK} || 'end' WHEN 5 THEN '1 < 2' || {_BREAK} || para
+                    WHEN 6 THEN 'a b' || {_BREAK} || para END AS raw,
+             CASE k WHEN 0 THEN TIMESTAMP '2021-07-24 10:32:00' WHEN 2 THEN TIMESTAMP '2021-07-25 08:15:00'
+                    WHEN 3 THEN TIMESTAMP '2021-07-26 12:00:00' WHEN 4 THEN TIMESTAMP '2021-07-24 14:05:00'
+                    WHEN 5 THEN TIMESTAMP '2021-07-25 09:30:00' WHEN 6 THEN TIMESTAMP '2021-07-25 09:30:00' END AS written,
+             CASE k WHEN 1 THEN 'invalid_page' WHEN 9 THEN 'invalid_page' WHEN 7 THEN 'missing_article' WHEN 8 THEN 'unknown_site' END AS known
+      FROM tx CROSS JOIN range(10) l(k)),
+y AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '[ \\t]*\\n[ \\t]*', chr(10), 'g'),
+             '\\n{{3,}}', {_BREAK}, 'g'), ' {{2,}}', ' ', 'g'), '^[\\s\\x{{a0}}]+|[\\s\\x{{a0}}]+$', '', 'g') AS article FROM x),
+z AS (SELECT *, coalesce(known, CASE WHEN article = '' THEN 'missing_article' END) AS reason FROM y)"""
+ORACLE["h2_h12_site_layouts_whole"] = _WHOLE + """
+SELECT page_id, site, CASE site WHEN 'telex' THEN 'telex.hu' WHEN 'index' THEN 'index.hu' WHEN 'nowhere' THEN 'nowhere.org'
+                                ELSE site || '.cz' END AS domain,
+       CASE WHEN reason IS NULL THEN nfc_normalize(article) END AS article,
+       CASE WHEN reason IS NULL THEN written END AS date_of_creation, reason AS reject_reason FROM z"""
+ORACLE["k8_reject_log_layouts_whole"] = _WHOLE + """
+SELECT page_id, 'https://' || ['telex.hu/belfold/2021/07/24/', 'telex.hu/kulfold/', 'index.hu/gazdasag/', 'index.hu/sport/',
+         'www.ac24.cz/zpravy/', 'www.ac24.cz/clanek/', 'www.parlamentnilisty.cz/arena/', 'www.ac24.cz/prazdny/', 'www.nowhere.org/',
+         'index.hu/belfold/'][k + 1] || page_id AS url, site, reason AS reject_reason
+FROM z WHERE reason IS NOT NULL"""
+
 # --- round trips: what went in -------------------------------------------------------
 ORACLE["s1_u4_u5_warc_roundtrip"] = r"""
 WITH p AS (SELECT page_id, url, CASE WHEN page_id % 3 = 0 THEN regexp_replace(html || 'é', '[^\x{00}-\x{ff}]', '?', 'g') ELSE html || 'é' END AS h FROM pages)

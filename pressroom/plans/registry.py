@@ -441,8 +441,9 @@ def _d5(spark, sf):
 # ---- page layouts of the four sites (H3, H5-H11, K8) -------------------------
 
 def layout_pages(spark, sf):
-    """The pages again in the layouts of the known sites: a tenth of them each, around
-    the page's own first paragraph, with what the site's rules remove, reject or fall back on."""
+    """The pages again in the layouts of the known sites: a tenth of them each, around the text
+    between the first <p> and the next tag, with what the site's rules remove, reject or fall back on.
+    That text is empty if a tag opens the paragraph; ``whole_layout_pages`` has whole articles."""
     k, n = F.col("page_id") % 10, F.col("page_id").cast("string")
     para = F.trim(F.regexp_replace(F.regexp_extract("html", r"<p>([^<&]*)", 1), r"\s+", " "))
     url = F.concat(F.element_at(F.array(*[F.lit(u) for u in LAYOUT_URLS]), (k + 1).cast("int")), n)
@@ -486,6 +487,32 @@ def _k8l(spark, sf):
     return scrape.rejects(scrape.extract(layout_pages(spark, sf)))
 
 
+def whole_layout_pages(spark, sf):
+    """Every page in every layout, around its article's whole inner html: ten rows a page, numbered
+    page_id * 10 + layout.  An article that isn't closed ends at the footer or with the page."""
+    page = F.coalesce("html", F.lit(""))
+    inner = F.when(page.rlike("(?i)</article>"), F.regexp_extract(page, r"(?is)<article\b[^>]*>(.*)</article>", 1)) \
+        .otherwise(F.regexp_extract(page, r"(?is)<article\b[^>]*>(.*?)(?:<footer|\z)", 1))
+    layouts = [F.struct(F.lit(u).alias("url"), F.lit(h.replace("<p>@P@", "<div>@P@</div><p>")).alias("html"))
+               for u, h in zip(LAYOUT_URLS, LAYOUT_HTML)]
+    p = read_table(spark, sf, "pages").select("page_id", inner.alias("inner"))
+    p = p.select("page_id", "inner", F.posexplode(F.array(*layouts)).alias("k", "layout"))
+    number = F.col("page_id") * 10 + F.col("k")
+    return p.select(number.alias("page_id"), F.concat("layout.url", number.cast("string")).alias("url"),
+                    F.replace(F.col("layout.html"), F.lit("@P@"), F.col("inner")).alias("html"))
+
+
+@register("h2_h12_site_layouts_whole")
+def _layouts_whole(spark, sf):
+    ex = scrape.extract(whole_layout_pages(spark, sf))
+    return ex.select("page_id", "site", "domain", "article", "date_of_creation", "reject_reason")
+
+
+@register("k8_reject_log_layouts_whole")
+def _k8w(spark, sf):
+    return scrape.rejects(scrape.extract(whole_layout_pages(spark, sf)))
+
+
 # ---- round trips through files (S1, S5, S7, K1, K2, K4-K6, U4, U5) ---------------
 
 @register("s1_u4_u5_warc_roundtrip")

@@ -1,6 +1,7 @@
 """Extraction on hand-made pages, one per site rule and fallback."""
 
 import datetime as dt
+from collections import Counter
 
 import pytest
 
@@ -146,3 +147,15 @@ def test_dates_with_time(spark):
     from pyspark.sql import functions as F
     rows = spark.createDataFrame([(d,) for d in DATES], "d string").select("d", parse_human_date(F.col("d")).alias("t")).collect()
     assert {r.d: r.t for r in rows} == {d: dt.datetime(2021, 7, 24, 10, 32) for d in DATES}
+
+
+def test_layouts_hold_every_page_s_whole_article(spark, smoke_dir):
+    from pressroom.plans.registry import QUERIES, whole_layout_pages
+    n = spark.read.parquet(f"{smoke_dir}/pages.parquet").count()
+    plain = {r.url: r.article for r in QUERIES["h12_extract_articles"](spark, smoke_dir).collect()}
+    pages = {r.page_id: r.url for r in spark.read.parquet(f"{smoke_dir}/pages.parquet").collect()}
+    assert whole_layout_pages(spark, smoke_dir).count() == 10 * n
+    rows = QUERIES["h2_h12_site_layouts_whole"](spark, smoke_dir).where("reject_reason is null").collect()
+    assert Counter(r.page_id % 10 for r in rows) == dict.fromkeys((0, 2, 3, 4, 5, 6), n)
+    met = [(plain[pages[r.page_id // 10]], r.article) for r in rows if pages[r.page_id // 10] in plain]
+    assert met and all(a and a in b for a, b in met)
