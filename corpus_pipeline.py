@@ -9,68 +9,73 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressroom.llm import op1_toxicity as toxicity
 from pressroom.llm.common import cut_lineage, table
 from pressroom.llm.op2_decontaminate import contaminated_pairs
-from pressroom.llm.op7_simhash import near_duplicates
+from pressroom.llm.op7_simhash import first_rows
 from pressroom.llm.op8_tokens import token_files
 from pressroom.llm.op10_mixing import mix_sources
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Names a row by all it holds.  Rows that agree in it are the same row several times.
+KEY = "row_key"
+#: Copies of a row that one task makes.
+PART = 256
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is not among ``ids``; null counts as a value."""
-    gone = ids.select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti").select(*COLUMNS)
+def _keyed(docs: DataFrame) -> DataFrame:
+    part = lambda c: F.coalesce(F.concat(F.length(c), F.lit(":"), c), F.lit("-"))
+    own = [part(F.col(c).cast("string")) for c in ("doc_id", "lang", "source", "n_chars")]
+    return docs.select(*COLUMNS, F.sha2(F.concat(*own, part(F.sha2("text", 256))), 256).alias(KEY))
+
+
+def _one_of_each(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of the keyed ``docs`` named by ``keys`` (key, n and others): those that
+    occur once, and one of each that occurs ``n`` times, if there are any."""
+    once, again = docs.join(keys.where("n = 1"), KEY), keys.where("n > 1")
+    if again.isEmpty():
+        return once, None
+    # written first: the copies of one row are dealt out by part there, and collapse before they are moved
+    return once, cut_lineage(docs.join(again, KEY)).dropDuplicates([KEY])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity machine predicts as toxic go.  It is trained on
-    labelled rows outside the held-out third.  Rows without doc_id have no key to
-    be matched by and are judged with all others of theirs: they go if one is toxic."""
+    """Rows that the toxicity machine predicts as toxic go, each by its own text.
+    It is trained on labelled rows outside the held-out third."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, toxicity.score_toxicity(docs, model).where("predicted = 1"))
+    return toxicity.score_toxicity(docs, model, tuple(COLUMNS)).where("predicted = 0").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays, that with the smallest doc_id;
-    of rows that repeat a doc_id, one.  Rows without doc_id stay where their
-    component has no other."""
-    kept = near_duplicates(docs, width=3, max_bits=2) \
-        .where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
-    # only rows of repeated ids are moved to find one of each
-    again = cut_lineage(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-                        .select(F.col("doc_id").alias("again_id")))
-    same = F.col("doc_id").eqNullSafe(F.col("again_id"))
-    return rows.join(again, same, "left_anti").select(*COLUMNS) \
-        .unionByName(rows.join(again, same, "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"]))
+    """One row of each SimHash component stays, that with the smallest doc_id and
+    row key; a row without doc_id comes after all others.  Rows that repeat a doc_id
+    are in the components of their own texts."""
+    keyed = _keyed(docs)
+    once, again = _one_of_each(keyed, first_rows(keyed, KEY, width=3, max_bits=2))
+    return (once.unionByName(again) if again else once).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    return _without(docs, contaminated_pairs(docs, table(spark, sf_dir, "benchmark")))
+    """Rows that hold a benchmark item go."""
+    keyed = _keyed(docs)
+    gone = contaminated_pairs(keyed, table(spark, sf_dir, "benchmark"), key=KEY).select(KEY).distinct()
+    return keyed.join(gone, KEY, "left_anti").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it, in rows of its own.  Of rows
-    that repeat a doc_id, the k-th takes the copies of the k-th decision on that id."""
-    taken = cut_lineage(mix_sources(docs).select(F.col("doc_id").alias("id"), "copies"))
-    repeated = cut_lineage(taken.groupBy("id").count().where("count > 1").select(F.col("id").alias("again_id")))
-    again, is_again = F.col("doc_id").eqNullSafe(F.col("again_id")), F.col("id").eqNullSafe(F.col("again_id"))
-    # ids that occur once meet by themselves; only the others are numbered
-    once = docs.join(repeated, again, "left_anti") \
-        .join(taken.join(repeated, is_again, "left_anti"), F.col("doc_id").eqNullSafe(F.col("id"))).select(*COLUMNS, "copies")
-    nth = lambda c: F.row_number().over(Window.partitionBy(c).orderBy(c))
-    more = docs.join(repeated, again, "left_semi").withColumn("n", nth("doc_id")).alias("d").join(
-        taken.join(repeated, is_again, "left_semi").withColumn("m", nth("id")).where("copies > 0").alias("t"),
-        F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("n") == F.col("m"))).select(*COLUMNS, "copies")
-    return once.where("copies > 0").unionByName(more) \
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
+    """Every row as often as the mix takes it, in rows of its own.  Of the same row
+    several times, the copies are counted together."""
+    keyed = _keyed(docs)
+    taken = cut_lineage(mix_sources(keyed, key=KEY).groupBy(KEY).agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("copies")))
+    once, again = _one_of_each(keyed, taken.where("copies > 0"))
+    if again:
+        again = again.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {PART}")))) \
+            .repartition(KEY, "part").withColumn("copies", F.least(F.col("copies") - F.col("part") * PART, F.lit(PART)))
+        once = once.unionByName(again.drop("part"))
+    return once.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*COLUMNS)
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

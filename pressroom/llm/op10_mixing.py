@@ -81,7 +81,8 @@ def settle(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> tuple[n
 
 def _settled(seed: int, level: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
+        by = ["size", *[c for c in rows.columns if c not in ("sid", "block", "whole", "size", "p", "open")]]
+        rows = rows.sort_values(by, ascending=[False] + [True] * (len(by) - 1), kind="stable").reset_index(drop=True)
         rng = np.random.default_rng([seed, level, int(key[0]) & 0xFFFFFFFF, int(key[0]) >> 32 & 0xFFFFFFFF, int(key[1])])
         p, held = settle(rows["p"].to_numpy(), rows["size"].to_numpy(dtype=float), rng)
         rows["p"] = p
@@ -94,8 +95,9 @@ _SCHEMA = "sid long, block long, doc_id long, part int, size long, p double, ope
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0,
-                seed: int = 17, block_rows: int = 4096, fan_in: int = 256) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, copies.
+                seed: int = 17, block_rows: int = 4096, fan_in: int = 256, key: str | None = None) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken, copies, and
+    ``key`` if one is named: a column of strings that tells rows of one doc_id apart.
 
     ``size`` counts words (null text: 0), ``taken`` is copies times size, and
     copies never exceeds ``most`` rounded up.  All draws are seeded by block and
@@ -106,8 +108,9 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
     doc_id, text and source are not read.
     """
     ship_package(docs.sparkSession)
+    own = [key] if key else []
     sized = cut_lineage(docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
+        *own, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
         F.regexp_count(text_or_empty("text"), F.lit(WORD)).cast("long").alias("size")))
     per = targets(sized, weights, share, most)
     per = per.withColumn("sid", F.xxhash64(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")))) \
@@ -120,8 +123,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
         .withColumn("whole", F.when(F.col("size") > 0, F.floor(F.col("rate") + EDGE)).otherwise(F.lit(0)).cast("int")) \
         .withColumn("p", F.when(F.col("size") > 0, F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0))).otherwise(F.lit(0.0)))
 
-    blocks = rated.select("sid", "block", "doc_id", "whole", "size", "p") \
-        .groupBy("sid", "block").applyInPandas(_settled(seed, 0), _SCHEMA.replace("part int", "whole int"))
+    blocks = rated.select("sid", "block", "doc_id", "whole", "size", "p", *own).groupBy("sid", "block") \
+        .applyInPandas(_settled(seed, 0), _SCHEMA.replace("part int", "whole int") + "".join(f", {c} string" for c in own))
     first = cut_lineage(blocks)
     still = first.where("open").select("sid", "block", F.col("block").alias("from"), "doc_id", "size", "p")
     top = per.agg(F.max("n_blocks")).first()[0] or 1
@@ -142,12 +145,12 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
     for x in fate[1:]:
         decided = decided.unionByName(x)
     decided = decided.withColumnRenamed("p", "q")
-    rows = first.where("not open").select("sid", "doc_id", "size", "whole", "p").unionByName(
+    rows = first.where("not open").select("sid", "doc_id", "size", "whole", "p", *own).unionByName(
         first.where("open").join(decided.withColumnRenamed("from", "block"), ["sid", "block"])
-        .select("sid", "doc_id", "size", "whole", F.col("q").alias("p")))
+        .select("sid", "doc_id", "size", "whole", F.col("q").alias("p"), *own))
     copies = (F.col("whole") + F.round("p").cast("int")).alias("copies")
     return rows.join(per.select("sid", "source_size", "target"), "sid") \
-        .select("doc_id", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies)
+        .select("doc_id", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies, *own)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -354,23 +354,26 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     return Model.from_bytes(got[0]["model"]) if got else fit(pa.array([], pa.string()), np.zeros(0, int))
 
 
-def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row; whole texts are read.
-    Null and empty texts have no unit and score low.  Repeated rows repeat their
-    result; an empty table gives an empty result; columns other than doc_id and
-    text are not read."""
+def score_toxicity(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row, and its columns named in
+    ``carry``; whole texts are read.  Null and empty texts have no unit and score
+    low.  Repeated rows repeat their result; an empty table gives an empty result;
+    columns other than doc_id, text and those carried are not read."""
     raw = model.to_bytes()
+    rest = [c for c in carry if c not in ("doc_id", "text")]
+    names = ["doc_id", "held_out", "score", *(["text"] if "text" in carry else []), *rest]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model.from_bytes(raw)
         for batch in batches:
             for part in blocks_of(batch, "text", 1 << 20):
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(own.scores(part.column("text")))],
-                                                 names=["doc_id", "held_out", "score"])
+                score = pa.array(own.scores(part.column("text")))
+                yield pa.RecordBatch.from_arrays([score if c == "score" else part.column(c) for c in names], names=names)
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"),
-                         F.col("text").cast("string").alias("text"))
-    return map_arrow(narrow, run, "doc_id long, held_out boolean, score double") \
+                         F.col("text").cast("string").alias("text"), *rest)
+    kinds = dict(narrow.dtypes) | {"score": "double"}
+    return map_arrow(narrow, run, ", ".join(f"{c} {kinds[c]}" for c in names)) \
         .withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 

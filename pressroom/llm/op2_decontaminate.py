@@ -162,30 +162,32 @@ class Block:
 
 
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE,
-                       block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+                       block_tokens: int = BLOCK_TOKENS, key: str = "doc_id") -> DataFrame:
     """One row per contaminated pair: doc_id, item_id, coverage (share of the
-    item's tokens within tiles), n_tiles, longest_tile.
+    item's tokens within tiles), n_tiles, longest_tile.  Another ``key``, a column
+    of strings, names the documents instead of doc_id.
 
     Null and empty texts have no tokens and are in no pair.  Repeated documents
     give repeated pairs, repeated items one pair each.  Items shorter than
     ``min_match`` tokens must occur whole.  An empty table on either side gives an
     empty result.  Columns other than doc_id, item_id and text are not read.
     """
-    schema = "doc_id long, item_id long, coverage double, n_tiles int, longest_tile int"
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    kind, arrow = ("long", pa.int64()) if key == "doc_id" else ("string", pa.string())
+    schema = f"{key} {kind}, item_id long, coverage double, n_tiles int, longest_tile int"
+    narrow = docs.select(F.col(key).cast(kind).alias(key), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run_of(block: Block):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in blocks_of(batch, "text"):
-                    doc_ids = part.column("doc_id").to_pylist()
+                    doc_ids = part.column(key).to_pylist()
                     rows = [(doc_ids[r], block.ids[k], sum(n for _, _, n in t) / len(block.tokens[k]), len(t),
                              max(n for _, _, n in t)) for r, k, t in block.pairs(part.column("text"), coverage)]
                     if rows:
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()))],
-                            names=["doc_id", "item_id", "coverage", "n_tiles", "longest_tile"])
+                            [pa.array(c, kind) for c, kind in zip(zip(*rows), (arrow, pa.int64(), pa.float64(), pa.int32(), pa.int32()))],
+                            names=[key, "item_id", "coverage", "n_tiles", "longest_tile"])
         return run
 
     # the query set comes a bounded block at a time

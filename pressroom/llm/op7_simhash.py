@@ -77,8 +77,8 @@ def fingerprints_of(texts: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def with_fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp): fingerprint of each whole text.  Null and empty texts and
+def with_fingerprints(docs: DataFrame, width: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp) and the columns of strings in ``carry``: fingerprint of each whole text.  Null and empty texts and
     texts of white space alone have fingerprint zero; a text with fewer than
     ``width`` words has its whole word sequence as its one shingle."""
 
@@ -86,11 +86,11 @@ def with_fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
         for batch in batches:
             for part in blocks_of(batch, "text"):
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(fingerprints_of(part.column("text"), width))],
-                    names=["doc_id", "fp"])
+                    [part.column("doc_id"), pa.array(fingerprints_of(part.column("text"), width)),
+                     *[part.column(c) for c in carry]], names=["doc_id", "fp", *carry])
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_arrow(narrow, run, "doc_id long, fp long")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
+    return map_arrow(narrow, run, "doc_id long, fp long" + "".join(f", {c} string" for c in carry))
 
 
 def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
@@ -143,5 +143,18 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 2) -> DataF
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def first_rows(docs: DataFrame, key: str, width: int = 3, max_bits: int = 2) -> DataFrame:
+    """``key`` (a column of strings) and n, the rows that have it, for the first
+    row of each component: that with the smallest doc_id, null last, then key."""
+    prints = cut_lineage(with_fingerprints(docs, width, (key,)))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", key)).alias("first")
+    distinct = cut_lineage(prints.groupBy("fp").agg(first))
+    roots = components(links(distinct.select("fp"), max_bits))
+    firsts = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left") \
+        .groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")).select(f"first.{key}")
+    again = prints.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return cut_lineage(firsts.join(again, key, "left").select(key, F.coalesce("n", F.lit(1)).alias("n")))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, max_bits=2)

@@ -374,6 +374,39 @@ def test_pipeline_stages(spark, tmp_path):
     assert docs.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
 
 
+def test_pipeline_judges_rows_by_their_own_text(spark, tmp_path):
+    """Rows that share a doc_id, or have none, don't fall or stay with each other."""
+    rng = np.random.default_rng(1)
+    words = [" ".join(f"w{k}" for k in rng.integers(0, 5000, 60)) for _ in range(6)]
+    make = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows],
+                                              "doc_id long, text string, lang string, source string, n_chars long")
+    held = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    near = make([(3, words[0]), (5, words[0]), (5, words[1]), (None, words[2]), (None, words[2]), (None, words[0]),
+                 (None, words[3]), (9, words[4]), (9, words[4])])
+    want = [(3, words[0]), (5, words[1]), (None, words[2]), (None, words[3]), (9, words[4])]
+    assert held(corpus_pipeline.drop_near_duplicates(spark, near, "")) == sorted(want, key=str)
+
+    spark.createDataFrame([(1, words[0])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    leak = make([(1, words[0]), (1, words[1]), (None, words[0]), (None, words[2]), (None, words[2])])
+    want = [(1, words[1]), (None, words[2]), (None, words[2])]
+    assert held(corpus_pipeline.decontaminate(spark, leak, str(tmp_path))) == sorted(want, key=str)
+
+    clean = [(k, " ".join(f"c{j}" for j in rng.integers(0, 300, 30)) + (" idiot" if k % 2 else "")) for k in range(300)]
+    spark.createDataFrame([(k, k % 2) for k, _ in clean], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    bad, good = "you idiot there", "c1 c2 c3 c4"
+    rows = [*clean, (0, bad), (None, bad), (None, good)]
+    got = held(corpus_pipeline.drop_toxic(spark, make(rows), str(tmp_path)))
+    assert got == sorted(((i, t) for i, t in rows if "idiot" not in t), key=str)
+
+    mixed = make([(None, words[0] + f" {k}") for k in range(40)] + [(4, words[1])] * 700 + [(4, words[2])] * 2)
+    copies = Counter(held(corpus_pipeline.mix(spark, mixed, "")))
+    taken = Counter()
+    for r in mix_sources(corpus_pipeline._keyed(mixed), key=corpus_pipeline.KEY).collect():
+        taken[r["row_key"]] += r["copies"]
+    keys = {(r["doc_id"], r["text"]): r["row_key"] for r in corpus_pipeline._keyed(mixed).collect()}
+    assert all(copies[k] == taken[v] for k, v in keys.items()) and sum(copies.values()) > 743
+
+
 def test_pipeline_on_odd_and_empty_tables(spark, tmp_path):
     for t in ("labels", "benchmark"):
         common.table(spark, SMALL, t).write.parquet(str(tmp_path / f"{t}.parquet"))
