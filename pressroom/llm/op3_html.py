@@ -3,10 +3,11 @@
 The standard library's parser streams a page's events; every block element opens
 a new line.  Each line has a text-to-tag ratio: its characters outside links
 over its number of tags.  The ratios are smoothed by a Gaussian, and lines above
-a threshold set from the page's own ratios form clusters.  The element that holds
-the clusters' text is the content region; short lines within it (a heading, a
-last short paragraph) belong to it.  Lines in elements whose name, role, class or
-id says that they are something else never count.
+a threshold set from the page's own ratios form clusters.  The article or main
+element around the element that holds the clusters' text is the content region,
+or else the element around all clusters; short lines within it (a heading, a lead,
+a last short paragraph) belong to it.  Lines in elements whose name, role, class
+or id says that they are something else never count.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from .common import map_arrow, table
 
 SIGMA = 1.0
 THRESHOLD = 0.5   # of the smoothed ratios' standard deviation, from zero
-COVER = 0.9       # of the clusters' text that the region must hold
-LINKED = 0.5      # a line with more of its characters in links is a menu
+COVER = 0.9       # of the clusters' text that the region's core must hold
+LINKED = 0.5      # outside an article, a line with more of its characters in links is a menu
 FEED = 1 << 16
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -76,6 +77,7 @@ class Lines(HTMLParser):
         self.lines: list[list] = []
         self.stack: list[tuple[str, int, bool]] = []  # block elements: name, number, other
         self.count = 0
+        self.kinds: dict[int, str] = {}  # of article and main elements
         self.inline_other: list[str] = []
         self.links = 0
         self.new = True
@@ -127,6 +129,8 @@ class Lines(HTMLParser):
             if block or other:
                 self.count += 1
                 self.stack.append((tag, self.count, other))
+                if tag in ("article", "main") or ("role", "main") in attrs:
+                    self.kinds[self.count] = "article" if tag == "article" else "main"
                 self.new = True
             return
         if tag in OTHER and tag not in VOID:
@@ -171,8 +175,9 @@ class Lines(HTMLParser):
             line[2] += len(data.strip())
 
 
-def lines_of(html: str) -> list[tuple[str, float, float, tuple[int, ...], bool]]:
-    """(text, ratio, share of the text in links, path of containers, other) per line."""
+def lines_of(html: str) -> tuple[list[tuple[str, float, float, tuple[int, ...], bool]], dict[int, str]]:
+    """(text, ratio, share of the text in links, path of containers, other) per line, and
+    which containers are articles or main elements."""
     parser = Lines()
     for a in range(0, len(html), FEED):
         parser.feed(html[a:a + FEED])
@@ -183,7 +188,7 @@ def lines_of(html: str) -> list[tuple[str, float, float, tuple[int, ...], bool]]
         if text:
             linked = min(linked, len(text))
             out.append((text, (len(text) - linked) / (1 + tags), linked / len(text), path, other))
-    return out
+    return out, parser.kinds
 
 
 def smoothed(values: list[float], sigma: float) -> list[float]:
@@ -199,7 +204,8 @@ def smoothed(values: list[float], sigma: float) -> list[float]:
 
 def main_text(html: str | None) -> str:
     """The article's blocks, joined by line breaks; empty if there are none."""
-    lines = [x for x in lines_of(html or "") if not x[4]] if html else []
+    found, kinds = lines_of(html) if html else ([], {})
+    lines = [x for x in found if not x[4]]
     if not lines:
         return ""
     smooth = smoothed([x[1] for x in lines], SIGMA)
@@ -215,16 +221,26 @@ def main_text(html: str | None) -> str:
     for i in chosen:
         text, _, _, path, _ = lines[i]
         total += len(text)
-        for k in range(len(path)):  # the line's own block is no region unless nothing else is
+        for k in range(len(path) + (path[-1:] != () and path[-1] in kinds)):  # a line's own paragraph is no region
             held[path[:k]] = held.get(path[:k], 0) + len(text)
         if not path:
             held[()] = held.get((), 0) + len(text)
-    region = max((p for p, n in held.items() if n >= COVER * total), key=len)
+    core = max((p for p, n in held.items() if n >= COVER * total), key=len)
+    # the whole article is wanted however long its core is: climb to the outermost article or main element around it
+    outer = next((k for k, n in enumerate(core) if n in kinds), None)
+    region = max((p for p, n in held.items() if n >= total), key=len) if outer is None else core[:outer + 1]
+    article = next((n for n in core if kinds.get(n) == "article"), None)
     first, last = chosen[0], chosen[-1]
     depth = len(region)
     out = []
     for i, (text, _, linked, path, _) in enumerate(lines):
-        if path[:depth] == region and (linked <= LINKED or first < i < last and linked < 1.0):
+        if path[:depth] != region:
+            continue
+        if article in path:
+            out.append(text)
+        elif article is not None and any(kinds.get(n) == "article" for n in path):
+            continue  # another article of the page
+        elif linked <= LINKED or first < i < last and linked < 1.0:
             out.append(text)
     return "\n".join(out)
 

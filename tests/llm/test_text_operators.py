@@ -195,6 +195,30 @@ def test_main_text_of_every_small_page():
         assert html3.main_text(raw) == "\n".join(b for b in blocks if b), page
 
 
+LONG_BODY = [f"Paragraph {k} with a good many words in it so that it is long enough to be text." for k in range(40)]
+
+
+@pytest.mark.parametrize("before, after", [
+    ("<main><article>", "</article></main>"), ("<article>", "</article>"), ("<main>", "</main>"),
+    ("<div role=main>", "</div>"), ("<div>", "</div>"), ("<main><article><p>x</p></article><article>", "</article></main>")])
+@pytest.mark.parametrize("n", [1, 4, 40])
+def test_main_text_keeps_what_stands_outside_a_long_body(before, after, n):
+    body = "".join(f"<p>{x}</p>" for x in LONG_BODY[:n])
+    for inner, outer in (("div class=body", "div"), ("section", "section")):
+        page = f"<body><nav><a href=/>Home</a></nav>{before}<section><h1>The headline</h1><p class=lead>A lead of some words.</p>" \
+               f"</section><{inner}>{body}</{outer}>{after}<footer>f</footer></body>"
+        assert html3.main_text(page).split("\n") == ["The headline", "A lead of some words.", *LONG_BODY[:n]]
+
+
+def test_main_text_keeps_linked_lines_of_the_article():
+    body = "".join(f"<p>{x}</p>" for x in LONG_BODY)
+    page = f"<main><h1>Above it</h1><article><h2><a href=x>All linked</a></h2><div>{body}</div><p><a href=y>Source</a></p></article>" \
+           "<a href=z>More</a></main><p>Beside it</p>"
+    assert html3.main_text(page).split("\n") == ["Above it", "All linked", *LONG_BODY, "Source"]
+    long = " ".join(LONG_BODY)
+    assert html3.main_text(f"<body><article>{long}</article><p>Beside it</p></body>") == long
+
+
 def test_smoothing_keeps_constants():
     assert html3.smoothed([2.0] * 9, 1.0) == pytest.approx([2.0] * 9)
 
