@@ -37,7 +37,7 @@ from .common import IS_SPACE, LOWER, Texts, blocks_of, held_out, map_arrow, rema
 
 DECAY = 0.7
 SYMBOLS = 32
-#: Units above this length are scored in windows of it, half overlapping.
+#: Units above this length are scored in windows of it, one symbol apart.
 LONGEST = 12
 #: Bound on the labelled rows that are trained on, half of each class.
 TRAIN_ROWS = 4000
@@ -60,54 +60,61 @@ _EDGE = SYMBOL == 27  # stripped from a unit's ends
 # --- units -------------------------------------------------------------------
 def units(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     """Units of a block of texts: symbol rows of length LONGEST padded by -1, and
-    the text of each.  A unit is a word without the signs at its ends, in windows
-    if long; runs of three or more single letters are one unit as well."""
+    the text of each.  A unit is a word without the signs at its ends; a word with
+    signs inside is a unit without them as well, and so are runs of three or more
+    single letters.  A long unit is all its windows, so every stretch of LONGEST
+    symbols lies whole in one."""
     starts, ends, rows = t.runs(~IS_SPACE)
     if not len(starts):
         return np.zeros((0, LONGEST), np.int8), np.zeros(0, np.int64)
-    low = np.concatenate([LOWER[t.data], np.full(LONGEST, 32, np.uint8)])
+    low = LOWER[t.data]
     sign = _EDGE[low]
     single = np.flatnonzero(ends - starts == 1)
-    apart = []
-    if len(single) > 2:
-        joined = np.flatnonzero((np.diff(single) == 1) & (rows[single[1:]] == rows[single[:-1]]))
-        for run in np.split(joined, np.flatnonzero(np.diff(joined) != 1) + 1) if len(joined) else []:
-            if len(run) > 1:
-                letters = low[starts[single[run[0]:run[-1] + 2]]]
-                for a in range(0, max(1, len(letters) - LONGEST // 2), LONGEST // 2):
-                    apart.append((letters[a:a + LONGEST], rows[single[run[0]]]))
+    # runs of single letters: their bytes follow the texts' own, and each run is one more word
+    near = np.flatnonzero((np.diff(single) == 1) & (rows[single[1:]] == rows[single[:-1]]))
+    runs = [r for r in np.split(near, np.flatnonzero(np.diff(near) != 1) + 1) if len(r) > 1]
+    letters = [starts[single[r[0]:r[-1] + 2]] for r in runs]
+    a_size = np.array([len(x) for x in letters], np.int64)
+    a_ends = len(low) + np.cumsum(a_size)
+    a_rows = np.array([rows[single[r[0]]] for r in runs], np.int64)
     # strip the ends: the first and last byte of each word that is no sign
-    kept = np.flatnonzero(~sign[:len(t.data)] & ~IS_SPACE[t.data])
+    kept = np.flatnonzero(~sign & ~IS_SPACE[t.data])
     a, b = np.searchsorted(kept, starts), np.searchsorted(kept, ends) - 1
     some = b >= a
     starts, ends, rows = kept[a[some]], kept[b[some]] + 1, rows[some]
-    size = ends - starts
-    long = np.flatnonzero(size > LONGEST)
-    if len(long):
-        step = LONGEST // 2
-        n = -(-(size[long] - LONGEST) // step) + 1
-        which = np.repeat(long, n)
-        k = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-        w_start = np.minimum(starts[which] + k * step, ends[which] - LONGEST)
-        short = size <= LONGEST
-        starts = np.concatenate([starts[short], w_start])
-        ends = np.concatenate([ends[short], w_start + LONGEST])
-        rows = np.concatenate([rows[short], rows[which]])
+    if runs:
+        low = np.concatenate([low, low[np.concatenate(letters)]])
+        sign = _EDGE[low]
+        starts, ends, rows = np.concatenate([starts, a_ends - a_size]), np.concatenate([ends, a_ends]), np.concatenate([rows, a_rows])
+    # words with signs inside, once more without them
+    signs = np.concatenate([[0], np.cumsum(sign)])
+    holes = signs[ends] - signs[starts]
+    split = np.flatnonzero(holes > 0)
+    if len(split):
+        at = _spans(starts[split], ends[split])
+        j_size = ends[split] - starts[split] - holes[split]
+        j_ends = len(low) + np.cumsum(j_size)
+        low = np.concatenate([low, low[at[~sign[at]]]])
+        starts, ends, rows = np.concatenate([starts, j_ends - j_size]), np.concatenate([ends, j_ends]), np.concatenate([rows, rows[split]])
     long_enough = ends - starts >= 3
     starts, ends, rows = starts[long_enough], ends[long_enough], rows[long_enough]
+    n = np.maximum(ends - starts - LONGEST, 0) + 1
+    if (n > 1).any():
+        rows, sizes = np.repeat(rows, n), np.repeat(np.minimum(ends - starts, LONGEST), n)
+        starts = _spans(starts, starts + n)
+        ends = starts + sizes
+    low = np.concatenate([low, np.full(LONGEST, 32, np.uint8)])
     at = starts[:, None] + np.arange(LONGEST)
-    symbols = np.where(np.arange(LONGEST) < (ends - starts)[:, None],
-                       SYMBOL[low[np.minimum(at, len(low) - 1)]], -1).astype(np.int8)
-    if apart:
-        more = np.full((len(apart), LONGEST), -1, np.int8)
-        for k, (letters, _) in enumerate(apart):
-            more[k, :len(letters)] = SYMBOL[letters]
-        keep = (more >= 0).sum(1) >= 3
-        symbols = np.concatenate([symbols, more[keep]])
-        rows = np.concatenate([rows, np.array([r for _, r in apart])[keep]])
+    symbols = np.where(np.arange(LONGEST) < (ends - starts)[:, None], SYMBOL[low[at]], -1).astype(np.int8)
     return symbols, rows
 
 
+def _spans(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The places of all spans [start, end), one span after another."""
+    size = ends - starts
+    return np.arange(size.sum()) + np.repeat(starts - np.cumsum(size) + size, size)
+
+
 def distinct(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows and the place of each row among them."""
     if not len(symbols):
@@ -213,6 +220,15 @@ def _widened(rows: np.ndarray, rng: np.random.Generator, times: int) -> np.ndarr
     return np.array(out, np.int8).reshape(-1, LONGEST)
 
 
+def _joined(rows: np.ndarray) -> np.ndarray:
+    """Units without the signs inside them, as ``units`` has them too."""
+    out = np.full_like(rows, -1)
+    for k, row in enumerate(rows):
+        own = row[(row >= 0) & (row != 27)]
+        out[k, :len(own)] = own
+    return out
+
+
 def _linear_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 8.0, steps: int = 400) -> tuple[np.ndarray, float]:
     """Squared-hinge linear machine by Newton steps on the examples within the margin."""
     xb = np.hstack([x, np.ones((len(x), 1))])
@@ -321,9 +337,12 @@ def fit(texts: pa.Array, labels: np.ndarray, seed: int = 5) -> Model:
         np.maximum.at(top, doc[rows], value[which])
     plain = np.array([not np.isin(x, witness).any() for x in held])
     low = np.quantile(top[np.asarray(labels) == 0], 0.999) if plain.any() else bias
-    high = np.quantile(value[witness], 0.1)
-    middle = low + MARGIN * (high - low) if high > low else (high + low) / 2
-    slope = 8.0 / max(0.2, abs(high - low))
+    plainly = np.quantile(value[witness], 0.1)
+    fresh = _widened(unit[witness], rng, 12)  # spellings that the machine hasn't seen
+    high = min(plainly, np.quantile(np.maximum(decisions(fresh, folded, bias), decisions(_joined(fresh), folded, bias)), 0.1))
+    # gapped spellings that clean documents reach too are given up rather than those documents
+    middle = low + MARGIN * (high - low) if high > low else min(low, (plainly + low) / 2)
+    slope = 8.0 / max(0.2, abs(plainly - low))
     return Model(folded, bias, slope, float(np.log(THRESHOLD / (1 - THRESHOLD)) - slope * middle))
 
 

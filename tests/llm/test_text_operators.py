@@ -109,6 +109,25 @@ def test_gapped_insults_are_met():
     assert (model.scores(pa.array([clean, "", None, "a", "Thenderen onesting haaten"])) < tox.THRESHOLD).all()
 
 
+def test_insults_spelt_with_signs_or_inside_long_words_are_met():
+    texts, labels = gapped_training()
+    swap = {"idiot": "pathetic", "moron": "worthless", "scumbag": "moron"}
+    texts = [" ".join(swap.get(w, w) for w in t.split(" ")) for t in texts]
+    model = tox.fit(pa.array(texts), labels)
+    clean = "the nder haoust tion erating the onest ander"
+    spelt = ["p-a-t-h-e-t-i-c", "w.o.r.t.h.l.e.s.s", "m*o*r*o*n", "w o r t h l e s s", "p - a - t - h - e - t - i - c",
+             "haoustworthlesshaoust", "enpatheticering", "path-etic", "wor.thl.ess"]
+    assert (model.scores(pa.array([f"{clean} {w} ater" for w in spelt])) >= tox.THRESHOLD).all()
+    assert (model.scores(pa.array([clean, "on-er-re ti/ou/ha a - t - e", "Thenderen-onesting haaten"])) < tox.THRESHOLD).all()
+
+
+def test_every_stretch_of_a_long_word_is_a_unit():
+    word = "abcdefghijklmnopqrstuvwxyz"
+    for text in (word, "-".join(word), " ".join(word)):
+        got = {"".join(chr(97 + c) for c in r if c >= 0) for r in tox.units(Texts(pa.array(["x", text])))[0]}
+        assert {word[k:k + tox.LONGEST] for k in range(len(word) - tox.LONGEST + 1)} <= got
+
+
 def test_toxicity_without_labels_or_with_one_class():
     for labels in ([], [0, 0], [1, 1]):
         model = tox.fit(pa.array(["some words here"] * len(labels), pa.string()), np.array(labels, int))
