@@ -42,13 +42,15 @@ def read_warc_records(spark: SparkSession, path: str) -> DataFrame:
 def read_warc_pages(spark: SparkSession, path: str) -> DataFrame:
     """Pages (page_id, url, cc_date, html) from WARC response records.
 
-    ``page_id`` is the T7 hash of (url, date): deterministic across retries, and wide
-    enough that no two pages share it.  A repeated record is one page.
+    ``page_id`` is a hash of the url, the date as it is written and the body: deterministic
+    across retries, and wide enough that no two pages share it.  A repeated record, equal
+    in all three, is one page; other captures of a url are pages of their own.
     """
     r = read_warc_records(spark, path).where((F.col("warc_type") == "response") & (F.col("url") != ""))
     http_end = F.instr(F.col("block").cast("string"), BLANK)  # HTTP headers are ASCII too
     body = F.when(http_end > 0, F.expr("substring(block, instr(cast(block as string), '\r\n\r\n') + 4)"))
-    p = r.select("url", crawl_timestamp(F.col("warc_date")).alias("cc_date"),
+    p = r.select("url", "warc_date", crawl_timestamp(F.col("warc_date")).alias("cc_date"),
                  decode_payload(body).alias("html"))
-    return p.select(F.sha2(F.concat_ws("|", "url", F.col("cc_date").cast("string")), 256).alias("page_id"),
+    body_hash = F.coalesce(F.sha2("html", 256), F.lit("none"))
+    return p.select(F.sha2(F.concat_ws("|", "url", "warc_date", body_hash), 256).alias("page_id"),
                     "url", "cc_date", "html").dropDuplicates(["page_id"])

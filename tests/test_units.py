@@ -211,6 +211,21 @@ def test_rouge_edge_cases(spark):
 
 # --------------------------------------------------------------------------- WARC and dates
 
+def test_warc_keeps_every_capture_of_a_url(spark):
+    d = tempfile.mkdtemp(prefix="warc-")
+    def record(date, body):
+        block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+        return b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: https://a.b/c\r\n" + date \
+            + b"Content-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+    second, part = b"WARC-Date: 2021-07-24T10:32:00Z\r\n", b"WARC-Date: 2021-07-24T10:32:00.5Z\r\n"
+    records = [record(date, body) for date in (second, part, b"") for body in (b"one", b"two")]
+    with gzip.open(f"{d}/a.warc.gz", "wb") as f:
+        f.write(b"".join(records * 2))
+    got = read_warc_pages(spark, d).collect()
+    assert sorted(r.html for r in got) == ["one"] * 3 + ["two"] * 3
+    assert len({r.page_id for r in got}) == 6
+
+
 def test_warc_utf8_and_latin1(spark):
     d = tempfile.mkdtemp(prefix="warc-")
 
