@@ -12,6 +12,9 @@ from .op7_simhash import op7_simhash_near_dedup
 from .op8_tokens import op8_token_files
 from .op9_exact_dedup import OP9_SQL, op9_exact_dedup
 from .op10_mixing import op10_mixing
+from .op11_fill_middle import OP11_SQL, op11_fill_middle
+from .op12_graph_search import op12_graph_search
+from .op13_runs import op13_periodic_runs
 
 QUERIES = {f.__name__: f for f in (
     op1_toxicity,
@@ -24,6 +27,9 @@ QUERIES = {f.__name__: f for f in (
     op8_token_files,
     op9_exact_dedup,
     op10_mixing,
+    op11_fill_middle,
+    op12_graph_search,
+    op13_periodic_runs,
 )}
 
-ORACLE = {"op4_warc_segments": OP4_SQL, "op9_exact_dedup": OP9_SQL}
+ORACLE = {"op4_warc_segments": OP4_SQL, "op9_exact_dedup": OP9_SQL, "op11_fill_middle": OP11_SQL}
