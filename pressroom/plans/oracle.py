@@ -8,6 +8,8 @@ Spark plan avoids them, and list lambdas where Spark uses arrays.
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from pressroom.config import DEFAULT as CFG
 
 # --- shared CTE fragments --------------------------------------------------
@@ -549,6 +551,43 @@ ORACLE["k3_write_splits_roundtrip"] = with_(ARTICLES, STATS, FILTERED, DEDUP_IN,
     "'test' END AS split, rank\nFROM ranked", "'test' END AS split FROM ranked) GROUP BY split, site")
 ORACLE["k7_s8_encoded_roundtrip"] = ORACLE["e2_e6_encode_examples"]
 
+# --- subword pieces: every piece that fits at a place of a word, the longest, then a walk over them ----
+PIECE_WORDS = """flatten(list_transform(regexp_extract_all(lower({c}), '[\\pL\\pN]+|[^\\pL\\pN\\s]'),
+  lambda w: list_transform(range(0, length(w), 100), lambda k: substr(w, CAST(k AS INTEGER) + 1, 100))))"""
+PIECES = f"""
+alphabet AS (SELECT b, CASE WHEN own THEN chr(b) ELSE chr(255 + CAST(sum(CASE WHEN own THEN 0 ELSE 1 END) OVER (ORDER BY b) AS INTEGER)) END AS c
+             FROM (SELECT CAST(range AS INTEGER) AS b, range BETWEEN 33 AND 126 OR range BETWEEN 161 AND 172 OR range >= 174 AS own FROM range(256))),
+file AS (SELECT unnest(map_entries(CAST(json_extract(content, '$.model.vocab') AS MAP(VARCHAR, INTEGER)))) AS e
+         FROM read_text('{public_tokenizers.path("word_bpe_49k.json")}')),
+marked AS (SELECT e.value AS id, e.key LIKE '%_</w>' AS ends, string_split(regexp_replace(e.key, '(.)</w>$', '\\1'), '') AS cs FROM file),
+spelt AS (SELECT id, ends, unnest(cs) AS c, unnest(range(len(cs))) AS k FROM marked),
+pieces AS MATERIALIZED (SELECT id, ends, string_agg(printf('%02X', b), '' ORDER BY k) AS hx FROM spelt JOIN alphabet USING (c) GROUP BY id, ends),
+wordlists AS MATERIALIZED (SELECT uuid, {PIECE_WORDS.format(c="article")} AS ws, {PIECE_WORDS.format(c="string_split(input, ' ')[1]")} AS head FROM examples),
+dist AS MATERIALIZED (SELECT word, hex(encode(word)) AS hx FROM (SELECT unnest(ws) AS word FROM wordlists UNION SELECT unnest(head) FROM wordlists)),
+starts AS (SELECT word, hx, length(hx) // 2 AS n, unnest(range(length(hx) // 2)) AS i FROM dist),
+subs AS (SELECT word, n, i, substr(hx, 2 * i + 1, 2 * size) AS sub, size, i + size = n AS ends
+         FROM (SELECT *, unnest(range(1, 65)) AS size FROM starts) WHERE i + size <= n),
+best AS MATERIALIZED (SELECT word, i, max(size) AS size, arg_max(id, size) AS id, any_value(n) AS n
+         FROM subs JOIN pieces ON pieces.hx = subs.sub AND pieces.ends = subs.ends GROUP BY word, i),
+walk AS (SELECT word, 0 AS i, CAST([] AS INTEGER[]) AS ids FROM dist
+         UNION ALL SELECT w.word, w.i + b.size, list_append(w.ids, b.id) FROM walk w JOIN best b ON b.word = w.word AND b.i = w.i),
+cut AS MATERIALIZED (SELECT word, arg_max(ids, i) AS ids FROM walk GROUP BY word),
+toks AS (SELECT uuid, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM wordlists),
+seqs AS (SELECT uuid, flatten(list(ids ORDER BY pos)) AS ids FROM toks JOIN cut USING (word) GROUP BY uuid),
+rowids AS (SELECT uuid, ws, coalesce(ids, []) AS ids FROM wordlists LEFT JOIN seqs USING (uuid))"""
+_SUBWORD = with_(ARTICLES, STATS, EXAMPLES, PIECES).replace("WITH ", "WITH RECURSIVE ", 1)
+ORACLE["e2_e8_subword_ids"] = _SUBWORD + """
+SELECT uuid, CAST(len(ids) AS BIGINT) AS n_pieces, sha256(array_to_string(ids, ' ')) AS ids_sha256,
+       sha256(array_to_string(ws, ' ')) AS decoded_sha256 FROM rowids"""
+# the input is the site, a blank and the article; the fixed ids are those of the file's special tokens and the next
+ORACLE["e2_e6_subword_examples"] = _SUBWORD + """,
+heads AS (SELECT uuid, flatten(list(ids ORDER BY pos)) AS head
+          FROM (SELECT uuid, unnest(head) AS word, unnest(range(len(head))) AS pos FROM wordlists) JOIN cut USING (word) GROUP BY uuid),
+full_ AS (SELECT uuid, [49406] || list_slice(coalesce(head, []) || ids, 1, 510) || [49407] AS a, [49406] || list_slice(ids, 1, 510) || [49407] AS b
+          FROM rowids LEFT JOIN heads USING (uuid))
+SELECT uuid, list_resize(a, 512, 49408) AS input_ids, list_resize(list_transform(a, lambda x: 1), 512, 0) AS attention_mask,
+       list_resize(list_transform(b, lambda x: 1), 512, 0) AS decoder_attention_mask, list_resize(b, 512, -100) AS labels FROM full_"""
+
 # D5 option: candidate pairs (shared band) verified by exact Jaccard of the byte-shingle sets
 ORACLE["d5_losers_exact_jaccard"] = with_(ARTICLES, STATS, FILTERED, DEDUP_IN, SIGS) + f""",
 pairs AS (SELECT DISTINCT x.uuid AS ux, y.uuid AS uy

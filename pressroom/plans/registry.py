@@ -363,6 +363,31 @@ def _e8(spark, sf):
     return EN.decode(enc, "labels", vocab)
 
 
+# ---- subword tokens from a stored vocabulary (E2-E8) -------------------------
+import public_tokenizers  # noqa: E402
+
+from pressroom.operators import subword as SW  # noqa: E402
+from pressroom.session import spread  # noqa: E402
+
+#: the vocabulary file that the queries read; executors have it too
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
+
+@register("e2_e8_subword_ids")
+def _e2s(spark, sf):
+    """The pieces of every whole article, and the text that they decode to."""
+    v = SW.read_byte_level(spark, VOCABULARY)
+    a = spread(articles_from_documents(spark, sf).select("uuid", "article"), "uuid")
+    x = a.select("uuid", SW.piece_ids(spark, SW.words(F.col("article")), v).alias("ids"))
+    return x.select("uuid", F.size("ids").cast("long").alias("n_pieces"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+                    F.sha2(SW.decode(F.col("ids"), v), 256).alias("decoded_sha256"))
+
+
+@register("e2_e6_subword_examples")
+def _e6s(spark, sf):
+    return SW.encode(spread(_examples(spark, sf), "uuid"), SW.read_byte_level(spark, VOCABULARY))
+
+
 # ---- files, streaming, dates (S*, K1, T6, T9, T12) --------------------------
 import uuid as _uuid  # noqa: E402
 
