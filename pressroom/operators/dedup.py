@@ -18,20 +18,24 @@ Plan, without emitting all pairs of a bucket:
    partially aggregated ``max``.
 3. Round 1: each non-leader member is verified against its bucket leader
    only: at most ``num_bands`` pairs per document.
-4. Round 2 (exact remainder): a member not yet proven a loser is verified
-   against the other newer members of its buckets.  Sharing a whole band of
-   20 slots makes agreement below the threshold astronomically rare
-   (P = J^20), so this set is empty or tiny in practice, yet it keeps the
-   result exact.  Together the rounds cover every newer bucket-mate.
+4. Round 2 (exact remainder): members not yet proven losers meet other newer
+   members of their buckets in a set-similarity join (``setjoin``): only those
+   that share a rare element of a prefix, never all pairs of a bucket, which
+   may hold any number of short texts of one template.  Sharing a band and
+   agreeing on enough slots implies such an element, so together the rounds
+   cover every newer bucket-mate.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressroom.config import DEFAULT, Config
 from pressroom.operators import minhash as M
+from pressroom.operators.salted import salt, with_newest
+from pressroom.operators.setjoin import newer_matches
+from pressroom.session import cut_lineage
 
 
 def order_key(date_col: str = "cc_date", id_col: str = "uuid"):
@@ -39,48 +43,38 @@ def order_key(date_col: str = "cc_date", id_col: str = "uuid"):
     return F.struct(F.col(date_col).alias("d"), F.col(id_col).alias("u"))
 
 
-#: parts that the rows of one hot key (a text, a bucket, a leader) are split into
-SALTS = 64
-
-
-def _salt(id_col: str):
-    return F.pmod(F.xxhash64(id_col), F.lit(SALTS)).alias("_salt")
-
-
-def _with_newest(df: DataFrame, keys: list[str], id_col: str, ord_col: str, out: str, shared: bool = False) -> DataFrame:
-    """Rows of ``df`` with ``out``, the largest ``ord_col`` of their group; with
-    ``shared``, only rows of groups of two or more.
-
-    Rows are grouped by (keys, salt) first, and the group's maximum goes back to the
-    salts that occur in it.  So a key that holds a third of all rows is met in SALTS
-    tasks, and a key of one row costs one row."""
-    rows = df.withColumn("_salt", _salt(id_col))
-    parts = rows.groupBy(*keys, "_salt").agg(F.max(ord_col).alias("_o"), F.count(F.lit(1)).alias("_n"))
-    group = Window.partitionBy(*keys)  # at most SALTS rows
-    top = parts.select(*keys, "_salt", F.max("_o").over(group).alias(out), F.sum("_n").over(group).alias("_n"))
-    if shared:
-        top = top.where("_n > 1")
-    return rows.join(top.drop("_n"), [*keys, "_salt"]).drop("_salt")
-
-
 def exact_duplicates(df: DataFrame, text_col: str = "article", id_col: str = "uuid",
                      date_col: str = "cc_date") -> DataFrame:
     """(uuid, kept_uuid, is_kept) for every row; the newest copy of each
     text is kept."""
     keyed = df.select(id_col, F.sha2(F.col(text_col), 256).alias("_th"),
                       order_key(date_col, id_col).alias("_ord"))
-    return _with_newest(keyed, ["_th"], id_col, "_ord", "_best") \
+    return with_newest(keyed, ["_th"], id_col, "_ord", "_best") \
         .select(id_col, F.col("_best.u").alias("kept_uuid"), (F.col("_ord") == F.col("_best")).alias("is_kept"))
 
 
-def _verify(pairs: DataFrame, sigs: DataFrame, id_col: str, cfg: Config) -> DataFrame:
-    """Keep pairs (x, y) whose signatures agree on >= min_agree slots.  A ``y`` that
-    leads a large bucket is in many pairs, so its signature goes to the salts of their x."""
+def _signed(pairs: DataFrame, sigs: DataFrame, id_col: str) -> DataFrame:
+    """Pairs (x, y) with both signatures.  A ``y`` that leads a large bucket is in many
+    pairs, so its signature goes to the salts of their x."""
     sx = sigs.select(F.col(id_col).alias("x"), F.col("sig").alias("sx"))
     sy = sigs.select(F.col(id_col).alias("y"), F.col("sig").alias("sy"))
-    ys = pairs.select("y", _salt("x")).distinct().join(sy, "y")
-    j = pairs.join(sx, "x").withColumn("_salt", _salt("x")).join(ys, ["y", "_salt"])
-    return j.where(M.agreement(F.col("sx"), F.col("sy")) >= cfg.min_agree).select("x", "y")
+    ys = pairs.select("y", salt("x")).distinct().join(sy, "y")
+    return pairs.join(sx, "x").withColumn("_salt", salt("x")).join(ys, ["y", "_salt"])
+
+
+def _agree(cfg: Config) -> Column:
+    return M.agreement(F.col("sx"), F.col("sy")) >= cfg.min_agree
+
+
+def _share_band(cfg: Config) -> Column:
+    r = cfg.rows_per_band
+    return F.exists(F.sequence(F.lit(0), F.lit(cfg.num_bands - 1)),
+                    lambda b: F.slice("sx", b * r + 1, F.lit(r)) == F.slice("sy", b * r + 1, F.lit(r)))
+
+
+def _verify(pairs: DataFrame, sigs: DataFrame, id_col: str, cfg: Config) -> DataFrame:
+    """Keep pairs (x, y) whose signatures agree on >= min_agree slots."""
+    return _signed(pairs, sigs, id_col).where(_agree(cfg)).select("x", "y")
 
 
 def _verify_exact(pairs: DataFrame, shingles: DataFrame, cfg: Config) -> DataFrame:
@@ -125,11 +119,10 @@ def keyed_signatures(df: DataFrame, text_col: str = "article", id_col: str = "uu
     sigs = M.signatures(df, id_col, text_col, cfg)
     keys = df.select(id_col, F.sha2(F.col(text_col), 256).alias("_th"),
                      order_key(date_col, id_col).alias("ord"))
-    kb = _with_newest(keys, ["_th"], id_col, "ord", "best").select(id_col, "ord", "best")
+    kb = with_newest(keys, ["_th"], id_col, "ord", "best").select(id_col, "ord", "best")
     # texts below one shingle have no signature, but copies among them count
     out = kb.join(sigs, id_col, "left").select(id_col, "ord", "best", "sig")
     if materialize:
-        from pressroom.session import cut_lineage
         out = cut_lineage(out, bucket_by=id_col)   # verification joins on id shuffle only the pairs
     return out
 
@@ -146,38 +139,51 @@ def near_duplicate_losers(df: DataFrame, text_col: str = "article", id_col: str
                     .select(F.col(id_col), F.col("best.u").alias("winner"))
     sigs = ks.where((F.col("ord") == F.col("best")) & F.col("sig").isNotNull()).select(id_col, "ord", "sig")
 
+    near = bucket_losers(sigs, df, text_col, id_col, cfg)
+    return copy_losers.unionByName(near)
+
+
+def bucket_losers(sigs: DataFrame, df: DataFrame | None = None, text_col: str = "article", id_col: str = "uuid",
+                  cfg: Config = DEFAULT) -> DataFrame:
+    """D3-D6 on signatures (uuid, ord, sig): (uuid, winner) for each that shares a bucket with a
+    newer one and is verified against it.  The texts of ``df`` are read for exact Jaccard only."""
     members = M.bands(sigs, id_col, ["ord"], cfg)
-    m = _with_newest(members, ["band", "bucket"], id_col, "ord", "lead", shared=True)
+    m = with_newest(members, ["band", "bucket"], id_col, "ord", "lead", shared=True)
     behind = m.where(F.col("ord") < F.col("lead"))
 
-    if cfg.exact_jaccard:
-        docs = df.join(m.select(id_col).distinct(), id_col, "left_semi").select(id_col, text_col)
-        shingles = docs.select(F.col(id_col).alias("id"),
-                               F.explode(M.shingle_windows(F.col(text_col), cfg.char_ngram)).alias("g")).distinct()
-
-        def verify(p):
-            return _verify_exact(p, shingles, cfg)
-    else:
-        def verify(p):
-            return _verify(p, sigs, id_col, cfg)
+    def shingles(ids):
+        docs = df.join(ids, id_col, "left_semi").select(id_col, text_col)
+        return docs.select(F.col(id_col).alias("id"),
+                           F.explode(M.shingle_windows(F.col(text_col), cfg.char_ngram)).alias("g")).distinct()
 
     # round 1: against the bucket leader
     p1 = behind.select(F.col(id_col).alias("x"), F.col("lead.u").alias("y")).distinct()
-    l1 = verify(p1)
-    l1x = l1.groupBy("x").agg(F.min("y").alias("y"))
-
-    # round 2: remaining newer bucket-mates of members not yet proven losers
-    open_ = behind.join(l1x.select(F.col("x").alias(id_col)), id_col, "left_anti") \
-                  .select("band", "bucket", F.col(id_col).alias("x"), F.col("ord").alias("xo"), "lead")
-    mates = m.select("band", "bucket", F.col(id_col).alias("y"), F.col("ord").alias("yo"))
-    p2 = (open_.join(mates, ["band", "bucket"])
-          .where((F.col("yo") > F.col("xo")) & (F.col("yo") < F.col("lead")))
-          .select("x", "y").distinct())
-    l2 = verify(p2).groupBy("x").agg(F.min("y").alias("y"))
-
-    near = l1x.unionByName(l2).groupBy("x").agg(F.min("y").alias("winner")) \
-              .select(F.col("x").alias(id_col), "winner")
-    return copy_losers.unionByName(near)
+    l1 = _verify_exact(p1, shingles(m.select(id_col).distinct()), cfg) if cfg.exact_jaccard else _verify(p1, sigs, id_col, cfg)
+    l1x = cut_lineage(l1.groupBy("x").agg(F.min("y").alias("y")))
+
+    # round 2: members not yet proven losers, among the members of their buckets
+    open_ = cut_lineage(behind.join(l1x.select(F.col("x").alias(id_col)), id_col, "left_anti")
+                        .select("band", "bucket", F.col(id_col).alias("id")))
+    if open_.isEmpty():
+        return l1x.select(F.col("x").alias(id_col), F.col("y").alias("winner"))
+    mates = cut_lineage(m.join(open_.select("band", "bucket").distinct(), ["band", "bucket"], "left_semi")
+                        .select(F.col(id_col).alias("id"), F.col("ord").alias("key")).distinct())
+    if cfg.exact_jaccard:
+        near = shingles(mates.select(F.col("id").alias(id_col)))
+        tokens = near.join(mates, "id").select("id", "key", F.col("g").alias("token"))
+        t = F.lit(str(cfg.min_jaccard)).cast("decimal(10,6)")
+        l2 = newer_matches(tokens, open_, lambda n: n - F.ceil(t * n) + 1,
+                           lambda p: _verify_exact(_signed(p, sigs, id_col).where(_share_band(cfg)).select("x", "y"), near, cfg),
+                           lambda nx, ny: (t * nx <= ny) & (t * ny <= nx))
+    else:
+        # a signature as a set: slot and value in one number (values are below 2**40)
+        tokens = sigs.join(mates.select(F.col("id").alias(id_col), "key"), id_col) \
+            .select(F.col(id_col).alias("id"), "key", F.posexplode("sig").alias("slot", "h")) \
+            .select("id", "key", (F.col("h") * cfg.num_perm + F.col("slot")).alias("token"))
+        l2 = newer_matches(tokens, open_, lambda n: n - cfg.min_agree + 1,
+                           lambda p: _signed(p, sigs, id_col).where(_agree(cfg) & _share_band(cfg)).select("x", "y"))
+    both = l1x.unionByName(l2)
+    return both.groupBy("x").agg(F.min("y").alias("winner")).select(F.col("x").alias(id_col), "winner")
 
 
 def drop_losers(df: DataFrame, losers: DataFrame, id_col: str = "uuid") -> DataFrame:
