@@ -5,13 +5,15 @@ shipped.  Here the vocabulary is a corpus job (word counts ranked by
 frequency), and encoding / decoding are joins against it:
 
 * vocabulary: ``explode`` words -> count (partially aggregated) -> rank by
-  (count desc, word) in blocks -> ids after the special tokens.  Every word has
+  (count desc, word) over range partitions -> ids after the special tokens.  Every word has
   an id unless ``vocab_size`` asks for the most frequent ones only; the joins
   carry no broadcast hint, as the vocabulary grows with the corpus.
 * encode (E2-E6): the first ``max_len - 2`` words (the truncation *is* the
   operator) with their position, joined to the vocabulary (unknown ->
   ``[UNK]``), collected in order per row, wrapped in ``[CLS] .. [SEP]``,
-  padded to ``max_len``; masks and labels by ``transform``.
+  padded to ``max_len``; masks and labels by ``transform``.  Input and article meet
+  the vocabulary in one join, a frequent word in salted parts.  A row is named by all
+  it holds, so rows that repeat an id are encoded each by its own text.
 * decode (E7, E8): labels back to ids (-100 -> pad), specials skipped,
   words joined in order.
 """
@@ -22,7 +24,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressroom.config import DEFAULT, Config
-from pressroom.operators.split import rank_by_blocks
+from pressroom.operators.rank import global_rank
+from pressroom.operators.salted import meet
+from pressroom.session import cut_lineage, spread
 
 # Special tokens and their ids (BERT order of roles).
 SPECIALS = ("[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]")
@@ -50,31 +54,34 @@ def build_vocab(texts: DataFrame, cols: list[str], cfg: Config = DEFAULT) -> Dat
         x = texts.select(F.explode(words(F.col(c))).alias("word"))
         w = x if w is None else w.unionByName(x)
     counts = w.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    # blocks in the order of the ranking: a count, then the words' beginnings
-    ranked = rank_by_blocks(counts.withColumn("_less", -F.col("n")), [], [F.col("_less"), F.substring("word", 1, 3)], [F.col("word")])
+    # counted once, as range partitioning samples what it deals out
+    ranked = global_rank(cut_lineage(counts), [F.desc("n"), F.asc("word")])
     if cfg.vocab_size is not None:
         ranked = ranked.where(F.col("rank") <= cfg.vocab_size - len(SPECIALS))
     return ranked.select("word", (F.col("rank") + (len(SPECIALS) - 1)).cast("int").alias("id"))
 
 
-def encode_column(df: DataFrame, col: str, vocab: DataFrame, id_col: str = "uuid",
-                  cfg: Config = DEFAULT) -> DataFrame:
-    """(id, ids array<int>[max_len]) for one text column (E2 + E3)."""
+def encode_columns(df: DataFrame, cols: list[str], vocab: DataFrame, id_col: str = "uuid", cfg: Config = DEFAULT) -> DataFrame:
+    """(id, then ids array<int>[max_len] under each column's name), a row for each row of ``df`` (E2 + E3)."""
     L = cfg.max_seq_len
-    from pressroom.session import spread
-    src = spread(df.select(F.col(id_col).alias("_id"), F.col(col).alias("_t")), "_id")
-    toks = src.select("_id", F.posexplode(F.slice(words(F.col("_t")), 1, L - 2)).alias("pos", "word"))
-    ids = toks.join(vocab, "word", "left") \
-              .select("_id", "pos", F.coalesce("id", F.lit(UNK)).alias("id"))
-    seqs = ids.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("s"))
-    body = F.transform(F.col("s"), lambda x: x["id"])
-    full = F.concat(F.array(F.lit(CLS)), body, F.array(F.lit(SEP)))
-    padded = F.concat(full, F.array_repeat(F.lit(PAD), F.lit(L) - F.size(full)))
-    base = df.select(F.col(id_col).alias("_id"))
-    # rows without any word still encode as [CLS] [SEP] + padding
-    empty = F.concat(F.array(F.lit(CLS), F.lit(SEP)), F.array_repeat(F.lit(PAD), F.lit(L - 2)))
-    out = base.join(seqs.select("_id", padded.alias("ids")), "_id", "left")
-    return out.select(F.col("_id").alias(id_col), F.coalesce("ids", empty).alias("ids"))
+    part = lambda c: F.coalesce(F.sha2(F.col(c), 256), F.lit("-"))
+    keyed = df.select(F.col(id_col).alias("_id"), *cols, F.sha2(F.concat(*(part(c) for c in [id_col, *cols])), 256).alias("_key"))
+    src = spread(keyed.select("_key", *cols).distinct(), "_key")
+    both = F.array(*[F.struct(F.lit(k).alias("col"), F.slice(words(F.col(c)), 1, L - 2).alias("words")) for k, c in enumerate(cols)])
+    toks = src.select("_key", F.explode(both).alias("t")).select("_key", "t.col", F.posexplode("t.words").alias("pos", "word"))
+    ids = meet(toks, vocab, ["word"], "_key", "left").select("_key", "col", "pos", F.coalesce("id", F.lit(UNK)).alias("id"))
+    seqs = ids.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("col", "pos", "id"))).alias("s"))
+
+    def full(k: int) -> Column:
+        body = F.transform(F.filter("s", lambda x: x["col"] == k), lambda x: x["id"])
+        # rows without any word encode as [CLS] [SEP] + padding
+        whole = F.concat(F.array(F.lit(CLS)), F.coalesce(body, F.array().cast("array<int>")), F.array(F.lit(SEP)))
+        return F.concat(whole, F.array_repeat(F.lit(PAD), F.lit(L) - F.size(whole)))
+
+    # equal rows are encoded once and dealt out again
+    n = keyed.groupBy("_id", "_key").agg(F.count(F.lit(1)).alias("_n"))
+    out = n.join(seqs, "_key", "left").select(F.col("_id").alias(id_col), "_n", *[full(k).alias(c) for k, c in enumerate(cols)])
+    return out.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).drop("_n")
 
 
 def attention_mask(ids: Column) -> Column:
@@ -89,13 +96,11 @@ def mask_labels(ids: Column) -> Column:
 
 def encode(examples: DataFrame, vocab: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """(uuid, input_ids, attention_mask, decoder_attention_mask, labels)."""
-    enc_in = encode_column(examples, "input", vocab, "uuid", cfg).withColumnRenamed("ids", "input_ids")
-    enc_out = encode_column(examples, "article", vocab, "uuid", cfg).withColumnRenamed("ids", "out_ids")
-    j = enc_in.join(enc_out, "uuid")
-    return j.select("uuid", "input_ids",
-                    attention_mask(F.col("input_ids")).alias("attention_mask"),
-                    attention_mask(F.col("out_ids")).alias("decoder_attention_mask"),
-                    mask_labels(F.col("out_ids")).alias("labels"))
+    j = encode_columns(examples, ["input", "article"], vocab, "uuid", cfg)
+    return j.select("uuid", F.col("input").alias("input_ids"),
+                    attention_mask(F.col("input")).alias("attention_mask"),
+                    attention_mask(F.col("article")).alias("decoder_attention_mask"),
+                    mask_labels(F.col("article")).alias("labels"))
 
 
 def unmask(labels: Column) -> Column:
@@ -105,11 +110,13 @@ def unmask(labels: Column) -> Column:
 
 def decode(df: DataFrame, ids_col: str, vocab: DataFrame, id_col: str = "uuid") -> DataFrame:
     """Ids -> text, special tokens skipped, words joined by blanks, trimmed."""
-    e = df.select(F.col(id_col).alias("_id"), F.posexplode(unmask(F.col(ids_col))).alias("pos", "id")) \
-          .where(F.col("id") >= len(SPECIALS))
-    w = e.join(vocab, "id", "left")
-    g = w.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("s"))
+    keyed = df.select(F.col(id_col).alias("_id"), unmask(F.col(ids_col)).alias("_ids")) \
+        .withColumn("_key", F.sha2(F.concat_ws("|", F.coalesce("_id", F.lit("-")), F.array_join("_ids", " ")), 256))
+    e = keyed.select("_key", "_ids").distinct().select("_key", F.posexplode("_ids").alias("pos", "id")).where(F.col("id") >= len(SPECIALS))
+    w = meet(e, vocab, ["id"], "_key", "left")
+    g = w.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("s"))
     txt = F.trim(F.array_join(F.transform(F.col("s"), lambda x: x["word"]), " "))
-    base = df.select(F.col(id_col).alias("_id"))
-    out = base.join(g.select("_id", txt.alias("generated")), "_id", "left")
-    return out.select(F.col("_id").alias(id_col), F.coalesce("generated", F.lit("")).alias("generated"))
+    n = keyed.groupBy("_id", "_key").agg(F.count(F.lit(1)).alias("_n"))
+    out = n.join(g.select("_key", txt.alias("generated")), "_key", "left")
+    return out.select(F.col("_id").alias(id_col), F.coalesce("generated", F.lit("")).alias("generated"),
+                      F.explode(F.sequence(F.lit(1).cast("long"), "_n")).alias("_n")).drop("_n")

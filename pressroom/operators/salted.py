@@ -30,8 +30,8 @@ def with_newest(df: DataFrame, keys: list[str], id_col: str, ord_col: str, out:
     return rows.join(top.drop("_n"), [*keys, "_salt"]).drop("_salt")
 
 
-def meet(rows: DataFrame, table: DataFrame, keys: list[str], id_col: str) -> DataFrame:
-    """``rows`` joined with ``table``, which holds a row per key at most."""
+def meet(rows: DataFrame, table: DataFrame, keys: list[str], id_col: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table``, which holds a row per key at most; ``how`` is inner or left."""
     salted = rows.withColumn("_salt", salt(id_col))
-    parts = salted.select(*keys, "_salt").distinct().join(table, keys)
+    parts = salted.select(*keys, "_salt").distinct().join(table, keys, how)
     return salted.join(parts, [*keys, "_salt"]).drop("_salt")

@@ -551,6 +551,37 @@ ORACLE["k3_write_splits_roundtrip"] = with_(ARTICLES, STATS, FILTERED, DEDUP_IN,
     "'test' END AS split, rank\nFROM ranked", "'test' END AS split FROM ranked) GROUP BY split, site")
 ORACLE["k7_s8_encoded_roundtrip"] = ORACLE["e2_e6_encode_examples"]
 
+ORACLE["d8_seeded_shuffle"] = with_(ARTICLES) + """
+SELECT uuid, row_number() OVER (ORDER BY md5('123' || uuid), uuid) AS rank FROM articles"""
+
+# --- crawl index: the second capture is the newest wanted one of its key ------------------
+ORACLE["i1_i2_crawl_index"] = r"""
+WITH c AS (SELECT page_id, url, lower(regexp_replace(url, '#.*$', '')) AS u, html FROM pages),
+k AS (SELECT *, regexp_replace(regexp_extract(u, '^[a-z]+://([^/?:]+)', 1), '^www[0-9]*[.]', '') AS host, regexp_extract(u, '^[a-z]+://[^/?]*(.*)$', 1) AS path FROM c),
+s AS (SELECT *, array_to_string(list_reverse(string_split(host, '.')), ',') || ')' ||
+             CASE WHEN regexp_full_match(path, '/*') THEN '/' ELSE regexp_replace(path, '/+$', '') END AS key FROM k),
+n AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY key ORDER BY page_id DESC) = 1)
+SELECT key, TIMESTAMP '2021-07-24 02:00:00' AS captured, 'ftp://www.' || regexp_replace(url, '^https?://(www[.])?', '') AS url,
+       'application/xhtml+xml' AS mime, 200 AS status, sha256(coalesce(html, '')) AS digest,
+       CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS length, page_id AS "offset" FROM n"""
+
+# --- public suffixes: every rule against the end of every host ------------------------------
+ORACLE["u2_public_suffix_domain"] = r"""
+WITH hosts AS (SELECT unnest(['', 'www.shop.co.jp', 'a.b.kawasaki.jp', 'x.city.kawasaki.jp', 'kawasaki.jp', 'www.ck', 'deep.www.ck', 'a.bar.ck', 'bar.ck',
+               'me.blogs.example.org', 'unknown.tld', 'localhost', '10.20.30.40', 'co.uk', 'is.a.very.long.name']) AS other, unnest(range(15)) AS variant),
+v AS (SELECT page_id, CAST(variant AS INTEGER) AS variant, CASE WHEN variant = 0 THEN lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)) ELSE other END AS host
+      FROM pages CROSS JOIN hosts UNION ALL SELECT page_id, 15, NULL FROM pages),
+rules AS (SELECT unnest(['com', 'net', 'org', 'jp', 'co.jp', '[^.]+.kawasaki.jp', 'uk', 'co.uk', '[^.]+.ck', 'blogs.example.org', 'a.very.long.name']) AS r),
+longest AS (SELECT host, max(len(string_split(replace(r, '[^.]+', 'x'), '.'))) AS k
+            FROM (SELECT DISTINCT host FROM v) JOIN rules ON regexp_matches(host, '(^|[.])' || replace(replace(r, '[^.]+', '#'), '.', '[.]').replace('#', '[^.]+') || '$') GROUP BY host),
+s AS (SELECT page_id, variant, v.host, string_split(v.host, '.') AS ls,
+             CASE WHEN regexp_matches(v.host, '(^|[.])(city[.]kawasaki[.]jp)$') THEN 2 WHEN regexp_matches(v.host, '(^|[.])www[.]ck$') THEN 1
+                  ELSE least(coalesce(k, 1), len(string_split(v.host, '.'))) END AS k
+      FROM v LEFT JOIN longest ON longest.host = v.host),
+d AS (SELECT page_id, variant, host, CASE WHEN host = '10.20.30.40' THEN NULL ELSE array_to_string(ls[-k:], '.') END AS suffix,
+             CASE WHEN host = '10.20.30.40' OR len(ls) <= k THEN host ELSE array_to_string(ls[-(k + 1):], '.') END AS domain FROM s)
+SELECT page_id, variant, host, suffix, domain, split_part(domain, '.', 1) AS site FROM d"""
+
 # --- subword pieces: every piece that fits at a place of a word, the longest, then a walk over them ----
 PIECE_WORDS = """flatten(list_transform(regexp_extract_all(lower({c}), '[\\pL\\pN]+|[^\\pL\\pN\\s]'),
   lambda w: list_transform(range(0, length(w), 100), lambda k: substr(w, CAST(k AS INTEGER) + 1, 100))))"""

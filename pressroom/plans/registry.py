@@ -145,6 +145,7 @@ def _s4e(spark, sf):
 # ---- near-duplicate removal and split (D*) ---------------------------------
 from pressroom.operators import dedup as D  # noqa: E402
 from pressroom.operators import minhash as M  # noqa: E402
+from pressroom.operators import rank as RK  # noqa: E402
 from pressroom.operators import split as S  # noqa: E402
 from pressroom.plans import dedup as DP  # noqa: E402
 
@@ -184,6 +185,13 @@ def _d9(spark, sf):
     return S.assign_split(a).select("uuid", "site", "split", "rank")
 
 
+@register("d8_seeded_shuffle")
+def _d8(spark, sf):
+    """Every article's place in the seeded order of all."""
+    a = _dedup_input(spark, sf).select("uuid", S.shuffle_key(123).alias("key"))
+    return RK.global_rank(a, [F.asc("key"), F.asc("uuid")]).select("uuid", "rank")
+
+
 @register("d10_dedup_split")
 def _d10(spark, sf):
     return DP.deduplicate(_dedup_input(spark, sf)).select("uuid", "site", "split")
@@ -363,6 +371,50 @@ def _e8(spark, sf):
     return EN.decode(enc, "labels", vocab)
 
 
+# ---- crawl index and public suffixes (I1, I2, U2) ------------------------------
+from pressroom.operators import domains as DM  # noqa: E402
+from pressroom.sources import crawl_index as CI  # noqa: E402
+
+#: rules of all kinds for the queries' hosts
+SUFFIX_RULES = ("// rules of all kinds", "com", "net", "org", "jp", "co.jp", "*.kawasaki.jp", "!city.kawasaki.jp", "uk", "co.uk",
+                "*.ck", "!www.ck", "blogs.example.org", "", "a.very.long.name")
+#: hosts put in place of the pages' own
+OTHER_HOSTS = ("www.shop.co.jp", "a.b.kawasaki.jp", "x.city.kawasaki.jp", "kawasaki.jp", "www.ck", "deep.www.ck", "a.bar.ck", "bar.ck",
+               "me.blogs.example.org", "unknown.tld", "localhost", "10.20.30.40", "co.uk", "is.a.very.long.name")
+
+
+@register("u2_public_suffix_domain")
+def _u2p(spark, sf):
+    """All pages under their own host and under hosts that meet each kind of rule."""
+    path = _scratch(spark, "suffixes")
+    spark.createDataFrame([(r,) for r in SUFFIX_RULES], "value string").write.text(path)
+    p = read_table(spark, sf, "pages").select("page_id", "url")
+    urls = [F.col("url"), *[F.regexp_replace("url", "://[^/?#:]+", f"://{h}") for h in OTHER_HOSTS], F.lit(None).cast("string")]
+    p = p.select("page_id", F.posexplode(F.array(*urls)).alias("variant", "url"))
+    return DM.with_registered_domain(p, DM.read_suffix_rules(spark, path)).select("page_id", "variant", "host", "suffix", "domain", "site")
+
+
+@register("i1_i2_crawl_index")
+def _i12(spark, sf):
+    """An index of four captures of every page, written, read, filtered by MIME type and reduced to the
+    newest: as it is; under the other scheme and ``www.``, an hour later, as XHTML; in capitals with a fragment,
+    earlier; and last as a PDF, which isn't wanted."""
+    path = _scratch(spark, "index")
+    p = read_table(spark, sf, "pages").select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
+    other = F.regexp_replace(F.regexp_replace("url", r"^https?://(www\.)?", "//"), "^//", "ftp://www.")
+    upper = F.concat(F.upper("url"), F.lit("#top"))
+    kinds = [("url", F.col("url"), "text/html", 60), ("other", other, "application/xhtml+xml", 120), ("upper", upper, "text/html", 0),
+             ("pdf", F.col("url"), "application/pdf", 180)]
+    captures = p.select("page_id", "html", F.explode(F.array(*[F.struct(F.lit(m).alias("mime"), u.alias("url"), F.lit(t).alias("minutes"))
+                                                               for _, u, m, t in kinds])).alias("c"))
+    captures = captures.select("c.url", "c.mime", (F.lit("2021-07-24 00:00:00").cast("timestamp") + F.make_dt_interval(mins=F.col("c.minutes"))).alias("captured"),
+                               F.lit(200).alias("status"), F.sha2("html", 256).alias("digest"), F.octet_length("html").alias("length"),
+                               F.col("page_id").alias("offset"), F.lit("part.warc.gz").alias("filename"))
+    CI.write_index(captures, path)
+    return CI.wanted_captures(CI.read_index(spark, path), I.allowed_mimes_table(spark)).select(
+        "key", "captured", "url", "mime", "status", "digest", "length", "offset")
+
+
 # ---- subword tokens from a stored vocabulary (E2-E8) -------------------------
 import public_tokenizers  # noqa: E402
 

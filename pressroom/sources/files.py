@@ -61,3 +61,8 @@ def read_site_list(spark: SparkSession, path: str) -> DataFrame:
 def read_encoded(spark: SparkSession, path: str) -> DataFrame:
     """Reload a saved encoded dataset (K7)."""
     return spark.read.parquet(path)
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value): the lines of text files, plain or gzip."""
+    return spark.read.text(path)
