@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pressroom.llm import common, op13_runs
+from pressroom.llm.op5_substring import boundaries, repeated_spans, without_repeats
 from pressroom.llm.op11_fill_middle import Matcher, fill_in_middle, restored, transform
 from pressroom.llm.op12_graph_search import nearest
 from pressroom.llm.op13_runs import collapse_runs, find_runs, ntt, planted, squared_differences
@@ -209,3 +210,61 @@ def test_periodic_runs_on_odd_rows(spark):
     assert ([(0, 8, 1)], "a") in by[None] and by[8] == [([], "a b\x1cc")]
     assert collapse_runs(empty_docs(spark)).count() == 0
     assert planted(0, "5").tolist() == []
+
+
+# --- 5: repeated and missing ids ----------------------------------------------------
+def brute_spans(rows, min_words):
+    """Spans from the chunks of every text, by plain dictionaries; documents are (doc_id, text) pairs."""
+    docs = sorted({(i, t) for i, t in rows if t}, key=lambda d: (d[0] is None, d[0] or 0, d[1]))
+    texts_of = {}
+    for i, t in docs:
+        texts_of.setdefault(i, set()).add(t)
+    cut, where = {}, {}
+    for d in docs:
+        raw = d[1].encode()
+        ends = boundaries(raw)
+        cut[d] = [(a, b, hashlib.blake2b(raw[a:b], digest_size=16).digest()) for a, b in zip([0, *ends], ends)]
+        for _, _, h in cut[d]:
+            where.setdefault(h, set()).add(d)
+    out = set()
+    for d in docs:
+        raw, run = d[1].encode(), []
+        for c in [*cut[d], None]:
+            if c and len(where[c[2]]) > 1:
+                run.append(c)
+                continue
+            if run:
+                a, b = run[0][0], run[-1][1]
+                begins = [m.start() for m in re.finditer(rb"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]", raw)]
+                n = sum(a <= x < b for x in begins)
+                if n >= min_words:
+                    out.add((d[0], a, b, n))
+                run = []
+    return out
+
+
+def test_spans_of_rows_that_repeat_or_lack_a_doc_id(spark):
+    rng = random.Random(4)
+    passage = lambda n: " ".join(f"w{rng.randrange(9000)}" for _ in range(n))
+    p, q, r, own = passage(90), passage(120), passage(70), [passage(150) for _ in range(9)]
+    rows = [(1, f"{own[0]} {p} {own[1]}"), (1, f"{own[2]} {q}"), (2, f"{p} {own[3]}"), (None, f"{own[4]} {q} {own[5]}"), (None, f"{r} {own[6]}"),
+            (3, f"{own[7]} {r}"), (4, own[8]), (4, own[8]), (5, None), (None, None), (6, f"{r} {r}"), ((1 << 62) + 5, f"x {p}")]
+    df = spark.createDataFrame([(i, t, "c", 1, 2) for i, t in rows], "doc_id long, text string, cuts string, key long, twice long")
+    got = repeated_spans(df).collect()
+    assert {(x["doc_id"], x["span_start"], x["span_stop"], x["n_words"]) for x in got} == brute_spans(rows, 20)
+    assert len(got) == len(brute_spans(rows, 20)) >= 9 and not any(x["doc_id"] == 4 for x in got)
+    left = without_repeats(df)
+    assert left.columns == df.columns
+    kept = sorted(((x["doc_id"], x["text"], x["cuts"], x["key"]) for x in left.collect()), key=str)
+    assert len(kept) == len(rows)
+    # each passage stays where it is first, and no word that occurs nowhere else goes
+    words = " ".join(t or "" for _, t, _, _ in kept).split()
+    assert all(set(o.split()) <= set(words) for o in own) and all(set(x.split()) <= set(words) for x in (p, q, r))
+    assert sum(len(t or "") for _, t, _, _ in kept) < sum(len(t or "") for _, t in rows) - 1500
+    assert [x for x in kept if x[0] == 4] == [(4, own[8], "c", 1)] * 2
+
+
+def test_spans_match_brute_force_on_documents(spark):
+    docs = common.table(spark, "/root/testdata/sf0.001", "documents")
+    got = {(x["doc_id"], x["span_start"], x["span_stop"], x["n_words"]) for x in repeated_spans(docs).collect()}
+    assert got == brute_spans([(r["doc_id"], r["text"]) for r in docs.collect()], 20) and got

@@ -159,8 +159,10 @@ def test_repeated_spans(spark):
     docs = spark.createDataFrame([(k, t, "x") for k, t in texts.items()] + [(9, None, ""), (10, "", ""), (7, texts[7], ""), (None, texts[0], "")],
                                  "doc_id long, text string, seq string")
     spans = repeated_spans(docs).collect()
-    assert {r["doc_id"] for r in spans} == {1, 3, 5} and len(spans) == 3
-    for r in spans:
+    # a row without doc_id shares the whole text of document 0
+    assert {r["doc_id"] for r in spans} == {0, 1, 3, 5, None} and len(spans) == 5
+    assert all(r["first_doc_id"] == 0 and r["span_stop"] == len(texts[0].encode()) for r in spans if not r["doc_id"])
+    for r in (r for r in spans if r["doc_id"]):
         assert r["first_doc_id"] == 1 and r["is_first"] == (r["doc_id"] == 1)
         piece = texts[r["doc_id"]].encode()[r["span_start"]:r["span_stop"]].decode()
         assert piece.strip() in passage and len(piece.split()) >= 30
