@@ -94,7 +94,7 @@ ORACLE["g4_histogram_length_all_raw"] = with_(ARTICLES, STATS) + histogram_sql("
 ORACLE["g4_histogram_words_all_clean"] = with_(ARTICLES, STATS, FILTERED) + histogram_sql("filtered", "word_count", None)
 ORACLE["g5_yearly_articles"] = yearly_sql("articles", "date_of_creation", "uuid", with_(ARTICLES))
 ORACLE["g5_yearly_orders"] = yearly_sql("orders", "o_orderdate", "o_orderkey")
-ORACLE["g5_yearly_events"] = yearly_sql("events", "ts", "event_id")
+ORACLE["g5_yearly_events"] = yearly_sql("events", "ts", "event_id").replace(f"<= {CFG.year_max}", "<= 2024")
 ORACLE["g6_yearly_by_language_sets"] = with_(ARTICLES) + f"""
 SELECT CAST(year(date_of_creation) AS BIGINT) AS year,
        CASE WHEN grouping(lang) = 1 THEN '__all__' ELSE lang END AS lang,
@@ -226,6 +226,7 @@ ORACLE["u1_url_blocklist_reference_rules"] = f"""
 SELECT page_id, url FROM pages WHERE NOT regexp_matches(url, '{blocklist_pattern(BAD_URL_RULES)}')"""
 ORACLE["u1_url_blocklist_binding_rules"] = f"""
 SELECT page_id, url FROM pages WHERE NOT regexp_matches(url, '{blocklist_pattern(BINDING_URL_RULES)}')"""
+ORACLE["s6_u1_rule_file"] = ORACLE["u1_url_blocklist_binding_rules"]
 ORACLE["u2_u3_domain_and_site"] = """
 WITH v AS (SELECT page_id, 0 AS variant, url FROM pages
            UNION ALL SELECT page_id, 1, regexp_replace(url, '://[^/?#:]+', '://www.news.com.au') FROM pages
@@ -244,10 +245,10 @@ SELECT page_id, variant, host, domain, split_part(domain, '.', 1) AS site FROM d
 ORACLE["u6_crawl_timestamp_parse"] = """
 SELECT event_id, strptime(strftime(ts, '%Y-%m-%dT%H:%M:%SZ'), '%Y-%m-%dT%H:%M:%SZ') AS crawl_ts FROM events"""
 ORACLE["i1_mime_filter"] = r"""
-WITH v AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN html WHEN 1 THEN '<!-- a long comment before it all, of over sixty-four characters -->' || html
-                                WHEN 2 THEN '<?xml version="1.0"?>' || chr(10) || html WHEN 3 THEN 'plain ' || html ELSE '<htmlx>' END AS html FROM pages),
-m AS (SELECT page_id, CASE WHEN page_id % 5 < 3 AND regexp_matches(lower(html), '<(!doctype html|html)') THEN 'text/html' ELSE 'text/plain' END AS mime FROM v)
-SELECT page_id, mime FROM m WHERE mime IN ('text/html', 'application/xhtml+xml')"""
+WITH v AS (SELECT page_id, html, CAST(unnest(range(5)) AS INTEGER) AS variant FROM pages),
+m AS (SELECT page_id, variant, CASE WHEN variant < 3 AND regexp_matches(lower(html), '^\s*<(!doctype html|html)\b') THEN 'text/html'
+                                    WHEN variant = 4 AND regexp_matches(lower(html), '^\s*<!doctype html\b') THEN 'text/html' ELSE 'text/plain' END AS mime FROM v)
+SELECT page_id, variant, mime FROM m WHERE mime IN ('text/html', 'application/xhtml+xml')"""
 ORACLE["i2_index_url_dedup"] = """
 WITH c AS (SELECT page_id, url, regexp_replace(url, '#.*$', '') AS nf FROM pages),
 s AS (SELECT *, regexp_replace(nf, '^[A-Za-z][A-Za-z0-9+.-]*://(www\\.)?', '') AS ns FROM c),
@@ -482,14 +483,14 @@ s2 AS (""" + with_(PAIRS) + _b2 + """)
 SELECT """ + ", ".join(f"round(avg({c}), 4) AS {c}" for c in _c1 + _c2 + _CL) + """
 FROM s1 JOIN s2 USING (uuid) JOIN lf USING (uuid)"""
 # the same draws as numbers: the Poisson weight by its cumulative distribution
-ORACLE["r5_bootstrap"] = with_(PAIRS) + """,
+ORACLE["r5_bootstrap"] = "WITH RECURSIVE" + with_(PAIRS).replace("WITH", "", 1) + ROUGE_L + """,
 s1 AS (""" + with_(PAIRS) + _b1 + """),
 s2 AS (""" + with_(PAIRS) + _b2 + """),
 u AS (SELECT *, CAST(('0x' || substr(md5(uuid || '|' || b || '|42'), 1, 7)) AS BIGINT) / 268435456.0 AS u
-      FROM s1 JOIN s2 USING (uuid) CROSS JOIN range(1, 201) r(b)),
+      FROM s1 JOIN s2 USING (uuid) JOIN lf USING (uuid) CROSS JOIN range(1, 1001) r(b)),
 cdf AS (SELECT k, sum(exp(-1) / factorial(CAST(k AS INTEGER))) OVER (ORDER BY k) AS c FROM range(0, 10) t(k)),
 w AS (SELECT u.*, (SELECT count(*) FROM cdf WHERE cdf.c <= u.u) AS w FROM u),
-m AS (""" + " UNION ALL ".join(f"SELECT '{c}' AS score, b, sum({c} * w) / sum(w) AS mean FROM w GROUP BY b" for c in _c1 + _c2) + """)
+m AS (""" + " UNION ALL ".join(f"SELECT '{c}' AS score, b, sum({c} * w) / sum(w) AS mean FROM w GROUP BY b" for c in _c1 + _c2 + _CL) + """)
 SELECT score, round(quantile_cont(mean, 0.025), 4) AS low, round(quantile_cont(mean, 0.5), 4) AS mid,
        round(quantile_cont(mean, 0.975), 4) AS high FROM m GROUP BY score"""
 
@@ -638,36 +639,6 @@ SELECT x.uuid FROM dedup_in x JOIN dedup_in y ON x.article = y.article
 WHERE y.cc_date > x.cc_date OR (y.cc_date = x.cc_date AND y.uuid > x.uuid)"""
 
 
-# --- page layouts: what each tenth of the pages must give, written out ------------
-_PARA = "trim(regexp_replace(regexp_extract(html, '<p>([^<&]*)', 1), '\\s+', ' ', 'g'))"
-_LAYOUTS = f"""
-WITH p AS (SELECT page_id, page_id % 10 AS k, {_PARA} AS para FROM pages),
-x AS (SELECT page_id, CASE WHEN k < 2 THEN 'telex' WHEN k IN (2, 3, 9) THEN 'index' WHEN k IN (4, 5, 7) THEN 'ac24'
-                           WHEN k = 6 THEN 'parlamentnilisty' ELSE 'nowhere' END AS site,
-             CASE WHEN k < 2 THEN 'telex.hu' WHEN k IN (2, 3, 9) THEN 'index.hu' WHEN k IN (4, 5, 7) THEN 'ac24.cz'
-                  WHEN k = 6 THEN 'parlamentnilisty.cz' ELSE 'nowhere.org' END AS domain,
-             trim(CASE k WHEN 0 THEN para || chr(10) || chr(10) || 'and more' WHEN 2 THEN para WHEN 3 THEN para || chr(10) || 'line'
-                    WHEN 4 THEN para || chr(10) || chr(10) || 'end' WHEN 5 THEN '1 < 2' || chr(10) || chr(10) || para
-                    WHEN 6 THEN 'a b' || chr(10) || chr(10) || para END, ' ' || chr(10)) AS article,
-             CASE k WHEN 0 THEN TIMESTAMP '2021-07-24 10:32:00' WHEN 2 THEN TIMESTAMP '2021-07-25 08:15:00'
-                    WHEN 3 THEN TIMESTAMP '2021-07-26 12:00:00' WHEN 4 THEN TIMESTAMP '2021-07-24 14:05:00'
-                    WHEN 5 THEN TIMESTAMP '2021-07-25 09:30:00' WHEN 6 THEN TIMESTAMP '2021-07-25 09:30:00' END AS date_of_creation,
-             CASE k WHEN 1 THEN 'invalid_page' WHEN 9 THEN 'invalid_page' WHEN 7 THEN 'missing_article' WHEN 8 THEN 'unknown_site' END AS reject_reason
-      FROM p)"""
-_LAYOUTS += """,
-y AS (SELECT page_id, site, domain, nullif(article, '') AS article, coalesce(reject_reason,
-             CASE WHEN article = '' THEN 'missing_article' END) AS reason,
-             date_of_creation FROM x)"""
-ORACLE["h2_h12_site_layouts"] = _LAYOUTS + """
-SELECT page_id, site, domain, nfc_normalize(article) AS article, CASE WHEN reason IS NULL THEN date_of_creation END AS date_of_creation,
-       reason AS reject_reason FROM y"""
-ORACLE["k8_reject_log_layouts"] = _LAYOUTS + """
-SELECT page_id, 'https://' || CASE page_id % 10 WHEN 0 THEN 'telex.hu/belfold/2021/07/24/' WHEN 1 THEN 'telex.hu/kulfold/'
-         WHEN 2 THEN 'index.hu/gazdasag/' WHEN 3 THEN 'index.hu/sport/' WHEN 4 THEN 'www.ac24.cz/zpravy/' WHEN 5 THEN 'www.ac24.cz/clanek/'
-         WHEN 6 THEN 'www.parlamentnilisty.cz/arena/' WHEN 7 THEN 'www.ac24.cz/prazdny/' WHEN 8 THEN 'www.nowhere.org/'
-         ELSE 'index.hu/belfold/' END || page_id AS url, site, reason AS reject_reason
-FROM y WHERE reason IS NOT NULL"""
-
 # --- every page's whole article in every layout: the layouts' own text around it ------
 _BREAK = "chr(10) || chr(10)"
 _WHOLE = r"""
@@ -704,14 +675,14 @@ FROM z WHERE reason IS NOT NULL"""
 # --- round trips: what went in -------------------------------------------------------
 ORACLE["s1_u4_u5_warc_roundtrip"] = r"""
 WITH p AS (SELECT page_id, url, CASE WHEN page_id % 3 = 0 THEN regexp_replace(html || 'é', '[^\x{00}-\x{ff}]', '?', 'g') ELSE html || 'é' END AS h FROM pages)
-SELECT DISTINCT ON (url) url, TIMESTAMP '2021-07-24 10:32:00' AS cc_date, sha256(h) AS html_sha FROM p ORDER BY url, page_id"""
+SELECT url, TIMESTAMP '2021-07-24 10:32:00' + to_seconds(page_id) AS cc_date, sha256(h) AS html_sha FROM p"""
 ORACLE["k1_append_repeated_ids"] = with_(ARTICLES) + " SELECT uuid, article, site FROM articles"
 ORACLE["k2_overwrite_by_site"] = with_(ARTICLES) + """,
 anew AS (SELECT uuid, 'again' AS url, site FROM articles WHERE CAST(uuid AS BIGINT) % 2 = 0 AND site < 'n')
 SELECT uuid, url, site FROM anew
 UNION ALL SELECT uuid, url, site FROM articles WHERE site NOT IN (SELECT site FROM anew)"""
 ORACLE["k4_stats_csv_roundtrip"] = ORACLE["g1_describe_length_raw"]
-ORACLE["k5_metrics_json_roundtrip"] = ORACLE["r5_rouge_n_corpus"]
+ORACLE["k5_metrics_json_roundtrip"] = ORACLE["r5_rouge_all_corpus"]
 ORACLE["k6_s5_predictions_roundtrip"] = ORACLE["r1_prediction_pairs"]
 ORACLE["s7_site_by_url_prefix"] = """
 WITH l AS (SELECT DISTINCT lower(regexp_extract(url, '^[a-z]+://(www[.])?([^/?#]+)', 2)) AS site,

@@ -86,7 +86,8 @@ def _g5o(spark, sf):
 
 @register("g5_yearly_events")
 def _g5e(spark, sf):
-    return G.yearly_counts(read_table(spark, sf, "events"), "ts", "event_id")
+    # the events are of 2024, after the articles' last year
+    return G.yearly_counts(read_table(spark, sf, "events"), "ts", "event_id", year_max=2024)
 
 
 @register("g6_yearly_by_language_sets")
@@ -217,6 +218,14 @@ def _u1b(spark, sf):
     return I.filter_blocked_urls(read_table(spark, sf, "pages"), BINDING_URL_RULES).select("page_id", "url")
 
 
+@register("s6_u1_rule_file")
+def _s6(spark, sf):
+    """U1 with rules that are written to a file, with blanks and empty lines, and read back."""
+    path = _scratch(spark, "rules")
+    spark.createDataFrame([(f"  {r}\t",) for r in BINDING_URL_RULES] + [("",), ("   ",)], "value string").write.text(path)
+    return I.filter_blocked_urls(read_table(spark, sf, "pages"), FS.read_url_rules(spark, path)).select("page_id", "url")
+
+
 @register("u2_u3_domain_and_site")
 def _u2(spark, sf):
     # the pages' own hosts and, over the same pages, hosts that they lack
@@ -236,14 +245,11 @@ def _u6(spark, sf):
 
 @register("i1_mime_filter")
 def _i1(spark, sf):
-    # a fifth of the pages each: as they are, behind a comment, behind an XML declaration, and two that are no HTML
-    html, k = F.col("html"), F.col("page_id") % 5
-    p = read_table(spark, sf, "pages").withColumn(
-        "html", F.when(k == 0, html)
-        .when(k == 1, F.concat(F.lit("<!-- a long comment before it all, of over sixty-four characters -->"), html))
-        .when(k == 2, F.concat(F.lit('<?xml version="1.0"?>\n'), html))
-        .when(k == 3, F.concat(F.lit("plain "), html)).otherwise(F.lit("<htmlx>")))
-    p = p.select("page_id", U.sniff_mime(F.col("html")).alias("mime"))
+    # every page as it is, behind a comment, behind an XML declaration, and twice as no HTML
+    html = F.col("html")
+    variants = (html, F.concat(F.lit("<!-- a long comment before it all, of over sixty-four characters -->"), html),
+                F.concat(F.lit('<?xml version="1.0"?>\n'), html), F.concat(F.lit("plain "), html), F.regexp_replace(html, "(?i)<html", "<htmlx"))
+    p = read_table(spark, sf, "pages").select("page_id", F.posexplode(F.array(*[U.sniff_mime(v) for v in variants])).alias("variant", "mime"))
     return I.filter_mime(p, I.allowed_mimes_table(spark))
 
 
@@ -342,7 +348,7 @@ def _r5all(spark, sf):
 
 @register("r5_bootstrap")
 def _r5b(spark, sf):
-    return R.bootstrap_scores(R.rouge_scores(prediction_pairs(spark, sf), with_l=False), rounds=200)
+    return R.bootstrap_scores(R.rouge_scores(prediction_pairs(spark, sf), with_l=True))
 
 
 def _examples(spark, sf):
@@ -517,17 +523,6 @@ def _d5(spark, sf):
 
 # ---- page layouts of the four sites (H3, H5-H11, K8) -------------------------
 
-def layout_pages(spark, sf):
-    """The pages again in the layouts of the known sites: a tenth of them each, around the text
-    between the first <p> and the next tag, with what the site's rules remove, reject or fall back on.
-    That text is empty if a tag opens the paragraph; ``whole_layout_pages`` has whole articles."""
-    k, n = F.col("page_id") % 10, F.col("page_id").cast("string")
-    para = F.trim(F.regexp_replace(F.regexp_extract("html", r"<p>([^<&]*)", 1), r"\s+", " "))
-    url = F.concat(F.element_at(F.array(*[F.lit(u) for u in LAYOUT_URLS]), (k + 1).cast("int")), n)
-    html = F.element_at(F.array(*[F.lit(h) for h in LAYOUT_HTML]), (k + 1).cast("int"))
-    return read_table(spark, sf, "pages").select("page_id", url.alias("url"), F.replace(html, F.lit("@P@"), para).alias("html"))
-
-
 LAYOUT_URLS = ("https://telex.hu/belfold/2021/07/24/", "https://telex.hu/kulfold/", "https://index.hu/gazdasag/",
                "https://index.hu/sport/", "https://www.ac24.cz/zpravy/", "https://www.ac24.cz/clanek/",
                "https://www.parlamentnilisty.cz/arena/", "https://www.ac24.cz/prazdny/", "https://www.nowhere.org/",
@@ -553,17 +548,6 @@ LAYOUT_HTML = (
 )
 
 
-@register("h2_h12_site_layouts")
-def _layouts(spark, sf):
-    ex = scrape.extract(layout_pages(spark, sf))
-    return ex.select("page_id", "site", "domain", "article", "date_of_creation", "reject_reason")
-
-
-@register("k8_reject_log_layouts")
-def _k8l(spark, sf):
-    return scrape.rejects(scrape.extract(layout_pages(spark, sf)))
-
-
 def whole_layout_pages(spark, sf):
     """Every page in every layout, around its article's whole inner html: ten rows a page, numbered
     page_id * 10 + layout.  An article that isn't closed ends at the footer or with the page."""
@@ -594,18 +578,18 @@ def _k8w(spark, sf):
 
 @register("s1_u4_u5_warc_roundtrip")
 def _s1(spark, sf):
-    """The pages as WARC records, every third body in Latin-1, and back."""
+    """All pages as WARC records, each at a time of its own, every third body in Latin-1, and back."""
     from pressroom.sources.warc import read_warc_pages
     path, crlf = _scratch(spark, "warc"), "\r\n"
     p = read_table(spark, sf, "pages")
-    p = p.join(p.groupBy("url").agg(F.min("page_id").alias("page_id")), ["url", "page_id"], "left_semi")
     p = p.select("page_id", "url", F.concat("html", F.lit("é")).alias("html"))
     p = p.unionByName(p)
     latin = F.regexp_replace("html", r"[^\x00-\xff]", "?")
     body = F.when(F.col("page_id") % 3 == 0, F.encode(latin, "ISO-8859-1")).otherwise(F.encode("html", "UTF-8"))
     block = F.concat(F.encode(F.lit(f"HTTP/1.1 200 OK{crlf}Content-Type: text/html{crlf}{crlf}"), "UTF-8"), body)
     head = F.concat(F.lit(f"WARC/1.0{crlf}WARC-Type: response{crlf}WARC-Target-URI: "), "url",
-                    F.lit(f"{crlf}WARC-Date: 2021-07-24T10:32:00Z{crlf}Content-Length: "),
+                    F.lit(f"{crlf}WARC-Date: "), F.date_format(F.timestamp_seconds(F.col("page_id") + 1_627_122_720), "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+                    F.lit(f"{crlf}Content-Length: "),
                     F.octet_length(block).cast("string"), F.lit(crlf + crlf))
     p.select(F.concat(F.encode(head, "UTF-8"), block).cast("string").alias("value")) \
         .write.option("lineSep", crlf + crlf).option("compression", "gzip").text(path)
@@ -644,7 +628,7 @@ def _k4(spark, sf):
 @register("k5_metrics_json_roundtrip")
 def _k5(spark, sf):
     path = _scratch(spark, "metrics")
-    m = R.corpus_scores(R.rouge_scores(prediction_pairs(spark, sf), with_l=False))
+    m = R.corpus_scores(R.rouge_scores(prediction_pairs(spark, sf), with_l=True))
     W.write_metrics_json(m, path)
     return spark.read.schema(m.schema).json(path)
 
