@@ -103,3 +103,13 @@ def clean(spark: SparkSession, sf_dir: str, cfg: Config = DOCS_CFG) -> DataFrame
     lid = L.identify(kept, profile, langs, "uuid", "article", "language")
     out = L.filter_languages(kept.join(lid, "uuid"), cfg.allowed_languages)
     return out.drop("language", "word_count", "article_length")
+
+
+def clean_with_model(articles: DataFrame, model, cfg: Config = DOCS_CFG) -> DataFrame:
+    """C6 by a stored language model: C1 -> C2 -> C3 -> C4, map-only; a row that repeats an id is
+    judged by its own text."""
+    from pressroom.operators import langid as L
+    from pressroom.operators import trigrams as T
+    kept = C.filter_words(C.filter_length(C.with_text_stats(articles), cfg), cfg)
+    named = kept.withColumn("language", T.language(articles.sparkSession, F.col("article"), model))
+    return L.filter_languages(named, cfg.allowed_languages).drop("language", "word_count", "article_length")

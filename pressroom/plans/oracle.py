@@ -555,6 +555,26 @@ ORACLE["k7_s8_encoded_roundtrip"] = ORACLE["e2_e6_encode_examples"]
 ORACLE["d8_seeded_shuffle"] = with_(ARTICLES) + """
 SELECT uuid, row_number() OVER (ORDER BY md5('123' || uuid), uuid) AS rank FROM articles"""
 
+# --- trigrams: counts of the training two thirds, then sums over every article ----------------
+TRIGRAMS = """
+plain AS (SELECT uuid, lang, string_split(' ' || trim(regexp_replace(lower(article), '[^\\pL]+', ' ', 'g')) || ' ', '') AS cs FROM articles),
+gr AS MATERIALIZED (SELECT uuid, lang, unnest(list_transform(range(1, len(cs) - 1), lambda i: cs[i] || cs[i + 1] || cs[i + 2])) AS gram FROM plain),
+third AS (SELECT uuid, CAST('0x' || substr(md5(uuid), 1, 8) AS BIGINT) % 3 = 1 AS held_out FROM articles),
+cnt AS (SELECT gr.lang, gram, count(*) AS n FROM gr JOIN third USING (uuid) WHERE NOT held_out GROUP BY gr.lang, gram),
+tot AS (SELECT lang, CAST(sum(n) + (SELECT count(DISTINCT gram) FROM cnt) AS DOUBLE) AS al FROM cnt GROUP BY lang),
+model AS MATERIALIZED (SELECT cnt.lang, gram, CAST(round(ln((n + 1) / al) * 1000) AS BIGINT) - CAST(round(ln(1 / al) * 1000) AS BIGINT) AS gain
+          FROM cnt JOIN tot USING (lang) QUALIFY row_number() OVER (PARTITION BY cnt.lang ORDER BY n DESC, gram) <= 20000),
+gains AS (SELECT gr.uuid, model.lang, sum(gain) AS g FROM gr JOIN model USING (gram) GROUP BY ALL),
+sizes AS (SELECT uuid, count(*) AS n FROM gr GROUP BY uuid),
+scored AS (SELECT sizes.uuid, tot.lang, sizes.n * CAST(round(ln(1 / al) * 1000) AS BIGINT) + coalesce(g, 0) AS s
+           FROM sizes CROSS JOIN tot LEFT JOIN gains ON gains.uuid = sizes.uuid AND gains.lang = tot.lang),
+best_lang AS (SELECT uuid, lang AS language FROM scored QUALIFY row_number() OVER (PARTITION BY uuid ORDER BY s DESC, lang) = 1)"""
+
+ORACLE["c3_trigram_language"] = with_(ARTICLES, TRIGRAMS) + """
+SELECT uuid, language, held_out, lang FROM articles JOIN third USING (uuid) LEFT JOIN best_lang USING (uuid)"""
+ORACLE["c6_clean_stored_model"] = with_(ARTICLES, STATS, FILTERED, TRIGRAMS) + """
+SELECT uuid, site, lang FROM filtered JOIN best_lang USING (uuid) WHERE language IN ('fr', 'de')"""
+
 # --- crawl index: the second capture is the newest wanted one of its key ------------------
 ORACLE["i1_i2_crawl_index"] = r"""
 WITH c AS (SELECT page_id, url, lower(regexp_replace(url, '#.*$', '')) AS u, html FROM pages),

@@ -290,6 +290,7 @@ def _k8(spark, sf):
 
 
 # ---- language identification and the clean pipeline (C3, C4, C6) ----------
+from pressroom.session import spread  # noqa: E402
 
 @register("c3_language_id")
 def _c3(spark, sf):
@@ -301,6 +302,35 @@ def _c6(spark, sf):
     return corpus.clean(spark, sf).select("uuid", "site", "lang")
 
 
+from pressroom.operators import trigrams as TG  # noqa: E402
+
+
+def _held_out():
+    return F.conv(F.substring(F.md5("uuid"), 1, 8), 16, 10).cast("long") % 3 == 1
+
+
+def _stored_model(spark, articles):
+    """A model of the labelled articles outside the held-out third, stored and loaded again."""
+    path = _scratch(spark, "language-model")
+    TG.save_model(TG.train(articles.where(~_held_out())), path)
+    return TG.load_model(spark, path)
+
+
+@register("c3_trigram_language")
+def _c3t(spark, sf):
+    """Every article by a stored trigram model that hasn't seen the held-out third."""
+    a = articles_from_documents(spark, sf)
+    model = _stored_model(spark, a)
+    return spread(a, "uuid").select("uuid", TG.language(spark, F.col("article"), model).alias("language"),
+                                    _held_out().alias("held_out"), "lang")
+
+
+@register("c6_clean_stored_model")
+def _c6t(spark, sf):
+    a = articles_from_documents(spark, sf, corpus.DOCS_CFG)
+    return corpus.clean_with_model(a, _stored_model(spark, a)).select("uuid", "site", "lang")
+
+
 # ---- ROUGE (R*) and training examples (E*) ----------------------------------
 from pressroom.operators import encode as EN  # noqa: E402
 from pressroom.operators import rouge as R  # noqa: E402
@@ -425,7 +455,6 @@ def _i12(spark, sf):
 import public_tokenizers  # noqa: E402
 
 from pressroom.operators import subword as SW  # noqa: E402
-from pressroom.session import spread  # noqa: E402
 
 #: the vocabulary file that the queries read; executors have it too
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
