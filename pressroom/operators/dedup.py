@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from pressroom.config import DEFAULT, Config
 from pressroom.operators import minhash as M
-from pressroom.operators.salted import salt, with_newest
+from pressroom.operators.salted import SALTS, salt, with_newest  # noqa: F401  SALTS: parts of a hot key
 from pressroom.operators.setjoin import newer_matches
 from pressroom.session import cut_lineage
 
