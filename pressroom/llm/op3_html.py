@@ -6,14 +6,19 @@ over its number of tags.  The ratios are smoothed by a Gaussian, and lines above
 a threshold set from the page's own ratios form clusters.  The article or main
 element around the element that holds the clusters' text is the content region,
 or else the element around all clusters; short lines within it (a heading, a lead,
-a last short paragraph) belong to it.  Lines in elements whose name, role, class
-or id says that they are something else never count.
+a last short paragraph) belong to it.  Lines in elements whose name, role or class
+says that they are something else never count.  Within an article a class must say so
+as a whole ("share", "related-posts"); a container whose id or class merely holds such a
+word goes only if most of its characters are in links, and headings, paragraphs and
+text-level elements are never judged by an id, which is often made from a heading's words.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -45,6 +50,17 @@ cookie cookies consent gdpr disclaimer popup modal overlay dialog lightbox newsl
 login register paywall form search share sharing social related recommended recommendations teaser teasers trending
 comment comments commentlist respond reply replies discussion disqus reactions pagination pager toolbar toc tags
 skip copyright legal""".split())
+#: Words that add nothing to a name of NAMED: "comments-list" is as whole a name as "comments".
+PLAIN = frozenset("""block box list links section wrapper wrap container content area bar slot unit item items post
+posts article articles page site story user reader inline top bottom left right main global btn button buttons icons
+module panel group inner outer row col sticky""".split())
+#: Of NAMED, words that are as well headings of an article's own sections.
+TOPICS = frozenset("discussion legal notice notices search related copyright alert disclaimer promotion reactions".split())
+#: The names by which a text-level element within an article goes.
+ADS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promoted".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup title caption legend summary".split())
+#: Elements that hold other blocks and may be a part of the page by their id alone.
+CONTAINERS = frozenset("div section center details dl ul ol form fieldset table header footer aside nav".split())
 #: These may name the page's parts or parts of an article; within one they are its own.
 OWN = frozenset({"header", "masthead", "banner"})
 #: Elements that end a paragraph left open, as the HTML standard has it.
@@ -58,83 +74,117 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 
 
-def _named(attrs: list[tuple[str, str | None]]) -> set[str]:
-    found = set()
+def _named(tag: str, attrs: list[tuple[str, str | None]], article: bool) -> str:
+    """"other" if the attributes say that the element is no part of an article, "doubtful" if its
+    text has to tell, else empty.  ``article``: within an article or main element."""
+    found = ""
     for key, value in attrs:
-        if value and key in ("class", "id", "role", "aria-label"):
-            found |= {w.lower() for w in _WORDS.findall(value)} & NAMED
-        elif key in ("hidden",) or key == "aria-hidden" and value == "true" \
+        if key == "hidden" or key == "aria-hidden" and value == "true" \
                 or key == "style" and value and "display:none" in value.replace(" ", "").lower():
-            found.add("hidden")
+            return "other"
+        if not value or key not in ("class", "id", "role", "aria-label"):
+            continue
+        if key == "id" and tag not in CONTAINERS or article and tag in HEADINGS:
+            continue
+        for name in value.split() if key == "class" else (value,):
+            words = {w.lower() for w in _WORDS.findall(name)}
+            named = words & NAMED - OWN if article else words & NAMED
+            if not named:
+                continue
+            whole = words <= NAMED | PLAIN
+            if key == "id":
+                sure = (whole or not article and tag != "section") and not named <= TOPICS
+            elif not article or key == "role":
+                sure = True
+            elif tag in CONTAINERS:
+                sure = whole
+            else:
+                sure = len(words) == 1 and (tag in BLOCK or words <= ADS)
+            if sure:
+                return "other"
+            if tag in CONTAINERS:
+                found = "doubtful"
     return found
 
 
 class Lines(HTMLParser):
-    """Turns parser events into lines: [text parts, tags, characters in links, path, other]."""
+    """Turns parser events into lines: [text parts, tags, characters in links, container, other].
+
+    Containers are numbered as they open, after their parents; 0 is the page.  ``at`` has the
+    places on the stack of each name, so no event looks through the open elements."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[list] = []
         self.stack: list[tuple[str, int, bool]] = []  # block elements: name, number, other
-        self.count = 0
+        self.at: defaultdict[str, list[int]] = defaultdict(list)
+        self.parents = [0]
         self.kinds: dict[int, str] = {}  # of article and main elements
+        self.doubtful: set[int] = set()
         self.inline_other: list[str] = []
+        self.inline_count: defaultdict[str, int] = defaultdict(int)
         self.links = 0
         self.new = True
 
     def _line(self) -> list:
         if self.new or not self.lines:
-            other = bool(self.stack) and self.stack[-1][2]
-            self.lines.append([[], 0, 0, tuple(n for _, n, _ in self.stack), other])
+            _, number, other = self.stack[-1] if self.stack else ("", 0, False)
+            self.lines.append([[], 0, 0, number, other])
             self.new = False
         return self.lines[-1]
 
+    def _last(self, *names: str) -> int:
+        return max((self.at[n][-1] for n in names if self.at[n]), default=-1)
+
     def _pop(self, to: int) -> None:
         if to < len(self.stack):
+            for name, _, _ in reversed(self.stack[to:]):
+                self.at[name].pop()
             del self.stack[to:]
             self.inline_other.clear()
+            self.inline_count.clear()
             self.links = 0
         self.new = True
 
     def _close_implied(self, tag: str) -> None:
         if tag in ENDS_P:
-            for k in range(len(self.stack) - 1, -1, -1):
-                name = self.stack[k][0]
-                if name == "p":
-                    self._pop(k)
-                    break
-                if name in ("td", "th", "caption", "table", "button", "object", "div", "section", "article", "body"):
-                    break
+            k = self._last("p")
+            if k > self._last("td", "th", "caption", "table", "button", "object", "div", "section", "article", "body"):
+                self._pop(k)
         if tag in SIBLINGS:
             like, within = SIBLINGS[tag]
-            k = next((k for k in range(len(self.stack) - 1, -1, -1) if self.stack[k][0] in within), -1)
-            at = next((j for j in range(k + 1, len(self.stack)) if self.stack[j][0] in like), None)
-            if at is not None:
-                self._pop(at)
+            k = self._last(*within)
+            nexts = [self.at[n][i] for n in like if (i := bisect_right(self.at[n], k)) < len(self.at[n])]
+            if nexts:
+                self._pop(min(nexts))
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        names = _named(attrs) if attrs else ()
-        if tag in BLOCK or names and tag not in VOID and tag not in ("a", "html", "body"):
-            block = tag in BLOCK
+        article = bool(self.at["article"] or self.at["main"])
+        judged = attrs and tag not in ("html", "body", "article", "main")
+        named = _named(tag, attrs, article) if judged else ""
+        block = tag in BLOCK
+        if block or named and tag not in VOID and tag != "a":
             if block:
                 self._close_implied(tag)
             if tag in VOID:
                 self.new = True
                 return
             inside = bool(self.stack) and self.stack[-1][2]
-            article = any(n in ("article", "main") for n, _, _ in self.stack)
-            other = inside or tag in OTHER or tag == "header" and not article
-            if names and tag not in ("html", "body", "article", "main"):
-                other = other or any(n not in OWN or not article for n in names)
-            if block or other:
-                self.count += 1
-                self.stack.append((tag, self.count, other))
-                if tag in ("article", "main") or ("role", "main") in attrs:
-                    self.kinds[self.count] = "article" if tag == "article" else "main"
-                self.new = True
+            article = bool(self.at["article"] or self.at["main"])
+            other = inside or tag in OTHER or tag == "header" and not article or named == "other"
+            number = len(self.parents)
+            self.parents.append(self.stack[-1][1] if self.stack else 0)
+            self.at[tag].append(len(self.stack))
+            self.stack.append((tag, number, other))
+            if tag in ("article", "main") or ("role", "main") in attrs:
+                self.kinds[number] = "article" if tag == "article" else "main"
+            if named == "doubtful":
+                self.doubtful.add(number)
+            self.new = True
             return
         if tag in OTHER and tag not in VOID:
             self.inline_other.append(tag)
+            self.inline_count[tag] += 1
             return
         if tag == "br":
             self.handle_data(" ")
@@ -150,18 +200,18 @@ class Lines(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag == "a":
             self.links = 0
-        if self.inline_other and tag in self.inline_other:
-            while self.inline_other.pop() != tag:
-                pass
-            return
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                self._pop(k)
-                return
-            if self.stack[k][0] in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "td",
-                                                                         "th", "article", "main", "body", "html"):
-                return
-        if tag in BLOCK:
+        if self.inline_count[tag]:
+            while True:
+                name = self.inline_other.pop()
+                self.inline_count[name] -= 1
+                if name == tag:
+                    return
+        k = self._last(tag)
+        cell = tag in ("table", "tr", "tbody", "thead", "tfoot", "td", "th", "article", "main", "body", "html")
+        barrier = -1 if cell else self._last("td", "th", "table")
+        if k > barrier:
+            self._pop(k)
+        elif barrier < 0 and tag in BLOCK:
             self.new = True
 
     def handle_data(self, data: str) -> None:
@@ -175,20 +225,46 @@ class Lines(HTMLParser):
             line[2] += len(data.strip())
 
 
-def lines_of(html: str) -> tuple[list[tuple[str, float, float, tuple[int, ...], bool]], dict[int, str]]:
-    """(text, ratio, share of the text in links, path of containers, other) per line, and
-    which containers are articles or main elements."""
+def lines_of(html: str) -> tuple[list[tuple[str, float, float, int, bool]], Lines]:
+    """(text, ratio, share of the text in links, container, other) per line, and the
+    parser, which has the containers' parents and kinds."""
     parser = Lines()
     for a in range(0, len(html), FEED):
         parser.feed(html[a:a + FEED])
     parser.close()
     out = []
-    for parts, tags, linked, path, other in parser.lines:
+    for parts, tags, linked, number, other in parser.lines:
         text = _SPACE.sub(" ", "".join(parts)).strip()
         if text:
             linked = min(linked, len(text))
-            out.append((text, (len(text) - linked) / (1 + tags), linked / len(text), path, other))
-    return out, parser.kinds
+            out.append((text, (len(text) - linked) / (1 + tags), linked / len(text), number, other))
+    return out, parser
+
+
+def _summed(own: list[float], parents: list[int]) -> list[float]:
+    """Each container's sum over itself and all within it; parents have smaller numbers."""
+    own = list(own)
+    for n in range(len(own) - 1, 0, -1):
+        own[parents[n]] += own[n]
+    return own
+
+
+def _within(marked, parents: list[int]) -> list[bool]:
+    """Whether each container is one of ``marked`` or lies within one."""
+    out = [0 in marked]
+    for n in range(1, len(parents)):
+        out.append(n in marked or out[parents[n]])
+    return out
+
+
+def _linked_parts(lines: list, parser: Lines) -> list[bool]:
+    """Containers of a doubtful name whose characters are mostly in links, and what they hold."""
+    chars, linked = [0.0] * len(parser.parents), [0.0] * len(parser.parents)
+    for text, _, share, number, _ in lines:
+        chars[number] += len(text)
+        linked[number] += share * len(text)
+    chars, linked = _summed(chars, parser.parents), _summed(linked, parser.parents)
+    return _within({n for n in parser.doubtful if linked[n] > LINKED * chars[n]}, parser.parents)
 
 
 def smoothed(values: list[float], sigma: float) -> list[float]:
@@ -204,8 +280,14 @@ def smoothed(values: list[float], sigma: float) -> list[float]:
 
 def main_text(html: str | None) -> str:
     """The article's blocks, joined by line breaks; empty if there are none."""
-    found, kinds = lines_of(html) if html else ([], {})
+    if not html:
+        return ""
+    found, parser = lines_of(html)
+    parents, kinds = parser.parents, parser.kinds
     lines = [x for x in found if not x[4]]
+    if parser.doubtful:
+        gone = _linked_parts(lines, parser)
+        lines = [x for x in lines if not gone[x[3]]]
     if not lines:
         return ""
     smooth = smoothed([x[1] for x in lines], SIGMA)
@@ -216,29 +298,32 @@ def main_text(html: str | None) -> str:
     if not chosen:
         return ""
     # the innermost element that holds most of the clusters' text
-    held: dict[tuple[int, ...], int] = {}
-    total = 0
+    held: list[float] = [0.0] * len(parents)
     for i in chosen:
-        text, _, _, path, _ = lines[i]
-        total += len(text)
-        for k in range(len(path) + (path[-1:] != () and path[-1] in kinds)):  # a line's own paragraph is no region
-            held[path[:k]] = held.get(path[:k], 0) + len(text)
-        if not path:
-            held[()] = held.get((), 0) + len(text)
-    core = max((p for p, n in held.items() if n >= COVER * total), key=len)
+        number = lines[i][3]  # a line's own paragraph is no region
+        held[number if number in kinds else parents[number]] += len(lines[i][0])
+    held = _summed(held, parents)
+    total = held[0]
+    # those that hold so much lie within each other, so the last number is the innermost
+    core = max(n for n, x in enumerate(held) if x >= COVER * total)
+    chain = [core]
+    while chain[-1]:
+        chain.append(parents[chain[-1]])
     # the whole article is wanted however long its core is: climb to the outermost article or main element around it
-    outer = next((k for k, n in enumerate(core) if n in kinds), None)
-    region = max((p for p, n in held.items() if n >= total), key=len) if outer is None else core[:outer + 1]
-    article = next((n for n in core if kinds.get(n) == "article"), None)
+    outer = next((n for n in reversed(chain) if n in kinds), None)
+    region = max(n for n, x in enumerate(held) if x >= total) if outer is None else outer
+    article = next((n for n in reversed(chain) if kinds.get(n) == "article"), None)
     first, last = chosen[0], chosen[-1]
-    depth = len(region)
+    in_region = _within({region}, parents)
+    in_article = _within({article}, parents)
+    in_any = _within({n for n, kind in kinds.items() if kind == "article"}, parents)
     out = []
-    for i, (text, _, linked, path, _) in enumerate(lines):
-        if path[:depth] != region:
+    for i, (text, _, linked, number, _) in enumerate(lines):
+        if not in_region[number]:
             continue
-        if article in path:
+        if in_article[number]:
             out.append(text)
-        elif article is not None and any(kinds.get(n) == "article" for n in path):
+        elif article is not None and in_any[number]:
             continue  # another article of the page
         elif linked <= LINKED or first < i < last and linked < 1.0:
             out.append(text)
@@ -249,7 +334,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars (code points).
 
     Null and empty html, and pages without content, have the empty text.  Markup
-    may be broken or cut off anywhere.  Rows that repeat a page repeat its result.
+    may be broken, cut off or nested anyhow; the time is linear in a page's length.  Rows that repeat a page repeat its result.
     An empty table gives an empty result; columns other than page_id, url and
     html are not read.
     """

@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -343,3 +344,25 @@ def test_pieces_encode_as_the_whole_text_does():
         assert flat[at:at + n].tolist() == encoder.tokenizer.encode(text or "", add_special_tokens=False).ids + [2], repr(text)[:80]
         at += n
     assert at == len(flat)
+
+
+@pytest.mark.parametrize("part,stays", [
+    ('<h2 id="related-work">Part</h2>', True), ('<h2 id="comments-on-the-ruling">Part</h2>', True),
+    ('<h2 id="toc-1">Part</h2>', True), ('<section id="search-for-life"><p>Part</p></section>', True),
+    ('<section id="discussion"><p>Part</p></section>', True), ('<p class="legal-analysis">Part</p>', True),
+    ('<p>a <span class="share">Part</span></p>', True), ('<div class="share">Part</div>', False),
+    ('<div id="comments"><p>Part</p></div>', False), ('<section class="comments-list"><p>Part</p></section>', False),
+    ('<div class="related-posts"><a href=x>Part</a></div>', False), ('<p class="advert">Part</p>', False),
+    ('<ul id="related-by-topic"><li><a href=x>Part</a></ul>', False), ('<p>a <span class="ad">Part</span></p>', False)])
+def test_main_text_judges_names_within_an_article(part, stays):
+    around = "<p>" + "Some words of the article go on here. " * 8 + "</p>"
+    text = html3.main_text(f"<body><article><h1>Head</h1>{around}{part}{around}</article></body>")
+    assert ("Part" in text) is stays and text.count("Some words") == 16 and text.startswith("Head\n")
+
+
+def test_main_text_of_deeply_unclosed_elements():
+    for open_, n in (("<div>", 50_000), ("<li><b>", 50_000), ("<table><tr><td></span>", 20_000), ("<label></a>", 50_000)):
+        begin = time.process_time()
+        text = html3.main_text("<article>" + (open_ + "word here ") * n)
+        assert time.process_time() - begin < 20
+        assert len(text) in (0, 10 * n - 1)
