@@ -605,11 +605,10 @@ def _k8w(spark, sf):
 
 # ---- round trips through files (S1, S5, S7, K1, K2, K4-K6, U4, U5) ---------------
 
-@register("s1_u4_u5_warc_roundtrip")
-def _s1(spark, sf):
-    """All pages as WARC records, each at a time of its own, every third body in Latin-1, and back."""
-    from pressroom.sources.warc import read_warc_pages
-    path, crlf = _scratch(spark, "warc"), "\r\n"
+def _warc_records(spark, sf):
+    """(value): all pages as the bytes of WARC records, each twice, at a time of its own, every third body
+    in Latin-1."""
+    crlf = "\r\n"
     p = read_table(spark, sf, "pages")
     p = p.select("page_id", "url", F.concat("html", F.lit("é")).alias("html"))
     p = p.unionByName(p)
@@ -620,12 +619,30 @@ def _s1(spark, sf):
                     F.lit(f"{crlf}WARC-Date: "), F.date_format(F.timestamp_seconds(F.col("page_id") + 1_627_122_720), "yyyy-MM-dd'T'HH:mm:ss'Z'"),
                     F.lit(f"{crlf}Content-Length: "),
                     F.octet_length(block).cast("string"), F.lit(crlf + crlf))
-    p.select(F.concat(F.encode(head, "UTF-8"), block).cast("string").alias("value")) \
-        .write.option("lineSep", crlf + crlf).option("compression", "gzip").text(path)
+    return p.select(F.concat(F.encode(head, "UTF-8"), block).alias("value"))
+
+
+@register("s1_u4_u5_warc_roundtrip")
+def _s1(spark, sf):
+    """All pages as WARC records, and back."""
+    from pressroom.sources.warc import read_warc_pages
+    path = _scratch(spark, "warc")
+    _warc_records(spark, sf).select(F.col("value").cast("string")) \
+        .write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
     # every record is written twice; the second is no page of its own
     return read_warc_pages(spark, path).select("url", "cc_date", F.sha2("html", 256).alias("html_sha"))
 
 
+@register("s1_warc_member_index")
+def _s1_index(spark, sf):
+    """The same records, each a gzip member, found and read again by their offsets."""
+    from pressroom.sources.warc_members import read_indexed_pages, write_members
+    path = _scratch(spark, "members")
+    end = F.encode(F.lit("\r\n\r\n"), "UTF-8")
+    write_members(_warc_records(spark, sf).select(F.concat("value", end).alias("value")), path)
+    return read_indexed_pages(spark, path).select("url", "cc_date", F.sha2("html", 256).alias("html_sha"))
+
+
 @register("k1_append_repeated_ids")
 def _k1(spark, sf):
     """A batch that holds every article twice is stored once."""

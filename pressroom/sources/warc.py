@@ -1,7 +1,8 @@
 """WARC page scan (S1 with U4, U5, U6) as a distributed read.
 
 ``spark.read.text`` with ``lineSep = "WARC/1.0\\r\\n"`` yields one row per
-record (Hadoop codecs decompress ``.warc.gz``; one gzip file is one task).
+record (Hadoop codecs decompress ``.warc.gz``; one gzip file is one task, where
+``sources/warc_members.py`` reads ranges of it).
 The text source keeps the raw bytes, so ``cast(value as binary)`` recovers
 them even when a body is not UTF-8.  Headers are parsed with
 ``regexp_extract``; the record block is cut by ``Content-Length``, which
@@ -27,7 +28,11 @@ def _header(name: str):
 
 def read_warc_records(spark: SparkSession, path: str) -> DataFrame:
     """(warc_type, url, warc_date, block binary) per WARC record."""
-    raw = spark.read.option("lineSep", RECORD_SEP).text(path)
+    return parse_records(spark.read.option("lineSep", RECORD_SEP).text(path))
+
+
+def parse_records(raw: DataFrame) -> DataFrame:
+    """(warc_type, url, warc_date, block binary) per record of ``value``, its bytes as a string."""
     rec = raw.where(F.col("value").contains("WARC-Type:"))
     head_end = F.instr(F.col("value"), BLANK)  # WARC headers are ASCII: char pos = byte pos
     length = _header("Content-Length").try_cast("int")  # none or a malformed one: a null block
@@ -46,7 +51,12 @@ def read_warc_pages(spark: SparkSession, path: str) -> DataFrame:
     across retries, and wide enough that no two pages share it.  A repeated record, equal
     in all three, is one page; other captures of a url are pages of their own.
     """
-    r = read_warc_records(spark, path).where((F.col("warc_type") == "response") & (F.col("url") != ""))
+    return pages_of(read_warc_records(spark, path))
+
+
+def pages_of(records: DataFrame) -> DataFrame:
+    """The pages of parsed records, each once."""
+    r = records.where((F.col("warc_type") == "response") & (F.col("url") != ""))
     http_end = F.instr(F.col("block").cast("string"), BLANK)  # HTTP headers are ASCII too
     body = F.when(http_end > 0, F.expr("substring(block, instr(cast(block as string), '\r\n\r\n') + 4)"))
     p = r.select("url", "warc_date", crawl_timestamp(F.col("warc_date")).alias("cc_date"),
