@@ -12,6 +12,7 @@ record) is told by its place.  Members that are cut off or damaged are not index
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 import zlib
@@ -71,23 +72,24 @@ def _candidate(source, at: int, stop: int) -> int | None:
     return None
 
 
-def _member(source, at: int) -> tuple[int, int] | None:
-    """(end, bytes of content) of a member of records at ``at``, if there is one."""
-    begin, size, end = b"", 0, None
+def _member(source, at: int) -> tuple[int, int, bytes] | None:
+    """(end, bytes of content, their SHA-256) of a member of records at ``at``, if there is one."""
+    begin, size, end, digest = b"", 0, None, hashlib.sha256()
     try:
         for piece, end in _unpacked(source, at):
             size += len(piece)
+            digest.update(piece)
             if len(begin) < len(RECORD):
                 begin += piece[:len(RECORD)]
                 if not RECORD.startswith(begin[:len(RECORD)]):
                     return None
     except zlib.error:
         return None
-    return (end, size) if end is not None and begin[:len(RECORD)] == RECORD else None
+    return (end, size, digest.digest()) if end is not None and begin[:len(RECORD)] == RECORD else None
 
 
-def members_in(source, start: int, stop: int) -> Iterator[tuple[int, int, int]]:
-    """(start, end, bytes of content) of the members that begin in [start, stop)."""
+def members_in(source, start: int, stop: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """(start, end, bytes of content, their SHA-256) of the members that begin in [start, stop)."""
     at = start
     while (at := _candidate(source, at, stop)) is not None:
         got = _member(source, at)
@@ -144,7 +146,7 @@ def _ranges(files: DataFrame, split: int) -> int:
 
 
 def index_members(files: DataFrame, split: int = SPLIT) -> DataFrame:
-    """(path, start, stop, size): the members of ``files`` (path, length), a task for each
+    """(path, start, stop, size, digest): the members of ``files`` (path, length), a task for each
     range of ``split`` bytes.  A member belongs to the range it begins in.  No files, empty files
     and files without members give no rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,20 +157,29 @@ def index_members(files: DataFrame, split: int = SPLIT) -> DataFrame:
                     rows = list(members_in(source, first, last))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([path] * len(rows), pa.string()),
-                     *(pa.array([r[k] for r in rows], pa.int64()) for k in range(3))],
-                    names=["path", "start", "stop", "size"])
+                     *(pa.array([r[k] for r in rows], pa.int64()) for k in range(3)),
+                     pa.array([r[3] for r in rows], pa.binary())],
+                    names=["path", "start", "stop", "size", "digest"])
 
     ship_package(files.sparkSession)
     ranges = files.where("length > 0").select(
         "path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split).cast("long"))).alias("first"),
         "length").select("path", "first", F.least(F.col("first") + split, "length").alias("last"))
-    found = ranges.repartition(_ranges(files, split)).mapInArrow(run, "path string, start long, stop long, size long")
+    found = ranges.repartition(_ranges(files, split)).mapInArrow(
+        run, "path string, start long, stop long, size long, digest binary")
     # within another member of its file: it begins before one that began earlier has ended
     earlier = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     return found.withColumn("before", F.max("stop").over(earlier)) \
         .where(F.col("before").isNull() | (F.col("start") >= F.col("before"))).drop("before")
 
 
+def distinct_members(index: DataFrame) -> DataFrame:
+    """One member, the first by path and place, of those with the same content: archives of several
+    crawls repeat records byte for byte, and these need be read and moved but once."""
+    first = index.groupBy("digest", "size").agg(F.min(F.struct("path", "start", "stop")).alias("m"))
+    return first.select("m.*", "size", "digest")
+
+
 def read_members(index: DataFrame, tasks: int) -> DataFrame:
     """(path, start, packed, value): every record of the indexed members as bytes, with the
     bytes its member takes in the file.  Members are dealt over ``tasks`` by place, in the file's order."""
@@ -210,7 +221,7 @@ def read_indexed_pages(spark: SparkSession, path: str, split: int = SPLIT) -> Da
     index is written once, so a lost task looks up its own members again and no others."""
     files = list_files(spark, path)
     index = cut_lineage(index_members(files, split))
-    records = read_members(index, _ranges(files, split)).select(F.col("value").cast("string").alias("value"))
+    records = read_members(distinct_members(index), _ranges(files, split)).select(F.col("value").cast("string").alias("value"))
     return pages_of(parse_records(records))
 
 

@@ -1,6 +1,7 @@
 """Offset-indexed reads of gzip members against whole reads."""
 
 import gzip
+import hashlib
 import io
 import random
 
@@ -62,9 +63,10 @@ def test_members_of_any_split(split):
     found = [m for a in range(0, len(whole), split)
              for m in M.members_in(io.BytesIO(whole), a, min(a + split, len(whole)))]
     true, reached = [], 0
-    for start, stop, size in sorted(found):
+    for start, stop, size, digest in sorted(found):
         if start >= reached:
             true.append((start, stop, size))
+            assert digest == hashlib.sha256(gzip.decompress(whole[start:stop])).digest()
             reached = stop
         reached = max(reached, stop)
     starts = [0, len(parts[0]), len(whole) - len(parts[-1])]
@@ -103,3 +105,12 @@ def test_written_members_come_back(spark, tmp_path):
     assert sum(f["members"] for f in files.collect()) == 31
     back = M.read_members(M.index_members(files, 1000), 4).collect()
     assert sorted(bytes(b["value"]).rstrip(b"\r\n") for b in back) == sorted(v.rstrip(b"\r\n") for v, in rows if v)
+
+
+def test_members_of_equal_content_are_read_once(spark, tmp_path):
+    a, b = record(1, b"HTTP/1.1 200 OK\r\n\r\none"), record(1, b"HTTP/1.1 200 OK\r\n\r\ntwo")
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(a) + gzip.compress(b) + gzip.compress(a, compresslevel=0))
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(b) * 5)
+    kept = M.distinct_members(M.index_members(M.list_files(spark, str(tmp_path)))).collect()
+    assert sorted((x["path"][-9:], x["start"] > 0) for x in kept) == [("a.warc.gz", False), ("a.warc.gz", True)]
+    assert sorted(p["html"] for p in M.read_indexed_pages(spark, str(tmp_path)).collect()) == ["one", "two"]
