@@ -4,8 +4,9 @@ The reference hands element text to a natural-language date library with
 the time zone set to CET and keeps the naive wall-clock result.  Here a date
 is recognised by a few regular layouts and a month-name table; everything is
 a built-in expression (``regexp_extract`` + ``try_make_timestamp_ntz``), so
-unparseable text gives null instead of an error.  Relative dates
-("yesterday", "2 hours ago") are not supported.
+unparseable text gives null instead of an error.  Relative dates ("yesterday
+10:32", "2 hours ago") are resolved against a time that the caller gives, such
+as that of the crawl: ``parse_relative_date``.
 """
 
 from __future__ import annotations
@@ -88,6 +89,81 @@ def parse_human_date(text: Column) -> Column:
     return F.coalesce(*[_layout(t, p, g, n) for p, g, n in LAYOUTS])
 
 
+# ---------------------------------------------------------------------------
+# How sites write a time before now.  Per language and unit the
+# form for one and the form with a number; then the words for today, yesterday
+# and the day before.
+# ---------------------------------------------------------------------------
+AGO_FORMS = {
+    "hu": {"second": ("másodperce", "másodperce"), "minute": ("perce", "perce"), "hour": ("órája", "órája"),
+           "day": ("napja", "napja"), "week": ("hete", "hete"), "month": ("hónapja", "hónapja"), "year": ("éve", "éve")},
+    "cs": {"second": ("sekundou", "sekundami"), "minute": ("minutou", "minutami"), "hour": ("hodinou", "hodinami"),
+           "day": ("dnem", "dny"), "week": ("týdnem", "týdny"), "month": ("měsícem", "měsíci"), "year": ("rokem", "lety")},
+    "sk": {"second": ("sekundou", "sekundami"), "minute": ("minútou", "minútami"), "hour": ("hodinou", "hodinami"),
+           "day": ("dňom", "dňami"), "week": ("týždňom", "týždňami"), "month": ("mesiacom", "mesiacmi"), "year": ("rokom", "rokmi")},
+    "en": {"second": ("second", "seconds"), "minute": ("minute", "minutes"), "hour": ("hour", "hours"),
+           "day": ("day", "days"), "week": ("week", "weeks"), "month": ("month", "months"), "year": ("year", "years")},
+}
+#: What stands before and after the number and unit; the word for one.
+AGO_FRAMES = {"hu": ("", "", "egy"), "cs": ("před", "", ""), "sk": ("pred", "", ""), "en": ("", "ago", "an?|one")}
+DAYS_BACK = {"ma": 0, "tegnap": 1, "tegnapelőtt": 2, "dnes": 0, "včera": 1, "předevčírem": 2, "predvčerom": 2,
+             "today": 0, "yesterday": 1}
+
+#: Units as (months, seconds).
+UNITS = {"second": (0, 1), "minute": (0, 60), "hour": (0, 3600), "day": (0, 86400), "week": (0, 604800),
+         "month": (1, 0), "year": (12, 0)}
+
+
+def _ago(text: Column, now: Column) -> Column:
+    """One pattern for all languages: frame, number, unit, frame.  Frame and unit together must
+    be a language's own."""
+    units, alone = {}, []
+    for lang, (before, after, _) in AGO_FRAMES.items():
+        for unit, (single, plural) in AGO_FORMS[lang].items():
+            units |= {f"{before}|{w}|{after}": UNITS[unit] for w in (single, plural)}
+            if before:
+                alone.append(f"{before}|{single}|{after}")  # "před hodinou": one, without a number
+    words = sorted({k.split("|")[1] for k in units}, key=len, reverse=True)
+    pat = r"(?iU)^(?:(před|pred)\s+)?(?:(\d{1,3}|an?|one|egy)\s+)?(" + "|".join(words) + r")(?:\s+(ago))?$"
+    part = lambda i: F.regexp_extract(F.lower(text), pat, i)
+    number, after = part(2), part(4)
+    key = F.concat_ws("|", part(1), part(3), after)
+    n = F.when(number.rlike(r"^\d+$"), number.try_cast("int")) \
+        .when(number == "", F.when(key.isin(alone), F.lit(1))) \
+        .when((number == "egy") == (after == ""), F.lit(1))
+    sizes = [F.lit(x) for k, v in units.items() for x in (k, v[0] * 1_000_000 + v[1])]  # months and seconds
+    # what is taken off, then the time less months and seconds
+    off = F.try_element_at(F.create_map(*sizes), key)
+    months, seconds = F.floor(off / 1_000_000).cast("int"), (off % 1_000_000).cast("int")
+    return now - F.make_ym_interval(F.lit(0), n * months) - F.make_dt_interval(secs=(n * seconds).cast("decimal(18,6)"))
+
+
+def parse_relative_date(text: Column, now: Column) -> Column:
+    """T6: "2 hours ago", "před 3 dny", "egy órája", "yesterday", "tegnap 10:32" as seen at ``now``
+    (timestamp_ntz).  A day's word without a time keeps the time of ``now``; a month or year back
+    stays within the month.  Other texts, unknown words, and a null ``now`` give null."""
+    t = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    pat = r"(?iU)^(" + "|".join(sorted(DAYS_BACK, key=len, reverse=True)) \
+        + r")(?:[,\s|–—-]+(?:(?:at|v|ve|o)\s+)?(\d{1,2}):(\d{2})(?::(\d{2}))?)?$"
+    part = lambda i: F.regexp_extract(t, pat, i)
+    days = F.try_element_at(F.create_map(*[F.lit(x) for kv in DAYS_BACK.items() for x in kv]), F.lower(part(1)))
+    day = now - F.make_dt_interval(days=days)
+    at = F.try_make_timestamp_ntz(F.year(day), F.month(day), F.day(day), part(2).cast("int"), part(3).cast("int"),
+                                  F.coalesce(F.when(part(4) != "", part(4).cast("int")), F.lit(0)).cast("decimal(16,6)"))
+    named = F.when(t.rlike(pat), F.when(part(2) == "", day).otherwise(at))
+    return F.coalesce(named, _ago(t, now))
+
+
+def render_ago(n: Column, unit: str, lang: str) -> Column:
+    """Write a number of units back as a news site does (inverse of ``parse_relative_date``)."""
+    before, after, one = AGO_FRAMES[lang]
+    single, plural = AGO_FORMS[lang][unit]
+    word = {"hu": "egy", "en": "an" if unit == "hour" else "a"}.get(lang)
+    of_one = " ".join(x for x in (before, word, single, after) if x)
+    return F.when(n == 1, F.lit(of_one)).otherwise(
+        F.concat_ws(" ", *[F.lit(x) for x in (before,) if x], n.cast("string"), *[F.lit(x) for x in (plural, after) if x]))
+
+
 def iso_text(ts: Column) -> Column:
     """ISO 8601 text as Python's ``isoformat`` (no fraction when zero)."""
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")

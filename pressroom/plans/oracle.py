@@ -544,6 +544,17 @@ ORACLE["t6_human_date_parse"] = """
 SELECT event_id, layout, CASE WHEN layout = 'iso' THEN date_trunc('second', ts)
                               ELSE date_trunc('minute', ts) END AS parsed
 FROM events CROSS JOIN (VALUES ('hu'), ('cs'), ('sk'), ('en'), ('iso'), ('numeric')) l(layout)"""
+ORACLE["t6_relative_dates"] = """
+WITH e AS (SELECT event_id, ts, 1 + event_id % 60 AS n FROM events),
+units(unit, i) AS (VALUES ('second', INTERVAL 1 SECOND), ('minute', INTERVAL 1 MINUTE), ('hour', INTERVAL 1 HOUR),
+    ('day', INTERVAL 1 DAY), ('week', INTERVAL 7 DAY), ('month', INTERVAL 1 MONTH), ('year', INTERVAL 12 MONTH)),
+days(word, back) AS (VALUES ('ma', 0), ('dnes', 0), ('today', 0), ('tegnap', 1), ('včera', 1), ('yesterday', 1),
+    ('tegnapelőtt', 2), ('předevčírem', 2), ('predvčerom', 2))
+SELECT event_id, lang || ' ' || unit AS said, ts - n * i AS parsed
+FROM e CROSS JOIN units CROSS JOIN (VALUES ('hu'), ('cs'), ('sk'), ('en')) l(lang)
+UNION ALL SELECT event_id, word, ts - to_days(back) FROM e CROSS JOIN days
+UNION ALL SELECT event_id, word || ' 07:45', date_trunc('day', ts - to_days(back)) + INTERVAL 465 MINUTE FROM e CROSS JOIN days
+UNION ALL SELECT event_id, 'soon', NULL FROM e"""
 ORACLE["t9_t12_iso_roundtrip"] = """
 SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso, date_trunc('second', ts) AS back FROM events"""
 ORACLE["k3_write_splits_roundtrip"] = with_(ARTICLES, STATS, FILTERED, DEDUP_IN, SIGS, LOSERS) + "," + split_sql(

@@ -521,6 +521,20 @@ def _t6(spark, sf):
     return u.select("event_id", "layout", DT.parse_human_date(F.col("text")).alias("parsed"))
 
 
+@register("t6_relative_dates")
+def _t6_relative(spark, sf):
+    """Every event's time as the moment a page is seen: times before it in all units and languages, a day's
+    word with and without a time, and a word that is no date."""
+    e = read_table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp_ntz").alias("now"))
+    n = (F.pmod("event_id", F.lit(60)) + 1).cast("int")
+    said = [F.struct(F.lit(f"{lang} {unit}").alias("said"), DT.render_ago(n, unit, lang).alias("text"))
+            for lang in DT.AGO_FORMS for unit in DT.UNITS]
+    said += [F.struct(F.lit(word).alias("said"), F.lit(word).alias("text")) for word in (*DT.DAYS_BACK, "soon")]
+    said += [F.struct(F.lit(f"{word} 07:45").alias("said"), F.lit(f"{word}, 07:45").alias("text")) for word in DT.DAYS_BACK]
+    rows = e.select("event_id", "now", F.explode(F.array(*said)).alias("s")).select("event_id", "now", "s.*")
+    return rows.select("event_id", "said", DT.parse_relative_date(F.col("text"), F.col("now")).alias("parsed"))
+
+
 @register("t9_t12_iso_roundtrip")
 def _t9(spark, sf):
     e = read_table(spark, sf, "events").select("event_id", "ts")

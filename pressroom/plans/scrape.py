@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressroom.functions import urls as U
-from pressroom.functions.dates import parse_human_date
+from pressroom.functions.dates import parse_human_date, parse_relative_date
 from pressroom.functions.text import nfkc
 from pressroom.operators import html as H
 from pressroom.operators.index import filter_blocked_urls, with_domain_and_site
@@ -89,9 +89,10 @@ def _texts(todo: DataFrame, rules) -> DataFrame:
 
 
 def extract(pages: DataFrame, rules=ALL_RULES, url_rules=U.BAD_URL_RULES,
-            num_partitions: int | None = None) -> DataFrame:
+            num_partitions: int | None = None, relative_dates: bool = False) -> DataFrame:
     """All pages with (uuid, article, domain, url, date_of_creation, cc_date, site,
-    page_id, reject_reason)."""
+    page_id, reject_reason).  ``relative_dates``: "yesterday" and the like count too, as seen at
+    the crawl; the last projection then outgrows code generation, so it is off unless asked for."""
     p = prepare_pages(pages, url_rules)
     known = sites(rules)
     n = num_partitions or int(p.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -107,7 +108,9 @@ def extract(pages: DataFrame, rules=ALL_RULES, url_rules=U.BAD_URL_RULES,
                 .otherwise(fb)),
         "_d2": F.when(mode == "first_line", dt),
     })
-    date_of_creation = F.coalesce(parse_human_date(F.col("_d1")), parse_human_date(F.col("_d2")))
+    crawled = F.col("cc_date").cast("timestamp_ntz")
+    parsers = [parse_human_date] + [lambda d: parse_relative_date(d, crawled)] * relative_dates
+    date_of_creation = F.coalesce(*[parse(F.col(d)) for d in ("_d1", "_d2") for parse in parsers])
 
     out = p.select("page_id", "url", "domain", "site", "cc_date").join(texts, "page_id", "left")
     body_blank = F.coalesce(F.trim(F.col("body_text")), F.lit("")) == ""

@@ -159,3 +159,14 @@ def test_layouts_hold_every_page_s_whole_article(spark, smoke_dir):
     assert Counter(r.page_id % 10 for r in rows) == dict.fromkeys((0, 2, 3, 4, 5, 6), n)
     met = [(plain[pages[r.page_id // 10]], r.article) for r in rows if pages[r.page_id // 10] in plain]
     assert met and all(a and a in b for a, b in met)
+
+
+def test_relative_dates_as_seen_at_the_crawl(spark):
+    from datetime import datetime
+    page = '<html><body><time class="published">{}</time><div class="component-inner"><p>Text.</p></div></body></html>'
+    said = {1: "včera v 14:05", 2: "před 2 hodinami", 3: "24. července 2021 14:05", 4: "brzy"}
+    rows = [(k, "https://www.ac24.cz/zpravy/clanek", page.format(x), datetime(2021, 8, 1, 1, 30)) for k, x in said.items()]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, cc_date timestamp_ntz")
+    got = {r.page_id: r.date_of_creation for r in scrape.extract(pages, relative_dates=True).collect()}
+    assert got == {1: datetime(2021, 7, 31, 14, 5), 2: datetime(2021, 7, 31, 23, 30), 3: datetime(2021, 7, 24, 14, 5), 4: None}
+    assert scrape.extract(pages).where("date_of_creation is not null").count() == 1

@@ -299,3 +299,22 @@ def test_hot_text_is_split_and_whole(spark):
     assert "_salt" in plan and "Join Inner" in plan
     in_salt = a.groupBy("article", F.pmod(F.xxhash64("uuid"), F.lit(D.SALTS)).alias("s")).count()
     assert in_salt.agg(F.max("count")).first()[0] < n / 3 / 20
+
+
+def test_relative_dates(spark):
+    from datetime import datetime
+
+    from pressroom.functions.dates import parse_relative_date
+    now = datetime(2021, 3, 31, 10, 32, 5)
+    want = {
+        "2 hours ago": datetime(2021, 3, 31, 8, 32, 5), "An hour ago": datetime(2021, 3, 31, 9, 32, 5),
+        "před  3 dny": datetime(2021, 3, 28, 10, 32, 5), "před hodinou": datetime(2021, 3, 31, 9, 32, 5),
+        "pred 2 týždňami": datetime(2021, 3, 17, 10, 32, 5), "5 perce": datetime(2021, 3, 31, 10, 27, 5),
+        "egy hónapja": datetime(2021, 2, 28, 10, 32, 5), "1 year ago": datetime(2020, 3, 31, 10, 32, 5),
+        "Tegnap 23:59": datetime(2021, 3, 30, 23, 59), "VČERA v 7:05": datetime(2021, 3, 30, 7, 5),
+        " yesterday ": datetime(2021, 3, 30, 10, 32, 5), "today at 25:00": None, "hours ago": None, "perce": None,
+        "před hodinami": None, "2 blue ago": None, "ago": None, "": None, "2021. július 24.": None, "9999 days ago": None}
+    rows = spark.createDataFrame([(t, now) for t in [*want, None]] + [("ma", None)], "t string, now timestamp_ntz")
+    got = [(r.t, r.now, r.d) for r in rows.select("t", "now", parse_relative_date(F.col("t"), F.col("now")).alias("d")).collect()]
+    assert {t: d for t, n, d in got if n and t is not None} == want
+    assert all(d is None for t, n, d in got if t is None or n is None)
