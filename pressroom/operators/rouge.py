@@ -8,10 +8,8 @@
   side and counted per (pair, n-gram) in one aggregation; the clipped overlap
   is ``sum(least(c_pred, c_ref))`` per pair.  precision = overlap / max(#pred,
   1), recall = overlap / max(#ref, 1), F = 2PR / (P + R), 0 when both are 0.
-* ROUGE-L (R4): longest common subsequence.  The dynamic programme has a
-  sequential dependency that Spark's higher-order functions can only express
-  quadratically, so the length is computed by a small Arrow-batched helper
-  (bit-parallel LCS, O(m * n / 64)) on token arrays produced by Spark.
+* ROUGE-L (R4): longest common subsequence, bit-parallel over 60-bit words in
+  higher-order functions on token arrays: no Python in the plan.
 * R5: the corpus score is the mean over pairs, or low, middle and high of a seeded
   Poisson bootstrap, rounded to 4 digits (T13).
 """
@@ -20,10 +18,8 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pressroom.functions.text import round4
 
@@ -88,26 +84,53 @@ def rouge_n(pairs: DataFrame, n: int, id_col: str = "uuid", pred_col: str = "gen
         F.col(f"overlap{n}"), F.col(f"n_pred{n}"), F.col(f"n_ref{n}"), f"rouge{n}"))
 
 
-def lcs_length(a: list, b: list) -> int:
-    """Bit-parallel LCS length (Hyyro 2004): bit j of ``v`` is 0 where the
-    LCS of the prefix of ``a`` seen so far and ``b[:j+1]`` grows."""
-    if not len(a) or not len(b):
-        return 0
-    masks: dict = {}
-    for j, t in enumerate(b):
-        masks[t] = masks.get(t, 0) | (1 << j)
-    full = (1 << len(b)) - 1
-    v = full
-    for t in a:
-        u = v & masks.get(t, 0)
-        v = ((v + u) | (v - u)) & full
-    return len(b) - bin(v).count("1")
+def _bind(x: Column, body) -> Column:
+    """``body`` of ``x``, with ``x`` evaluated once however often the body names it."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
 
 
-@F.pandas_udf(T.LongType())
-def _lcs_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([lcs_length(x if x is not None else [], y if y is not None else [])
-                      for x, y in zip(a, b)], dtype="int64")
+#: Bits of the reference that one word of the bit vector holds; the sum of two words and a carry fits a long.
+LCS_BITS = 60
+_FULL = (1 << LCS_BITS) - 1
+
+
+def lcs_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two token arrays, bit-parallel (Hyyro
+    2004) over words of LCS_BITS bits: bit j of ``v`` is 0 where the subsequence of the
+    part of ``a`` seen so far and ``b[:j + 1]`` grows.  Tokens of one side only change
+    nothing, so both sides become numbers of their common tokens first.  Null or empty
+    sides have length 0."""
+    a, b = (F.coalesce(x, F.array().cast("array<string>")) for x in (a, b))
+    number = lambda toks, keys: F.transform(toks, lambda t: F.array_position(keys, t).cast("int"))
+    first = F.lit(0).cast("long")
+
+    def mask(s: Column, key: Column) -> Column:
+        """The places of a token in b, a word of LCS_BITS places at a time, lowest place first."""
+        return F.transform(F.sequence(F.lit(0), s["words"] - 1), lambda w: F.aggregate(
+            F.reverse(F.slice(s["b"], w * LCS_BITS + 1, F.lit(LCS_BITS))), first,
+            lambda bits, t: F.shiftleft(bits, 1) + F.when(t == key, 1).otherwise(0)))
+
+    def step(v: Column, m: Column) -> Column:
+        """v' = (v + (v & m)) | (v & ~m), the carry passed from word to word."""
+        def word(acc: Column, x: Column) -> Column:
+            total = x["v"] + x["v"].bitwiseAND(x["m"]) + acc["carry"]
+            out = total.bitwiseAND(F.lit(_FULL)).bitwiseOR(x["v"] - x["v"].bitwiseAND(x["m"]))
+            return F.struct(F.shiftright(total, LCS_BITS).alias("carry"), F.concat(acc["out"], F.array(out)).alias("out"))
+        zero = F.struct(first.alias("carry"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(F.zip_with(v, m, lambda x, y: F.struct(x.alias("v"), y.alias("m"))), zero, word, lambda acc: acc["out"])
+
+    def length(s: Column) -> Column:
+        masks = F.transform(F.sequence(F.lit(1), s["keys"]), lambda k: mask(s, k))
+        start = F.array_repeat(F.lit(_FULL), s["words"])
+        end = _bind(masks, lambda known: F.aggregate(F.filter(s["a"], lambda t: t > 0), start,
+                                                     lambda v, t: step(v, F.get(known, t - 1))))
+        return F.aggregate(end, first, lambda n, x: n + LCS_BITS - F.bit_count(x))
+
+    numbered = lambda keys: F.struct(
+        number(a, keys).alias("a"), number(b, keys).alias("b"), F.size(keys).alias("keys"),
+        F.ceil(F.size(b) / LCS_BITS).cast("int").alias("words"))
+    return _bind(F.array_intersect(a, b), lambda keys: F.when(
+        F.size(keys) > 0, _bind(numbered(keys), length)).otherwise(first))
 
 
 def rouge_l(pairs: DataFrame, id_col: str = "uuid", pred_col: str = "generated",
@@ -115,7 +138,7 @@ def rouge_l(pairs: DataFrame, id_col: str = "uuid", pred_col: str = "generated",
     """Per pair: rougeL_precision / _recall / _fmeasure (unrounded)."""
     t = pairs.select(F.col(id_col), tokens(F.col(pred_col), ascii).alias("tp"),
                      tokens(F.col(ref_col), ascii).alias("tr"))
-    t = t.withColumn("lcs", _lcs_udf("tp", "tr").cast("double"))
+    t = t.withColumn("lcs", lcs_length(F.col("tp"), F.col("tr")).cast("double"))
     return t.select(id_col, *_prf(F.col("lcs"), F.size("tp"), F.size("tr"), "rougeL"))
 
 
@@ -127,7 +150,7 @@ def rouge_scores(pairs: DataFrame, id_col: str = "uuid", pred_col: str = "genera
     if not with_l:
         j, numbers = _overlaps(t, (1, 2)), ()
     else:
-        t = t.withColumn("lcs", _lcs_udf("tp", "tr").cast("double"))
+        t = t.withColumn("lcs", lcs_length(F.col("tp"), F.col("tr")).cast("double"))
         j, numbers = _overlaps(t, (1, 2), carry=("lcs",)), _prf(F.col("lcs"), F.col("n_pred1"), F.col("n_ref1"), "rougeL")
     return j.select(F.col("_id").alias(id_col), *[c for n in (1, 2) for c in _prf(
         F.col(f"overlap{n}"), F.col(f"n_pred{n}"), F.col(f"n_ref{n}"), f"rouge{n}")], *numbers)
