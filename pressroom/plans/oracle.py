@@ -566,6 +566,32 @@ ORACLE["k7_s8_encoded_roundtrip"] = ORACLE["e2_e6_encode_examples"]
 ORACLE["d8_seeded_shuffle"] = with_(ARTICLES) + """
 SELECT uuid, row_number() OVER (ORDER BY md5('123' || uuid), uuid) AS rank FROM articles"""
 
+# --- learned sentence boundaries: every token next to the one after it ---------------------------
+ABBREVIATED = r"""
+abbreviated AS (SELECT uuid, regexp_replace(article, ' ([a-h])', ' Nr. č. 7. \1', 'g') AS article FROM articles),
+tk AS MATERIALIZED (SELECT uuid, unnest(ts) AS token, unnest(ts[2:] || [NULL]) AS following
+       FROM (SELECT uuid, regexp_extract_all(article, '[^\x20\x09-\x0D]+') AS ts FROM abbreviated)),
+cores AS MATERIALIZED (SELECT uuid, token, following,
+       lower(regexp_replace(regexp_replace(token, '^[^\pL\pN]+', ''), '[^\pL\pN.]+$', '')) AS core FROM tk),
+counted AS (SELECT rtrim(core, '.') AS word, count(*) FILTER (regexp_matches(core, '[^.][.]$')) AS stops,
+                   count(*) FILTER (NOT regexp_matches(core, '[^.][.]$')) AS others FROM cores GROUP BY ALL),
+share AS (SELECT greatest(least(sum(stops) / sum(stops + others), 1 - 1e-9), 1e-9) AS p FROM counted),
+abbr AS MATERIALIZED (SELECT word, stops, others,
+       2 * (stops * (ln(0.99) - ln(p)) + others * (ln(1 - 0.99) - ln(1 - p))) * exp(-len(replace(word, '.', '')))
+         * (1 + len(word) - len(replace(word, '.', ''))) * pow(CAST(len(replace(word, '.', '')) AS DOUBLE), -others) AS score
+       FROM counted, share WHERE stops > 0 AND regexp_matches(word, '\pL') AND score >= 0.3
+       ORDER BY score DESC, word LIMIT 5000)"""
+
+ORACLE["t4_abbreviations"] = with_(ARTICLES, ABBREVIATED) + """
+SELECT word, stops, others, round(score, 6) AS score FROM abbr"""
+ORACLE["t4_c5_learned_sentences"] = with_(ARTICLES, ABBREVIATED) + rf""",
+judged AS (SELECT uuid, count_if(following IS NULL OR (regexp_matches(token, '[.!?]$') AND NOT (
+             token LIKE '%.' AND ((regexp_matches(core, '[^.][.]$') AND (rtrim(core, '.') IN (SELECT word FROM abbr)
+                                    OR regexp_matches(core, '^\pL[.]$')))
+                                  OR (regexp_matches(core, '^\pN+[.]$') AND regexp_matches(following, '^\p{{Ll}}')))))) AS sentences
+           FROM cores GROUP BY uuid)
+SELECT uuid, sentences FROM judged WHERE sentences >= {CFG.min_article_sentences}"""
+
 # --- trigrams: counts of the training two thirds, then sums over every article ----------------
 TRIGRAMS = """
 plain AS (SELECT uuid, lang, string_split(' ' || trim(regexp_replace(lower(article), '[^\\pL]+', ' ', 'g')) || ' ', '') AS cs FROM articles),

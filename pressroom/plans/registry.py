@@ -331,6 +331,35 @@ def _c6t(spark, sf):
     return corpus.clean_with_model(a, _stored_model(spark, a)).select("uuid", "site", "lang")
 
 
+# ---- learned sentence boundaries (T4, C5) ------------------------------------
+from pressroom.operators import sentences as SE  # noqa: E402
+
+
+def _abbreviated(spark, sf):
+    """Every article with an abbreviation before each third kind of word: the data has none of its own."""
+    a = articles_from_documents(spark, sf, with_lang=False)
+    return a.withColumn("article", F.regexp_replace("article", r" ([a-h])", " Nr. č. 7. $1"))
+
+
+def _stored_abbreviations(spark, articles):
+    """The abbreviations of all articles, stored and loaded again."""
+    path = _scratch(spark, "abbreviations")
+    SE.save_abbreviations(SE.learn_abbreviations(articles), path)
+    return SE.load_abbreviations(spark, path)
+
+
+@register("t4_abbreviations")
+def _t4a(spark, sf):
+    return SE.learn_abbreviations(_abbreviated(spark, sf)).select("word", "stops", "others", F.round("score", 6).alias("score"))
+
+
+@register("t4_c5_learned_sentences")
+def _t4s(spark, sf):
+    a = _abbreviated(spark, sf)
+    words = _stored_abbreviations(spark, a)
+    return C.filter_sentences(a, abbreviations=words).select("uuid", SE.sentence_count("article", words).alias("sentences"))
+
+
 # ---- ROUGE (R*) and training examples (E*) ----------------------------------
 from pressroom.operators import encode as EN  # noqa: E402
 from pressroom.operators import rouge as R  # noqa: E402
