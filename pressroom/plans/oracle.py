@@ -735,6 +735,7 @@ WITH p AS (SELECT page_id, url, CASE WHEN page_id % 3 = 0 THEN regexp_replace(ht
 SELECT url, TIMESTAMP '2021-07-24 10:32:00' + to_seconds(page_id) AS cc_date, sha256(h) AS html_sha FROM p"""
 ORACLE["s1_warc_member_index"] = ORACLE["s1_u4_u5_warc_roundtrip"]
 ORACLE["k1_append_repeated_ids"] = with_(ARTICLES) + " SELECT uuid, article, site FROM articles"
+ORACLE["k1_append_by_year"] = ORACLE["k1_append_repeated_ids"]
 ORACLE["k2_overwrite_by_site"] = with_(ARTICLES) + """,
 anew AS (SELECT uuid, 'again' AS url, site FROM articles WHERE CAST(uuid AS BIGINT) % 2 = 0 AND site < 'n')
 SELECT uuid, url, site FROM anew

@@ -695,6 +695,17 @@ def _k1(spark, sf):
     return FS.read_articles(spark, path).select("uuid", "article", "site")
 
 
+@register("k1_append_by_year")
+def _k1y(spark, sf):
+    """Three appends, each with half of the rows of the one before; ids are looked up in the years of their own batch."""
+    path = _scratch(spark, "by-year")
+    a = articles_from_documents(spark, sf, with_lang=False)
+    third = F.pmod(F.xxhash64("uuid"), F.lit(4))
+    for low, high in ((0, 1), (1, 2), (2, 3)):
+        W.append_articles(a.where(third.between(low, high)), path, within="cc_date", unit="year")
+    return FS.read_articles(spark, path).select("uuid", "article", "site")
+
+
 @register("k2_overwrite_by_site")
 def _k2(spark, sf):
     """All articles, then those of every second id again with a mark: the sites written anew hold only these."""

@@ -7,28 +7,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pressroom.sinks import id_index
+
 ISO = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
 
 
-def _exists(df: DataFrame, path: str) -> bool:
-    jvm = df.sparkSession._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
-    return fs.exists(hpath)
+def one_of_each(df: DataFrame, id_col: str) -> DataFrame:
+    """Of rows with one id the row of the smallest digest, so that reruns keep the same one.
+    Rows without id count as one id."""
+    digest = F.sha2(F.to_json(F.struct("*")), 256)
+    return df.groupBy(F.col(id_col).alias("_id")).agg(F.min_by(F.struct("*"), digest).alias("row")).select("row.*")
 
 
-def append_articles(df: DataFrame, path: str, id_col: str = "uuid") -> DataFrame:
+def append_articles(df: DataFrame, path: str, id_col: str = "uuid", within: str | None = None, unit: str = "month") -> DataFrame:
     """K1: append gzip JSON lines partitioned by site, ISO dates.
 
     The reference appends blindly, so a rerun duplicates rows; ids here are
     deterministic (T7), and rows whose id is already stored are skipped by an
-    anti-join, so the append is idempotent; of rows with one id in a batch, one
-    is written.  Returns the rows written.
+    anti-join with the store's id index (``id_index``), so the append is idempotent; of rows with
+    one id in a batch, one is written.  ``within`` names a date column that rows of one id
+    share: only the ids of the batch's own years, months or days (``unit``) are read then.
+    Returns the rows written.
     """
-    new = df.dropDuplicates([id_col])  # a batch may repeat an id
-    if _exists(df, path):
-        have = df.sparkSession.read.schema(f"{id_col} string").json(path).select(id_col)
-        new = new.join(have, id_col, "left_anti")
+    new = one_of_each(df, id_col)
+    if id_index.exists(df.sparkSession, path):
+        new = new.withColumn("part", id_index.part_of(df, id_col, within, unit))
+        narrow = df.select(id_index.part_of(df, id_col, within, unit).alias("part"))
+        have = id_index.stored_ids(narrow, path, id_col, within, unit).alias("have")
+        same = F.col(f"new.{id_col}").cast("string").eqNullSafe(F.col(f"have.{id_col}")) & (F.col("new.part") == F.col("have.part"))
+        new = new.alias("new").join(have, same, "left_anti").drop("part")
     (new.write.mode("append").partitionBy("site")
      .option("compression", "gzip").option("timestampNTZFormat", ISO).json(path))
     return new
