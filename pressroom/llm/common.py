@@ -76,6 +76,22 @@ class Texts:
         self.data = data[offsets[0]:offsets[-1]] if len(column) else data[:0]
         self.offsets = offsets - offsets[0] if len(column) else np.zeros(1, np.int64)
 
+    @staticmethod
+    def of_bytes(data: np.ndarray) -> Texts:
+        """One text from its bytes, or a stretch of one, whatever characters it cuts."""
+        own = Texts(pa.array([], pa.string()))
+        own.data, own.offsets = data, np.array([0, len(data)], np.int64)
+        return own
+
+    def without(self, rows: np.ndarray) -> Texts:
+        """The other rows."""
+        size = np.diff(self.offsets)
+        stay = np.ones(len(size), bool)
+        stay[rows] = False
+        own = Texts.of_bytes(self.data[np.repeat(stay, size)])
+        own.offsets = np.concatenate([[0], np.cumsum(size[stay])]).astype(np.int64)
+        return own
+
     def __len__(self) -> int:
         return len(self.offsets) - 1
 

@@ -101,7 +101,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
 
     ``size`` counts words (null text: 0), ``taken`` is copies times size, and
     copies never exceeds ``most`` rounded up.  All draws are seeded by block and
-    blocks are set by hashes of doc_id, so reruns agree whatever the partitions.
+    blocks are set by hashes of doc_id and text, so reruns agree whatever the partitions
+    and rows that repeat a doc_id, or have none, are spread over blocks by their texts.
     A document without words has 0 copies.  Rows that repeat a doc_id and size
     are numbered, so each is decided on its own and which of them is taken is immaterial.
     A null doc_id is a document like any other.  An empty table gives an empty result; other columns than
@@ -111,6 +112,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
     own = [key] if key else []
     sized = cut_lineage(docs.select(
         *own, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
+        F.xxhash64(F.col("text").cast("string")).alias("print"),
         F.regexp_count(text_or_empty("text"), F.lit(WORD)).cast("long").alias("size")))
     per = targets(sized, weights, share, most)
     per = per.withColumn("sid", F.xxhash64(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")))) \
@@ -119,7 +121,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
     per = cut_lineage(per.alias("t").join(counts.alias("c"), F.col("t.source").eqNullSafe(F.col("c.source")))
                       .select("t.*", F.ceil(F.col("n") / block_rows).cast("long").alias("n_blocks")))
     rated = sized.join(per.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2"))) \
-        .withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), "n_blocks")) \
+        .withColumn("block", F.pmod(F.xxhash64("doc_id", "print", F.lit(seed)), "n_blocks")) \
         .withColumn("whole", F.when(F.col("size") > 0, F.floor(F.col("rate") + EDGE)).otherwise(F.lit(0)).cast("int")) \
         .withColumn("p", F.when(F.col("size") > 0, F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0))).otherwise(F.lit(0.0)))
 

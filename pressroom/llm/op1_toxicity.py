@@ -41,8 +41,11 @@ SYMBOLS = 32
 LONGEST = 12
 #: Bound on the labelled rows that are trained on, half of each class.
 TRAIN_ROWS = 4000
-WITNESSES = 64
 LANDMARKS = 192
+#: Of the landmarks, so many at most are witnesses; all witnesses are examples.
+WITNESS_MARKS = 64
+#: Texts above this many bytes are taken in stretches of it.
+STRETCH = 1 << 16
 THRESHOLD = 0.7
 #: Where between clean documents' highest units (0) and witnesses (1) the threshold lies.
 MARGIN = 0.3
@@ -109,6 +112,30 @@ def units(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     return symbols, rows
 
 
+def stretches(data: np.ndarray, size: int = STRETCH) -> Iterator[np.ndarray]:
+    """The bytes of one text in stretches of ``size`` at most whose units together are the
+    text's own.  A stretch ends at white space behind a word of two bytes or more, which no
+    run of single letters crosses.  Where none comes in its second half, the next stretch
+    starts LONGEST letters before this one's end, so every window of LONGEST symbols, signs
+    between them taken out or not, lies whole in one.  A stretch of signs that has not even
+    so many letters in its second half ends a word."""
+    a = 0
+    while len(data) - a > size:
+        low, half = LOWER[data[a:a + size]], size // 2
+        space = IS_SPACE[low]
+        ends = np.flatnonzero(space[half:]) + half
+        safe = ends[~space[ends - 1] & ~space[ends - 2]]
+        if len(safe):
+            stop = step = int(safe[-1])
+        else:
+            stop = int(ends[-1]) if len(ends) else size
+            letters = np.flatnonzero(~_EDGE[low[:stop]])
+            step = int(letters[-LONGEST]) if len(letters) >= LONGEST and letters[-LONGEST] > half else stop
+        yield data[a:a + stop]
+        a += step
+    yield data[a:]
+
+
 def _spans(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The places of all spans [start, end), one span after another."""
     size = ends - starts
@@ -187,12 +214,23 @@ class Model:
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         t = Texts(texts)
+        size = np.diff(t.offsets)
+        long = np.flatnonzero(size > STRETCH)
+        short = t.without(long) if len(long) else t
+        best = np.insert(self._highest(short), long - np.arange(len(long)), 0.0)
+        for k in long:
+            parts = stretches(t.data[t.offsets[k]:t.offsets[k + 1]])
+            best[k] = max(float(self._highest(Texts.of_bytes(x))[0]) for x in parts)
+        return 1 / (1 + np.exp(-(self.slope * best + self.offset)))
+
+    def _highest(self, t: Texts) -> np.ndarray:
+        """The highest decision value of each text's units."""
         symbols, rows = units(t)
         rows_of, which = distinct(symbols)
         best = np.full(len(t), -1.0 + min(0.0, self.bias))
         if len(rows_of):
             np.maximum.at(best, rows, decisions(rows_of, self.folded, self.bias)[which])
-        return 1 / (1 + np.exp(-(self.slope * best + self.offset)))
+        return best
 
     def to_bytes(self) -> bytes:
         out = io.BytesIO()
@@ -265,14 +303,13 @@ def _witnesses(held: list[np.ndarray], label: np.ndarray, doc: np.ndarray, n_uni
         gain = np.where(share > 0, share * np.log(share / base), 0) + np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - base)), 0)
     unlikely = total * gain
     sure = np.flatnonzero((share >= 0.9) & (unlikely >= 16.0))
-    sure = sure[np.argsort(-unlikely[sure], kind="stable")][:WITNESSES]
     # toxic documents without one: the units that account for most of them, again and again
     found = set(sure.tolist())
     left: dict[int, set[int]] = {}
     for i in np.flatnonzero(label == 1):
         left.setdefault(int(doc[i]), set()).update(held[i].tolist())
     left = {d: u for d, u in left.items() if not u & found}
-    while left and len(found) < WITNESSES:
+    while left:
         gains = count([]).astype(float)
         for u in left.values():
             gains[list(u)] += 1
@@ -307,13 +344,14 @@ def fit(texts: pa.Array, labels: np.ndarray, seed: int = 5) -> Model:
         return Model(np.zeros(SYMBOLS ** 3), 0.0, 0.0, float(np.log(p / (1 - p))))
 
     # landmarks: witnesses, the clean units most like them, and others at random
-    own = explicit(unit[witness])
+    marked = witness if len(witness) <= WITNESS_MARKS else np.sort(rng.choice(witness, WITNESS_MARKS, replace=False))
+    own = explicit(unit[marked])
     clean_units = rng.permutation(clean_units)
     like = against(unit[clean_units], own).max(1)
     near = clean_units[np.argsort(-like, kind="stable")][:3000]
     background = clean_units[:6000]
-    free = LANDMARKS - len(witness)
-    marks = np.unique(np.concatenate([unit[witness], unit[near[:free // 2]], unit[background[:free - free // 2]]]), axis=0)
+    free = LANDMARKS - len(marked)
+    marks = np.unique(np.concatenate([unit[marked], unit[near[:free // 2]], unit[background[:free - free // 2]]]), axis=0)
     phi = explicit(marks)
     value, vector = np.linalg.eigh(phi @ phi.T)
     keep = value > 1e-6
@@ -347,8 +385,9 @@ def fit(texts: pa.Array, labels: np.ndarray, seed: int = 5) -> Model:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """(text, label): up to ``most`` labelled rows outside the held-out third, half
-    of each class at most, chosen by a hash of doc_id."""
+    """(doc_id, text, label): up to ``most`` labelled rows outside the held-out third, half
+    of each class at most, chosen by a hash of doc_id.  Of rows that repeat a doc_id one
+    is taken, that of the smallest hash of its text."""
     known = labels.where(F.col(label).isin(0, 1) & (remainder() != 1)) \
         .groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.max(label).cast("int").alias("label"))
     order = [F.xxhash64("label_id"), F.col("label_id")]
@@ -356,7 +395,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) ->
         .unionByName(known.where("label = 1").orderBy(*order).limit(most // 2))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # at most ``most`` narrow rows, so the smaller side has a proven bound
-    return texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["label_id"]).select("doc_id", "text", "label")
+    met = texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["label_id"])
+    return met.groupBy("doc_id").agg(F.min_by(F.struct("text", "label"), F.struct(F.xxhash64("text"), "text")).alias("row")) \
+        .select("doc_id", "row.*")
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:

@@ -40,7 +40,7 @@ _WORD_BYTE[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 _SIGN = np.zeros(256, bool)
 _SIGN[[b for b in range(33, 127) if not _WORD_BYTE[b] and chr(b) not in "'<|>"]] = True
 
-MANIFEST = "path string, first_id long, n_docs long, n_tokens long, n_rows long"
+MANIFEST = "path string, first_id long, first_print long, n_docs long, n_tokens long, n_rows long"
 _DOCS = pa.schema([("doc_id", pa.int64()), ("offset", pa.int64()), ("n_tokens", pa.int64())])
 
 
@@ -178,6 +178,7 @@ class ShardWriter:
         self.rest = np.zeros(0, kind)
         self.n_tokens = self.n_docs = self.n_rows = 0
         self.first_id: int | None = None
+        self.first_print = 0
 
     def _rows(self, ids: np.ndarray, mask: np.ndarray) -> None:
         for a in range(0, len(ids), BATCH_ROWS * self.length):
@@ -210,13 +211,15 @@ class ShardWriter:
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, length: int = LENGTH) -> DataFrame:
     """Encode and write all documents; returns the manifest, a row per shard.
 
-    Documents are range-partitioned by doc_id and sorted, nulls first; rows that
-    repeat a doc_id are ordered by their texts.  ``tokenizer`` is a file that all
-    executors have.
+    Documents are range-partitioned by doc_id and a hash of the text and sorted, nulls
+    first, so rows that repeat a doc_id, or have none, are spread over shards by their
+    texts.  ``tokenizer`` is a file that all executors have.
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ranged = narrow.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+                         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")) \
+        .withColumn("print", F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("print").asc()]
+    ranged = narrow.repartitionByRange(*order).sortWithinPartitions(*order, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shard = None
@@ -225,13 +228,15 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
                 if shard is None:
                     encoder = encoder_of(tokenizer, end_id)
                     shard = ShardWriter(folder, length, encoder.kind)
+                if not shard.n_docs:
+                    shard.first_print = part.column("print")[0].as_py()
                 shard.add(part.column("doc_id"), *encoder.encode(part.column("text")))
         if shard is not None:
             shard.close()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([shard.path]), pa.array([shard.first_id], pa.int64()), pa.array([shard.n_docs]),
+                [pa.array([shard.path]), pa.array([shard.first_id], pa.int64()), pa.array([shard.first_print]), pa.array([shard.n_docs]),
                  pa.array([shard.n_tokens]), pa.array([shard.n_rows])],
-                names=["path", "first_id", "n_docs", "n_tokens", "n_rows"])
+                names=["path", "first_id", "first_print", "n_docs", "n_tokens", "n_rows"])
 
     return cut_lineage(map_arrow(ranged, run, MANIFEST))
 
@@ -256,7 +261,7 @@ def shard_ids(path: str) -> Iterator[np.ndarray]:
 def read_tokens(manifest: DataFrame) -> DataFrame:
     """Per document, from the files: doc_id, start (ids before it in all shards), n_tokens, ids_crc32."""
     before = F.coalesce(F.sum("n_tokens").over(
-        Window.orderBy(F.col("first_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        Window.orderBy(F.col("first_id").asc_nulls_first(), "first_print").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shards = manifest.select("path", before.cast("long").alias("base"), "n_tokens")
     cores = manifest.sparkSession.sparkContext.defaultParallelism
 

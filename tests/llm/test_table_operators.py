@@ -20,6 +20,7 @@ from pressroom.llm import common
 from pressroom.llm.graph import components
 from pressroom.llm.op1_toxicity import score_toxicity
 from pressroom.llm.op1_toxicity import train as train_toxicity
+from pressroom.llm.op1_toxicity import training_rows
 from pressroom.llm.op2_decontaminate import contaminated_pairs
 from pressroom.llm.op3_html import extract_main_text, main_text
 from pressroom.llm.op4_warc import warc_round_trip
@@ -244,6 +245,32 @@ def test_token_files_hold_every_id(spark, tmp_path):
     assert all(s["n_rows"] == -(-s["n_tokens"] // 64) for s in shards)
 
 
+def test_token_files_spread_rows_without_doc_id(spark, tmp_path):
+    docs = spark.range(4000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    merged = "spark.sql.adaptive.coalescePartitions.enabled"  # so small a table would be one shard
+    before = spark.conf.get(merged)
+    spark.conf.set(merged, "false")
+    try:
+        manifest = write_tokens(docs.repartition(16), str(tmp_path), public_tokenizers.path("byte_bpe_50k.json"), length=64)
+    finally:
+        spark.conf.set(merged, before)
+    shards = manifest.collect()
+    assert sum(s["first_id"] is None for s in shards) > 1
+    got = sorted((r["start"], r["n_tokens"], -1 if r["doc_id"] is None else r["doc_id"]) for r in read_tokens(manifest).collect())
+    assert [a for a, _, _ in got] == np.concatenate([[0], np.cumsum([n for _, n, _ in got])[:-1]]).tolist()
+    assert [d for _, _, d in got] == sorted(d for _, _, d in got)
+
+
+def test_training_rows_keep_their_bound_on_repeated_ids(spark):
+    docs = spark.range(3000).select((F.col("id") % 30).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    labels = spark.range(30).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("toxic"))
+    for n in (1, 7):
+        rows = training_rows(docs.repartition(n), labels, "toxic", 10).collect()
+        assert len(rows) == 10 == len({r["doc_id"] for r in rows})
+        first = rows if n == 1 else first
+        assert sorted(rows) == sorted(first)
+
+
 def test_token_files_on_odd_rows(spark):
     rows = token_files(odd_docs(spark)).collect()
     assert len(rows) == 13 and [r["n_tokens"] for r in rows if r["doc_id"] in (0, 1)] == [1, 1]

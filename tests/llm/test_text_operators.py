@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import duckdb
@@ -129,6 +130,36 @@ def test_every_stretch_of_a_long_word_is_a_unit():
         assert {word[k:k + tox.LONGEST] for k in range(len(word) - tox.LONGEST + 1)} <= got
 
 
+def test_stretches_have_the_units_of_the_whole_text():
+    draw = random.Random(8)
+    kinds = [lambda: "".join(draw.choice("abcdé9") for _ in range(draw.randint(1, 9))),
+             lambda: " ".join(draw.choice("abcdefgh") for _ in range(draw.randint(2, 400))),
+             lambda: "".join(draw.choice("abcdefgh0ü-.*") for _ in range(draw.randint(100, 900)))]
+    for _ in range(60):
+        pick = draw.choice([kinds, kinds[:1], kinds[1:2], kinds[2:]])
+        data = Texts(pa.array([draw.choice([" ", "\n", "  "]).join(draw.choice(pick)() for _ in range(40))])).data
+        parts = list(tox.stretches(data, 512))
+        assert len(parts) > 1 or len(data) <= 512
+        assert max(map(len, parts)) <= 512
+        whole = set(map(bytes, tox.units(Texts.of_bytes(data))[0]))
+        assert set().union(*(map(bytes, tox.units(Texts.of_bytes(x))[0]) for x in parts)) == whole
+
+
+def test_long_rows_beside_short_ones_score_as_alone_and_in_bounded_memory():
+    rng = np.random.default_rng(2)
+    model = tox.Model(rng.normal(size=tox.SYMBOLS ** 3), -0.1, 1.0, 0.0)
+    blob = bytes(rng.choice(np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8), 300_000)).decode()
+    texts = ["one two three", blob, "", None, "four - five", blob[:70_000], "s i x"]
+    alone = [float(model.scores(pa.array([t], pa.string()))[0]) for t in texts]
+    tracemalloc.start()
+    got = model.scores(pa.array(texts, pa.string()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(got, alone) and peak < 100 << 20
+    whole = tox.decisions(tox.distinct(tox.units(Texts(pa.array([blob])))[0])[0], model.folded, model.bias).max()
+    assert np.isclose(got[1], 1 / (1 + np.exp(-whole)))
+
+
 def test_toxicity_without_labels_or_with_one_class():
     for labels in ([], [0, 0], [1, 1]):
         model = tox.fit(pa.array(["some words here"] * len(labels), pa.string()), np.array(labels, int))
