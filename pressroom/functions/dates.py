@@ -114,6 +114,21 @@ UNITS = {"second": (0, 1), "minute": (0, 60), "hour": (0, 3600), "day": (0, 8640
          "month": (1, 0), "year": (12, 0)}
 
 
+#: Stands between the parts of a match; no blank-normalised text holds it.
+_BREAK = "\n"
+
+
+def _with(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _parts(text: Column, pattern: str, n: int) -> Column:
+    """The ``n`` groups of a pattern that matches a whole text, by one pass over it; another text is
+    its own only part."""
+    return F.split(F.regexp_replace(text, pattern, _BREAK.join(f"${i}" for i in range(1, n + 1))), _BREAK)
+
+
 def _ago(text: Column, now: Column) -> Column:
     """One pattern for all languages: frame, number, unit, frame.  Frame and unit together must
     be a language's own."""
@@ -125,33 +140,48 @@ def _ago(text: Column, now: Column) -> Column:
                 alone.append(f"{before}|{single}|{after}")  # "před hodinou": one, without a number
     words = sorted({k.split("|")[1] for k in units}, key=len, reverse=True)
     pat = r"(?iU)^(?:(před|pred)\s+)?(?:(\d{1,3}|an?|one|egy)\s+)?(" + "|".join(words) + r")(?:\s+(ago))?$"
-    part = lambda i: F.regexp_extract(F.lower(text), pat, i)
-    number, after = part(2), part(4)
-    key = F.concat_ws("|", part(1), part(3), after)
-    n = F.when(number.rlike(r"^\d+$"), number.try_cast("int")) \
-        .when(number == "", F.when(key.isin(alone), F.lit(1))) \
-        .when((number == "egy") == (after == ""), F.lit(1))
-    sizes = [F.lit(x) for k, v in units.items() for x in (k, v[0] * 1_000_000 + v[1])]  # months and seconds
-    # what is taken off, then the time less months and seconds
-    off = F.try_element_at(F.create_map(*sizes), key)
-    months, seconds = F.floor(off / 1_000_000).cast("int"), (off % 1_000_000).cast("int")
-    return now - F.make_ym_interval(F.lit(0), n * months) - F.make_dt_interval(secs=(n * seconds).cast("decimal(18,6)"))
+    sizes = F.create_map(*[F.lit(x) for k, v in units.items() for x in (k, F.struct(F.lit(v[0]), F.lit(v[1])))])
+
+    def number(p: Column, key: Column) -> Column:
+        said, after = F.get(p, 1), F.get(p, 3)
+        return F.when(said.rlike(r"^\d+$"), said.try_cast("int")) \
+            .when(said == "", F.when(key.isin(alone), F.lit(1))) \
+            .when((said == "egy") == (after == ""), F.lit(1))
+
+    def back(x: Column) -> Column:  # the time less months and seconds
+        return now - F.make_ym_interval(F.lit(0), x["n"] * x["size"]["col1"]) \
+            - F.make_dt_interval(secs=(x["n"] * x["size"]["col2"]).cast("decimal(18,6)"))
+
+    def resolved(p: Column) -> Column:
+        key = F.concat_ws("|", F.get(p, 0), F.get(p, 2), F.get(p, 3))
+        sized = _with(key, lambda k: F.struct(number(p, k).alias("n"), F.try_element_at(sizes, k).alias("size")))
+        return F.when(F.size(p) == 4, _with(sized, back))
+
+    return _with(_parts(F.lower(text), pat, 4), resolved)
 
 
 def parse_relative_date(text: Column, now: Column) -> Column:
     """T6: "2 hours ago", "před 3 dny", "egy órája", "yesterday", "tegnap 10:32" as seen at ``now``
     (timestamp_ntz).  A day's word without a time keeps the time of ``now``; a month or year back
-    stays within the month.  Other texts, unknown words, and a null ``now`` give null."""
-    t = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    stays within the month.  Other texts, unknown words, and a null ``now`` give null.
+
+    Each pattern passes over a text once."""
     pat = r"(?iU)^(" + "|".join(sorted(DAYS_BACK, key=len, reverse=True)) \
         + r")(?:[,\s|–—-]+(?:(?:at|v|ve|o)\s+)?(\d{1,2}):(\d{2})(?::(\d{2}))?)?$"
-    part = lambda i: F.regexp_extract(t, pat, i)
-    days = F.try_element_at(F.create_map(*[F.lit(x) for kv in DAYS_BACK.items() for x in kv]), F.lower(part(1)))
-    day = now - F.make_dt_interval(days=days)
-    at = F.try_make_timestamp_ntz(F.year(day), F.month(day), F.day(day), part(2).cast("int"), part(3).cast("int"),
-                                  F.coalesce(F.when(part(4) != "", part(4).cast("int")), F.lit(0)).cast("decimal(16,6)"))
-    named = F.when(t.rlike(pat), F.when(part(2) == "", day).otherwise(at))
-    return F.coalesce(named, _ago(t, now))
+    back = F.create_map(*[F.lit(x) for kv in DAYS_BACK.items() for x in kv])
+
+    def at_time(day: Column, p: Column) -> Column:
+        part = lambda i: F.get(p, i)
+        at = F.try_make_timestamp_ntz(F.year(day), F.month(day), F.day(day), part(1).cast("int"), part(2).cast("int"),
+                                      F.coalesce(F.when(part(3) != "", part(3).cast("int")), F.lit(0)).cast("decimal(16,6)"))
+        return F.when(part(1) == "", day).otherwise(at)
+
+    def resolved(t: Column, p: Column) -> Column:
+        day = now - F.make_dt_interval(days=F.try_element_at(back, F.lower(F.get(p, 0))))
+        return F.when(F.size(p) == 4, _with(day, lambda d: at_time(d, p))).otherwise(_ago(t, now))
+
+    t = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return _with(t, lambda t: _with(_parts(t, pat, 4), lambda p: resolved(t, p)))
 
 
 def render_ago(n: Column, unit: str, lang: str) -> Column:

@@ -555,6 +555,8 @@ def _t6_relative(spark, sf):
     """Every event's time as the moment a page is seen: times before it in all units and languages, a day's
     word with and without a time, and a word that is no date."""
     e = read_table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp_ntz").alias("now"))
+    # an event is two numbers and dozens of texts: a file's one split would be one task's work
+    e = e.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     n = (F.pmod("event_id", F.lit(60)) + 1).cast("int")
     said = [F.struct(F.lit(f"{lang} {unit}").alias("said"), DT.render_ago(n, unit, lang).alias("text"))
             for lang in DT.AGO_FORMS for unit in DT.UNITS]

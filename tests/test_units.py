@@ -324,3 +324,15 @@ def test_relative_dates(spark):
     got = [(r.t, r.now, r.d) for r in rows.select("t", "now", parse_relative_date(F.col("t"), F.col("now")).alias("d")).collect()]
     assert {t: d for t, n, d in got if n and t is not None} == want
     assert all(d is None for t, n, d in got if t is None or n is None)
+
+
+def test_relative_dates_pass_over_a_text_once_per_pattern(spark):
+    """Blanks, a day's word, a time ago: three replacements, however many groups are used, and no other search
+    but that for a number's digits."""
+    from pressroom.functions.dates import parse_relative_date
+    rows = spark.range(1).select(F.lit("now").alias("t"), F.lit("2024-03-01 00:00:00").cast("timestamp_ntz").alias("now"), "id")
+    df = rows.repartition(2).select(parse_relative_date(F.concat("t", "id"), F.col("now")).alias("d"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") <= 3
+    assert plan.count("regexp_extract(") == 0
+    assert plan.lower().count("rlike(") <= 1
