@@ -8,31 +8,39 @@ frequency), and encoding / decoding are joins against it:
   (count desc, word) over range partitions -> ids after the special tokens.  Every word has
   an id unless ``vocab_size`` asks for the most frequent ones only; the joins
   carry no broadcast hint, as the vocabulary grows with the corpus.
+* blocks: rows are written once with a block, ``BLOCK`` rows that follow each other.  The
+  distinct words of each block meet the vocabulary, not every word of every row, and a block's rows
+  meet their part of it in one Arrow function.  A block is bounded by its rows, so equal rows and
+  rows that repeat an id are rows like any other.
 * encode (E2-E6): the first ``max_len - 2`` words (the truncation *is* the
-  operator) with their position, joined to the vocabulary (unknown ->
-  ``[UNK]``), collected in order per row, wrapped in ``[CLS] .. [SEP]``,
-  padded to ``max_len``; masks and labels by ``transform``.  Input and article meet
-  the vocabulary in one join, a frequent word in salted parts.  A row is named by all
-  it holds, so rows that repeat an id are encoded each by its own text.
+  operator) of input and article, looked up (unknown -> ``[UNK]``), wrapped in
+  ``[CLS] .. [SEP]``, padded to ``max_len``; masks and labels by ``transform``.
 * decode (E7, E8): labels back to ids (-100 -> pad), specials skipped,
   words joined in order.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pressroom.config import DEFAULT, Config
 from pressroom.operators.rank import global_rank
-from pressroom.operators.salted import meet
-from pressroom.session import cut_lineage, spread
+from pressroom.session import cut_lineage, ship_package, spread
 
 # Special tokens and their ids (BERT order of roles).
 SPECIALS = ("[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]")
 PAD, UNK, CLS, SEP, MASK = range(5)
 IGNORE = -100
 WORD_RE = r"[\pL\pN]+|[^\pL\pN\s]"
+#: Rows of a block, as a power of two; a block's rows and words are held by one call.
+BLOCK_BITS = 10
 
 
 def words(text: Column) -> Column:
@@ -61,27 +69,47 @@ def build_vocab(texts: DataFrame, cols: list[str], cfg: Config = DEFAULT) -> Dat
     return ranked.select("word", (F.col("rank") + (len(SPECIALS) - 1)).cast("int").alias("id"))
 
 
+def in_blocks(df: DataFrame, lists: list[str], table: DataFrame, key: str, kept: Callable[[Column], Column],
+              run: Callable[[pa.Table, pa.Table], pa.Table], schema: T.StructType) -> DataFrame:
+    """``run(rows, entries)`` for each block of ``df``: its rows, and the rows of ``table`` (one per ``key`` at
+    most) for the elements of its ``lists`` that are ``kept``.
+
+    The rows are written first, so that both sides see the same blocks."""
+    ship_package(df.sparkSession)
+    held = cut_lineage(df.withColumn("_block", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)))
+    every = F.concat(*[F.coalesce(F.col(c), F.array().cast(held.schema[c].dataType)) for c in lists])
+    seen = held.select(F.col("_block").alias("_of"), F.explode(F.array_distinct(every)).alias(key)).where(kept(F.col(key))).distinct()
+    entries = seen.join(table, key)
+    return held.groupBy("_block").cogroup(entries.groupBy("_of")).applyInArrow(run, schema)
+
+
+def _looked_up(lists: pa.Array, keys: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Of all elements of ``lists`` the places in ``keys``, -1 where missing; the length of each list."""
+    at = pc.fill_null(pc.index_in(lists.flatten(), value_set=keys.combine_chunks()), -1)
+    return at.to_numpy(zero_copy_only=False), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def encode_columns(df: DataFrame, cols: list[str], vocab: DataFrame, id_col: str = "uuid", cfg: Config = DEFAULT) -> DataFrame:
     """(id, then ids array<int>[max_len] under each column's name), a row for each row of ``df`` (E2 + E3)."""
     L = cfg.max_seq_len
-    part = lambda c: F.coalesce(F.sha2(F.col(c), 256), F.lit("-"))
-    keyed = df.select(F.col(id_col).alias("_id"), *cols, F.sha2(F.concat(*(part(c) for c in [id_col, *cols])), 256).alias("_key"))
-    src = spread(keyed.select("_key", *cols).distinct(), "_key")
-    both = F.array(*[F.struct(F.lit(k).alias("col"), F.slice(words(F.col(c)), 1, L - 2).alias("words")) for k, c in enumerate(cols)])
-    toks = src.select("_key", F.explode(both).alias("t")).select("_key", "t.col", F.posexplode("t.words").alias("pos", "word"))
-    ids = meet(toks, vocab, ["word"], "_key", "left").select("_key", "col", "pos", F.coalesce("id", F.lit(UNK)).alias("id"))
-    seqs = ids.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("col", "pos", "id"))).alias("s"))
-
-    def full(k: int) -> Column:
-        body = F.transform(F.filter("s", lambda x: x["col"] == k), lambda x: x["id"])
-        # rows without any word encode as [CLS] [SEP] + padding
-        whole = F.concat(F.array(F.lit(CLS)), F.coalesce(body, F.array().cast("array<int>")), F.array(F.lit(SEP)))
-        return F.concat(whole, F.array_repeat(F.lit(PAD), F.lit(L) - F.size(whole)))
-
-    # equal rows are encoded once and dealt out again
-    n = keyed.groupBy("_id", "_key").agg(F.count(F.lit(1)).alias("_n"))
-    out = n.join(seqs, "_key", "left").select(F.col("_id").alias(id_col), "_n", *[full(k).alias(c) for k, c in enumerate(cols)])
-    return out.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).drop("_n")
+    src = spread(df, id_col).select(F.col(id_col), *[F.slice(words(F.col(c)), 1, L - 2).alias(c) for c in cols])
+
+    def run(rows: pa.Table, entries: pa.Table) -> pa.Table:
+        ids = entries["id"].to_numpy().astype(np.int32)
+        known = np.concatenate([ids, [UNK]]).astype(np.int32)  # the last stands for a missing word
+        out = []
+        for c in cols:
+            at, n = _looked_up(rows[c].combine_chunks(), entries["word"])
+            full = np.full((len(n), L), PAD, np.int32)
+            full[:, 0] = CLS
+            full[np.arange(len(n)), n + 1] = SEP  # rows without any word encode as [CLS] [SEP] + padding
+            row = np.repeat(np.arange(len(n)), n)
+            full[row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + 1] = known[at]
+            out.append(pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * L), pa.array(full.ravel())))
+        return pa.table([rows[id_col], *out], names=[id_col, *cols])
+
+    schema = T.StructType([src.schema[id_col], *[T.StructField(c, T.ArrayType(T.IntegerType())) for c in cols]])
+    return in_blocks(src, cols, vocab, "word", lambda w: w.isNotNull(), run, schema)
 
 
 def attention_mask(ids: Column) -> Column:
@@ -110,13 +138,14 @@ def unmask(labels: Column) -> Column:
 
 def decode(df: DataFrame, ids_col: str, vocab: DataFrame, id_col: str = "uuid") -> DataFrame:
     """Ids -> text, special tokens skipped, words joined by blanks, trimmed."""
-    keyed = df.select(F.col(id_col).alias("_id"), unmask(F.col(ids_col)).alias("_ids")) \
-        .withColumn("_key", F.sha2(F.concat_ws("|", F.coalesce("_id", F.lit("-")), F.array_join("_ids", " ")), 256))
-    e = keyed.select("_key", "_ids").distinct().select("_key", F.posexplode("_ids").alias("pos", "id")).where(F.col("id") >= len(SPECIALS))
-    w = meet(e, vocab, ["id"], "_key", "left")
-    g = w.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("s"))
-    txt = F.trim(F.array_join(F.transform(F.col("s"), lambda x: x["word"]), " "))
-    n = keyed.groupBy("_id", "_key").agg(F.count(F.lit(1)).alias("_n"))
-    out = n.join(g.select("_key", txt.alias("generated")), "_key", "left")
-    return out.select(F.col("_id").alias(id_col), F.coalesce("generated", F.lit("")).alias("generated"),
-                      F.explode(F.sequence(F.lit(1).cast("long"), "_n")).alias("_n")).drop("_n")
+    src = df.select(F.col(id_col), unmask(F.col(ids_col)).alias("_ids"))
+
+    def run(rows: pa.Table, entries: pa.Table) -> pa.Table:
+        at, n = _looked_up(rows["_ids"].combine_chunks(), entries["id"])
+        found = at >= 0  # special tokens and unknown ids have no entry
+        ends = np.concatenate([[0], np.cumsum(found)])[np.concatenate([[0], np.cumsum(n)])]
+        said = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), entries["word"].combine_chunks().take(pa.array(at[found])))
+        return pa.table([rows[id_col], pc.utf8_trim(pc.binary_join(said, " "), " ")], names=[id_col, "generated"])
+
+    schema = T.StructType([src.schema[id_col], T.StructField("generated", T.StringType())])
+    return in_blocks(src, ["_ids"], vocab, "id", lambda i: i >= len(SPECIALS), run, schema)

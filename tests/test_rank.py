@@ -66,3 +66,24 @@ def test_rows_that_repeat_an_id_stay_once_each_in_d10(spark):
     out = DP.deduplicate(df).collect()
     assert sorted(r["uuid"] for r in out) == sorted(r[0] for r in rows)
     assert len({(r["uuid"], r["split"]) for r in out}) == 10
+
+
+def test_words_meet_the_vocabulary_once_a_block(spark):
+    """Rows of several blocks, null and empty texts, unknown words; only distinct words of a block are joined."""
+    rows = [(f"u{k}", f"w{k % 7} common", "common w3 , w3" if k % 5 else None) for k in range(40)] + [("e", "", "zz")]
+    ex = spark.createDataFrame(rows, "uuid string, input string, article string").coalesce(2)
+    vocab = spark.createDataFrame([("common", 5), ("w3", 6), (",", 7)], "word string, id int")
+    bits, EN.BLOCK_BITS = EN.BLOCK_BITS, 2
+    try:
+        got = {r["uuid"]: r for r in EN.encode(ex, vocab).collect()}
+        back = {r["uuid"]: r["generated"] for r in EN.decode(EN.encode(ex, vocab), "labels", vocab).collect()}
+        plan = EN.encode(ex, vocab)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        EN.BLOCK_BITS = bits
+    assert "posexplode" not in plan and plan.count("Join") == 1
+    ids = {"common": 5, "w3": 6, ",": 7}
+    assert len(got) == 41
+    for u, i, a in rows:
+        assert got[u]["input_ids"][:len(i.split()) + 2] == [2, *[ids.get(w, 1) for w in i.split()], 3]
+        assert [x for x in got[u]["labels"] if x != -100] == [2, *[ids.get(w, 1) for w in (a or "").split()], 3]
+        assert back[u] == " ".join(w for w in (a or "").split() if w in ids)
