@@ -336,3 +336,38 @@ def test_relative_dates_pass_over_a_text_once_per_pattern(spark):
     assert plan.count("regexp_replace(") <= 3
     assert plan.count("regexp_extract(") == 0
     assert plan.lower().count("rlike(") <= 1
+
+
+def test_signature_minima_reach_no_shuffle_by_slot(spark):
+    """A document of a batch is one row when ids are brought together, not one per slot; rows of one id count as one
+    text, and stretches of a long text make the signature of the whole."""
+    import hashlib
+    rnd = random.Random(5)
+    texts = {u: "".join(rnd.choice("abcé dž") for _ in range(n)) for u, n in (("a", 900), ("b", 8), ("c", 9), (None, 40))}
+    rows = [*texts.items(), ("a", "a second text of the same id"), ("a", None), ("d", None), (None, "short")]
+    df = spark.createDataFrame(rows, "uuid string, article string").repartition(3)
+    sig = M.signatures(df)
+    plan = sig._jdf.queryExecution().optimizedPlan().toString()
+    assert "slot" not in plan.split("Aggregate")[-1] and plan.count("Aggregate") == 1
+
+    def low(u):
+        out = {}
+        for t in (t.encode() for v, t in rows if v == u and t is not None):
+            for i in range(len(t) - 8):
+                h = int(hashlib.md5(t[i:i + 9].hex().upper().encode()).hexdigest()[:8], 16)
+                out[h % 200] = min(h, out.get(h % 200, h))
+        return out
+
+    def check(got):
+        assert sorted(got, key=str) == sorted([u for u in {v for v, _ in rows} if low(u)], key=str)
+        for u, r in got.items():
+            mins = low(u)
+            assert r.n_slots == len(mins)
+            assert all(r.sig[s] == h for s, h in mins.items())
+
+    check({r.uuid: r for r in sig.collect()})
+    stretch, M.STRETCH = M.STRETCH, 50
+    try:
+        check({r.uuid: r for r in M.signatures(df).collect()})
+    finally:
+        M.STRETCH = stretch
