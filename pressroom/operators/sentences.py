@@ -25,7 +25,7 @@ NEARLY_ALWAYS = 0.99
 #: Size of the model: the words of most evidence, ties by the word.
 SIZE = 5000
 
-_TOKEN = r"[^\x20\x09-\x0D]+"
+_BLANKS = r"[\x20\x09-\x0D]+"
 _ENDS = r"([^\x20\x09-\x0D]*[.!?])(?=[\x20\x09-\x0D])"
 #: An ordinal: a number with a full stop before a lower-case word.
 _ORDINAL = r"(?<![^\x20\x09-\x0D])[^\pL\pN\x20\x09-\x0D]*\pN+[.](?=[\x20\x09-\x0D]+\p{Ll})"
@@ -45,10 +45,13 @@ def learn_abbreviations(df: DataFrame, text: str = "article", threshold: float =
     """(word, stops, others, score): the words of ``text`` that are abbreviations, without
     their last full stop.  A word holds a letter; numbers and bare signs count as tokens
     only.  Null and empty texts have no tokens; no rows give no words."""
-    core = df.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(_TOKEN), F.lit(0))).alias("t")).select(_core(F.col("t")).alias("core"))
+    # the tokens as they stand are counted first, so each distinct one is taken apart once
+    tokens = df.select(F.explode(F.split(F.trim(F.regexp_replace(F.col(text), _BLANKS, " ")), " ")).alias("t")) \
+        .where("t != ''").groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    core = tokens.select(_core(F.col("t")).alias("core"), "n")
     stop = _stopped(F.col("core"))
     counts = core.groupBy(F.regexp_replace("core", "[.]+$", "").alias("word")) \
-        .agg(F.sum(F.when(stop, 1).otherwise(0)).alias("stops"), F.sum(F.when(stop, 0).otherwise(1)).alias("others"))
+        .agg(F.sum(F.when(stop, F.col("n")).otherwise(0)).alias("stops"), F.sum(F.when(stop, 0).otherwise(F.col("n"))).alias("others"))
     # one row: the share of full stops among all tokens, kept off 0 and 1
     base = counts.agg(F.sum("stops").alias("s"), F.sum(F.col("stops") + F.col("others")).alias("n")) \
         .select(F.greatest(F.least(F.col("s") / F.col("n"), F.lit(1 - 1e-9)), F.lit(1e-9)).alias("p"))

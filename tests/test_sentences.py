@@ -46,3 +46,14 @@ def test_no_rows_and_the_models_bound(spark, tmp_path):
     spark.createDataFrame([("a",), ("b",)], "word string").write.parquet(str(tmp_path / "two"))
     with pytest.raises(ValueError, match="more than 1"):
         S.load_abbreviations(spark, str(tmp_path / "two"), most=1)
+
+
+def test_each_distinct_token_is_taken_apart_once(spark):
+    """Tokens are counted as they stand, before any pattern looks into them."""
+    from pressroom.operators import sentences
+    df = spark.createDataFrame([("\t Dr. Dr.\u000b(Dr. x) \n y",), ("",), (" \n",), (None,)], "article string").repartition(2)
+    out = sentences.learn_abbreviations(df, threshold=-1e9)
+    assert [(r["word"], r["stops"], r["others"]) for r in out.collect()] == [("dr", 3, 0)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    lowest = [k for k, line in enumerate(plan) if "Aggregate" in line and "[t#" in line]
+    assert lowest and not any("pL" in line for line in plan[lowest[-1] + 1:])
