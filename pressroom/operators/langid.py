@@ -34,6 +34,18 @@ def words(text_col: str = "article"):
     return F.regexp_extract_all(F.lower(newlines_to_blanks(text_col)), F.lit(WORD_RE), 0)
 
 
+def counted(ws: str):
+    """A list of words as array<struct<word, k>>: each distinct word and how often it occurs.  Sorted, a word's
+    occurrences are neighbours, and the places where another begins give the counts."""
+    def of(s):
+        starts = F.filter(F.sequence(F.lit(0), F.size(s)), lambda i: (i == 0) | (i == F.size(s)) | (F.get(s, i) != F.get(s, i - 1)))
+        return F.transform(F.array(starts), lambda at: F.transform(
+            F.slice(at, F.lit(1), F.size(at) - 1),
+            lambda i, j: F.struct(F.get(s, i).alias("word"), (F.get(at, j + 1) - i).cast("long").alias("k"))))
+    some = F.when(F.size(ws) > 0, F.col(ws))
+    return F.flatten(F.flatten(F.transform(F.array(F.sort_array(some)), of)))
+
+
 def train(labelled: DataFrame, text_col: str = "article", lang_col: str = "lang",
           materialize: bool = True) -> tuple[DataFrame, DataFrame]:
     """Return (profile(word, lang, gain), langs(lang, unseen, prior)).
@@ -74,8 +86,8 @@ def identify(df: DataFrame, profile: DataFrame, langs: DataFrame, id_col: str =
     """(id, language): best-scoring language per document; a text without
     letters gets the language of the highest prior.
 
-    The words of a document are extracted once; their number rides along
-    the explode.  Per (document, language) the profile gains are summed
+    The words of a document are extracted and counted once, within its row; their
+    number rides along the explode.  Per (document, language) the profile gains are summed
     (partial aggregation; the profile join is broadcast by AQE when small,
     else split by its skew handling), then one aggregation per document
     scores every candidate language: ``n * unseen + prior + gain``.
@@ -85,8 +97,9 @@ def identify(df: DataFrame, profile: DataFrame, langs: DataFrame, id_col: str =
     cand = langs.agg(F.sort_array(F.collect_list(F.struct("lang", "unseen", "prior")))).scalar()
     src = spread(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")), "_id")
     ws = src.select("_id", words("_t").alias("ws"))
-    dw = ws.select("_id", F.size("ws").cast("long").alias("n"), F.explode_outer("ws").alias("word"))
-    per_word = dw.groupBy("_id", "word").agg(F.count("word").alias("k"), F.first("n").alias("n"))
+    # a text's words are counted within its row: only distinct ones are shuffled, and once
+    per_word = ws.select("_id", F.size("ws").cast("long").alias("n"), F.explode_outer(counted("ws")).alias("w")) \
+        .select("_id", "n", F.col("w.word").alias("word"), F.coalesce("w.k", F.lit(0)).alias("k"))
     gains = (per_word.join(profile, "word", "left")
              .groupBy("_id", "lang").agg(F.sum(F.col("k") * F.col("gain")).alias("g"), F.first("n").alias("n")))
     per_doc = gains.groupBy("_id").agg(

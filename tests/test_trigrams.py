@@ -55,3 +55,17 @@ def test_held_out_articles_are_named_right(spark):
     right = sum(r["language"] == r["lang"] for r in rows)
     print("held out:", right, "of", len(rows))
     assert len(rows) > 250 and right / len(rows) > 0.97
+
+
+def test_words_are_counted_within_a_row(spark):
+    """One row per distinct word of a text, before any shuffle; null and empty lists stay without words."""
+    from pyspark.sql import functions as F
+    from pressroom.operators import langid
+    rows = [(["b", "a", "b", "é", "a", "b"],), (["x"],), ([],), (None,)]
+    df = spark.createDataFrame(rows, "ws array<string>").select("ws", langid.counted("ws").alias("c"))
+    got = [None if r["c"] is None else {(w["word"], w["k"]) for w in r["c"]} for r in df.collect()]
+    assert got == [{("a", 2), ("b", 3), ("é", 1)}, {("x", 1)}, None, None]
+    articles = spark.createDataFrame([("1", "la la le", "fr"), ("2", "the the of", "en")], "uuid string, article string, lang string")
+    profile, langs = langid.train(articles)
+    plan = langid.identify(articles, profile, langs)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Aggregate [_id" in line and "word" in line.split("]")[0]]
