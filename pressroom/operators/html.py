@@ -4,24 +4,24 @@ A page is split into an array of tokens; one small Arrow-batched helper runs the
 open-element stack over their names and says, per token, where its element ends
 and which element is its parent.  A close tag ends the latest open element of its
 name and all elements left open inside it; one without an open element is ignored.
-So an unclosed element ends with its parent.  The exploded token table carries
-that structure, and the rest are columns of it:
+So an unclosed element ends with its parent.  A page stays one row; the rest are
+columns of its arrays:
 
+* site rules: a literal map gives a page the rules of its site by the tag of their
+  last step; attributes are read only of tokens whose tag has rules;
 * child selectors compare the parent's and grandparent's name, class, id, href;
 * removal: a token is dropped when a flagged element opened before it ends at or
   after it, a running maximum over the page.
 
-Pages are hash-partitioned by ``page_id`` once, before tokenising; all later
-windows and aggregations are keyed by ``page_id`` first, so Spark reuses that
-partitioning.  A page is bounded in size, so a per-page array or window never
-holds more than one document.  Site rules are compiled into a literal map probed
-per token, not joined.
+So what is sorted and shuffled grows with pages, not with tokens, and a row never
+holds more than the pages of one id.
 """
 
 from __future__ import annotations
 
-from html.entities import html5
+from html.entities import html5, name2codepoint
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,12 +43,18 @@ STYLE_RE = r"(?is)<style\b[^>]*>.*?</style\s*>"
 def _attr(tok: Column, name: str) -> Column:
     """Value of an attribute, quoted or not; empty when there is none."""
     pat = rf"""(?i)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    return F.concat(*[F.regexp_extract(tok, pat, g) for g in (1, 2, 3)])
+    return F.when(tok.contains("="), F.concat(*[F.regexp_extract(tok, pat, g) for g in (1, 2, 3)])).otherwise(F.lit(""))
+
+
+def _element(x: Column) -> Column:
+    """What selectors ask of a token."""
+    return F.struct(x["name"].alias("name"), F.split(F.trim(_attr(x["tok"], "class")), r"\s+").alias("cls"),
+                    _attr(x["tok"], "id").alias("elem_id"), _attr(x["tok"], "href").alias("href"))
 
 
 def mask(html: Column) -> Column:
     """Drop comments; empty script and style bodies (a script string may hold ``</p>``)."""
-    h = F.regexp_replace(html, COMMENT_RE, "")
+    h = F.when(html.contains("<!--"), F.regexp_replace(html, COMMENT_RE, "")).otherwise(html)
     h = F.regexp_replace(h, SCRIPT_RE, "<script></script>")
     return F.regexp_replace(h, STYLE_RE, "<style></style>")
 
@@ -58,15 +64,15 @@ _TREE = T.StructType([T.StructField("end", T.ArrayType(T.IntegerType())), T.Stru
 
 @F.pandas_udf(_TREE)
 def _element_tree(marks: pd.Series) -> pd.DataFrame:
-    """Per token of a page: the position where its element ends (itself but for
-    open tags) and the position of its parent's open tag, -1 at the top."""
+    """Per token of a page, given as ``name``, ``/name`` or nothing between blanks: the position
+    where its element ends (itself but for open tags) and that of its parent's open tag, -1 at the top."""
     ends, parents = [], []
-    for page in marks:
-        n = 0 if page is None else len(page)
-        end, parent, stack, is_open = list(range(n)), [-1] * n, [], {}
-        for i in range(n):
-            mark = page[i]
-            if mark.startswith("/"):
+    for text in marks:
+        page = text.split(" ") if isinstance(text, str) else []
+        n = len(page)
+        end, parent, stack, is_open, top = list(range(n)), [-1] * n, [], {}, -1
+        for i, mark in enumerate(page):
+            if mark[:1] == "/":
                 name = mark[1:]
                 while is_open.get(name):  # without an open element of the name: ignored
                     j, inner = stack.pop()
@@ -74,10 +80,12 @@ def _element_tree(marks: pd.Series) -> pd.DataFrame:
                     end[j] = i if inner == name else i - 1
                     if inner == name:
                         break
-            parent[i] = stack[-1][0] if stack else -1
-            if mark and not mark.startswith("/"):
+                top = stack[-1][0] if stack else -1
+            parent[i] = top
+            if mark and mark[0] != "/":
                 stack.append((i, mark))
                 is_open[mark] = is_open.get(mark, 0) + 1
+                top = i
         for j, _ in stack:
             end[j] = n - 1
         ends.append(end)
@@ -85,34 +93,42 @@ def _element_tree(marks: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"end": ends, "parent": parents})
 
 
-def _token(tok: Column) -> Column:
-    name = F.lower(F.regexp_extract(tok, r"^</?([A-Za-z][A-Za-z0-9-]*)", 1))
-    is_open_tag = tok.rlike(r"^<[A-Za-z].*(?s)>$")
-    kind = (F.when(tok.rlike(r"^</[A-Za-z]"), F.lit("close"))
-            .when(is_open_tag & (name.isin(list(VOID)) | tok.rlike(r"/\s*>$")), F.lit("void"))
-            .when(is_open_tag, F.lit("open"))
-            .when(tok.rlike(r"^<[!?/]"), F.lit("other"))
-            .otherwise(F.lit("text")))
-    return F.struct(tok.alias("tok"), kind.alias("kind"), name.alias("name"))
+def _tokens(html: Column) -> Column:
+    """array<struct<tok, kind, name>>; a token that doesn't begin with "<" is text."""
+    def kind(x: Column) -> Column:
+        tok, name = x["tok"], x["name"]
+        is_open_tag = tok.rlike(r"^<[A-Za-z].*(?s)>$")
+        return (F.when(~tok.startswith("<"), F.lit("text"))
+                .when(tok.startswith("</") & (name != ""), F.lit("close"))
+                .when(is_open_tag & (name.isin(list(VOID)) | tok.rlike(r"/\s*>$")), F.lit("void"))
+                .when(is_open_tag, F.lit("open"))
+                .when(tok.rlike(r"^<[!?/]"), F.lit("other"))
+                .otherwise(F.lit("text")))
+
+    name = lambda tok: F.when(tok.startswith("<"), F.lower(F.regexp_extract(tok, r"^</?([A-Za-z][A-Za-z0-9-]*)", 1))).otherwise(F.lit(""))
+    named = F.transform(F.regexp_extract_all(mask(html), F.lit(TOKEN_RE), 0), lambda tok: F.struct(tok.alias("tok"), name(tok).alias("name")))
+    return F.transform(named, lambda x: F.struct(x["tok"].alias("tok"), kind(x).alias("kind"), x["name"].alias("name")))
+
+
+def with_tokens(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """H1: ``toks``, the page's tokens (tok, kind, name), and ``tree``, their elements' ends and
+    parents, in place of the html.  A null page has null tokens and an empty tree."""
+    t = pages.withColumn("toks", _tokens(F.col(html_col))).drop(html_col)
+    marks = F.transform("toks", lambda x: F.when(x["kind"] == "open", x["name"])
+                        .when(x["kind"] == "close", F.concat(F.lit("/"), x["name"])).otherwise(F.lit("")))
+    return t.withColumn("tree", _element_tree(F.when(F.size("toks") > 0, F.array_join(marks, " "))))
 
 
 def tokenize(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
              keep: tuple[str, ...] = ("site",)) -> DataFrame:
-    """H1: (page_id, keep..., pos, tok, kind, name, cls, elem_id, href, end, anc1, anc2).
+    """H1, a row a token: (page_id, keep..., pos, tok, kind, name, cls, elem_id, href, end, anc1, anc2).
 
     ``end`` is the last position of the element a token opens (its own position for
     other tokens); ``anc1`` and ``anc2`` are (name, cls, elem_id, href) of parent and
     grandparent, null where there is none.  A null page has no tokens."""
-    t = pages.select(F.col(id_col).alias("page_id"), *keep,
-                     F.transform(F.regexp_extract_all(mask(F.col(html_col)), F.lit(TOKEN_RE), 0), _token).alias("toks"))
-    marks = F.transform("toks", lambda x: F.when(x["kind"] == "open", x["name"])
-                        .when(x["kind"] == "close", F.concat(F.lit("/"), x["name"])).otherwise(F.lit("")))
-    t = t.withColumn("tree", _element_tree(marks))
+    t = with_tokens(pages.select(F.col(id_col).alias("page_id"), *keep, F.col(html_col).alias("html")))
     # attributes only of the few open tags that are somebody's parent, at most once each
-    info = F.transform("toks", lambda x: F.when(x["kind"] == "open", F.struct(
-        x["name"].alias("name"), F.split(F.trim(_attr(x["tok"], "class")), r"\s+").alias("cls"),
-        _attr(x["tok"], "id").alias("elem_id"), _attr(x["tok"], "href").alias("href"))))
-    t = t.select("page_id", *keep, "toks", "tree", info.alias("info"))
+    t = t.withColumn("info", F.transform("toks", lambda x: F.when(x["kind"] == "open", _element(x))))
     at = lambda i: F.when(i >= 0, F.get("info", i))
     up = lambda i: F.when(i >= 0, F.get("tree.parent", i))
     t = t.select("page_id", *keep, F.posexplode(F.zip_with(
@@ -130,71 +146,74 @@ def tokenize(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
 
 # --------------------------------------------------------------------------- rules
 #
-# Rules are looked up, not expanded: a literal map from
-# ``site|tag|attr|value`` of a selector's last step to the rule entries that
-# end there.  A token probes the map with its own keys (bare tag, each class,
-# id, href; for its site and for ``*``), so the cost per token does not grow
-# with the number of sites, and the generated code stays small.
+# Rules are looked up, not expanded: a literal map gives the rules of a page's site
+# (and of ``*``) by the tag of their last step, once per page.  Only tokens of those
+# tags are looked into, so the cost per token does not grow with the number of sites.
 
-_ENTRY = "struct<role:string,priority:int,mode:string,p_tag:string,p_attr:string,p_value:string," \
+_ENTRY = "struct<role:string,priority:int,mode:string,attr:string,value:string,p_tag:string,p_attr:string,p_value:string," \
          "g_tag:string,g_attr:string,g_value:string>"
 
 
-def _key(site, tag, attr, value) -> str:
-    return f"{site}|{tag}|{attr or ''}|{value or ''}"
-
-
-def rule_index(rules) -> Column:
-    groups: dict[str, list] = {}
+def _by_tag(rules) -> Column:
+    tags: dict[str, list] = {}
     for r in rules:
         tag, attr, value = r.selector[-1]
-        anc = list(reversed(r.selector[:-1])) + [(None, None, None)] * 2
-        (pt, pa, pv), (gt, ga, gv) = anc[0], anc[1]
-        groups.setdefault(_key(r.site, tag, attr, value), []).append(
-            (r.role, r.priority, r.mode, pt, pa, pv, gt, ga, gv))
-    if not groups:
-        return F.create_map().cast(f"map<string,array<{_ENTRY}>>")
-    items = []
-    for k, entries in groups.items():
-        items.append(F.lit(k))
-        items.append(F.array(*[F.struct(*[F.lit(v) for v in e]) for e in entries]).cast(f"array<{_ENTRY}>"))
-    return F.create_map(*items)
+        near, far = (list(reversed(r.selector[:-1])) + [(None, None, None)] * 2)[:2]
+        tags.setdefault(tag, []).append((r.role, r.priority, r.mode, attr, value, *near, *far))
+    items = [x for tag, entries in tags.items()
+             for x in (F.lit(tag), F.array(*[F.struct(*[F.lit(v) for v in e]) for e in entries]).cast(f"array<{_ENTRY}>"))]
+    return F.create_map(*items).cast(f"map<string,array<{_ENTRY}>>")
+
+
+def rules_of(site: Column, rules) -> Column:
+    """map<tag, array<entry>>: the rules that hold for a site's pages."""
+    items = [x for s in sorted({r.site for r in rules} - {"*"}) for x in (F.lit(s), _by_tag([r for r in rules if r.site in (s, "*")]))]
+    everywhere = _by_tag([r for r in rules if r.site == "*"])
+    return F.coalesce(F.try_element_at(F.create_map(*items), site), everywhere) if items else everywhere
+
+
+def _attr_ok(el: Column, attr: Column, value: Column) -> Column:
+    hit = (((attr == "class") & F.array_contains(el["cls"], value))
+           | ((attr == "id") & (el["elem_id"] == value))
+           | ((attr == "href") & (el["href"] == value)))
+    return attr.isNull() | F.coalesce(hit, F.lit(False))
 
 
 def _anc_ok(anc: Column, tag: Column, attr: Column, value: Column) -> Column:
-    hit = (anc["name"] == tag) & (
-        attr.isNull()
-        | ((attr == "class") & F.array_contains(anc["cls"], value))
-        | ((attr == "id") & (anc["elem_id"] == value))
-        | ((attr == "href") & (anc["href"] == value)))
-    return tag.isNull() | (anc.isNotNull() & F.coalesce(hit, F.lit(False)))
-
-
-def matched_rules(rules) -> Column:
-    """array<entry> of the rules whose selector ends at this token (open/void)."""
-    idx = rule_index(rules)
-    site, name = F.col("site"), F.col("name")
-    keys = []
-    for s in (site, F.lit("*")):
-        pre = F.concat_ws("|", s, name)
-        keys.append(F.array(F.concat(pre, F.lit("||"))))
-        keys.append(F.transform("cls", lambda c: F.concat(pre, F.lit("|class|"), c)))
-        keys.append(F.array(F.concat(pre, F.lit("|id|"), F.col("elem_id"))))
-        keys.append(F.array(F.concat(pre, F.lit("|href|"), F.col("href"))))
-    hits = F.flatten(F.transform(F.concat(*keys),
-                                 lambda k: F.coalesce(F.try_element_at(idx, k), F.array().cast(f"array<{_ENTRY}>"))))
-    hits = F.filter(hits, lambda e: _anc_ok(F.col("anc1"), e["p_tag"], e["p_attr"], e["p_value"])
-                    & _anc_ok(F.col("anc2"), e["g_tag"], e["g_attr"], e["g_value"]))
-    return F.when(F.col("kind").isin("open", "void"), hits).otherwise(F.array().cast(f"array<{_ENTRY}>"))
-
-
-def has_role(m: Column, role: str) -> Column:
-    return F.exists(m, lambda e: e["role"] == role)
-
-
-def best_of_role(m: Column, role: str) -> Column:
-    """min (priority, mode) among the token's entries of ``role``; null if none."""
-    return F.array_min(F.transform(F.filter(m, lambda e: e["role"] == role),
+    return tag.isNull() | F.coalesce((anc["name"] == tag) & _attr_ok(anc, attr, value), F.lit(False))
+
+
+def matched_rules(toks: Column, tree: Column, rules: Column) -> Column:
+    """array<struct<pos, end, kind, rules>>: the open and void tokens that end a selector of ``rules``
+    (``rules_of``), with its entries."""
+    tags = F.map_keys(rules)
+    asked = F.filter(F.transform(toks, lambda x, i: F.when(x["kind"].isin("open", "void") & F.array_contains(tags, x["name"]), i)),
+                     lambda i: i.isNotNull())
+    found = F.transform(asked, lambda i: F.struct(i.alias("pos"), _element(F.get(toks, i)).alias("el")))
+    found = F.transform(found, lambda t: F.struct(t["pos"].alias("pos"), F.filter(
+        F.try_element_at(rules, t["el"]["name"]), lambda e: _attr_ok(t["el"], e["attr"], e["value"])).alias("rules")))
+    found = F.filter(found, lambda t: F.size(t["rules"]) > 0)
+    # parents are read only where a rule asks for them
+    parent = lambda i: F.get(tree["parent"], i)
+    at = lambda i: F.when(i >= 0, _element(F.get(toks, i)))
+    above = lambda i: F.struct(at(parent(i)).alias("near"), at(F.when(parent(i) >= 0, parent(parent(i)))).alias("far"))
+    found = F.transform(found, lambda t: F.struct(
+        t["pos"].alias("pos"), t["rules"].alias("rules"),
+        F.when(F.exists(t["rules"], lambda e: e["p_tag"].isNotNull()), above(t["pos"])).alias("above")))
+    return F.transform(found, lambda t: F.struct(
+        t["pos"].alias("pos"), F.get(tree["end"], t["pos"]).alias("end"), F.get(toks, t["pos"])["kind"].alias("kind"),
+        F.filter(t["rules"], lambda e: _anc_ok(t["above"]["near"], e["p_tag"], e["p_attr"], e["p_value"])
+                 & _anc_ok(t["above"]["far"], e["g_tag"], e["g_attr"], e["g_value"])).alias("rules")))
+
+
+def with_role(matched: Column, role: str) -> Column:
+    """The matched tokens that have an entry of ``role``."""
+    return F.filter(matched, lambda t: F.exists(t["rules"], lambda e: e["role"] == role))
+
+
+def best_of_role(entries: Column, role: str) -> Column:
+    """min (priority, mode) among a token's entries of ``role``; null if none."""
+    return F.array_min(F.transform(F.filter(entries, lambda e: e["role"] == role),
                                    lambda e: F.struct(e["priority"].alias("priority"), e["mode"].alias("mode"))))
 
 
@@ -224,32 +243,60 @@ def _reference(r: Column, names: Column) -> Column:
 def decode_entities(s: Column) -> Column:
     """Named (the HTML5 table of Python's standard library) and numeric character
     references; unknown ones stay as they are.  Text without "&" is passed by."""
-    names = F.create_map(*[F.lit(x) for k, v in html5.items() if k.endswith(";") for x in (k, v)])
+    # a map is searched from its start: the names that pages use most come first
+    often = dict.fromkeys(k for k in ("amp;", "nbsp;", "quot;", "lt;", "gt;", *(f"{k};" for k in name2codepoint)))
+    names = F.create_map(*[F.lit(x) for k in (*often, *(k for k in html5 if k not in often)) if k.endswith(";") for x in (k, html5[k])])
     parts = F.regexp_extract_all(s, F.lit(r"&(?:#\d{1,9};?|#[xX][0-9A-Fa-f]{1,7};?|[A-Za-z][A-Za-z0-9]*;)|[^&]+|&"), 0)
     return F.when(s.contains("&"), F.array_join(F.transform(
         parts, lambda r: F.when(r.rlike("^&."), _reference(r, names)).otherwise(r)), "")).otherwise(s)
 
 
-def piece(tokens_kind: Column = None) -> Column:
+def piece(x: Column) -> Column:
     """Plain-text contribution of a token: collapsed text, paragraph breaks for
     block tags, a line break for ``br``."""
-    txt = F.regexp_replace(decode_entities(F.col("tok")), r"[ \t\r\n\f]+", " ")
-    return (F.when(F.col("kind") == "text", txt)
-            .when(F.col("name") == "br", F.lit("\n"))
-            .when(F.col("kind").isin("open", "close", "void") & F.col("name").isin(list(BLOCK)), F.lit("\n\n"))
+    # a single blank stays as it is
+    txt = F.regexp_replace(decode_entities(x["tok"]), r"[\t\r\n\f][ \t\r\n\f]*| [ \t\r\n\f]+", " ")
+    return (F.when(x["kind"] == "text", txt)
+            .when(x["name"] == "br", F.lit("\n"))
+            .when(x["kind"].isin("open", "close", "void") & x["name"].isin(list(BLOCK)), F.lit("\n\n"))
             .otherwise(F.lit("")))
 
 
+def merged_pieces(pages: Column) -> Column:
+    """array<array<string>> -> array<string>: the pieces of one page as they are; of several that share
+    an id, those of one position together, in their own order."""
+    n = F.array_max(F.transform(pages, F.size))
+    together = F.transform(F.slice(F.sequence(F.lit(0), n), F.lit(1), n),
+                           lambda i: F.array_join(F.sort_array(F.transform(pages, lambda p: F.get(p, i))), ""))
+    return F.when(F.size(pages) > 1, together).otherwise(F.get(pages, F.lit(0)))
+
+
 def join_pieces(pieces: Column) -> Column:
-    """array<struct<pos, piece>> -> normalised plain text (H8)."""
-    s = F.array_join(F.transform(F.array_sort(pieces), lambda x: x["piece"]), "")
+    """array<string> -> normalised plain text (H8)."""
+    s = F.array_join(pieces, "")
     s = F.regexp_replace(s, r"[ \t]*\n[ \t]*", "\n")
     s = F.regexp_replace(s, r"\n{3,}", "\n\n")
     s = F.regexp_replace(s, r" {2,}", " ")
     return F.regexp_replace(s, "^[\\s\u00a0]+|[\\s\u00a0]+$", "")
 
 
-def coverage(tokens: DataFrame, flag: str, out: str) -> DataFrame:
-    """Mark tokens inside any element opened by a token where ``flag`` holds."""
-    w = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return tokens.withColumn(out, F.coalesce(F.max(F.when(F.col(flag), F.col("end"))).over(w) >= F.col("pos"), F.lit(False)))
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def _coverage(starts: pd.Series, ends: pd.Series, n: pd.Series) -> pd.Series:
+    out = []
+    for start, end, k in zip(starts, ends, n):
+        if start is None or not len(start):
+            out.append([])
+            continue
+        last = np.full(int(k), -1)
+        np.maximum.at(last, start, end)
+        out.append(np.maximum.accumulate(last) >= np.arange(int(k)))
+    return pd.Series(out)
+
+
+def coverage(spans: Column, n: Column) -> Column:
+    """array<boolean>: the tokens, of ``n``, inside any of the elements (pos, end); empty without elements."""
+    return _coverage(F.transform(spans, lambda s: s["pos"]), F.transform(spans, lambda s: s["end"]), n)
+
+
+def covered(inside: Column, i: Column) -> Column:
+    return F.coalesce(F.get(inside, i), F.lit(False))

@@ -630,7 +630,9 @@ def whole_layout_pages(spark, sf):
         .otherwise(F.regexp_extract(page, r"(?is)<article\b[^>]*>(.*?)(?:<footer|\z)", 1))
     layouts = [F.struct(F.lit(u).alias("url"), F.lit(h.replace("<p>@P@", "<div>@P@</div><p>")).alias("html"))
                for u, h in zip(LAYOUT_URLS, LAYOUT_HTML)]
-    p = read_table(spark, sf, "pages").select("page_id", inner.alias("inner"))
+    # a file's one split would be one task's work, ten layouts of every page
+    pages = read_table(spark, sf, "pages").select("page_id", "html").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    p = pages.select("page_id", inner.alias("inner"))
     p = p.select("page_id", "inner", F.posexplode(F.array(*layouts)).alias("k", "layout"))
     number = F.col("page_id") * 10 + F.col("k")
     return p.select(number.alias("page_id"), F.concat("layout.url", number.cast("string")).alias("url"),

@@ -1,14 +1,19 @@
 """Page -> article extraction plan (H12 with U1, U2, U3, H1-H11, T1, T6, T7, K8).
 
-One DataFrame plan over all sites together.  Raw pages are shuffled once,
-by ``page_id``; tokens, windows and per-page aggregates then stay in those
-partitions.  The result has one row per page that passed the URL filter,
-with ``reject_reason`` null for articles (K8 keeps the rest).
+One DataFrame plan over all sites together.  A page's tokens stay arrays of its
+row: raw pages are shuffled by ``page_id``, so that a file's one split isn't one
+task's work, and what is left of their texts once more, for the window that brings
+pages of one id together (Python helpers forget how rows are dealt).  The result
+has one row per page that passed the URL filter, with ``reject_reason`` null for
+articles (K8 keeps the rest).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressroom.functions import urls as U
@@ -38,54 +43,50 @@ def prepare_pages(pages: DataFrame, url_rules=U.BAD_URL_RULES) -> DataFrame:
     return p
 
 
-def _texts(todo: DataFrame, rules) -> DataFrame:
-    """Per page: validity, date mode, and the body, date and fallback texts."""
-    t = H.tokenize(todo, keep=("site",)).withColumn("_m", H.matched_rules(rules))
-    t = t.withColumns({
-        "reject_m": H.has_role(F.col("_m"), "reject"),
-        "remove_m": H.has_role(F.col("_m"), "remove"),
-        "lead_m": H.has_role(F.col("_m"), "lead"),
-    })
-    t = H.coverage(t, "remove_m", "removed")
-    t = H.coverage(t, "lead_m", "in_lead")
-    live_open = ~F.col("removed") & (F.col("kind") == "open")
-    body = H.best_of_role(F.col("_m"), "body")
-    date = H.best_of_role(F.col("_m"), "date")
-    t = t.withColumns({
-        "body_prio": F.when(live_open, body["priority"]),
-        "date_prio": F.when(live_open, date["priority"]),
-        "date_mode": F.when(live_open, date["mode"]),
-        "date_fb": live_open & H.has_role(F.col("_m"), "date_fallback"),
-        "piece": H.piece(),
-    }).drop("_m", "cls", "elem_id", "href", "anc1", "anc2")
-
-    # H2/H3/H9: first element of the best rule, per page.  Whole-page window
-    # aggregates, so the token table is not recomputed for a join back.
-    page = Window.partitionBy("page_id")
-    j = t.withColumns({
-        "invalid": F.bool_or("reject_m").over(page),
-        "b": F.min(F.when(F.col("body_prio").isNotNull(), F.struct("body_prio", "pos", "end"))).over(page),
-        "d": F.min(F.when(F.col("date_prio").isNotNull(),
-                          F.struct("date_prio", "pos", "end", "date_mode"))).over(page),
-        "f": F.min(F.when(F.col("date_fb"), F.struct("pos", "end"))).over(page),
-    })
-
-    def inside(s):
-        return (F.col("pos") >= F.col(f"{s}.pos")) & (F.col("pos") <= F.col(f"{s}.end"))
-
-    live = ~F.col("removed")
-    piece = F.struct("pos", "piece")
-    texts = j.groupBy("page_id").agg(
-        F.first("invalid").alias("invalid"),
-        F.first("d.date_mode").alias("date_mode"),
-        F.collect_list(F.when(live & ~F.col("in_lead") & inside("b"), piece)).alias("bp"),
-        F.collect_list(F.when(live & inside("d"), piece)).alias("dp"),
-        F.collect_list(F.when(live & inside("f"), piece)).alias("fp"))
-    return texts.select(
-        "page_id", "invalid", "date_mode",
-        H.join_pieces(F.col("bp")).alias("body_text"),
-        H.join_pieces(F.col("dp")).alias("date_text"),
-        H.join_pieces(F.col("fp")).alias("fb_text"))
+def _texts(pages: DataFrame, rules) -> DataFrame:
+    """Pages with, in place of the html, validity, date mode, and the body, date and fallback texts.
+    A null html has none; pages that share an id share their texts, tokens of one position side by side."""
+    has_html = F.col("html").isNotNull()
+    t = H.with_tokens(pages.withColumns({"has_html": has_html, "rules": H.rules_of(F.col("site"), rules)}))
+    t = t.withColumn("m", H.matched_rules(F.col("toks"), F.col("tree"), F.col("rules")))
+    opened = lambda role: F.filter(H.with_role(F.col("m"), role), lambda t: t["kind"] == "open")
+    spans = lambda m: F.transform(m, lambda t: F.struct(t["pos"].alias("pos"), t["end"].alias("end")))
+    ranked = lambda role: F.transform(opened(role), lambda t: F.struct(
+        H.best_of_role(t["rules"], role).alias("best"), t["pos"].alias("pos"), t["end"].alias("end")))
+    parts = F.struct(
+        (F.size(H.with_role(F.col("m"), "reject")) > 0).alias("invalid"),
+        spans(H.with_role(F.col("m"), "remove")).alias("remove"),
+        spans(H.with_role(F.col("m"), "lead")).alias("lead"),
+        F.transform(ranked("body"), lambda t: F.struct(t["best"]["priority"].alias("priority"), t["pos"].alias("pos"),
+                                                       t["end"].alias("end"))).alias("body"),
+        F.transform(ranked("date"), lambda t: F.struct(t["best"]["priority"].alias("priority"), t["pos"].alias("pos"),
+                                                       t["end"].alias("end"), t["best"]["mode"].alias("mode"))).alias("date"),
+        spans(opened("date_fallback")).alias("fallback"),
+        F.transform("toks", H.piece).alias("pieces"))
+    kept = [c for c in pages.columns if c != "html"]
+    t = t.select(*kept, F.when(F.col("has_html"), parts).alias("parts"))
+    t = t.select(*kept, F.collect_list("parts").over(Window.partitionBy("page_id")).alias("copies"))
+    every = lambda f: F.flatten(F.col(f"copies.{f}"))
+    t = t.select(*kept, F.exists("copies.invalid", lambda x: x).alias("invalid"), H.merged_pieces(F.col("copies.pieces")).alias("pieces"),
+                 *[every(f).alias(f) for f in ("remove", "lead", "body", "date", "fallback")])
+    t = t.withColumns({"removed": H.coverage(F.col("remove"), F.size("pieces")), "in_lead": H.coverage(F.col("lead"), F.size("pieces"))})
+
+    # H2/H3/H9: first element of the best rule, per page
+    live = lambda f: F.filter(f, lambda s: ~H.covered(F.col("removed"), s["pos"]))
+    t = t.select(*kept, "invalid", "pieces", "removed", "in_lead", F.array_min(live("body")).alias("b"),
+                 F.array_min(live("date")).alias("d"), F.array_min(live("fallback")).alias("f"))
+
+    def text(s: str, *without: str) -> Column:
+        start, dropped = F.col(f"{s}.pos"), [F.col(c) for c in without]
+        whole = F.slice("pieces", start + 1, F.col(f"{s}.end") - start + 1)
+        held = F.filter(whole, lambda x, i: ~reduce(or_, [H.covered(d, start + i) for d in dropped]))
+        any_dropped = reduce(or_, [F.size(d) > 0 for d in dropped])
+        return F.coalesce(H.join_pieces(F.when(any_dropped, held).otherwise(whole)), F.lit(""))
+
+    texts = F.struct(F.col("d.mode").alias("date_mode"), text("b", "removed", "in_lead").alias("body_text"),
+                     text("d", "removed").alias("date_text"), text("f", "removed").alias("fb_text"))
+    # an array of one: a condition on the texts isn't pushed below this, which would work them out twice
+    return t.select(*kept, "invalid", F.explode(F.array(texts)).alias("texts")).select(*kept, "invalid", "texts.*")
 
 
 def extract(pages: DataFrame, rules=ALL_RULES, url_rules=U.BAD_URL_RULES,
@@ -96,8 +97,11 @@ def extract(pages: DataFrame, rules=ALL_RULES, url_rules=U.BAD_URL_RULES,
     p = prepare_pages(pages, url_rules)
     known = sites(rules)
     n = num_partitions or int(p.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # the one shuffle of raw HTML: by page, so every later per-page step is local
-    texts = _texts(p.where(F.col("site").isin(known)).select("page_id", "site", "html").repartition(n, "page_id"), rules)
+    # of pages without a site's rules or without id, the html isn't asked for
+    html = F.when(F.col("site").isin(known) & F.col("page_id").isNotNull(), F.col("html"))
+    p = p.select("page_id", "url", "domain", "site", "cc_date", html.alias("html"))
+    # the one shuffle of raw HTML
+    texts = _texts(p.repartition(n, "page_id"), rules)
     # T6 with the per-site date modes: choose the text(s) first, parse once or twice
     dt, fb, mode = F.col("date_text"), F.col("fb_text"), F.col("date_mode")
     cut = F.trim(F.split(dt, MODIFIED).getItem(0))
@@ -112,12 +116,11 @@ def extract(pages: DataFrame, rules=ALL_RULES, url_rules=U.BAD_URL_RULES,
     parsers = [parse_human_date] + [lambda d: parse_relative_date(d, crawled)] * relative_dates
     date_of_creation = F.coalesce(*[parse(F.col(d)) for d in ("_d1", "_d2") for parse in parsers])
 
-    out = p.select("page_id", "url", "domain", "site", "cc_date").join(texts, "page_id", "left")
     body_blank = F.coalesce(F.trim(F.col("body_text")), F.lit("")) == ""
     reason = (F.when(~F.col("site").isin(known), F.lit("unknown_site"))
               .when(F.coalesce(F.col("invalid"), F.lit(False)), F.lit("invalid_page"))
               .when(body_blank, F.lit("missing_article")))
-    return out.select(
+    return texts.select(
         "page_id",
         article_id(F.col("url"), F.col("cc_date")).alias("uuid"),
         F.when(reason.isNull(), nfkc(F.col("body_text"))).alias("article"),

@@ -170,3 +170,46 @@ def test_relative_dates_as_seen_at_the_crawl(spark):
     got = {r.page_id: r.date_of_creation for r in scrape.extract(pages, relative_dates=True).collect()}
     assert got == {1: datetime(2021, 7, 31, 14, 5), 2: datetime(2021, 7, 31, 23, 30), 3: datetime(2021, 7, 24, 14, 5), 4: None}
     assert scrape.extract(pages).where("date_of_creation is not null").count() == 1
+
+
+def test_a_page_stays_one_row(spark):
+    """Tokens are neither rows of a shuffle and a window nor joined back to their pages."""
+    pages = spark.createDataFrame([(k, u, h) for k, (u, h) in PAGES.items()], "page_id long, url string, html string")
+    text = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    plan = text(scrape.extract(pages))
+    assert "posexplode" not in plan and "Join" not in plan and "Aggregate" not in plan
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("Window [") == 1
+    # a condition on the result doesn't work the texts out a second time
+    assert text(scrape.articles(scrape.extract(pages))).count("array_join") == plan.count("array_join")
+
+
+def test_pages_of_one_id_share_their_texts(spark):
+    page = '<div class="article-html-content">{}</div>'
+    rows = [(1, "https://telex.hu/x/a", page.format("one <b>two</b><table>gone</table>")), (1, "https://telex.hu/x/b", page.format("ein ")),
+            (1, "https://nowhere.org/x", "<article>not asked for</article>"), (None, "https://telex.hu/x/c", page.format("no id")),
+            (2, "https://telex.hu/x/d", None), (3, "https://telex.hu/x/e", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.url[-1]: (r.article, r.reject_reason) for r in scrape.extract(pages).collect()}
+    assert got == {"a": ("ein one", None), "b": ("ein one", None), "x": (None, "unknown_site"), "c": (None, "missing_article"),
+                   "d": (None, "missing_article"), "e": (None, "missing_article")}
+
+
+def test_coverage_is_linear_and_exact(spark):
+    """Elements within each other, side by side, and none, over a page of many tokens."""
+    from pyspark.sql import functions as F
+    from pressroom.operators import html as H
+    n = 200_000
+    spans = {1: [(3, 9), (4, 5), (12, 12)], 2: [], 3: [(k, k + 1) for k in range(0, n - 1, 4)]}
+    df = spark.createDataFrame(list(spans.items()), "k int, spans array<struct<pos:int,end:int>>")
+    got = {r.k: r.c for r in df.select("k", H.coverage(F.col("spans"), F.lit(n)).alias("c")).collect()}
+    assert got[2] == [] and [i for i, x in enumerate(got[1]) if x] == [3, 4, 5, 6, 7, 8, 9, 12]
+    assert [i for i, x in enumerate(got[3]) if x] == [i for i in range(n) if i % 4 in (0, 1)]
+
+
+def test_named_references_keep_their_characters(spark):
+    from html.entities import html5
+    from pyspark.sql import functions as F
+    from pressroom.operators.html import decode_entities
+    rows = [(k, v) for k, v in html5.items() if k.endswith(";")]
+    df = spark.createDataFrame(rows, "k string, v string").select("k", "v", decode_entities(F.concat(F.lit("a&"), "k", F.lit("b"))).alias("got"))
+    assert df.where(F.col("got") != F.concat(F.lit("a"), "v", F.lit("b"))).count() == 0
