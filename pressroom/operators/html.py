@@ -219,6 +219,11 @@ def best_of_role(entries: Column, role: str) -> Column:
 
 # --------------------------------------------------------------------------- text
 
+def _listed(texts) -> Column:
+    """A fixed array<string> as one literal: with one a text, building the plan takes seconds."""
+    return F.split(F.lit("\x1f".join(texts)), "\x1f")
+
+
 def _code_point(n: Column) -> Column:
     """A numeric reference's character; those in 128-159 mean Windows-1252, and
     numbers of no character give U+FFFD."""
@@ -227,8 +232,8 @@ def _code_point(n: Column) -> Column:
     unit = lambda u: F.lpad(F.hex(u), 4, "0")
     utf16 = F.when(n < 0x10000, unit(n)).otherwise(
         F.concat(unit(F.lit(0xD800) + F.shiftright(high, 10)), unit(F.lit(0xDC00) + high.bitwiseAND(F.lit(0x3FF)))))
-    old = F.create_map(*[F.lit(x) for k in range(128, 160) for x in (k, bytes([k]).decode("cp1252", "replace"))])
-    return F.when(n.between(128, 159), F.try_element_at(old, n.cast("int"))) \
+    old = _listed(bytes([k]).decode("cp1252", "replace") for k in range(128, 160))
+    return F.when(n.between(128, 159), F.get(old, (n - 128).cast("int"))) \
         .when(ok, F.decode(F.unhex(utf16), "UTF-16BE")).otherwise(F.lit("\ufffd"))
 
 
@@ -245,7 +250,8 @@ def decode_entities(s: Column) -> Column:
     references; unknown ones stay as they are.  Text without "&" is passed by."""
     # a map is searched from its start: the names that pages use most come first
     often = dict.fromkeys(k for k in ("amp;", "nbsp;", "quot;", "lt;", "gt;", *(f"{k};" for k in name2codepoint)))
-    names = F.create_map(*[F.lit(x) for k in (*often, *(k for k in html5 if k not in often)) if k.endswith(";") for x in (k, html5[k])])
+    known = [k for k in (*often, *(k for k in html5 if k not in often)) if k.endswith(";")]
+    names = F.map_from_arrays(_listed(known), _listed(html5[k] for k in known))
     parts = F.regexp_extract_all(s, F.lit(r"&(?:#\d{1,9};?|#[xX][0-9A-Fa-f]{1,7};?|[A-Za-z][A-Za-z0-9]*;)|[^&]+|&"), 0)
     return F.when(s.contains("&"), F.array_join(F.transform(
         parts, lambda r: F.when(r.rlike("^&."), _reference(r, names)).otherwise(r)), "")).otherwise(s)
