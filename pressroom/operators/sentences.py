@@ -7,9 +7,9 @@ log-likelihood ratio of "nearly always with a full stop" against "as often as an
 made smaller by its length and by each occurrence without the full stop, larger by full
 stops within it.
 
-The words above a threshold are a stored model of bounded size, applied map-only: tokens
-that end a sentence by their last sign are taken by one regular expression, and those that
-are abbreviations, initials or ordinals are not counted.
+All words above a threshold are learned.  The stored model is those of most evidence, of
+bounded size, applied map-only: tokens that end a sentence by their last sign are taken by
+one regular expression, and those that are abbreviations, initials or ordinals are not counted.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pressroom.functions.text import strip_ws
 #: Least evidence of an abbreviation, and the share of full stops it is held to have (published values).
 THRESHOLD = 0.3
 NEARLY_ALWAYS = 0.99
-#: Size of the model: the words of most evidence, ties by the word.
+#: Size of the stored model: the words of most evidence, ties by the word.
 SIZE = 5000
 
 _BLANKS = r"[\x20\x09-\x0D]+"
@@ -41,28 +41,36 @@ def _stopped(core: Column) -> Column:
     return core.rlike(r"[^.][.]$")
 
 
-def learn_abbreviations(df: DataFrame, text: str = "article", threshold: float = THRESHOLD, size: int = SIZE) -> DataFrame:
-    """(word, stops, others, score): the words of ``text`` that are abbreviations, without
-    their last full stop.  A word holds a letter; numbers and bare signs count as tokens
-    only.  Null and empty texts have no tokens; no rows give no words."""
+def learn_abbreviations(df: DataFrame, text: str = "article", threshold: float = THRESHOLD) -> DataFrame:
+    """(word, stops, others, score): all words of ``text`` that are abbreviations, without
+    their last full stop, those of most evidence first.  A word holds a letter; numbers and
+    bare signs count as tokens only.  Null and empty texts have no tokens; no rows give no words."""
     # the tokens as they stand are counted first, so each distinct one is taken apart once
     tokens = df.select(F.explode(F.split(F.trim(F.regexp_replace(F.col(text), _BLANKS, " ")), " ")).alias("t")) \
         .where("t != ''").groupBy("t").agg(F.count(F.lit(1)).alias("n"))
     core = tokens.select(_core(F.col("t")).alias("core"), "n")
     stop = _stopped(F.col("core"))
+    # whether a word holds a letter is a result of its group: as a condition on the word it would be moved
+    # below the count of tokens, which the words and the share could then no longer have in common
     counts = core.groupBy(F.regexp_replace("core", "[.]+$", "").alias("word")) \
-        .agg(F.sum(F.when(stop, F.col("n")).otherwise(0)).alias("stops"), F.sum(F.when(stop, 0).otherwise(F.col("n"))).alias("others"))
+        .agg(F.sum(F.when(stop, F.col("n")).otherwise(0)).alias("stops"), F.sum(F.when(stop, 0).otherwise(F.col("n"))).alias("others"),
+             F.bool_or(F.col("core").rlike(r"\pL")).alias("lettered"))
     # one row: the share of full stops among all tokens, kept off 0 and 1
-    base = counts.agg(F.sum("stops").alias("s"), F.sum(F.col("stops") + F.col("others")).alias("n")) \
+    base = core.agg(F.sum(F.when(stop, F.col("n")).otherwise(0)).alias("s"), F.sum("n").alias("n")) \
         .select(F.greatest(F.least(F.col("s") / F.col("n"), F.lit(1 - 1e-9)), F.lit(1e-9)).alias("p"))
-    held = counts.where(F.col("word").rlike(r"\pL") & (F.col("stops") > 0)).crossJoin(F.broadcast(base))  # base: one row
+    held = counts.where(F.col("lettered") & (F.col("stops") > 0)).crossJoin(F.broadcast(base))  # base: one row
     inner = F.length("word") - F.length(F.replace("word", F.lit("."), F.lit("")))
     size_ = (F.length("word") - inner).cast("double")
     plain = F.col("stops") * F.ln("p") + F.col("others") * F.ln(1 - F.col("p"))
     bound = F.col("stops") * F.ln(F.lit(NEARLY_ALWAYS)) + F.col("others") * F.ln(F.lit(1 - NEARLY_ALWAYS))
     score = -2 * (plain - bound) * F.exp(-size_) * (inner + 1) * F.pow(size_, -F.col("others").cast("double"))
     return held.select("word", "stops", "others", score.alias("score")).where(F.col("score") >= threshold) \
-        .orderBy(F.desc("score"), "word").limit(size)
+        .orderBy(F.desc("score"), "word")
+
+
+def strongest(words: DataFrame, size: int = SIZE) -> DataFrame:
+    """The model of learned words: the ``size`` of most evidence, ties by the word."""
+    return words.orderBy(F.desc("score"), "word").limit(size)
 
 
 def save_abbreviations(words: DataFrame, path: str) -> None:

@@ -342,9 +342,9 @@ def _abbreviated(spark, sf):
 
 
 def _stored_abbreviations(spark, articles):
-    """The abbreviations of all articles, stored and loaded again."""
+    """The abbreviations of most evidence in all articles, stored and loaded again."""
     path = _scratch(spark, "abbreviations")
-    SE.save_abbreviations(SE.learn_abbreviations(articles), path)
+    SE.save_abbreviations(SE.strongest(SE.learn_abbreviations(articles)), path)
     return SE.load_abbreviations(spark, path)
 
 

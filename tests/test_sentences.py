@@ -57,3 +57,40 @@ def test_each_distinct_token_is_taken_apart_once(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString().split("\n")
     lowest = [k for k, line in enumerate(plan) if "Aggregate" in line and "[t#" in line]
     assert lowest and not any("pL" in line for line in plan[lowest[-1] + 1:])
+
+
+def test_all_abbreviations_are_learned_and_the_strongest_stored(spark, tmp_path):
+    """More abbreviations than the stored model holds: t4_abbreviations has them all, the model those of most evidence."""
+    import itertools
+
+    import duckdb
+    import __spark_entry__ as E
+    from tools.oracle_check import canon
+    learned = ["".join(w) for w in itertools.islice(itertools.product("ijklmnopqrstuvwxyz", repeat=3), S.SIZE + 300)]
+    rows = [(k, " ".join(f"on on {w}. on on on on {w}. on on on on" for w in learned[k::40]), "en", "a.example", 0) for k in range(40)]
+    rows += [(40, " ".join(f"{w}." for w in learned[-50:]), "en", "a.example", 0), (41, None, "en", "a.example", 0), (42, "", "en", "a.example", 0)]
+    sf = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{sf}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet/*.parquet')")
+    for name in ("t4_abbreviations", "t4_c5_learned_sentences"):
+        df, want = E.queries()[name](spark, sf), con.sql(E.oracle_sql()[name])
+        assert canon(df.columns, df.collect()) == canon(want.columns, want.fetchall())
+    assert sorted(r["word"] for r in E.queries()["t4_abbreviations"](spark, sf).collect()) == learned
+
+    found = S.learn_abbreviations(spark.read.parquet(f"{sf}/documents.parquet"), "text")
+    got = [(-r["score"], r["word"]) for r in found.collect()]
+    assert sorted(w for _, w in got) == learned
+    assert got == sorted(got)
+    assert [(-r["score"], r["word"]) for r in S.strongest(found).collect()] == got[:S.SIZE]
+    S.save_abbreviations(S.strongest(found), f"{sf}/model")
+    assert S.load_abbreviations(spark, f"{sf}/model") == sorted(w for _, w in got[:S.SIZE])
+
+
+def test_words_and_share_have_one_count_of_tokens(spark):
+    """The tokens are made and counted once: no condition on words is moved below their count."""
+    df = spark.range(500).selectExpr("concat('On dr. ', id, '. at no. 5. ', id) AS article")
+    out = S.learn_abbreviations(df, threshold=-1e9)
+    assert {(r["word"], r["stops"], r["others"]) for r in out.collect()} == {("dr", 500, 0), ("no", 500, 0)}
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Generate explode") == 1 and "ReusedExchange" in plan
